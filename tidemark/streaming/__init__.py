@@ -1,0 +1,8 @@
+"""Streaming.
+
+The library's tables are batch tables written one month at a time; the work it
+mirrors has no streams, watermarks or streaming state, so this package holds no
+operators. A month-at-a-time job that should run as data arrives is an
+ordinary batch job started by a scheduler, written with
+``tidemark.sources.replace_period``.
+"""
