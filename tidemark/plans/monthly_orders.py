@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.periods import Period, period_columns, period_index
+from tidemark.functions.periods import period_columns
 from tidemark.session import scratch_path, shared_dir
 from tidemark.sources import fs
 from tidemark.sources.writes import replace_periods
@@ -27,17 +27,10 @@ def orders_frame(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFr
     return df
 
 
-def present_periods(df: DataFrame) -> list[Period]:
-    """Distinct months of a frame with year/month columns (one small aggregate; months, not rows)."""
-    rows = df.select(period_index().alias("p")).distinct().collect()
-    return sorted(Period.from_index(r["p"]) for r in rows if r["p"] is not None)
-
-
 def build_orders_table(spark: SparkSession, sf_dir: str, gaps: bool = False, root: "str | None" = None) -> str:
     """Write ``orders`` as a monthly table (one job) and return its root."""
-    df = orders_frame(spark, sf_dir, gaps)
     root = root or scratch_path(spark, "orders-gaps" if gaps else "orders")
-    replace_periods(df, root, present_periods(df))
+    replace_periods(orders_frame(spark, sf_dir, gaps), root)
     return root
 
 

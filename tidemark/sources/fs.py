@@ -2,60 +2,95 @@
 
 These list, create, rename and delete directory entries on the driver; they
 never read rows. Any Hadoop URI works (file:, hdfs:, s3a:, abfs:, ...).
+``FileStore`` keeps one FileSystem handle per root so each call is one or two
+gateway round trips; ``parallel`` runs independent per-month calls on a few
+driver threads, since object stores answer them with latency, not bandwidth.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
+
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
+R = TypeVar("R")
+
+# Driver threads used for independent metadata calls (one per month).
+METADATA_THREADS = 16
+
+
+class FileStore:
+    def __init__(self, spark: SparkSession, uri: str):
+        jvm = spark._jvm
+        self._Path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._Path(uri).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, uri: str):
+        return self._Path(uri)
+
+    def exists(self, uri: str) -> bool:
+        return bool(self._fs.exists(self._Path(uri)))
+
+    def glob(self, pattern: str) -> list[str]:
+        statuses = self._fs.globStatus(self._Path(pattern))
+        return [] if statuses is None else [s.getPath().toString() for s in statuses]
+
+    def has_data_files(self, uri: str) -> bool:
+        """True when the directory holds a file Spark would read (not ``_*`` or ``.*``)."""
+        for status in self._fs.listStatus(self._Path(uri)):
+            name = status.getPath().getName()
+            if status.isFile() and not name.startswith(("_", ".")):
+                return True
+        return False
+
+    def delete(self, uri: str) -> bool:
+        """Remove a path and everything under it; a missing path is not an error."""
+        return bool(self._fs.delete(self._Path(uri), True))
+
+    def mkdirs(self, uri: str) -> None:
+        self._fs.mkdirs(self._Path(uri))
+
+    def rename(self, src: str, dst: str) -> None:
+        """Move ``src`` to ``dst``; the parent of ``dst`` must exist."""
+        if not self._fs.rename(self._Path(src), self._Path(dst)):
+            raise OSError(f"could not move {src} to {dst}")
 
-def _path(spark: SparkSession, uri: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(uri)
+    def touch(self, uri: str) -> None:
+        self._fs.create(self._Path(uri), True).close()
 
 
-def _fs(spark: SparkSession, uri: str):
-    return _path(spark, uri).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def parallel(fn: Callable[[T], R], items: Iterable[T]) -> list[R]:
+    items = list(items)
+    if len(items) <= 1:
+        return [fn(i) for i in items]
+    with ThreadPoolExecutor(max_workers=min(METADATA_THREADS, len(items))) as pool:
+        return list(pool.map(fn, items))
 
 
+# Function forms for one-off calls.
+
 def exists(spark: SparkSession, uri: str) -> bool:
-    return bool(_fs(spark, uri).exists(_path(spark, uri)))
+    return FileStore(spark, uri).exists(uri)
 
 
 def glob(spark: SparkSession, pattern: str) -> list[str]:
-    statuses = _fs(spark, pattern).globStatus(_path(spark, pattern))
-    return [] if statuses is None else [s.getPath().toString() for s in statuses]
+    return FileStore(spark, pattern).glob(pattern)
 
 
 def has_data_files(spark: SparkSession, uri: str) -> bool:
-    """True when the directory holds a file Spark would read (not ``_*`` or ``.*``)."""
-    fs = _fs(spark, uri)
-    for status in fs.listStatus(_path(spark, uri)):
-        name = status.getPath().getName()
-        if status.isFile() and not name.startswith(("_", ".")):
-            return True
-    return False
+    return FileStore(spark, uri).has_data_files(uri)
 
 
 def delete(spark: SparkSession, uri: str) -> bool:
-    """Remove a path and everything under it; a missing path is not an error."""
-    fs = _fs(spark, uri)
-    path = _path(spark, uri)
-    if not fs.exists(path):
-        return False
-    return bool(fs.delete(path, True))
+    return FileStore(spark, uri).delete(uri)
 
 
 def mkdirs(spark: SparkSession, uri: str) -> None:
-    _fs(spark, uri).mkdirs(_path(spark, uri))
-
-
-def rename(spark: SparkSession, src: str, dst: str) -> None:
-    fs = _fs(spark, src)
-    target = _path(spark, dst)
-    fs.mkdirs(target.getParent())
-    if not fs.rename(_path(spark, src), target):
-        raise OSError(f"could not move {src} to {dst}")
+    FileStore(spark, uri).mkdirs(uri)
 
 
 def touch(spark: SparkSession, uri: str) -> None:
-    _fs(spark, uri).create(_path(spark, uri), True).close()
+    FileStore(spark, uri).touch(uri)

@@ -33,48 +33,61 @@ log = logging.getLogger(__name__)
 SUCCESS = "_SUCCESS"
 
 
-def _staged_periods(spark: SparkSession, staging: str) -> set[Period]:
+def _staged_periods(store: fs.FileStore, staging: str) -> set[Period]:
     found = set()
-    for path in fs.glob(spark, f"{staging}/year=*/month=*"):
+    for path in store.glob(f"{staging}/year=*/month=*"):
         parts = dict(seg.split("=", 1) for seg in path.rstrip("/").split("/")[-2:])
         found.add(Period(int(parts["year"]), int(parts["month"])))
     return found
 
 
-def replace_periods(df: DataFrame, root: str, periods: Iterable[PeriodLike]) -> list[Period]:
-    """Replace the given months of the table with the frame's rows for them.
+def replace_periods(df: DataFrame, root: str, periods: "Iterable[PeriodLike] | None" = None) -> list[Period]:
+    """Replace months of the table with the frame's rows for them.
 
-    ``df`` carries integer ``year`` and ``month`` columns; rows of other months
-    are not written. Months of the table that are not requested are untouched.
-    Returns the requested months.
+    ``df`` carries integer ``year`` and ``month`` columns. With ``periods``,
+    exactly those months are replaced: rows of other months are not written,
+    and a requested month without rows is emptied. Without ``periods``, the
+    months that have rows in the frame are replaced. Months that are not
+    replaced are untouched. Returns the replaced months.
     """
     if "year" not in df.columns or "month" not in df.columns:
         raise ValueError("the frame needs year and month columns; use replace_period for one month")
-    wanted = as_periods(periods)
-    if not wanted:
+    wanted = None if periods is None else as_periods(periods)
+    if wanted is not None and not wanted:
         raise ValueError("no months requested")
     spark = df.sparkSession
     root = root.rstrip("/")
+    store = fs.FileStore(spark, root)
     staging = f"{root}/_staging-{uuid.uuid4().hex}"
     data = df.withColumns({"year": F.col("year").cast("int"), "month": F.col("month").cast("int")})
-    data = data.where(period_index().isin([p.index for p in wanted]))
+    if wanted is not None:
+        data = data.where(period_index().isin([p.index for p in wanted]))
+    else:
+        data = data.where(F.col("year").isNotNull() & F.col("month").isNotNull())
     (
         data.hint("rebalance", "year", "month")
         .write.mode("errorifexists")
         .partitionBy("year", "month")
         .parquet(staging)
     )
-    written = _staged_periods(spark, staging)
-    for p in wanted:
+    written = _staged_periods(store, staging)
+    if wanted is None:
+        wanted = sorted(written)
+    for year in sorted({p.year for p in wanted}):
+        store.mkdirs(f"{root}/year={year}")
+
+    def swap(p: Period) -> None:
         target = month_path(root, p)
-        fs.delete(spark, target)
+        store.delete(target)
         if p in written:
-            fs.rename(spark, month_path(staging, p), target)
+            store.rename(month_path(staging, p), target)
         else:
             log.warning("month %s of %s has no rows; leaving it empty", p, root)
-            fs.mkdirs(spark, target)
-        fs.touch(spark, f"{target}/{SUCCESS}")
-    fs.delete(spark, staging)
+            store.mkdirs(target)
+        store.touch(f"{target}/{SUCCESS}")
+
+    fs.parallel(swap, wanted)
+    store.delete(staging)
     return wanted
 
 
