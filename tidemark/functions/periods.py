@@ -154,3 +154,25 @@ def month_start(c) -> Column:
 def period_columns(ts) -> dict[str, Column]:
     """Integer ``year`` and ``month`` columns from a date or timestamp column."""
     return {"year": F.year(_col(ts)), "month": F.month(_col(ts))}
+
+
+def in_period(df, column: str, period: PeriodLike) -> Column:
+    """``first day <= column < first day of the next month`` with literals of the column's own type.
+
+    The bounds fold to constants, so the predicate reaches the parquet reader
+    as a pushed range filter.
+    """
+    from pyspark.sql import types as T
+
+    p, nxt = Period.of(period), Period.of(period).plus(1)
+    dtype = df.schema[column].dataType
+    if isinstance(dtype, T.TimestampNTZType):
+        make = lambda q: F.make_timestamp_ntz(F.lit(q.year), F.lit(q.month), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    elif isinstance(dtype, T.TimestampType):
+        make = lambda q: F.make_timestamp(F.lit(q.year), F.lit(q.month), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    elif isinstance(dtype, T.DateType):
+        make = lambda q: F.make_date(F.lit(q.year), F.lit(q.month), F.lit(1))
+    else:
+        raise TypeError(f"column {column!r} is {dtype.simpleString()}, not a date or timestamp")
+    c = F.col(column)
+    return (c >= make(p)) & (c < make(nxt))

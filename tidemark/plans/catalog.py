@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.periods import Period, period_key, previous, shift_months
+from tidemark.functions.periods import Period, in_period, month_end, period_key, previous, shift_months
 from tidemark.functions.types import cast_columns
 from tidemark.operators.compare import compare_frames
 from tidemark.operators.filters import allow_list
 from tidemark.operators.lineage import cut_lineage
-from tidemark.operators.schema import conform, stamp_period
-from tidemark.plans.chains import frame, source, table
+from tidemark.operators.schema import conform, id_report, stamp_period
+from tidemark.plans.chains import backfill_table, frame, needed_periods, source, table
 from tidemark.plans.jobs import name_counts
 from tidemark.plans.joins import wide_table
-from tidemark.plans.monthly_orders import build_orders_table, orders_table
+from tidemark.plans.monthly_orders import orders_table
 from tidemark.session import scratch_path
 from tidemark.sources.config import config_frame, join_config
 from tidemark.sources.inventory import partition_inventory
@@ -31,14 +31,16 @@ from tidemark.sources.tables import (
     read_most_recent,
     read_offset,
     read_period,
+    read_periods,
     read_table,
     read_trailing,
     read_upto,
 )
-from tidemark.sources.writes import backfill, clear_period, replace_period
+from tidemark.sources.writes import backfill, backfill_range, clear_period, replace_period
 
 # Fixed values of the queries (run month, allow-list, configuration).
 RUN = Period(1998, 2)
+EVENTS_RUN = Period(2024, 1)
 ALLOWED_EVENT_TYPES = ["click", "purchase", "view"]
 SEGMENT_TIERS = {
     "BUILDING": {"tier": "gold", "discount": 3},
@@ -183,10 +185,11 @@ def q_lagged_join(spark, sf_dir):
     return frame(spark, lagged, RUN)
 
 
-def lag_chain(spark, sf_dir):
+def lag_chain(spark, sf_dir, node_a_root=None):
     """The five-table chain E -> D(1) -> C -> {B(1) -> A(2), A(2)}, A -> orders(0)."""
     dep_a = source("DepA", orders_table(spark, sf_dir))
-    node_a = table("NodeA", lambda p, m: m.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), [dep_a.at(0)])
+    node_a = table("NodeA", lambda p, m: m.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), [dep_a.at(0)],
+                   root=node_a_root)
     node_b = table("NodeB", lambda p, a: a, [node_a.at(2)])
 
     def join_c(p, b, a):
@@ -199,17 +202,17 @@ def lag_chain(spark, sf_dir):
     node_c = table("NodeC", join_c, [node_b.at(1), node_a.at(2)])
     node_d = table("NodeD", lambda p, c: c, [node_c.at(0)])
     node_e = table("NodeE", lambda p, d: d, [node_d.at(1)])
-    return node_e
+    return {"NodeA": node_a, "NodeB": node_b, "NodeC": node_c, "NodeD": node_d, "NodeE": node_e}
 
 
 def q_lagged_chain(spark, sf_dir):
-    return frame(spark, lag_chain(spark, sf_dir), RUN)
+    return frame(spark, lag_chain(spark, sf_dir)["NodeE"], RUN)
 
 
 # --- writes ---------------------------------------------------------------------
 
 def q_replace_period(spark, sf_dir):
-    root = build_orders_table(spark, sf_dir, root=scratch_path(spark, "orders-replace"))
+    root = orders_table(spark, sf_dir, copy="replace")
     january = Period(1998, 1)
     finished = read_period(spark, root, january).where(F.col("o_orderstatus") == "F")
     replace_period(finished, root, january)
@@ -219,7 +222,7 @@ def q_replace_period(spark, sf_dir):
 
 
 def q_delete_period(spark, sf_dir):
-    root = build_orders_table(spark, sf_dir, root=scratch_path(spark, "orders-delete"))
+    root = orders_table(spark, sf_dir, copy="delete")
     clear_period(spark, root, Period(1998, 1))
     return _counts_by_month(read_table(spark, root))
 
@@ -280,6 +283,48 @@ def q_checkpointed_count(spark, sf_dir):
     return cut.groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- more compositions ----------------------------------------------------------
+
+def q_allowlist_count_written(spark, sf_dir):
+    """The flagship as a monthly job: run for one month, written, read back."""
+    events = read_external(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    month = events.where(in_period(events, "ts", EVENTS_RUN))
+    names = month.select(F.col("user_id").alias("id"), F.col("event_type").alias("name"))
+    root = scratch_path(spark, "name-counts")
+    replace_period(name_counts(names, ALLOWED_EVENT_TYPES), root, EVENTS_RUN)
+    return read_table(spark, root)
+
+
+def q_backfill_periods_range(spark, sf_dir):
+    """W4 with a range-aware job: both months from one scan and one aggregate."""
+    source_root = orders_table(spark, sf_dir)
+    root = scratch_path(spark, "backfill-range")
+
+    def job(periods):
+        return read_periods(spark, source_root, periods).groupBy("o_custkey", "year", "month").agg(
+            F.count(F.lit(1)).alias("n_orders")
+        )
+
+    backfill_range(spark, root, job, [Period(1997, 10), Period(1997, 11)])
+    return read_table(spark, root).select("o_custkey", "n_orders", "year", "month")
+
+
+def q_lagged_chain_stored(spark, sf_dir):
+    """The chain with NodeA backfilled first (one job) and read back by month."""
+    nodes = lag_chain(spark, sf_dir, node_a_root=scratch_path(spark, "NodeA"))
+    backfill_table(spark, nodes["NodeA"], needed_periods(nodes["NodeE"], RUN)["NodeA"])
+    return frame(spark, nodes["NodeE"], RUN, use_stored=["NodeA"])
+
+
+def q_month_end_time(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    return events.select("event_id", month_end("ts").alias("month_end_ts"))
+
+
+def q_id_report(spark, sf_dir):
+    return id_report(_table(spark, sf_dir, "orders").select("o_custkey"), "o_custkey")
+
+
 QUERIES = {
     "allowlist_count": q_allowlist_count,
     "month_read": q_month_read,
@@ -305,6 +350,11 @@ QUERIES = {
     "checkpointed_count": q_checkpointed_count,
     "most_recent": q_most_recent,
     "bounded_periods": q_bounded_periods,
+    "allowlist_count_written": q_allowlist_count_written,
+    "backfill_periods_range": q_backfill_periods_range,
+    "lagged_chain_stored": q_lagged_chain_stored,
+    "month_end_time": q_month_end_time,
+    "id_report": q_id_report,
 }
 
 _GAPS = "(SELECT * FROM orders WHERE month(o_orderdate) NOT IN (1, 2))"
@@ -374,4 +424,19 @@ ORACLE_SQL = {
     "(SELECT max(date_trunc('month', o_orderdate)) FROM orders)",
     "bounded_periods": f"SELECT cast(year(o_orderdate) AS int) AS year, cast(month(o_orderdate) AS int) AS month, "
     f"count(*) AS n_rows FROM {_GAPS} g WHERE o_orderdate < TIMESTAMP '1998-03-01 00:00:00' GROUP BY 1, 2",
+    "allowlist_count_written": "SELECT user_id AS id, event_type AS name, count(*) AS count, 2024 AS year, 1 AS month "
+    "FROM events WHERE event_type IN ('click','purchase','view') AND ts >= TIMESTAMP '2024-01-01 00:00:00' "
+    "AND ts < TIMESTAMP '2024-02-01 00:00:00' GROUP BY user_id, event_type",
+    "backfill_periods_range": "SELECT o_custkey, count(*) AS n_orders, cast(year(o_orderdate) AS int) AS year, "
+    "cast(month(o_orderdate) AS int) AS month FROM orders WHERE o_orderdate >= TIMESTAMP '1997-10-01 00:00:00' "
+    "AND o_orderdate < TIMESTAMP '1997-12-01 00:00:00' GROUP BY 1, 3, 4",
+    "lagged_chain_stored": "WITH a AS (SELECT o_custkey, year(o_orderdate)*12 + month(o_orderdate) - 1 AS p, count(*) AS n "
+    "FROM orders GROUP BY 1, 2), b AS (SELECT o_custkey, n FROM a WHERE p = 1998*12 + 2 - 1 - 4), "
+    "c AS (SELECT o_custkey, n FROM a WHERE p = 1998*12 + 2 - 1 - 3) SELECT coalesce(b.o_custkey, c.o_custkey) AS o_custkey, "
+    "coalesce(b.n, 0) AS n_b, coalesce(c.n, 0) AS n_a FROM b FULL OUTER JOIN c ON b.o_custkey = c.o_custkey",
+    "month_end_time": "SELECT event_id, ts + to_days(CAST(date_diff('day', CAST(ts AS date), last_day(ts)) AS INTEGER)) "
+    "AS month_end_ts FROM events",
+    "id_report": "SELECT count(*) AS n_rows, count(*) - count(o_custkey) AS n_null_ids, (SELECT count(*) FROM "
+    "(SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1) d) AS n_duplicated_ids "
+    "FROM orders",
 }

@@ -34,11 +34,18 @@ def build_orders_table(spark: SparkSession, sf_dir: str, gaps: bool = False, roo
     return root
 
 
-def orders_table(spark: SparkSession, sf_dir: str, gaps: bool = False) -> str:
-    """A read-only monthly ``orders`` table, built once per session, folder and variant."""
-    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir.rstrip("/"), gaps)
+def orders_table(spark: SparkSession, sf_dir: str, gaps: bool = False, copy: "str | None" = None) -> str:
+    """A monthly ``orders`` table, built once per session, folder, variant and copy name.
+
+    Read-only queries share the unnamed copy. A query that changes its table
+    names its own copy; the changes the queries make (replace a month with a
+    subset of itself, clear a month) are idempotent, so running such a query
+    again on its copy gives the same table, as re-running a monthly job does.
+    """
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir.rstrip("/"), gaps, copy)
     root = _BUILT.get(key)
     if root is None or not fs.exists(spark, root):
-        root = build_orders_table(spark, sf_dir, gaps)
+        name = "-".join(x for x in ("orders", "gaps" if gaps else "", copy or "") if x)
+        root = build_orders_table(spark, sf_dir, gaps, root=scratch_path(spark, name))
         _BUILT[key] = root
     return root

@@ -3,13 +3,14 @@
 Layout: ``<root>/year=<yyyy>/month=<m>/part-*.parquet`` (month unpadded), the
 Hive-style layout Spark's ``partitionBy("year", "month")`` writes.
 
-* One month is read from its own directory, so only that month is listed.
-* Several months are read from the root with a predicate on the partition
-  columns, which Catalyst turns into ``PartitionFilters``: the other months'
-  files are never opened.
-* Which months are *available* is decided by the data (a month with rows),
-  found by a scan that reads only parquet footers. At most ``k + 1`` period
-  keys (never rows) come back to the driver to build the partition filter.
+* Which months a table holds comes from one listing of its month
+  directories (``year=*/month=*``) on the driver: metadata only, no file is
+  opened, so it costs the same for a 1 GB and a 100 TB table.
+* The chosen months are read as exactly their own directories (with
+  ``basePath`` at the root, so ``year``/``month`` come back as columns): only
+  those months are listed and scanned.
+* A read of the whole table, or one filtered on ``year``/``month``, goes
+  through the root; Catalyst turns the predicate into ``PartitionFilters``.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from tidemark.functions.periods import Period, PeriodLike, as_periods, period_index
 from tidemark.sources import fs
@@ -48,9 +50,9 @@ def read_period(spark: SparkSession, root: str, period: PeriodLike, *, with_peri
     if not fs.exists(spark, leaf):
         raise FileNotFoundError(f"month {p} of table {root} does not exist ({leaf})")
     if fs.has_data_files(spark, leaf):
-        df = spark.read.option("basePath", root).parquet(leaf)
+        df = spark.read.option("basePath", root.rstrip("/")).parquet(leaf)
     else:
-        df = read_periods(spark, root, [p])
+        df = read_table(spark, root).where(period_index() == p.index)
     return df if with_period else df.drop("year", "month")
 
 
@@ -61,10 +63,33 @@ def read_offset(spark: SparkSession, root: str, run: PeriodLike, offset: int, *,
     return read_period(spark, root, Period.of(run).minus(offset), with_period=with_period)
 
 
+def listed_periods(spark: SparkSession, root: str) -> list[Period]:
+    """The months that have a directory in the table, in order (metadata only)."""
+    out = set()
+    for path in fs.glob(spark, f"{root.rstrip('/')}/year=*/month=*"):
+        year_seg, month_seg = path.rstrip("/").split("/")[-2:]
+        try:
+            out.add(Period(int(year_seg.split("=", 1)[1]), int(month_seg.split("=", 1)[1])))
+        except ValueError:
+            log.warning("ignoring %s: not a year=YYYY/month=M directory", path)
+    return sorted(out)
+
+
 def read_periods(spark: SparkSession, root: str, periods: Iterable[PeriodLike]) -> DataFrame:
-    """The given months (missing ones read as nothing), pruned at the scan."""
-    keys = [p.index for p in as_periods(periods)]
-    return read_table(spark, root).where(period_index().isin(keys))
+    """The given months, with ``year``/``month`` columns; months the table lacks read as nothing.
+
+    Only the months' own directories are listed and scanned.
+    """
+    root = root.rstrip("/")
+    wanted = set(as_periods(periods))
+    present = [p for p in listed_periods(spark, root) if p in wanted]
+    if present:
+        try:
+            return spark.read.option("basePath", root).parquet(*[month_path(root, p) for p in present])
+        except AnalysisException as exc:  # every chosen month is empty: take the schema from the root
+            if "UNABLE_TO_INFER_SCHEMA" not in str(exc):
+                raise
+    return read_table(spark, root).where(F.lit(False))
 
 
 def read_upto(spark: SparkSession, root: str, run: PeriodLike) -> DataFrame:
@@ -72,30 +97,20 @@ def read_upto(spark: SparkSession, root: str, run: PeriodLike) -> DataFrame:
     return read_table(spark, root).where(period_index() <= Period.of(run).index)
 
 
-def available_periods(spark: SparkSession, root: str, upto: "PeriodLike | None" = None) -> DataFrame:
-    """Distinct ``(year, month)`` with rows; reads footers only (the scan's ReadSchema is empty)."""
-    df = read_table(spark, root).select("year", "month")
+def available_periods(spark: SparkSession, root: str, upto: "PeriodLike | None" = None) -> list[Period]:
+    """The table's months, none after ``upto`` when given."""
+    found = listed_periods(spark, root)
     if upto is not None:
-        df = df.where(period_index() <= Period.of(upto).index)
-    return df.distinct()
-
-
-def _last_periods(spark: SparkSession, root: str, upto: "PeriodLike | None", count: int) -> list[Period]:
-    rows = (
-        available_periods(spark, root, upto)
-        .select(period_index().alias("p"))
-        .orderBy(F.desc("p"))
-        .limit(count)
-        .collect()
-    )
-    return sorted(Period.from_index(r["p"]) for r in rows)
+        bound = Period.of(upto)
+        found = [p for p in found if p <= bound]
+    return found
 
 
 def trailing_periods(spark: SparkSession, root: str, run: PeriodLike, k: int) -> list[Period]:
     """The last ``k + 1`` available months up to the run month (gaps skipped)."""
     if k < 0:
         raise ValueError("k cannot be negative")
-    return _last_periods(spark, root, run, k + 1)
+    return available_periods(spark, root, run)[-(k + 1):]
 
 
 def read_trailing(spark: SparkSession, root: str, run: PeriodLike, k: int) -> DataFrame:
@@ -116,11 +131,11 @@ def read_most_recent(spark: SparkSession, root: str) -> DataFrame:
 
     Opt-in only: a job reading this can see data from after its run month.
     """
-    found = _last_periods(spark, root, None, 1)
+    found = listed_periods(spark, root)
     if not found:
-        raise FileNotFoundError(f"table {root} has no rows")
-    log.warning("reading the most recent month %s of %s regardless of the run month", found[0], root)
-    return read_periods(spark, root, found)
+        raise FileNotFoundError(f"table {root} has no months")
+    log.warning("reading the most recent month %s of %s regardless of the run month", found[-1], root)
+    return read_periods(spark, root, found[-1:])
 
 
 def read_external(spark: SparkSession, root: str) -> DataFrame:

@@ -130,3 +130,24 @@ def backfill(
     for other in frames[1:]:
         union = union.unionByName(other)
     return replace_periods(union, root, wanted)
+
+
+def backfill_range(
+    spark: SparkSession,
+    root: str,
+    job: Callable[[list[Period]], DataFrame],
+    periods: Iterable[PeriodLike],
+) -> list[Period]:
+    """Run a range-aware job once for all requested months and write them in one Spark job.
+
+    ``job(periods)`` returns one frame with ``year`` and ``month`` columns for
+    all the months (typically grouping by them), so its inputs are scanned
+    once instead of once per month. Requested months without rows are emptied.
+    """
+    wanted = as_periods(periods)
+    if not wanted:
+        raise ValueError("no months requested")
+    out = job(wanted)
+    if out is None:
+        raise ValueError("the job returned nothing")
+    return replace_periods(out, root, wanted)
