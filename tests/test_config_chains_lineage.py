@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.periods import Period
 from tidemark.operators.lineage import cut_lineage
@@ -93,3 +94,17 @@ def test_cut_lineage(spark, mode):
     assert cut.count() == df.count()
     plan = cut._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" not in plan
+
+
+def test_external_dependency_and_wide_id(spark, stored):
+    from tidemark.plans.chains import external
+
+    ext = external("ext", stored)
+    wide = table("wide", lambda p, e: e.groupBy("cust").count(), [ext.at(0)], id_col="cust")
+    assert frame(spark, wide, (2030, 1)).count() == 12  # all months read, whatever the run month
+    bad = table("bad", lambda p, e: e.select("year"), [ext.at(0)], id_col="cust")
+    with pytest.raises(ValueError):
+        frame(spark, bad, (2030, 1))
+    schema = T.StructType([T.StructField("cust", T.LongType())])
+    with pytest.raises(ValueError):
+        table("both", lambda p: None, schema=schema, id_col="cust")

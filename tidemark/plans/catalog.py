@@ -18,8 +18,8 @@ from tidemark.operators.compare import compare_frames
 from tidemark.operators.filters import allow_list
 from tidemark.operators.lineage import cut_lineage
 from tidemark.operators.schema import conform, id_report, stamp_period
-from tidemark.plans.chains import backfill_table, frame, needed_periods, source, table
-from tidemark.plans.jobs import name_counts
+from tidemark.plans.chains import Table, backfill_table, external, frame, needed_periods, run, source, table
+from tidemark.plans.jobs import NAME_COUNTS_SCHEMA, name_counts
 from tidemark.plans.joins import wide_table
 from tidemark.plans.monthly_orders import orders_table
 from tidemark.session import scratch_path
@@ -285,14 +285,23 @@ def q_checkpointed_count(spark, sf_dir):
 
 # --- more compositions ----------------------------------------------------------
 
+def name_count_tables(sf_dir: str, root: str) -> Table:
+    """The worked job as a chain: an external ``events`` source and a table with a schema."""
+    events = external("events", f"{sf_dir.rstrip('/')}/events.parquet")
+
+    def build(p, ev):
+        month = ev.where(in_period(ev, "ts", p))
+        return name_counts(month.select(F.col("user_id").alias("id"), F.col("event_type").alias("name")),
+                           ALLOWED_EVENT_TYPES)
+
+    return table("name_counts", build, [events.at(0)], root=root, schema=NAME_COUNTS_SCHEMA)
+
+
 def q_allowlist_count_written(spark, sf_dir):
     """The flagship as a monthly job: run for one month, written, read back."""
-    events = read_external(spark, f"{sf_dir.rstrip('/')}/events.parquet")
-    month = events.where(in_period(events, "ts", EVENTS_RUN))
-    names = month.select(F.col("user_id").alias("id"), F.col("event_type").alias("name"))
-    root = scratch_path(spark, "name-counts")
-    replace_period(name_counts(names, ALLOWED_EVENT_TYPES), root, EVENTS_RUN)
-    return read_table(spark, root)
+    job = name_count_tables(sf_dir, scratch_path(spark, "name-counts"))
+    run(spark, job, EVENTS_RUN)
+    return read_table(spark, job.root)
 
 
 def q_backfill_periods_range(spark, sf_dir):

@@ -1,7 +1,8 @@
 """Monthly tables built on monthly tables, each dependency read at its own lag.
 
-A ``Table`` is either a stored source (a root to read) or a build function
-over its dependencies. ``frame(spark, table, period)`` composes the lazy
+A ``Table`` is a stored source (a monthly root, read by month), an external
+source (a root read whole, whatever the month) or a build function over its
+dependencies. ``frame(spark, table, period)`` composes the lazy
 DataFrames of the whole chain for one run month: each dependency is resolved
 at the run month minus its offset, lags add up along a path, and a table
 reached by two paths is read at two months. Catalyst sees one plan, with each
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidemark.functions.periods import Period, PeriodLike, as_periods
-from tidemark.operators.schema import conform
-from tidemark.sources.tables import read_latest_available, read_period, read_trailing
+from tidemark.operators.schema import check_id, conform
+from tidemark.sources.tables import read_external, read_latest_available, read_period, read_trailing
 from tidemark.sources.writes import backfill, replace_period
 
 MODES = ("offset", "latest", "trailing")
@@ -48,6 +49,8 @@ class Table:
     deps: tuple = field(default_factory=tuple)
     root: "str | None" = None
     schema: "T.StructType | None" = None
+    id_col: "str | None" = None
+    external: bool = False
 
     def at(self, offset: int = 0) -> Dependency:
         return Dependency(self, offset)
@@ -62,17 +65,27 @@ class Table:
 
 
 def source(name: str, root: str) -> Table:
+    """A stored monthly table, read one month at a time."""
     return Table(name=name, root=root)
 
 
+def external(name: str, path: str) -> Table:
+    """A table outside the project, read whole for any month."""
+    return Table(name=name, root=path, external=True)
+
+
 def table(name: str, build: Callable[..., DataFrame], deps: Iterable = (), root: "str | None" = None,
-          schema: "T.StructType | None" = None) -> Table:
+          schema: "T.StructType | None" = None, id_col: "str | None" = None) -> Table:
     """A derived table: ``build(period, *inputs)`` with inputs in the order of ``deps``.
 
-    A dependency given as a bare ``Table`` is read at offset 0.
+    A dependency given as a bare ``Table`` is read at offset 0. With
+    ``schema`` the result is conformed to it; with ``id_col`` (a wide table
+    with no fixed schema) the id column is checked instead.
     """
+    if schema is not None and id_col is not None:
+        raise ValueError("a table has either a schema or an id column, not both")
     resolved = tuple(d if isinstance(d, Dependency) else Dependency(d) for d in deps)
-    return Table(name=name, build=build, deps=resolved, root=root, schema=schema)
+    return Table(name=name, build=build, deps=resolved, root=root, schema=schema, id_col=id_col)
 
 
 def _read_dep(spark: SparkSession, dep: Dependency, period: Period, use_stored: frozenset) -> DataFrame:
@@ -80,6 +93,8 @@ def _read_dep(spark: SparkSession, dep: Dependency, period: Period, use_stored:
     t = dep.table
     if dep.mode == "offset":
         return frame(spark, t, at, use_stored=use_stored)
+    if t.external:
+        return read_external(spark, t.root)
     if t.root is None or (t.build is not None and t.name not in use_stored):
         raise ValueError(f"table {t.name} has to be stored to be read by availability")
     if dep.mode == "latest":
@@ -95,6 +110,8 @@ def frame(spark: SparkSession, t: Table, period: PeriodLike, *, use_stored: Iter
     """
     p = Period.of(period)
     stored = frozenset(use_stored)
+    if t.external:
+        return read_external(spark, t.root)
     if t.build is None or t.name in stored:
         if t.root is None:
             raise ValueError(f"table {t.name} has no root to read from")
@@ -103,7 +120,11 @@ def frame(spark: SparkSession, t: Table, period: PeriodLike, *, use_stored: Iter
     out = t.build(p, *inputs)
     if out is None:
         raise ValueError(f"table {t.name} returned nothing for {p}")
-    return conform(out, t.schema) if t.schema is not None else out
+    if t.schema is not None:
+        return conform(out, t.schema)
+    if t.id_col is not None:
+        return check_id(out, t.id_col)
+    return out
 
 
 def run(spark: SparkSession, t: Table, period: PeriodLike, *, use_stored: Iterable[str] = ()) -> Period:
