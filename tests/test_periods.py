@@ -75,3 +75,13 @@ def test_column_functions(spark):
     assert row["key"] == "2020.02"
     assert row["prev"] == dt.date(2020, 2, 29)
     assert row["d_end"] in (dt.date(2020, 3, 31), dt.datetime(2020, 3, 31))
+
+
+def test_period_of_path():
+    from tidemark.functions.periods import period_of_path
+
+    assert period_of_path("s3a://b/t/year=2020/month=1") == Period(2020, 1)
+    assert period_of_path("file:/x/t/year=2020/month=10/part-0.parquet") == Period(2020, 10)
+    assert period_of_path("/t/year=1997/month=12/_SUCCESS").key == "1997.12"
+    with pytest.raises(ValueError):
+        period_of_path("/t/year=2020")

@@ -175,3 +175,14 @@ def test_external_read(spark, table, scratch):
     assert df.select("k", "i").distinct().count() == 3 * len(MONTHS)
     with pytest.raises(FileNotFoundError):
         read_external(spark, scratch("nothing-here"))
+
+
+def test_read_periods_with_an_empty_month(spark, table):
+    from tidemark.sources.tables import read_periods
+
+    replace_period(spark.createDataFrame([], "k long, i long, v string"), table, (2020, 9))
+    df = read_periods(spark, table, [(2020, 8), (2020, 9), (2020, 5)])
+    assert {(r["year"], r["month"]) for r in df.collect()} == {(2020, 8)}
+    only_empty = read_periods(spark, table, [(2020, 9)])
+    assert only_empty.count() == 0
+    assert set(only_empty.columns) == {"k", "i", "v", "year", "month"}

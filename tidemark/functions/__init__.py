@@ -11,6 +11,7 @@ from tidemark.functions.periods import (
     period_columns,
     period_index,
     period_key,
+    period_of_path,
     period_range,
     previous,
     shift_date,
@@ -20,6 +21,6 @@ from tidemark.functions.types import SIMPLE_TYPE_NAMES, cast_columns, spark_type
 
 __all__ = [
     "Period", "as_periods", "current", "last_day_of_month", "month_end", "month_end_date",
-    "month_start", "period_columns", "period_index", "period_key", "period_range", "previous",
+    "month_start", "period_columns", "period_index", "period_key", "period_of_path", "period_range", "previous",
     "shift_date", "shift_months", "SIMPLE_TYPE_NAMES", "cast_columns", "spark_type",
 ]

@@ -81,6 +81,19 @@ class Period:
 PeriodLike = Union[Period, tuple, dt.date, dt.datetime, str]
 
 
+def period_of_path(path: str) -> Period:
+    """The period of a ``.../year=YYYY/month=M[/...]`` path (the last such pair)."""
+    year = month = None
+    for seg in path.rstrip("/").split("/"):
+        if seg.startswith("year="):
+            year, month = seg[5:], None
+        elif seg.startswith("month=") and year is not None:
+            month = seg[6:]
+    if year is None or month is None:
+        raise ValueError(f"not a year=YYYY/month=M path: {path}")
+    return Period(int(year), int(month))
+
+
 def period_range(start: PeriodLike, end: PeriodLike) -> list[Period]:
     """Every calendar month from ``start`` to ``end``, both included."""
     lo, hi = Period.of(start), Period.of(end)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.periods import period_of_path
 from tidemark.sources import fs
 from tidemark.sources.tables import read_table
 
@@ -16,11 +17,8 @@ _MARKER_SCHEMA = T.StructType(
 
 def completed_periods(spark: SparkSession, root: str) -> list[tuple[int, int]]:
     """Months holding a ``_SUCCESS`` marker: one glob on the driver, metadata only."""
-    out = []
-    for path in fs.glob(spark, f"{root.rstrip('/')}/year=*/month=*/_SUCCESS"):
-        year_seg, month_seg = path.rstrip("/").split("/")[-3:-1]
-        out.append((int(year_seg.split("=", 1)[1]), int(month_seg.split("=", 1)[1])))
-    return sorted(set(out))
+    found = {period_of_path(path) for path in fs.glob(spark, f"{root.rstrip('/')}/year=*/month=*/_SUCCESS")}
+    return sorted((p.year, p.month) for p in found)
 
 
 def partition_inventory(spark: SparkSession, root: str) -> DataFrame:

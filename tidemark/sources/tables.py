@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from tidemark.functions.periods import Period, PeriodLike, as_periods, period_index
+from tidemark.functions.periods import Period, PeriodLike, as_periods, period_index, period_of_path
 from tidemark.sources import fs
 
 log = logging.getLogger(__name__)
@@ -67,9 +67,8 @@ def listed_periods(spark: SparkSession, root: str) -> list[Period]:
     """The months that have a directory in the table, in order (metadata only)."""
     out = set()
     for path in fs.glob(spark, f"{root.rstrip('/')}/year=*/month=*"):
-        year_seg, month_seg = path.rstrip("/").split("/")[-2:]
         try:
-            out.add(Period(int(year_seg.split("=", 1)[1]), int(month_seg.split("=", 1)[1])))
+            out.add(period_of_path(path))
         except ValueError:
             log.warning("ignoring %s: not a year=YYYY/month=M directory", path)
     return sorted(out)

@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.periods import Period, PeriodLike, as_periods, period_index
+from tidemark.functions.periods import Period, PeriodLike, as_periods, period_index, period_of_path
 from tidemark.operators.schema import stamp_period
 from tidemark.sources import fs
 from tidemark.sources.tables import month_path
@@ -34,11 +34,7 @@ SUCCESS = "_SUCCESS"
 
 
 def _staged_periods(store: fs.FileStore, staging: str) -> set[Period]:
-    found = set()
-    for path in store.glob(f"{staging}/year=*/month=*"):
-        parts = dict(seg.split("=", 1) for seg in path.rstrip("/").split("/")[-2:])
-        found.add(Period(int(parts["year"]), int(parts["month"])))
-    return found
+    return {period_of_path(path) for path in store.glob(f"{staging}/year=*/month=*")}
 
 
 def replace_periods(df: DataFrame, root: str, periods: "Iterable[PeriodLike] | None" = None) -> list[Period]:
