@@ -186,3 +186,46 @@ def test_read_periods_with_an_empty_month(spark, table):
     only_empty = read_periods(spark, table, [(2020, 9)])
     assert only_empty.count() == 0
     assert set(only_empty.columns) == {"k", "i", "v", "year", "month"}
+
+
+def test_recover_a_write_stopped_mid_swap(spark, table, monkeypatch):
+    import tidemark.sources.writes as writes
+    from tidemark.sources.writes import recover_writes
+
+    calls = {"n": 0}
+    real_parallel = writes.fs.parallel
+
+    def stop_after_first(fn, items):
+        items = list(items)
+        fn(items[0])
+        calls["n"] += 1
+        raise RuntimeError("driver lost")
+
+    new = _rows(spark, [(2020, 8), (2020, 9)], per_month=1)
+    monkeypatch.setattr(writes.fs, "parallel", stop_after_first)
+    with pytest.raises(RuntimeError):
+        replace_periods(new, table, [(2020, 8), (2020, 9), (2020, 10)])
+    monkeypatch.setattr(writes.fs, "parallel", real_parallel)
+    assert calls["n"] == 1
+    # one month swapped, the rest still staged
+    assert len(fs.glob(spark, f"{table}/_staging-*")) == 1
+
+    done = recover_writes(spark, table)
+    assert len(done["completed"]) == 1 and not fs.glob(spark, f"{table}/_staging-*")
+    counts = _month_counts(spark, table)
+    assert counts[(2020, 8)] == 1 and counts[(2020, 9)] == 1
+    assert (2020, 10) not in counts  # requested without rows: emptied
+    assert counts[(2020, 1)] == 3 and counts[(2020, 11)] == 3
+    assert all(fs.exists(spark, f"{table}/year=2020/month={m}/_SUCCESS") for m in (8, 9, 10))
+    # running it again changes nothing
+    assert recover_writes(spark, table) == {"completed": [], "removed": []}
+
+
+def test_recover_removes_only_old_uncommitted_staging(spark, table):
+    from tidemark.sources.writes import recover_writes
+
+    fs.mkdirs(spark, f"{table}/_staging-abandoned/year=2020/month=1")
+    assert recover_writes(spark, table)["removed"] == []  # young: may be a write in progress
+    done = recover_writes(spark, table, abandon_after_seconds=0)
+    assert len(done["removed"]) == 1
+    assert _month_counts(spark, table)[(2020, 1)] == 3

@@ -17,11 +17,18 @@ from tidemark.sources.tables import (
     read_upto,
     trailing_periods,
 )
-from tidemark.sources.writes import backfill, backfill_range, clear_period, replace_period, replace_periods
+from tidemark.sources.writes import (
+    backfill,
+    backfill_range,
+    clear_period,
+    recover_writes,
+    replace_period,
+    replace_periods,
+)
 
 __all__ = [
     "config_frame", "join_config", "completed_periods", "partition_inventory", "available_periods", "listed_periods",
     "month_path", "read_external", "read_latest_available", "read_most_recent", "read_offset",
     "read_period", "read_periods", "read_table", "read_trailing", "read_upto", "trailing_periods",
-    "backfill", "backfill_range", "clear_period", "replace_period", "replace_periods",
+    "backfill", "backfill_range", "clear_period", "recover_writes", "replace_period", "replace_periods",
 ]

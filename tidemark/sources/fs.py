@@ -25,6 +25,7 @@ METADATA_THREADS = 16
 class FileStore:
     def __init__(self, spark: SparkSession, uri: str):
         jvm = spark._jvm
+        self._jvm = jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(uri).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -61,6 +62,23 @@ class FileStore:
     def touch(self, uri: str) -> None:
         self._fs.create(self._Path(uri), True).close()
 
+    def write_text(self, uri: str, text: str) -> None:
+        out = self._fs.create(self._Path(uri), True)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+
+    def read_text(self, uri: str) -> str:
+        stream = self._fs.open(self._Path(uri))
+        try:
+            return str(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def modified_ms(self, uri: str) -> int:
+        return int(self._fs.getFileStatus(self._Path(uri)).getModificationTime())
+
 
 def parallel(fn: Callable[[T], R], items: Iterable[T]) -> list[R]:
     items = list(items)

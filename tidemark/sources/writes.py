@@ -6,7 +6,10 @@ Spark's commit protocol, so a lost executor only re-runs its tasks and a
 failed job leaves the table as it was. After the job returns, each requested
 month is swapped in on the driver: the old month directory is removed, the
 staged one moved in (a rename, metadata only on HDFS) and ``_SUCCESS``
-written into it. A requested month for which the job produced no rows ends up
+written into it. A manifest written into the staging directory before the
+swap names the requested and written months, and every swap step can be
+repeated, so ``recover_writes`` finishes a swap that a lost driver left
+half done. A requested month for which the job produced no rows ends up
 empty but marked complete, so an empty result empties the month.
 
 The write shuffles on ``(year, month)`` through the ``rebalance`` hint: AQE
@@ -16,7 +19,9 @@ packs small months together, so files come out near the advisory size.
 
 from __future__ import annotations
 
+import json
 import logging
+import time
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -31,6 +36,7 @@ from tidemark.sources.tables import month_path
 log = logging.getLogger(__name__)
 
 SUCCESS = "_SUCCESS"
+MANIFEST = "_MANIFEST"
 
 
 def _staged_periods(store: fs.FileStore, staging: str) -> set[Period]:
@@ -69,22 +75,59 @@ def replace_periods(df: DataFrame, root: str, periods: "Iterable[PeriodLike] | N
     written = _staged_periods(store, staging)
     if wanted is None:
         wanted = sorted(written)
+    store.write_text(f"{staging}/{MANIFEST}", json.dumps(
+        {"requested": [p.key for p in wanted], "written": sorted(p.key for p in written)}
+    ))
+    _swap_in(store, root, staging, wanted, written)
+    return wanted
+
+
+def _swap_in(store: fs.FileStore, root: str, staging: str, wanted: list[Period], written: set[Period]) -> None:
+    """Move staged months into the table; every step can be repeated after a crash."""
     for year in sorted({p.year for p in wanted}):
         store.mkdirs(f"{root}/year={year}")
 
     def swap(p: Period) -> None:
         target = month_path(root, p)
-        store.delete(target)
         if p in written:
-            store.rename(month_path(staging, p), target)
+            staged = month_path(staging, p)
+            if store.exists(staged):  # not moved yet
+                store.delete(target)
+                store.rename(staged, target)
         else:
             log.warning("month %s of %s has no rows; leaving it empty", p, root)
+            store.delete(target)
             store.mkdirs(target)
         store.touch(f"{target}/{SUCCESS}")
 
     fs.parallel(swap, wanted)
     store.delete(staging)
-    return wanted
+
+
+def recover_writes(spark: SparkSession, root: str, *, abandon_after_seconds: float = 24 * 3600) -> dict[str, list[str]]:
+    """Finish or remove staging directories left by a driver that stopped mid-write.
+
+    A staging directory with a manifest belongs to a job that committed: its
+    remaining months are swapped in exactly as the write would have. One
+    without a manifest never changed the table; it is removed once it is
+    older than ``abandon_after_seconds`` (a younger one may be a write in
+    progress). Run it while no other writer works on the same table.
+    """
+    root = root.rstrip("/")
+    store = fs.FileStore(spark, root)
+    done: dict[str, list[str]] = {"completed": [], "removed": []}
+    for staging in store.glob(f"{root}/_staging-*"):
+        manifest = f"{staging}/{MANIFEST}"
+        if store.exists(manifest):
+            info = json.loads(store.read_text(manifest))
+            wanted = [Period.of(k) for k in info["requested"]]
+            written = {Period.of(k) for k in info["written"]}
+            _swap_in(store, root, staging, wanted, written)
+            done["completed"].append(staging)
+        elif time.time() * 1000 - store.modified_ms(staging) > abandon_after_seconds * 1000:
+            store.delete(staging)
+            done["removed"].append(staging)
+    return done
 
 
 def replace_period(df: DataFrame, root: str, period: PeriodLike) -> Period:
