@@ -108,3 +108,10 @@ def test_external_dependency_and_wide_id(spark, stored):
     schema = T.StructType([T.StructField("cust", T.LongType())])
     with pytest.raises(ValueError):
         table("both", lambda p: None, schema=schema, id_col="cust")
+
+
+def test_total_offsets_per_table_match_the_fixture():
+    run_month = Period(1998, 2)
+    need = needed_periods(_graph(), run_month)
+    total = {name: {run_month.index - p.index for p in months} for name, months in need.items()}
+    assert total == {"NodeE": {0}, "NodeD": {1}, "NodeC": {1}, "NodeB": {2}, "NodeA": {3, 4}, "DepA": {3, 4}}
