@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from tests.conftest import SF_CHECK, SF_SMALL
+from tests.conftest import SF_CHECK
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
