@@ -257,13 +257,20 @@ def q_period_dates(spark, sf_dir):
 
 
 def q_frame_diff(spark, sf_dir):
+    """``orders`` against a copy with known differences, matched on ``o_orderkey``.
+
+    The copy leaves out pending low-priority orders, moves urgent prices by
+    1% (others by 1e-7, inside the tolerance) and marks open high-priority
+    orders with status ``X``.
+    """
     orders = _table(spark, sf_dir, "orders")
     expected = orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
-    key = F.col("o_orderkey")
-    generated = orders.where(key % 100 != 99).select(
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    generated = orders.where(~((status == "P") & (priority == "5-LOW"))).select(
         "o_orderkey",
-        F.when(key % 7 == 0, F.col("o_totalprice") * 1.01).otherwise(F.col("o_totalprice") * 1.0000001).alias("o_totalprice"),
-        F.when(key % 10 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(priority == "1-URGENT", F.col("o_totalprice") * 1.01)
+        .otherwise(F.col("o_totalprice") * 1.0000001).alias("o_totalprice"),
+        F.when((priority == "2-HIGH") & (status == "O"), F.lit("X")).otherwise(status).alias("o_orderstatus"),
     )
     return compare_frames(expected, generated, keys="o_orderkey")
 
@@ -418,9 +425,10 @@ ORACLE_SQL = {
     "concat(cast(year(o_orderdate) AS string), '.', lpad(cast(month(o_orderdate) AS string), 2, '0')) AS period_key, "
     "cast(cast(o_orderdate AS date) - INTERVAL '1' MONTH AS date) AS prev_month_day FROM orders",
     "frame_diff": "WITH e AS (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders), g AS (SELECT o_orderkey, "
-    "CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * 1.01 ELSE o_totalprice * 1.0000001 END AS o_totalprice, "
-    "CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders "
-    "WHERE o_orderkey % 100 <> 99), j AS (SELECT e.o_orderkey AS ek, g.o_orderkey AS gk, e.o_totalprice AS ep, "
+    "CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice * 1.01 ELSE o_totalprice * 1.0000001 END AS o_totalprice, "
+    "CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'O' THEN 'X' ELSE o_orderstatus END AS o_orderstatus "
+    "FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')), "
+    "j AS (SELECT e.o_orderkey AS ek, g.o_orderkey AS gk, e.o_totalprice AS ep, "
     "g.o_totalprice AS gp, e.o_orderstatus AS es, g.o_orderstatus AS gs FROM e FULL OUTER JOIN g ON e.o_orderkey = g.o_orderkey) "
     "SELECT '<rows>' AS column_name, count(*) AS n_diff FROM j WHERE ek IS NULL OR gk IS NULL UNION ALL "
     "SELECT 'o_totalprice', count(*) FROM j WHERE ek IS NOT NULL AND gk IS NOT NULL AND NOT "
