@@ -229,3 +229,20 @@ def test_recover_removes_only_old_uncommitted_staging(spark, table):
     done = recover_writes(spark, table, abandon_after_seconds=0)
     assert len(done["removed"]) == 1
     assert _month_counts(spark, table)[(2020, 1)] == 3
+
+
+def test_month_directories_two_complete_one_not(spark, scratch):
+    from tidemark.sources.inventory import month_directories
+
+    root = scratch("layout")
+    replace_periods(_rows(spark, [(2020, 8), (2020, 9), (2020, 10)]), root)
+    fs.delete(spark, f"{root}/year=2020/month=10/_SUCCESS")
+    found = month_directories(spark, root)
+    assert [(path.rsplit("/", 2)[-2:], done) for path, done in found] == [
+        (["year=2020", "month=8"], True), (["year=2020", "month=9"], True), (["year=2020", "month=10"], False)
+    ]
+    # clearing the incomplete month leaves the two complete ones
+    for path, done in found:
+        if not done:
+            clear_period(spark, root, Period(2020, 10))
+    assert [done for _, done in month_directories(spark, root)] == [True, True]

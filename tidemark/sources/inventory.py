@@ -50,3 +50,14 @@ def partition_inventory(spark: SparkSession, root: str) -> DataFrame:
             F.max("complete").alias("complete"),
         )
     )
+
+
+def month_directories(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """Each month directory of the table with whether it holds ``_SUCCESS``, in time order.
+
+    Metadata only: two globs on the driver, no Spark job.
+    """
+    root = root.rstrip("/")
+    complete = set(completed_periods(spark, root))
+    months = sorted({period_of_path(p) for p in fs.glob(spark, f"{root}/year=*/month=*")})
+    return [(f"{root}/year={p.year}/month={p.month}", (p.year, p.month) in complete) for p in months]
