@@ -246,3 +246,10 @@ def test_month_directories_two_complete_one_not(spark, scratch):
         if not done:
             clear_period(spark, root, Period(2020, 10))
     assert [done for _, done in month_directories(spark, root)] == [True, True]
+
+
+def test_replace_without_rebalance(spark, table):
+    agg = read_period(spark, table, (2020, 8)).groupBy("k").agg(F.count(F.lit(1)).alias("i")).withColumn("v", F.lit("agg"))
+    plan_rows = agg.select("k", "i", "v")
+    replace_period(plan_rows, table, (2020, 8), rebalance=False)
+    assert [tuple(r) for r in read_period(spark, table, (2020, 8)).collect()] == [(202008, 3, "agg")]

@@ -230,8 +230,8 @@ def q_delete_period(spark, sf_dir):
 def q_rerun_period(spark, sf_dir):
     source_root = orders_table(spark, sf_dir)
     root = scratch_path(spark, "rerun")
-    for _ in range(2):
-        replace_period(_orders_per_customer(read_period(spark, source_root, RUN)), root, RUN)
+    for _ in range(2):  # an aggregate of one month: written as it comes out of its shuffle
+        replace_period(_orders_per_customer(read_period(spark, source_root, RUN)), root, RUN, rebalance=False)
     return read_table(spark, root).select("o_custkey", "n_orders", "year", "month")
 
 
@@ -307,7 +307,7 @@ def name_count_tables(sf_dir: str, root: str) -> Table:
 def q_allowlist_count_written(spark, sf_dir):
     """The flagship as a monthly job: run for one month, written, read back."""
     job = name_count_tables(sf_dir, scratch_path(spark, "name-counts"))
-    run(spark, job, EVENTS_RUN)
+    run(spark, job, EVENTS_RUN, rebalance=False)  # ends in an aggregate: already sized
     return read_table(spark, job.root)
 
 

@@ -127,11 +127,16 @@ def frame(spark: SparkSession, t: Table, period: PeriodLike, *, use_stored: Iter
     return out
 
 
-def run(spark: SparkSession, t: Table, period: PeriodLike, *, use_stored: Iterable[str] = ()) -> Period:
-    """Compute one month of a table and replace that month in its root."""
+def run(spark: SparkSession, t: Table, period: PeriodLike, *, use_stored: Iterable[str] = (),
+        rebalance: bool = True) -> Period:
+    """Compute one month of a table and replace that month in its root.
+
+    ``rebalance=False`` when the table's frame ends in an aggregate (see
+    ``replace_periods``).
+    """
     if t.root is None:
         raise ValueError(f"table {t.name} has no root to write to")
-    return replace_period(frame(spark, t, period, use_stored=use_stored), t.root, period)
+    return replace_period(frame(spark, t, period, use_stored=use_stored), t.root, period, rebalance=rebalance)
 
 
 def backfill_table(spark: SparkSession, t: Table, periods: Iterable[PeriodLike], *,

@@ -43,7 +43,8 @@ def _staged_periods(store: fs.FileStore, staging: str) -> set[Period]:
     return {period_of_path(path) for path in store.glob(f"{staging}/year=*/month=*")}
 
 
-def replace_periods(df: DataFrame, root: str, periods: "Iterable[PeriodLike] | None" = None) -> list[Period]:
+def replace_periods(df: DataFrame, root: str, periods: "Iterable[PeriodLike] | None" = None, *,
+                    rebalance: bool = True) -> list[Period]:
     """Replace months of the table with the frame's rows for them.
 
     ``df`` carries integer ``year`` and ``month`` columns. With ``periods``,
@@ -51,6 +52,10 @@ def replace_periods(df: DataFrame, root: str, periods: "Iterable[PeriodLike] | N
     and a requested month without rows is emptied. Without ``periods``, the
     months that have rows in the frame are replaced. Months that are not
     replaced are untouched. Returns the replaced months.
+
+    ``rebalance=False`` skips the sizing shuffle; use it for one month whose
+    frame already comes out of a shuffle in well-sized partitions (an
+    aggregate under AQE), where each partition then writes one file.
     """
     if "year" not in df.columns or "month" not in df.columns:
         raise ValueError("the frame needs year and month columns; use replace_period for one month")
@@ -66,9 +71,10 @@ def replace_periods(df: DataFrame, root: str, periods: "Iterable[PeriodLike] | N
         data = data.where(period_index().isin([p.index for p in wanted]))
     else:
         data = data.where(F.col("year").isNotNull() & F.col("month").isNotNull())
+    if rebalance:
+        data = data.hint("rebalance", "year", "month")
     (
-        data.hint("rebalance", "year", "month")
-        .write.mode("errorifexists")
+        data.write.mode("errorifexists")
         .partitionBy("year", "month")
         .parquet(staging)
     )
@@ -130,12 +136,12 @@ def recover_writes(spark: SparkSession, root: str, *, abandon_after_seconds: flo
     return done
 
 
-def replace_period(df: DataFrame, root: str, period: PeriodLike) -> Period:
+def replace_period(df: DataFrame, root: str, period: PeriodLike, *, rebalance: bool = True) -> Period:
     """Stamp the frame with the month and replace that month of the table."""
     if df is None:
         raise ValueError("the job returned nothing")
     p = Period.of(period)
-    replace_periods(stamp_period(df, p), root, [p])
+    replace_periods(stamp_period(df, p), root, [p], rebalance=rebalance)
     return p
 
 
