@@ -115,3 +115,17 @@ def test_total_offsets_per_table_match_the_fixture():
     need = needed_periods(_graph(), run_month)
     total = {name: {run_month.index - p.index for p in months} for name, months in need.items()}
     assert total == {"NodeE": {0}, "NodeD": {1}, "NodeC": {1}, "NodeB": {2}, "NodeA": {3, 4}, "DepA": {3, 4}}
+
+
+def test_clear_scratch(spark):
+    import time
+
+    from tidemark.session import clear_scratch, scratch_path
+    from tidemark.sources import fs
+
+    path = scratch_path(spark, "clear-me")
+    fs.mkdirs(spark, path)
+    assert clear_scratch(spark, 3600, prefix="clear-me") == []
+    time.sleep(0.05)
+    assert any(p.endswith(path.rsplit("/", 1)[-1]) for p in clear_scratch(spark, 0, prefix="clear-me"))
+    assert not fs.exists(spark, path)

@@ -52,3 +52,26 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared folder."""
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession, older_than_seconds: float, prefix: str = "") -> list[str]:
+    """Remove this library's scratch tables in the shared folder older than the given age.
+
+    ``prefix`` limits it to scratch names starting with it (``scratch_path``'s ``name``).
+
+    Scratch tables back lazy DataFrames, so only remove ones no running job
+    still reads.
+    """
+    import time
+
+    from tidemark.sources.fs import FileStore
+
+    base = f"{shared_dir(spark)}/tidemark"
+    store = FileStore(spark, base)
+    cutoff_ms = (time.time() - older_than_seconds) * 1000
+    removed = []
+    for path in store.glob(f"{base}/{prefix}*"):
+        if store.modified_ms(path) < cutoff_ms:
+            store.delete(path)
+            removed.append(path)
+    return removed
