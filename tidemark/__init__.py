@@ -6,7 +6,64 @@ the DataFrame API so Catalyst prunes partitions, pushes filters and picks the
 join and aggregate strategies.
 """
 
-from tidemark.functions.periods import Period, current, previous, period_range
-from tidemark.session import build_session, shared_dir
+from tidemark.functions import (
+    Period,
+    cast_columns,
+    current,
+    in_period,
+    last_day_of_month,
+    month_end,
+    period_key,
+    period_range,
+    previous,
+    shift_months,
+    spark_type,
+)
+from tidemark.operators import (
+    allow_list,
+    assert_frames_equal,
+    check_id,
+    compare_frames,
+    conform,
+    cut_lineage,
+    declare_schema,
+    group_count,
+    id_report,
+    stamp_period,
+)
+from tidemark.plans import backfill_table, external, frame, needed_periods, run, source, table, wide_table
+from tidemark.session import build_session, clear_scratch, scratch_path, shared_dir
+from tidemark.sources import (
+    backfill,
+    backfill_range,
+    clear_period,
+    config_frame,
+    join_config,
+    month_directories,
+    partition_inventory,
+    read_external,
+    read_latest_available,
+    read_most_recent,
+    read_offset,
+    read_period,
+    read_periods,
+    read_table,
+    read_trailing,
+    read_upto,
+    recover_writes,
+    replace_period,
+    replace_periods,
+)
 
-__all__ = ["Period", "current", "previous", "period_range", "build_session", "shared_dir"]
+__all__ = [
+    "Period", "cast_columns", "current", "in_period", "last_day_of_month", "month_end", "period_key",
+    "period_range", "previous", "shift_months", "spark_type",
+    "allow_list", "assert_frames_equal", "check_id", "compare_frames", "conform", "cut_lineage",
+    "declare_schema", "group_count", "id_report", "stamp_period",
+    "backfill_table", "external", "frame", "needed_periods", "run", "source", "table", "wide_table",
+    "build_session", "clear_scratch", "scratch_path", "shared_dir",
+    "backfill", "backfill_range", "clear_period", "config_frame", "join_config", "month_directories",
+    "partition_inventory", "read_external", "read_latest_available", "read_most_recent", "read_offset",
+    "read_period", "read_periods", "read_table", "read_trailing", "read_upto", "recover_writes",
+    "replace_period", "replace_periods",
+]
