@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.periods import Period, in_period, month_end, period_key, previous, shift_months
+from tidemark.functions.periods import Period, in_period, month_end, period_columns, period_key, previous, shift_months
 from tidemark.functions.types import cast_columns
 from tidemark.operators.compare import compare_frames
 from tidemark.operators.filters import allow_list
@@ -36,7 +36,7 @@ from tidemark.sources.tables import (
     read_trailing,
     read_upto,
 )
-from tidemark.sources.writes import backfill, backfill_range, clear_period, replace_period
+from tidemark.sources.writes import backfill, backfill_range, clear_period, replace_period, replace_periods
 
 # Fixed values of the queries (run month, allow-list, configuration).
 RUN = Period(1998, 2)
@@ -341,6 +341,19 @@ def q_id_report(spark, sf_dir):
     return id_report(_table(spark, sf_dir, "orders").select("o_custkey"), "o_custkey")
 
 
+def q_supplier_months(spark, sf_dir):
+    """W4 on the largest table: per supplier and ship month, every month in one job."""
+    lineitem = _table(spark, sf_dir, "lineitem").withColumns(period_columns("l_shipdate"))
+    per_month = lineitem.groupBy("l_suppkey", "year", "month").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_distinct("l_orderkey").alias("n_orders"),
+        F.max("l_quantity").alias("max_qty"),
+    )
+    root = scratch_path(spark, "supplier-months")
+    replace_periods(per_month, root)
+    return read_table(spark, root)
+
+
 QUERIES = {
     "allowlist_count": q_allowlist_count,
     "month_read": q_month_read,
@@ -371,6 +384,7 @@ QUERIES = {
     "lagged_chain_stored": q_lagged_chain_stored,
     "month_end_time": q_month_end_time,
     "id_report": q_id_report,
+    "supplier_months": q_supplier_months,
 }
 
 _GAPS = "(SELECT * FROM orders WHERE month(o_orderdate) NOT IN (1, 2))"
@@ -453,6 +467,9 @@ ORACLE_SQL = {
     "coalesce(b.n, 0) AS n_b, coalesce(c.n, 0) AS n_a FROM b FULL OUTER JOIN c ON b.o_custkey = c.o_custkey",
     "month_end_time": "SELECT event_id, ts + to_days(CAST(date_diff('day', CAST(ts AS date), last_day(ts)) AS INTEGER)) "
     "AS month_end_ts FROM events",
+    "supplier_months": "SELECT l_suppkey, count(*) AS n_lines, count(DISTINCT l_orderkey) AS n_orders, "
+    "max(l_quantity) AS max_qty, cast(year(l_shipdate) AS int) AS year, cast(month(l_shipdate) AS int) AS month "
+    "FROM lineitem GROUP BY l_suppkey, 5, 6",
     "id_report": "SELECT count(*) AS n_rows, count(*) - count(o_custkey) AS n_null_ids, (SELECT count(*) FROM "
     "(SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1) d) AS n_duplicated_ids "
     "FROM orders",
