@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.periods import Period, in_period, month_end, period_columns, period_key, previous, shift_months
+from tidemark.functions.periods import Period, in_period, month_end, month_end_date, period_columns, period_key, previous, shift_months
 from tidemark.functions.types import cast_columns
 from tidemark.operators.compare import compare_frames
 from tidemark.operators.filters import allow_list
@@ -250,7 +250,7 @@ def q_period_dates(spark, sf_dir):
     day = F.to_date("o_orderdate")
     return orders.select(
         "o_orderkey",
-        F.last_day(day).alias("month_end"),
+        month_end_date(day).alias("month_end"),
         period_key(F.year("o_orderdate"), F.month("o_orderdate")).alias("period_key"),
         shift_months(day, -1).alias("prev_month_day"),
     )
