@@ -1,0 +1,66 @@
+"""The physical plans the registered queries are meant to have."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as entry_module
+from tests.conftest import SF_CHECK
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def plans(spark):
+    return {name: (fn(spark, SF_CHECK)) for name, fn in entry_module.queries().items()}
+
+
+def test_no_query_pairs_rows(plans):
+    for name, df in plans.items():
+        plan = _plan(df)
+        assert "CartesianProduct" not in plan, name
+        assert "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_flagship_pushes_the_allow_list_and_prunes_columns(plans):
+    plan = _plan(plans["allowlist_count"])
+    assert "PushedFilters: [IsNotNull(event_type), In(event_type" in plan or "In(event_type, [click,purchase,view])" in plan
+    schema = re.search(r"ReadSchema: (struct<[^>]*>)", plan).group(1)
+    assert schema == "struct<user_id:bigint,event_type:string>"
+    assert plan.count("Exchange") == 1  # partial aggregate, one shuffle, final aggregate
+
+
+def test_month_read_scans_one_directory_and_three_columns(plans):
+    df = plans["month_read"]
+    plan = _plan(df)
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in plan
+    assert all("/year=1998/month=2/" in f for f in df.inputFiles())
+
+
+def test_trailing_read_scans_only_four_months(plans):
+    files = plans["trailing_periods"].inputFiles()
+    months = {re.search(r"year=(\d+)/month=(\d+)/", f).groups() for f in files}
+    assert months == {("1997", "9"), ("1997", "10"), ("1997", "11"), ("1997", "12")}
+
+
+def test_range_read_prunes_partitions(plans):
+    assert "PartitionFilters: [isnotnull(year" in _plan(plans["bounded_periods"])
+
+
+def test_config_join_is_broadcast(plans):
+    plan = _plan(plans["config_table_join"])
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_lagged_chain_joins_aggregates_without_another_shuffle(plans):
+    plan = _plan(plans["lagged_chain"])
+    # one shuffle per month's aggregate; the join reuses their partitioning
+    assert plan.count("Exchange hashpartitioning(o_custkey") == 2
+
+
+def test_comparison_is_one_shuffle_on_the_key(plans):
+    plan = _plan(plans["frame_diff"])
+    assert "Join" not in plan
+    assert plan.count("Exchange hashpartitioning(o_orderkey") == 1
