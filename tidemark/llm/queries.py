@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, quality_rules
+from tidemark.llm import line_dedup, near_dedup, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
