@@ -18,15 +18,23 @@ each other, which are left for document dedup.
 Defined cases: blank lines are never dropped or counted; a null text stays
 null; a line repeated within one document counts once; repeated rows overlap
 fully and so count as copies; an empty table gives an empty result.
-Texts are compared whole, at any length. Counting shuffles hashes only.
+Texts are compared whole, at any length. Counting shuffles hashes only: a line's tokens go along as
+16-bit hashes, of which templates are made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import let, stored, table, unused, words_of
+from tidemark.llm.common import stored, table, unused
 
 DEPTH = 3
 #: Documents a template must be in: short lines, and lines of LONG_WORDS words or more.
@@ -36,39 +44,74 @@ LONG_MIN_DOCS = 2
 SIMILAR = 0.6
 SKETCH = 16
 MAX_OVERLAP = 0.6
-_FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\d@:]*+(?::(?!//)[^\x20\x09-\x0D\d@:]*+)*+(?:[\d@]|://)[^\x20\x09-\x0D]*+"
-WILD = "<*>"
+CACHED_WORDS = 200_000
+WILD = b"<*>"
+_FIELD = re.compile(rb"[0-9@]|://")
+
+
+class _WordHashes(dict):
+    """Hash by word; forgets all when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
+        return value
+
+
+_hashes = _WordHashes()
+
 
+def masked(line: bytes) -> list[bytes]:
+    """The tokens of a line, variable fields masked."""
+    tokens = line.split()
+    return [WILD if _FIELD.search(t) else t for t in tokens] if _FIELD.search(line) else tokens
 
-def _masked(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), _FIELD, WILD)
 
+def template_hash(tokens: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(tokens)) >> 1
 
-def _templates(text: Column, tokens: bool = False) -> Column:
-    """One struct per \\n-split line: h (masked line), leaf (null for lines no longer than DEPTH), n (tokens)."""
 
-    def of_line(t: Column) -> Column:
-        leaf = F.when(F.size(t) > DEPTH, F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)))
-        parts = [F.xxhash64(t).alias("h"), leaf.alias("leaf"), F.size(t).alias("n")]
-        return F.struct(*parts, *([t.alias("tokens")] if tokens else []))
+def _lines(text: str) -> tuple[dict[int, tuple], np.ndarray]:
+    """({h: (leaf, n, token hashes)} of a text's distinct lines, the SKETCH smallest hashes of its words)."""
+    lines, words = {}, [np.empty(0, np.int64)]
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+        tokens = masked(line)
+        if not tokens:
+            continue
+        h = template_hash(tokens)
+        if h in lines:
+            continue
+        n = len(tokens)
+        each = np.fromiter(map(_hashes.__getitem__, tokens), np.int64, n)
+        leaf = xxhash.xxh3_64_intdigest(b" ".join(tokens[:DEPTH]), seed=n) >> 1 if n > DEPTH else None
+        lines[h] = (leaf, n, (each & 0xFFFF).astype("<u2").tobytes())
+        words.append(each)
+    distinct = np.unique(np.concatenate(words))
+    return lines, distinct[:SKETCH]
 
-    return F.transform(F.split(_masked(text), "\n"), lambda line: let(words_of(line), of_line))
 
+_LINES = pa.list_(pa.struct([("h", pa.int64()), ("leaf", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())]))
 
-def _sketch(text: Column) -> Column:
-    """The SKETCH smallest distinct hashes over the words of a text."""
-    hashes = F.transform(words_of(text), lambda w: F.xxhash64(w))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+
+def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines, sketches = [], []
+        for text in batch.column("text"):
+            of_text, sketch = _lines(text.as_py())
+            lines.append([{"h": h, "leaf": leaf, "n": n, "tokens": tokens} for h, (leaf, n, tokens) in of_text.items()])
+            sketches.append(sketch)
+        yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(sketches, pa.list_(pa.int64())), pa.array(lines, _LINES)], names=["d", "s", "lines"])
 
 
 def _recurring(lines: DataFrame, sketches: DataFrame, key: str, min_docs: int, long_min_docs: int) -> DataFrame:
     """Keys of templates that recur, from rows (key, n tokens, d), one per document and key."""
     counts = lines.groupBy(key).agg(F.count("*").alias("docs"), F.max("n").alias("tokens"))
     need = F.when(F.col("tokens") >= LONG_WORDS, long_min_docs).otherwise(min_docs)
-    often = counts.where(F.col("docs") >= need).select(key, "docs")
+    often = stored(counts.where(F.col("docs") >= need).select(key, "docs"), f"often-{key}")
     shared = (
-        lines.join(often.select(key), key, "left_semi").select(key, "d")
-        .join(sketches, "d")
+        lines.select(key, "d").join(often.select(key).hint("merge"), key, "left_semi")
+        .join(sketches.hint("merge"), "d")
         .select(key, F.explode("s").alias("e"))
         .groupBy(key, "e").agg(F.count("*").alias("c"))
         .groupBy(key).agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"), F.sum("c").alias("held"))
@@ -78,53 +121,64 @@ def _recurring(lines: DataFrame, sketches: DataFrame, key: str, min_docs: int, l
 
 
 def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_min_docs: int = LONG_MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(rows d, h, leaf, n of the distinct lines of each text d; hashes h of the lines to drop)."""
-    each = F.explode(F.array_distinct(F.filter(_templates(F.col(text)), lambda x: x["n"] > 0)))
-    slim = stored(
-        docs.where(F.col(text).isNotNull())
-        .select(F.xxhash64(text).alias("d"), each.alias("x"))
-        .select("d", "x.*"),
-        "lines",
-    )
-    texts = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("d"), _sketch(F.col(text)).alias("s"))
+    """(rows d, h, leaf, n, tokens of the distinct lines of each text d; hashes h of the lines to drop)."""
+    lines_type = "array<struct<h: long, leaf: long, n: int, tokens: binary>>"
+    given = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("d"), F.col(text).alias("text"))
+    texts = stored(given.mapInArrow(_line_batches, f"d long, s array<long>, lines {lines_type}"), "lines")
+    lines = texts.select("d", F.explode("lines").alias("x")).select("d", "x.*")
+    # Rows with one text have one sketch; each still counts as a document, so that copies show as overlap.
     sketches = stored(texts.groupBy("d").agg(F.first("s").alias("s")), "line-sketches")
-    exact = stored(_recurring(slim, sketches, "h", min_docs, long_min_docs), "recurring-exact")
+    exact = stored(_recurring(lines, sketches, "h", min_docs, long_min_docs), "recurring-exact")
 
     # Leaves that hold different lines in enough documents: their lines are generalised.
     leaves = (
-        slim.where(F.col("leaf").isNotNull())
+        lines.where(F.col("leaf").isNotNull())
         .groupBy("leaf")
         .agg(F.count("*").alias("docs"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("n").alias("n"))
         .where((F.col("lo") != F.col("hi")) & (F.col("docs") >= F.when(F.col("n") >= LONG_WORDS, long_min_docs).otherwise(min_docs)))
         .select("leaf")
     )
-    weights = slim.join(leaves, "leaf", "left_semi").groupBy("leaf", "h").agg(F.count("*").alias("w"))
-    weights = stored(weights, "leaf-lines")
-    members = (
-        docs.select(F.explode(F.array_distinct(F.filter(_templates(F.col(text), tokens=True), lambda x: x["n"] > DEPTH))).alias("x"))
-        .select("x.leaf", "x.h", "x.tokens")
-        .join(weights.select("leaf").distinct(), "leaf", "left_semi")
-        .groupBy("leaf", "h").agg(F.first("tokens").alias("tokens"))
-    )
-    members = stored(members.join(weights, ["leaf", "h"]), "leaf-members")
+    open_lines = stored(lines.join(stored(leaves, "leaves").hint("merge"), "leaf", "left_semi"), "leaf-lines")
+    members = stored(open_lines.groupBy("leaf", "h").agg(F.count("*").alias("w"), F.first("tokens").alias("tokens")), "leaf-members")
     total = members.groupBy("leaf").agg(F.sum("w").alias("total"))
+    tokens = F.transform(F.sequence(F.lit(1), F.length("tokens"), F.lit(2)), lambda i: F.substring("tokens", i, F.lit(2)))
     at = (
-        members.select("leaf", "w", F.posexplode("tokens").alias("at", "token"))
+        members.select("leaf", "w", F.posexplode(tokens).alias("at", "token"))
         .groupBy("leaf", "at", "token").agg(F.sum("w").alias("c"))
         .groupBy("leaf", "at").agg(F.max(F.struct("c", "token")).alias("best"))
     )
+    wild = F.lit(int(_hashes[WILD] & 0xFFFF).to_bytes(2, "little"))
     general = (
         at.join(total, "leaf")
-        .select("leaf", "at", F.when((F.col("best.c") * 2 >= F.col("total")) & (F.col("best.token") != WILD), F.col("best.token")).alias("token"))
+        .select("leaf", "at", F.when((F.col("best.c") * 2 >= F.col("total")) & (F.col("best.token") != wild), F.col("best.token")).alias("token"))
         .groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("template"))
         .select("leaf", F.transform("template", lambda x: x["token"]).alias("template"))
     )
-    equal = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a.eqNullSafe(b) & b.isNotNull()), lambda x: x))
-    matched = members.join(general, "leaf").where(equal >= F.size("tokens") * F.lit(SIMILAR)).select("leaf", "h")
+    equal = F.size(F.filter(F.zip_with(tokens, "template", lambda a, b: a.eqNullSafe(b) & b.isNotNull()), lambda x: x))
+    matched = members.join(general, "leaf").where(equal >= F.length("tokens") / 2 * SIMILAR).select("leaf", "h")
     matched = stored(matched, "leaf-matched")
-    of_template = slim.join(matched, ["leaf", "h"], "left_semi").groupBy("leaf", "d").agg(F.max("n").alias("n"))
-    generalised = matched.join(_recurring(of_template, sketches, "leaf", min_docs, long_min_docs), "leaf", "left_semi").select("h")
-    return slim, stored(exact.union(generalised).distinct(), "recurring")
+    of_template = open_lines.join(matched, ["leaf", "h"], "left_semi").groupBy("leaf", "d").agg(F.max("n").alias("n"))
+    generalised = matched.join(_recurring(stored(of_template, "leaf-docs"), sketches, "leaf", min_docs, long_min_docs), "leaf", "left_semi").select("h")
+    return lines, stored(exact.union(generalised).distinct(), "recurring")
+
+
+def _without(text: str, drop: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            out, n_lines, n_dropped = [], [], []
+            for value, gone in zip(batch.column(text), batch.column(drop)):
+                value, gone = value.as_py(), set(gone.as_py() or ())
+                lines = value.split("\n") if value is not None else []
+                kept = lines
+                if gone:
+                    kept = [x for x in lines if not (t := masked(x.encode("utf-8", "surrogatepass"))) or template_hash(t) not in gone]
+                out.append(None if value is None else "\n".join(kept) if gone else value)
+                n_lines.append(len(lines)), n_dropped.append(len(lines) - len(kept))
+            names = [c for c in batch.schema.names if c != drop]
+            columns = [pa.array(out, pa.string()) if c == text else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "lines", "dropped"])
+
+    return batches
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, long_min_docs: int = LONG_MIN_DOCS) -> DataFrame:
@@ -133,27 +187,14 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MI
     The line feeds of dropped lines go with them. Added columns take an
     underscore in front if ``docs`` has their name.
     """
-    slim, recurring = recurring_lines(docs, text, min_docs, long_min_docs)
+    lines, recurring = recurring_lines(docs, text, min_docs, long_min_docs)
     n_lines = unused(docs.columns, "n_lines")
     n_dropped = unused([*docs.columns, n_lines], "n_dropped")
     d, drop = unused([*docs.columns, n_lines, n_dropped], "_d"), unused([*docs.columns, n_lines, n_dropped], "_drop")
-    drops = slim.join(recurring, "h", "left_semi").groupBy(F.col("d").alias(d)).agg(F.collect_set("h").alias(drop))
-    lines = F.split(F.col(text), "\n")
-
-    def kept(hashes: Column) -> Column:
-        return F.filter(lines, lambda line, i: ~F.array_contains(F.col(drop), F.get(hashes, i)))
-
-    whole = docs.withColumn(d, F.xxhash64(text)).join(drops, d, "left")
-    hashes = F.transform(_templates(F.col(text)), lambda x: x["h"])
-    left = F.when(F.col(drop).isNull(), F.struct(F.col(text).alias("t"), F.lit(0).alias("gone"))).otherwise(
-        let(let(hashes, kept), lambda k: F.struct(F.array_join(k, "\n").alias("t"), (F.size(lines) - F.size(k)).alias("gone")))
-    )
-    out = whole.withColumn(drop, left)
-    return out.select(
-        *[F.col(drop)["t"].alias(c) if c == text else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines),
-        F.col(drop)["gone"].cast("long").alias(n_dropped),
-    )
+    drops = lines.select("d", "h").join(recurring.hint("merge"), "h", "left_semi").groupBy(F.col("d").alias(d)).agg(F.collect_set("h").alias(drop))
+    whole = docs.withColumn(d, F.xxhash64(text)).join(stored(drops, "drops").hint("merge"), d, "left").drop(d)
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
+    return whole.mapInArrow(_without(text, drop), schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
