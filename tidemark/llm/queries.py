@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, near_dedup, quality_rules
+from tidemark.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op5_mixing": mixing.op5_mixing,
+    "op8_packing": packing.op8_packing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op5_mixing": mixing.ORACLE_SQL,
 }
