@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,42 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
+CELL = ["bucket", "cell_i", "cell_j"]
+
+
+def by_cell(rows: DataFrame) -> DataFrame:
+    """The rows of each cell in one task, one after the other."""
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL)
+
+
+def each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one cell after the other, from what ``by_cell`` put in order; only one cell is held."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in CELL], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts[:-1], cuts[1:]):
+            key = tuple(keys[begin].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def numbers(table: pa.Table, column: str) -> np.ndarray:
+    """A column of numbers, or of lists of equal length as rows of a matrix."""
+    array = table.column(column).combine_chunks()
+    if pa.types.is_list(array.type):
+        return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), -1)
+    return array.to_numpy(zero_copy_only=False)
+
+
 def cells(rows: DataFrame, bucket: str, id: str, weight: Column, most: int) -> DataFrame:
     """``rows`` copied to the cells of their bucket, with columns cell_i, cell_j and side.
 

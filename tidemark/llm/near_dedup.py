@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
-from tidemark.llm.graph import cells, components
+from tidemark.llm.graph import by_cell, cells, components, each_cell, numbers
 
 SHINGLE = 5
 PERCENT = 85
@@ -141,52 +141,49 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     last, of_last = None, None
     for batch in batches:
         a, b = [], []
-        for i, j, x, y in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b"))):
-            if (i := i.as_py()) != last:
-                last, of_last = i, shingles(x.as_py())
+        for i, t, j, x, y in zip(*(batch.column(c) for c in ("a", "t_a", "b", "text_a", "text_b"))):
+            i = i.as_py()
+            if (i, t.as_py()) != last:
+                last, of_last = (i, t.as_py()), shingles(x.as_py())
             s = shingles(y.as_py())
             if _linked(len(of_last), len(s), len(np.intersect1d(of_last, s, assume_unique=True))):
                 a.append(i), b.append(j.as_py())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _cell_links(members: list[dict], i: int, j: int, band: int) -> list[tuple[int, int]]:
+def _cell_links(members: pa.Table) -> list[tuple[int, int]]:
     """Links between components among one cell's members; pairs that share an earlier band are that band's."""
-    label = np.unique([m["label"] for m in members], return_inverse=True)[1]
-    bands = np.array([m["bands"] for m in members])
-    odd = np.array([m["odd"] for m in members]).view(np.uint64)
-    side = np.array([m["side"] for m in members])
-    n = np.array([m["n"] for m in members])
-    sets = [None] * len(members)
+    id, n, side, bands, odd = (numbers(members, c) for c in ("id", "n", "side", "bands", "odd"))
+    odd, label = odd.view(np.uint64), np.unique(numbers(members, "label"), return_inverse=True)[1]
+    texts, band, crossing = members.column("text"), members.column("band")[0].as_py(), members.column("cell_i")[0] != members.column("cell_j")[0]
+    sets: dict[int, np.ndarray] = {}
     links = []
 
     def of(x: int) -> np.ndarray:
-        if sets[x] is None:
-            sets[x] = shingles(members[x]["text"])
+        if x not in sets:
+            sets[x] = shingles(texts[x].as_py())
         return sets[x]
 
-    for x in range(len(members) - 1):
-        rest = np.arange(x + 1, len(members))
+    for x in range(len(id) - 1):
+        rest = np.arange(x + 1, len(id))
         fits = (label[rest] != label[x]) & (100 * np.minimum(n[rest], n[x]) >= PERCENT * np.maximum(n[rest], n[x]))
-        if i != j:
+        if crossing:
             fits &= side[rest] != side[x]
         rest = rest[fits]
         rest = rest[np.bitwise_count(odd[rest] ^ odd[x]).sum(axis=1) <= MAX_BITS]
         rest = rest[(bands[rest, :band] != bands[x, :band]).all(axis=1)]
-        for y in rest:
-            if label[y] != label[x] and _linked(n[x], n[y], len(np.intersect1d(of(x), of(y), assume_unique=True))):
-                links.append((members[x]["id"], members[y]["id"]))
+        for y in rest.tolist():
+            if label[y] != label[x] and _linked(int(n[x]), int(n[y]), len(np.intersect1d(of(x), of(y), assume_unique=True))):
+                links.append((int(id[x]), int(id[y])))
                 label[label == label[y]] = label[x]
     return links
 
 
 def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = [], []
-        for i, j, band, members in zip(*(batch.column(c) for c in ("cell_i", "cell_j", "band", "members"))):
-            for x, y in _cell_links(members.as_py(), i.as_py(), j.as_py(), band.as_py()):
-                a.append(x), b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    for members in each_cell(batches):
+        links = _cell_links(members)
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
 
 def _alike(odd_a: str, odd_b: str, n_a: str, n_b: str) -> Column:
@@ -207,32 +204,30 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         "classes",
     )
 
-    in_bands = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
-    buckets = stored(in_bands.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("c")).where("c > 1"), "buckets")
+    in_bands = classes.select("id", "t", F.posexplode("bands").alias("band", "bucket"))
+    buckets = stored(in_bands.groupBy("bucket").agg(F.min(F.struct("id", "t")).alias("center"), F.count("*").alias("c")).where("c > 1"), "buckets")
     hits = stored(in_bands.join(buckets, "bucket"), "hits")
     texts = stored(
-        whole.join(classes.select("id", "t").join(hits.select("id").distinct(), "id", "left_semi"), ["id", "t"], "left_semi").select("id", "text").dropDuplicates(["id"]),
+        whole.join(hits.select("id", "t").distinct(), ["id", "t"], "left_semi").select("id", "t", "text").dropDuplicates(["id", "t"]),
         "candidate-texts",
     )
 
-    pairs = hits.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    side = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}"))
-    likely = stored(stored(pairs, "pairs").join(side("b"), "b").join(side("a"), "a").where(_alike("odd_a", "odd_b", "n_a", "n_b")).select("a", "b"), "likely")
-    of = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
-    both = likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
+    others = hits.where(F.struct("id", "t") != F.col("center"))
+    pairs = others.select(F.col("center.id").alias("a"), F.col("center.t").alias("t_a"), F.col("id").alias("b"), F.col("t").alias("t_b")).distinct()
+    side = lambda k, df, *more: df.select(F.col("id").alias(k), F.col("t").alias(f"t_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more))
+    sifted = stored(pairs, "pairs").join(side("b", classes, "n", "odd"), ["b", "t_b"]).join(side("a", classes, "n", "odd"), ["a", "t_a"])
+    likely = stored(sifted.where(_alike("odd_a", "odd_b", "n_a", "n_b")).select(*pairs.columns), "likely")
+    both = likely.join(side("b", texts, "text"), ["b", "t_b"]).join(side("a", texts, "text"), ["a", "t_a"]).select(*pairs.columns, "text_a", "text_b")
     near = stored(both.mapInArrow(_confirm_batches, "a long, b long"), "near")
     found = stored(components(near), "components")
 
     # What the comparison with each bucket's smallest member leaves open.
-    members = hits.where("id != center and c > 2").join(found, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    members = stored(members.select("bucket", "band", "id", "label"), "open-members")
+    members = others.where("c > 2").join(found, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    members = stored(members.select("bucket", "band", "id", "t", "label"), "open-members")
     undecided = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    rest = members.join(stored(undecided, "open-buckets"), "bucket", "left_semi").join(classes.select("id", "n", "bands", "odd"), "id")
-    dealt = cells(stored(rest, "open"), "bucket", "id", F.col("n"), CELL_SHINGLES).join(texts, "id")
-    packed = dealt.groupBy("bucket", "band", "cell_i", "cell_j").agg(
-        F.collect_list(F.struct("id", "label", "n", "side", "bands", "odd", "text")).alias("members")
-    )
-    more = stored(packed.mapInArrow(_cell_batches, "a long, b long"), "more-near")
+    rest = members.join(stored(undecided, "open-buckets"), "bucket", "left_semi").join(classes.select("id", "t", "n", "bands", "odd"), ["id", "t"])
+    dealt = cells(stored(rest, "open"), "bucket", "id", F.col("n"), CELL_SHINGLES).join(texts, ["id", "t"])
+    more = stored(by_cell(dealt).mapInArrow(_cell_batches, "a long, b long"), "more-near")
     if not more.isEmpty():
         found = components(near.union(more))
 
