@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, mixing, near_dedup, packing, quality_rules
+from tidemark.llm import embedding_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts, wavelet
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op6_token_shards": wavelet.op6_token_shards,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_packing": packing.op8_packing,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 

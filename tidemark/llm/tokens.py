@@ -90,6 +90,13 @@ class Encoder:
         parts[0] = "\0" + parts[0]
         return parts
 
+    def counts(self, stretches: list[str]) -> list[int]:
+        """Number of tokens of each string that holds no special token's string."""
+        joined = [self.mark.join(stretches[i : i + _JOIN]) + self.mark for i in range(0, len(stretches), _JOIN)]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ends = np.flatnonzero(np.concatenate([np.empty(0, np.uint32), *ids]) == self.mark_id)
+        return (np.diff(ends, prepend=-1) - 1).tolist()
+
     def _learn(self) -> None:
         new, self.known.pending = self.known.pending, []
         if not new:
