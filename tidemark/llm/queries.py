@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import embedding_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts, wavelet
+from tidemark.llm import embedding_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts, warc, wavelet
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op4_warc": warc.op4_warc,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_shards": wavelet.op6_token_shards,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_warc": warc.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
 }
