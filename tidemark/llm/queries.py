@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import embedding_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts, warc, wavelet
+from tidemark.llm import chat_tree, embedding_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts, warc, wavelet
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op3_chat_tree": chat_tree.op3_chat_tree,
     "op4_warc": warc.op4_warc,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_shards": wavelet.op6_token_shards,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op3_chat_tree": chat_tree.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
 }
