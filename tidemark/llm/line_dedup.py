@@ -10,7 +10,7 @@ templates of that leaf. Tokens with a digit, an @ or a :// are variable fields
   if it has the template's token at SIMILAR of its positions or more.
 
 A template recurs when enough documents hold it that are not copies of each
-other. Each document has the SKETCH smallest hashes of its words; the mean
+other. Each document has the SKETCH smallest hashes of its word pairs; the mean
 overlap of two of the template's documents follows from how many documents hold
 each hash, without listing pairs. Above MAX_OVERLAP the documents are copies of
 each other, which are left for document dedup.
@@ -43,7 +43,7 @@ LONG_WORDS = 30
 LONG_MIN_DOCS = 2
 SIMILAR = 0.6
 SKETCH = 16
-MAX_OVERLAP = 0.6
+MAX_OVERLAP = 0.5
 CACHED_WORDS = 200_000
 WILD = b"<*>"
 _FIELD = re.compile(rb"[0-9@]|://")
@@ -60,6 +60,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def masked(line: bytes) -> list[bytes]:
@@ -73,7 +74,7 @@ def template_hash(tokens: list[bytes]) -> int:
 
 
 def _lines(text: str) -> tuple[dict[int, tuple], np.ndarray]:
-    """({h: (leaf, n, token hashes)} of a text's distinct lines, the SKETCH smallest hashes of its words)."""
+    """({h: (leaf, n, token hashes)} of a text's distinct lines, the SKETCH smallest hashes of its word pairs)."""
     lines, words = {}, [np.empty(0, np.int64)]
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
         tokens = masked(line)
@@ -87,8 +88,10 @@ def _lines(text: str) -> tuple[dict[int, tuple], np.ndarray]:
         leaf = xxhash.xxh3_64_intdigest(b" ".join(tokens[:DEPTH]), seed=n) >> 1 if n > DEPTH else None
         lines[h] = (leaf, n, (each & 0xFFFF).astype("<u2").tobytes())
         words.append(each)
-    distinct = np.unique(np.concatenate(words))
-    return lines, distinct[:SKETCH]
+    each = np.concatenate(words).view(np.uint64)
+    pairs = each[:-1] * _PAIR + each[1:] if len(each) > 1 else each
+    pairs = (pairs ^ (pairs >> np.uint64(29))) * _PAIR >> np.uint64(1)
+    return lines, np.unique(pairs.view(np.int64))[:SKETCH]
 
 
 _LINES = pa.list_(pa.struct([("h", pa.int64()), ("leaf", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())]))
