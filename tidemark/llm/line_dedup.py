@@ -44,29 +44,18 @@ LONG_MIN_DOCS = 2
 SIMILAR = 0.6
 SKETCH = 16
 MAX_OVERLAP = 0.5
-CACHED_WORDS = 200_000
 WILD = b"<*>"
 _FIELD = re.compile(rb"[0-9@]|://")
+_MAYBE_FIELD = re.compile(rb"[0-9@:]")
 
 
-class _WordHashes(dict):
-    """Hash by word; forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
-        return value
-
-
-_hashes = _WordHashes()
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def masked(line: bytes) -> list[bytes]:
     """The tokens of a line, variable fields masked."""
     tokens = line.split()
-    return [WILD if _FIELD.search(t) else t for t in tokens] if _FIELD.search(line) else tokens
+    return [WILD if _FIELD.search(t) else t for t in tokens] if _MAYBE_FIELD.search(line) else tokens
 
 
 def template_hash(tokens: list[bytes]) -> int:
@@ -75,7 +64,7 @@ def template_hash(tokens: list[bytes]) -> int:
 
 def _lines(text: str) -> tuple[dict[int, tuple], np.ndarray]:
     """({h: (leaf, n, token hashes)} of a text's distinct lines, the SKETCH smallest hashes of its word pairs)."""
-    lines, words = {}, [np.empty(0, np.int64)]
+    lines, words = {}, [np.empty(0, np.uint64)]
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
         tokens = masked(line)
         if not tokens:
@@ -84,14 +73,16 @@ def _lines(text: str) -> tuple[dict[int, tuple], np.ndarray]:
         if h in lines:
             continue
         n = len(tokens)
-        each = np.fromiter(map(_hashes.__getitem__, tokens), np.int64, n)
+        each = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, n)
         leaf = xxhash.xxh3_64_intdigest(b" ".join(tokens[:DEPTH]), seed=n) >> 1 if n > DEPTH else None
-        lines[h] = (leaf, n, (each & 0xFFFF).astype("<u2").tobytes())
+        lines[h] = (leaf, n, each.astype("<u2").tobytes())
         words.append(each)
-    each = np.concatenate(words).view(np.uint64)
+    each = np.concatenate(words)
     pairs = each[:-1] * _PAIR + each[1:] if len(each) > 1 else each
     pairs = (pairs ^ (pairs >> np.uint64(29))) * _PAIR >> np.uint64(1)
-    return lines, np.unique(pairs.view(np.int64))[:SKETCH]
+    pairs = pairs.view(np.int64)
+    few = np.unique(np.partition(pairs, 4 * SKETCH)[: 4 * SKETCH] if len(pairs) > 4 * SKETCH else pairs)
+    return lines, (few if len(few) >= SKETCH else np.unique(pairs))[:SKETCH]
 
 
 _LINES = pa.list_(pa.struct([("h", pa.int64()), ("leaf", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())]))
@@ -150,7 +141,7 @@ def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_m
         .groupBy("leaf", "at", "token").agg(F.sum("w").alias("c"))
         .groupBy("leaf", "at").agg(F.max(F.struct("c", "token")).alias("best"))
     )
-    wild = F.lit(int(_hashes[WILD] & 0xFFFF).to_bytes(2, "little"))
+    wild = F.lit((xxhash.xxh3_64_intdigest(WILD) & 0xFFFF).to_bytes(2, "little"))
     general = (
         at.join(total, "leaf")
         .select("leaf", "at", F.when((F.col("best.c") * 2 >= F.col("total")) & (F.col("best.token") != wild), F.col("best.token")).alias("token"))

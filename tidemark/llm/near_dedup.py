@@ -48,20 +48,8 @@ BANDS, ROWS, K, BITS = 24, 6, 192, 256
 MAX_BITS = 80
 #: Shingles in one part of a split bucket.
 CELL_SHINGLES = 200_000
-CACHED_WORDS = 200_000
 
 
-class _WordHashes(dict):
-    """Hash by word; forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -77,7 +65,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(SHINGLE, len(w))
     n = len(w) - size + 1
     h = np.full(n, size, np.uint64)
