@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.periods import Period
 from tidemark.sources import fs
@@ -13,12 +14,13 @@ from tidemark.sources.tables import (
     read_most_recent,
     read_offset,
     read_period,
+    read_periods,
     read_table,
     read_trailing,
     read_upto,
     trailing_periods,
 )
-from tidemark.sources.writes import backfill, clear_period, replace_period, replace_periods
+from tidemark.sources.writes import backfill, clear_period, clear_staging, replace_period, replace_periods
 
 MONTHS = [(2020, 1), (2020, 8), (2020, 9), (2020, 10), (2020, 11), (2020, 12)]
 
@@ -94,7 +96,7 @@ def test_empty_result_empties_the_month(spark, table):
     empty = spark.createDataFrame([], "k long, i long, v string")
     replace_period(empty, table, (2020, 9))
     assert read_period(spark, table, (2020, 9)).count() == 0
-    inv = {(r["year"], r["month"]): r for r in partition_inventory(spark, table).collect()}
+    inv = {(r["year"], r["month"]): r for r in partition_inventory(spark, table, rows=True).collect()}
     assert inv[(2020, 9)]["n_rows"] == 0 and inv[(2020, 9)]["complete"]
     assert inv[(2020, 8)]["n_rows"] == 3
 
@@ -115,12 +117,12 @@ def test_read_and_replace_the_same_month(spark, table):
 
 def test_inventory_flags(spark, table):
     fs.delete(spark, f"{table}/year=2020/month=10/_SUCCESS")
-    inv = {(r["year"], r["month"]): r for r in partition_inventory(spark, table).collect()}
+    inv = {(r["year"], r["month"]): r for r in partition_inventory(spark, table, rows=True).collect()}
     assert set(inv) == set(MONTHS)
     assert not inv[(2020, 10)]["complete"]
     assert all(inv[p]["complete"] for p in MONTHS if p != (2020, 10))
     assert all(inv[p]["n_rows"] == 3 and inv[p]["n_files"] >= 1 for p in MONTHS)
-    assert (2020, 10) not in completed_periods(spark, table)
+    assert Period(2020, 10) not in completed_periods(spark, table)
 
 
 def test_backfill_marks_every_requested_month(spark, scratch, table):
@@ -132,15 +134,15 @@ def test_backfill_marks_every_requested_month(spark, scratch, table):
 
     done = backfill(spark, root, job, [(2020, 8), (2020, 9), (2020, 10)])
     assert done == [Period(2020, 8), Period(2020, 9), Period(2020, 10)]
-    inv = {(r["year"], r["month"]): r for r in partition_inventory(spark, root).collect()}
+    inv = {(r["year"], r["month"]): r for r in partition_inventory(spark, root, rows=True).collect()}
     assert inv[(2020, 8)]["n_rows"] == 1 and inv[(2020, 9)]["n_rows"] == 1
     assert inv[(2020, 10)]["n_rows"] == 0
     assert all(r["complete"] for r in inv.values())
 
 
-def test_replace_periods_only_writes_requested_months(spark, scratch):
+def test_replace_periods_empties_requested_months_without_rows(spark, scratch):
     root = scratch("subset")
-    replace_periods(_rows(spark, MONTHS), root, [(2020, 8), (2020, 2)])
+    replace_periods(_rows(spark, [(2020, 8)]), root, [(2020, 8), (2020, 2)])
     counts = _month_counts(spark, root)
     assert counts == {(2020, 8): 3}
     assert fs.exists(spark, month_path(root, (2020, 2)) + "/_SUCCESS")
@@ -178,8 +180,6 @@ def test_external_read(spark, table, scratch):
 
 
 def test_read_periods_with_an_empty_month(spark, table):
-    from tidemark.sources.tables import read_periods
-
     replace_period(spark.createDataFrame([], "k long, i long, v string"), table, (2020, 9))
     df = read_periods(spark, table, [(2020, 8), (2020, 9), (2020, 5)])
     assert {(r["year"], r["month"]) for r in df.collect()} == {(2020, 8)}
@@ -188,47 +188,99 @@ def test_read_periods_with_an_empty_month(spark, table):
     assert set(only_empty.columns) == {"k", "i", "v", "year", "month"}
 
 
-def test_recover_a_write_stopped_mid_swap(spark, table, monkeypatch):
+def test_a_rerun_after_a_lost_driver_replaces_every_month(spark, table, monkeypatch):
     import tidemark.sources.writes as writes
-    from tidemark.sources.writes import recover_writes
 
-    calls = {"n": 0}
     real_parallel = writes.fs.parallel
 
     def stop_after_first(fn, items):
-        items = list(items)
-        fn(items[0])
-        calls["n"] += 1
+        fn(list(items)[0])
         raise RuntimeError("driver lost")
 
-    new = _rows(spark, [(2020, 8), (2020, 9)], per_month=1)
+    old = _rows(spark, [(2020, 8), (2020, 9)], per_month=1)
     monkeypatch.setattr(writes.fs, "parallel", stop_after_first)
     with pytest.raises(RuntimeError):
-        replace_periods(new, table, [(2020, 8), (2020, 9), (2020, 10)])
+        replace_periods(old, table, [(2020, 8), (2020, 9), (2020, 10)])
     monkeypatch.setattr(writes.fs, "parallel", real_parallel)
-    assert calls["n"] == 1
-    # one month swapped, the rest still staged
-    assert len(fs.glob(spark, f"{table}/_staging-*")) == 1
-
-    done = recover_writes(spark, table)
-    assert len(done["completed"]) == 1 and not fs.glob(spark, f"{table}/_staging-*")
+    # the run is repeated with newer rows; a month the lost run had emptied gets rows
+    replace_periods(_rows(spark, [(2020, 8), (2020, 9), (2020, 10)], per_month=2), table)
+    assert len(clear_staging(spark, table)) == 1
     counts = _month_counts(spark, table)
-    assert counts[(2020, 8)] == 1 and counts[(2020, 9)] == 1
-    assert (2020, 10) not in counts  # requested without rows: emptied
-    assert counts[(2020, 1)] == 3 and counts[(2020, 11)] == 3
+    assert counts == {(2020, 1): 3, (2020, 8): 2, (2020, 9): 2, (2020, 10): 2, (2020, 11): 3, (2020, 12): 3}
     assert all(fs.exists(spark, f"{table}/year=2020/month={m}/_SUCCESS") for m in (8, 9, 10))
-    # running it again changes nothing
-    assert recover_writes(spark, table) == {"completed": [], "removed": []}
+    assert not fs.glob(spark, f"{table}/_staging-*")
+
+
+@pytest.mark.parametrize("bad", [(None, 8), (2020, None), (None, None)])
+def test_rows_without_a_month_fail_the_write(spark, table, bad):
+    df = _rows(spark, [(2020, 8)]).unionByName(spark.createDataFrame([(1, 1, "x", *bad)], "k long, i long, v string, year int, month int"))
+    for periods in (None, [(2020, 8)]):
+        with pytest.raises(Exception, match="no year or month|not requested"):
+            replace_periods(df.withColumn("v", F.lit("new")), table, periods)
+    assert _month_counts(spark, table) == {p: 3 for p in MONTHS}
+    assert read_table(spark, table).where("v = 'new'").count() == 0 and not fs.glob(spark, f"{table}/_staging-*")
+
+
+def test_rows_of_another_month_fail_the_write(spark, table):
+    with pytest.raises(Exception, match="not requested: 2020-9"):
+        replace_periods(_rows(spark, [(2020, 8), (2020, 9)], per_month=1), table, [(2020, 8)])
+    assert _month_counts(spark, table) == {p: 3 for p in MONTHS}
+
+
+def test_one_month_is_written_without_a_rename(spark, table, monkeypatch):
+    monkeypatch.setattr(fs.FileStore, "rename", lambda *a: pytest.fail("renamed"))
+    replace_period(spark.createDataFrame([(7, 7, "new")], "k long, i long, v string"), table, (2020, 1))
+    assert _month_counts(spark, table)[(2020, 1)] == 1 and fs.exists(spark, f"{table}/year=2020/month=1/_SUCCESS")
 
 
-def test_recover_removes_only_old_uncommitted_staging(spark, table):
-    from tidemark.sources.writes import recover_writes
+def test_reads_from(spark, table, scratch):
+    assert fs.reads_from(read_period(spark, table, (2020, 8)).where("i > 0").groupBy("k").count(), table)
+    assert fs.reads_from(spark.range(3).join(read_table(spark, table), F.lit(True), "left_semi"), table)
+    other = scratch("other")
+    replace_periods(_rows(spark, MONTHS), other)
+    assert not fs.reads_from(read_table(spark, other), table) and not fs.reads_from(spark.range(3), table)
+
+
+SCHEMA = T.StructType([T.StructField("k", T.LongType()), T.StructField("i", T.LongType()), T.StructField("v", T.StringType())])
+
+
+def test_the_first_month_of_a_table_can_be_empty(spark, scratch):
+    root = scratch("first-empty")
+    replace_period(spark.createDataFrame([], SCHEMA), root, (2020, 9))
+    assert read_period(spark, root, (2020, 9), schema=SCHEMA).columns == ["k", "i", "v"]
+    assert read_period(spark, root, (2020, 9), schema=SCHEMA).count() == read_table(spark, root, schema=SCHEMA).count() == 0
+    assert read_periods(spark, root, [(2020, 9)], schema=SCHEMA).count() == 0
+    with pytest.raises(ValueError, match="schema"):
+        read_period(spark, root, (2020, 9))
+
+
+def test_columns_of_later_months_are_kept(spark, scratch):
+    root = scratch("drift")
+    replace_period(spark.createDataFrame([(1,)], "a long"), root, (2020, 1))
+    replace_period(spark.createDataFrame([(2, "x")], "a long, b string"), root, (2020, 2))
+    for df in (read_table(spark, root), read_external(spark, root), read_periods(spark, root, [(2020, 1), (2020, 2)]), read_upto(spark, root, (2020, 2))):
+        assert sorted((r["a"], r["b"]) for r in df.collect()) == [(1, None), (2, "x")]
+    declared = T.StructType([T.StructField("b", T.StringType()), T.StructField("a", T.LongType())])
+    assert sorted(map(tuple, read_period(spark, root, (2020, 1), schema=declared).collect()), key=str) == [(None, 1)]
+
+
+def test_an_emptied_month_is_not_available(spark, table):
+    replace_period(spark.createDataFrame([], SCHEMA), table, (2020, 12))
+    assert {r["k"] for r in read_latest_available(spark, table, (2021, 3)).collect()} == {202011}
+    assert {r["k"] for r in read_most_recent(spark, table).collect()} == {202011}
+    assert trailing_periods(spark, table, (2020, 12), 1) == [Period(2020, 10), Period(2020, 11)]
+
+
+def test_stray_directories_are_skipped(spark, table):
+    from tidemark.sources.inventory import month_directories
 
-    fs.mkdirs(spark, f"{table}/_staging-abandoned/year=2020/month=1")
-    assert recover_writes(spark, table)["removed"] == []  # young: may be a write in progress
-    done = recover_writes(spark, table, abandon_after_seconds=0)
-    assert len(done["removed"]) == 1
-    assert _month_counts(spark, table)[(2020, 1)] == 3
+    for stray in ("year=2020/month=abc", "year=x/month=1", "year=2020/month=13"):
+        fs.mkdirs(spark, f"{table}/{stray}")
+        fs.touch(spark, f"{table}/{stray}/_SUCCESS")
+    assert len(month_directories(spark, table)) == len(completed_periods(spark, table)) == len(MONTHS)
+    assert partition_inventory(spark, table).count() == len(MONTHS)
+    replace_periods(_rows(spark, [(2020, 8)], per_month=1), table)
+    assert read_period(spark, table, (2020, 8)).count() == 1
 
 
 def test_month_directories_two_complete_one_not(spark, scratch):

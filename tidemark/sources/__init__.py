@@ -21,7 +21,7 @@ from tidemark.sources.writes import (
     backfill,
     backfill_range,
     clear_period,
-    recover_writes,
+    clear_staging,
     replace_period,
     replace_periods,
 )
@@ -30,5 +30,5 @@ __all__ = [
     "config_frame", "join_config", "completed_periods", "month_directories", "partition_inventory", "available_periods", "listed_periods",
     "month_path", "read_external", "read_latest_available", "read_most_recent", "read_offset",
     "read_period", "read_periods", "read_table", "read_trailing", "read_upto", "trailing_periods",
-    "backfill", "backfill_range", "clear_period", "recover_writes", "replace_period", "replace_periods",
+    "backfill", "backfill_range", "clear_period", "clear_staging", "replace_period", "replace_periods",
 ]

@@ -1,4 +1,4 @@
-"""Configuration dictionaries as small frames, joined by broadcast."""
+"""Configuration dictionaries as small frames, joined to data."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A configuration frame is built from a dict on the driver, so its row count
-# is known exactly; up to this many rows it is broadcast explicitly.
-BROADCAST_ROWS = 100_000
-
 _PY_TYPES = ((bool, T.BooleanType()), (int, T.LongType()), (float, T.DoubleType()), (str, T.StringType()))
 
 
@@ -62,12 +58,16 @@ def config_frame(
     return spark.createDataFrame(rows, schema)
 
 
-def join_config(df: DataFrame, config: DataFrame, left_on: str, right_on: str, how: str = "inner",
-                n_rows: "int | None" = None) -> DataFrame:
-    """Join a configuration frame on one key, dropping the config's key column.
+def join_config(df: DataFrame, config: DataFrame, left_on: str, right_on: str, how: str = "inner") -> DataFrame:
+    """Join a configuration frame on one key; the key comes back once, as ``left_on``.
 
-    ``n_rows`` is the config's known row count (``len`` of its dict); within
-    ``BROADCAST_ROWS`` the config side is broadcast, otherwise Catalyst decides.
+    Where an outer join keeps configuration entries that no row has, the key
+    is the entry's. Catalyst decides how to join, from the frames' sizes.
     """
-    side = F.broadcast(config) if n_rows is not None and n_rows <= BROADCAST_ROWS else config
-    return df.join(side, df[left_on] == side[right_on], how).drop(side[right_on])
+    key = "__config_key"
+    side = config.withColumnRenamed(right_on, key)
+    joined = df.join(side, df[left_on] == side[key], how)
+    if key not in joined.columns:  # semi and anti joins
+        return joined
+    columns = [F.coalesce(df[left_on], side[key]).alias(left_on) if c == left_on else F.col(f"`{c}`") for c in joined.columns if c != key]
+    return joined.select(*columns)

@@ -5,6 +5,9 @@ never read rows. Any Hadoop URI works (file:, hdfs:, s3a:, abfs:, ...).
 ``FileStore`` keeps one FileSystem handle per root so each call is one or two
 gateway round trips; ``parallel`` runs independent per-month calls on a few
 driver threads, since object stores answer them with latency, not bandwidth.
+
+The calls go through the driver's JVM gateway, so they need a classic session;
+Spark Connect has no such gateway.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 T = TypeVar("T")
 R = TypeVar("R")
@@ -24,28 +27,24 @@ METADATA_THREADS = 16
 
 class FileStore:
     def __init__(self, spark: SparkSession, uri: str):
-        jvm = spark._jvm
-        self._jvm = jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
+        self._Path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(uri).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def path(self, uri: str):
-        return self._Path(uri)
-
     def exists(self, uri: str) -> bool:
         return bool(self._fs.exists(self._Path(uri)))
 
+    def qualified(self, uri: str) -> str:
+        """The path with scheme and authority, as Spark names it in plans."""
+        return str(self._fs.makeQualified(self._Path(uri)).toString())
+
     def glob(self, pattern: str) -> list[str]:
         statuses = self._fs.globStatus(self._Path(pattern))
         return [] if statuses is None else [s.getPath().toString() for s in statuses]
 
-    def has_data_files(self, uri: str) -> bool:
-        """True when the directory holds a file Spark would read (not ``_*`` or ``.*``)."""
-        for status in self._fs.listStatus(self._Path(uri)):
-            name = status.getPath().getName()
-            if status.isFile() and not name.startswith(("_", ".")):
-                return True
-        return False
+    def data_files(self, uri: str) -> list[str]:
+        """The files of a directory that Spark would read (not ``_*`` or ``.*``)."""
+        found = [s.getPath() for s in self._fs.listStatus(self._Path(uri)) if s.isFile()]
+        return [p.toString() for p in found if not p.getName().startswith(("_", "."))]
 
     def delete(self, uri: str) -> bool:
         """Remove a path and everything under it; a missing path is not an error."""
@@ -62,20 +61,6 @@ class FileStore:
     def touch(self, uri: str) -> None:
         self._fs.create(self._Path(uri), True).close()
 
-    def write_text(self, uri: str, text: str) -> None:
-        out = self._fs.create(self._Path(uri), True)
-        try:
-            out.write(bytearray(text.encode("utf-8")))
-        finally:
-            out.close()
-
-    def read_text(self, uri: str) -> str:
-        stream = self._fs.open(self._Path(uri))
-        try:
-            return str(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
     def modified_ms(self, uri: str) -> int:
         return int(self._fs.getFileStatus(self._Path(uri)).getModificationTime())
 
@@ -88,6 +73,22 @@ def parallel(fn: Callable[[T], R], items: Iterable[T]) -> list[R]:
         return list(pool.map(fn, items))
 
 
+def reads_from(df: DataFrame, root: str) -> bool:
+    """Whether the frame's plan reads files under ``root``, or the folder that holds it."""
+    inside = FileStore(df.sparkSession, root).qualified(root).rstrip("/") + "/"
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            continue
+        paths = leaf.relation().location().rootPaths()
+        for j in range(paths.size()):
+            path = paths.apply(j).toString().rstrip("/") + "/"
+            if path.startswith(inside) or inside.startswith(path):
+                return True
+    return False
+
+
 # Function forms for one-off calls.
 
 def exists(spark: SparkSession, uri: str) -> bool:
@@ -98,10 +99,6 @@ def glob(spark: SparkSession, pattern: str) -> list[str]:
     return FileStore(spark, pattern).glob(pattern)
 
 
-def has_data_files(spark: SparkSession, uri: str) -> bool:
-    return FileStore(spark, uri).has_data_files(uri)
-
-
 def delete(spark: SparkSession, uri: str) -> bool:
     return FileStore(spark, uri).delete(uri)
 

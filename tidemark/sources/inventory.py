@@ -1,63 +1,44 @@
-"""Which months a table holds, how many rows and files each, and which are complete."""
+"""Which months a table holds and which are complete: listings on the driver, no file is opened."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.functions.periods import period_of_path
+from tidemark.functions.periods import Period
 from tidemark.sources import fs
-from tidemark.sources.tables import read_table
+from tidemark.sources.tables import month_paths, read_table
 
-_MARKER_SCHEMA = T.StructType(
-    [T.StructField("year", T.IntegerType(), False), T.StructField("month", T.IntegerType(), False)]
-)
+SUCCESS = "/_SUCCESS"
 
 
-def completed_periods(spark: SparkSession, root: str) -> list[tuple[int, int]]:
-    """Months holding a ``_SUCCESS`` marker: one glob on the driver, metadata only."""
-    found = {period_of_path(path) for path in fs.glob(spark, f"{root.rstrip('/')}/year=*/month=*/_SUCCESS")}
-    return sorted((p.year, p.month) for p in found)
+def completed_periods(spark: SparkSession, root: str) -> list[Period]:
+    """Months holding a ``_SUCCESS`` marker, in order."""
+    return list(month_paths(spark, root, SUCCESS))
 
 
-def partition_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """One row per month: ``year, month, n_rows, n_files, complete``.
-
-    Rows and files per month come from a scan that reads only parquet
-    footers. The completeness flags are one small frame (one row per month
-    directory, so bounded by the number of months); it is unioned with the
-    per-month counts and folded by a second tiny aggregate. A complete month
-    with no rows is listed with zero counts.
-    """
-    counts = (
-        read_table(spark, root)
-        .select("year", "month", F.col("_metadata.file_path").alias("file_path"))
-        .groupBy("year", "month")
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("file_path").alias("n_files"))
-        .withColumn("complete", F.lit(False))
-    )
-    markers = spark.createDataFrame(completed_periods(spark, root), _MARKER_SCHEMA).select(
-        "year", "month", F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("n_files"),
-        F.lit(True).alias("complete"),
-    )
-    return (
-        counts.unionByName(markers)
-        .groupBy("year", "month")
-        .agg(
-            F.sum("n_rows").alias("n_rows"),
-            F.sum("n_files").alias("n_files"),
-            F.max("complete").alias("complete"),
-        )
-    )
+def month_directories(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """Each month directory of the table with whether it holds ``_SUCCESS``, in time order."""
+    complete = set(completed_periods(spark, root))
+    return [(path, p in complete) for p, path in month_paths(spark, root).items()]
 
 
-def month_directories(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
-    """Each month directory of the table with whether it holds ``_SUCCESS``, in time order.
+def partition_inventory(spark: SparkSession, root: str, *, rows: bool = False) -> DataFrame:
+    """One row per month directory: ``year, month, n_files, complete``, and ``n_rows`` when asked.
 
-    Metadata only: two globs on the driver, no Spark job.
+    One listing of the months and one per month, on a few driver threads.
+    ``rows=True`` adds a count per month, which reads the files' footers in a job.
     """
-    root = root.rstrip("/")
     complete = set(completed_periods(spark, root))
-    months = sorted({period_of_path(p) for p in fs.glob(spark, f"{root}/year=*/month=*")})
-    return [(f"{root}/year={p.year}/month={p.month}", (p.year, p.month) in complete) for p in months]
+    months = month_paths(spark, root)
+    store = fs.FileStore(spark, root)
+    n_files = fs.parallel(lambda path: len(store.data_files(path)), months.values())
+    listed = spark.createDataFrame(
+        [(p.year, p.month, n, p in complete) for p, n in zip(months, n_files)], "year int, month int, n_files long, complete boolean"
+    )
+    if not rows:
+        return listed
+    if not any(n_files):
+        return listed.withColumn("n_rows", F.lit(0).cast("long"))
+    counts = read_table(spark, root).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_rows"))
+    return listed.join(counts, ["year", "month"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("long")))

@@ -1,46 +1,59 @@
 """Writing monthly tables: replace months, clear a month, backfill a range.
 
-Every write is one Spark job into a fresh staging directory under the table
-root (Spark's readers skip names starting with ``_``). The job runs under
-Spark's commit protocol, so a lost executor only re-runs its tasks and a
-failed job leaves the table as it was. After the job returns, each requested
-month is swapped in on the driver: the old month directory is removed, the
-staged one moved in (a rename, metadata only on HDFS) and ``_SUCCESS``
-written into it. A manifest written into the staging directory before the
-swap names the requested and written months, and every swap step can be
-repeated, so ``recover_writes`` finishes a swap that a lost driver left
-half done. A requested month for which the job produced no rows ends up
-empty but marked complete, so an empty result empties the month.
-
-The write shuffles on ``(year, month)`` through the ``rebalance`` hint: AQE
-splits a month that holds a large share of the rows over several tasks and
-packs small months together, so files come out near the advisory size.
+One month (``replace_period``) is one Spark job that overwrites the month's own
+directory through the store's committer: nothing is renamed on the driver. A
+job that fails leaves the month without ``_SUCCESS``; running it again is the
+recovery. Only a job that reads from the table it writes goes through a staging
+directory, so that it never deletes what it reads.
+
+Several months (``replace_periods``) are one Spark job into a staging directory
+under the table root (Spark's readers skip names starting with ``_``). A job
+that fails leaves the table as it was. Afterwards each month is swapped in on
+the driver: the old directory is removed, the staged one renamed into its place
+and ``_SUCCESS`` written. On stores where a rename copies, write months one by
+one. A driver lost in between leaves some months new and some old; running the
+job again replaces them all. ``clear_staging`` removes what lost drivers left.
+
+Rows without a year or month, or of a month that was not asked for, fail the
+job with the reason; they are checked where the rows are written, without a
+pass of their own. A requested month for which there are no rows ends up empty
+but marked complete.
+
+Writes of one month are spread evenly over tasks (``rebalance`` hint); writes of
+several shuffle on ``(year, month)`` with the same hint: AQE splits a month that
+holds a large share of the rows over several tasks and packs small months
+together, so files come out near the advisory size.
 """
 
 from __future__ import annotations
 
-import json
 import logging
-import time
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.periods import Period, PeriodLike, as_periods, period_index, period_of_path
+from tidemark.functions.periods import Period, PeriodLike, as_periods, period_index
 from tidemark.operators.schema import stamp_period
 from tidemark.sources import fs
-from tidemark.sources.tables import month_path
+from tidemark.sources.tables import month_path, month_paths
 
 log = logging.getLogger(__name__)
 
 SUCCESS = "_SUCCESS"
-MANIFEST = "_MANIFEST"
 
 
-def _staged_periods(store: fs.FileStore, staging: str) -> set[Period]:
-    return {period_of_path(path) for path in store.glob(f"{staging}/year=*/month=*")}
+def _checked(df: DataFrame, wanted: "list[Period] | None") -> DataFrame:
+    """The frame with int year and month; evaluating the year fails on rows that may not be written."""
+    year, month = F.col("year").cast("int"), F.col("month").cast("int")
+    good = year.isNotNull() & month.isNotNull()
+    if wanted is not None:
+        good = good & period_index(year, month).isin([p.index for p in wanted])
+    place = F.concat(F.coalesce(year.cast("string"), F.lit("null")), F.lit("-"), F.coalesce(month.cast("string"), F.lit("null")))
+    why = "a row has no year or month: " if wanted is None else "a row is of a month that was not requested: "
+    checked = F.when(F.coalesce(good, F.lit(False)), year).otherwise(F.raise_error(F.concat(F.lit(why), place)).cast("int"))
+    return df.withColumns({"year": checked, "month": month})
 
 
 def replace_periods(df: DataFrame, root: str, periods: "Iterable[PeriodLike] | None" = None, *,
@@ -48,100 +61,70 @@ def replace_periods(df: DataFrame, root: str, periods: "Iterable[PeriodLike] | N
     """Replace months of the table with the frame's rows for them.
 
     ``df`` carries integer ``year`` and ``month`` columns. With ``periods``,
-    exactly those months are replaced: rows of other months are not written,
-    and a requested month without rows is emptied. Without ``periods``, the
-    months that have rows in the frame are replaced. Months that are not
-    replaced are untouched. Returns the replaced months.
-
-    ``rebalance=False`` skips the sizing shuffle; use it for one month whose
-    frame already comes out of a shuffle in well-sized partitions (an
-    aggregate under AQE), where each partition then writes one file.
+    exactly those months are replaced, and a requested month without rows is
+    emptied; a row of another month fails the job. Without ``periods``, the
+    months that have rows in the frame are replaced; a row without a month
+    fails the job. Other months are untouched. Returns the replaced months.
+
+    ``rebalance=False`` skips the sizing shuffle; use it for a frame that
+    already comes out of a shuffle in well-sized partitions (an aggregate
+    under AQE), where each partition then writes one file per month.
     """
     if "year" not in df.columns or "month" not in df.columns:
         raise ValueError("the frame needs year and month columns; use replace_period for one month")
     wanted = None if periods is None else as_periods(periods)
     if wanted is not None and not wanted:
         raise ValueError("no months requested")
-    spark = df.sparkSession
-    root = root.rstrip("/")
+    spark, root = df.sparkSession, root.rstrip("/")
     store = fs.FileStore(spark, root)
     staging = f"{root}/_staging-{uuid.uuid4().hex}"
-    data = df.withColumns({"year": F.col("year").cast("int"), "month": F.col("month").cast("int")})
-    if wanted is not None:
-        data = data.where(period_index().isin([p.index for p in wanted]))
-    else:
-        data = data.where(F.col("year").isNotNull() & F.col("month").isNotNull())
+    data = _checked(df, wanted)
     if rebalance:
         data = data.hint("rebalance", "year", "month")
-    (
-        data.write.mode("errorifexists")
-        .partitionBy("year", "month")
-        .parquet(staging)
-    )
-    written = _staged_periods(store, staging)
-    if wanted is None:
-        wanted = sorted(written)
-    store.write_text(f"{staging}/{MANIFEST}", json.dumps(
-        {"requested": [p.key for p in wanted], "written": sorted(p.key for p in written)}
-    ))
-    _swap_in(store, root, staging, wanted, written)
-    return wanted
-
-
-def _swap_in(store: fs.FileStore, root: str, staging: str, wanted: list[Period], written: set[Period]) -> None:
-    """Move staged months into the table; every step can be repeated after a crash."""
+    try:
+        data.write.mode("errorifexists").partitionBy("year", "month").parquet(staging)
+    except Exception:
+        store.delete(staging)
+        raise
+    staged = month_paths(spark, staging)
+    wanted = list(staged) if wanted is None else wanted
     for year in sorted({p.year for p in wanted}):
         store.mkdirs(f"{root}/year={year}")
 
     def swap(p: Period) -> None:
         target = month_path(root, p)
-        if p in written:
-            staged = month_path(staging, p)
-            if store.exists(staged):  # not moved yet
-                store.delete(target)
-                store.rename(staged, target)
+        store.delete(target)
+        if p in staged:
+            store.rename(staged[p], target)
         else:
             log.warning("month %s of %s has no rows; leaving it empty", p, root)
-            store.delete(target)
             store.mkdirs(target)
         store.touch(f"{target}/{SUCCESS}")
 
     fs.parallel(swap, wanted)
     store.delete(staging)
-
-
-def recover_writes(spark: SparkSession, root: str, *, abandon_after_seconds: float = 24 * 3600) -> dict[str, list[str]]:
-    """Finish or remove staging directories left by a driver that stopped mid-write.
-
-    A staging directory with a manifest belongs to a job that committed: its
-    remaining months are swapped in exactly as the write would have. One
-    without a manifest never changed the table; it is removed once it is
-    older than ``abandon_after_seconds`` (a younger one may be a write in
-    progress). Run it while no other writer works on the same table.
-    """
-    root = root.rstrip("/")
-    store = fs.FileStore(spark, root)
-    done: dict[str, list[str]] = {"completed": [], "removed": []}
-    for staging in store.glob(f"{root}/_staging-*"):
-        manifest = f"{staging}/{MANIFEST}"
-        if store.exists(manifest):
-            info = json.loads(store.read_text(manifest))
-            wanted = [Period.of(k) for k in info["requested"]]
-            written = {Period.of(k) for k in info["written"]}
-            _swap_in(store, root, staging, wanted, written)
-            done["completed"].append(staging)
-        elif time.time() * 1000 - store.modified_ms(staging) > abandon_after_seconds * 1000:
-            store.delete(staging)
-            done["removed"].append(staging)
-    return done
+    return wanted
 
 
 def replace_period(df: DataFrame, root: str, period: PeriodLike, *, rebalance: bool = True) -> Period:
-    """Stamp the frame with the month and replace that month of the table."""
+    """Replace one month of the table with the frame (its own ``year``/``month`` columns are left out)."""
     if df is None:
         raise ValueError("the job returned nothing")
-    p = Period.of(period)
-    replace_periods(stamp_period(df, p), root, [p], rebalance=rebalance)
+    p, spark, root = Period.of(period), df.sparkSession, root.rstrip("/")
+    if fs.reads_from(df, root):
+        replace_periods(stamp_period(df, p), root, [p], rebalance=rebalance)
+        return p
+    data = df.drop(*[c for c in df.columns if c.lower() in ("year", "month")])
+    if rebalance:
+        data = data.hint("rebalance")
+    rows = Observation()
+    leaf, store = month_path(root, p), fs.FileStore(spark, root)
+    data.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(leaf)
+    if not rows.get["n"]:
+        log.warning("month %s of %s has no rows; leaving it empty", p, root)
+        fs.parallel(store.delete, store.data_files(leaf))
+    if not store.exists(f"{leaf}/{SUCCESS}"):  # committers can be set up not to write it
+        store.touch(f"{leaf}/{SUCCESS}")
     return p
 
 
@@ -150,6 +133,14 @@ def clear_period(spark: SparkSession, root: str, period: PeriodLike) -> bool:
     return fs.delete(spark, month_path(root.rstrip("/"), Period.of(period)))
 
 
+def clear_staging(spark: SparkSession, root: str) -> list[str]:
+    """Remove staging directories that lost drivers left. Only while nobody writes to the table."""
+    store = fs.FileStore(spark, root)
+    found = store.glob(f"{root.rstrip('/')}/_staging-*")
+    fs.parallel(store.delete, found)
+    return found
+
+
 def backfill(
     spark: SparkSession,
     root: str,
@@ -160,7 +151,8 @@ def backfill(
 
     ``job(period)`` returns that month's frame (lazy); the frames are stamped
     and unioned, so each month's inputs are read with their own partition
-    filters and the whole range is one write.
+    filters and the whole range is one write. The plan grows with the months;
+    ``backfill_range`` keeps it the same for any number.
     """
     wanted = as_periods(periods)
     if not wanted:
