@@ -50,6 +50,39 @@ def test_timestamps_compare(spark):
     assert _diffs(compare_frames(e, g, "k")) == {ROWS: 0, "t": 1}
 
 
+def test_infinity_equals_itself_only(spark):
+    inf = float("inf")
+    e = spark.createDataFrame([(1, 1.0), (2, inf), (3, inf), (4, inf)], "k long, x double")
+    g = spark.createDataFrame([(1, inf), (2, 1.0), (3, -inf), (4, inf)], "k long, x double")
+    assert _diffs(compare_frames(e, g, "k")) == {ROWS: 0, "x": 3}
+
+
+def test_numeric_types_are_widened_not_narrowed(spark):
+    whole = spark.createDataFrame([(1, 1), (2, 5)], "k int, x long")
+    parts = spark.createDataFrame([(1, 1.9), (2, 5.0)], "k long, x double")
+    assert _diffs(compare_frames(whole, parts, "k")) == _diffs(compare_frames(parts, whole, "k")) == {ROWS: 0, "x": 1}
+    with pytest.raises(ValueError, match="decimal"):
+        compare_frames(whole.selectExpr("k", "cast(x as decimal(10,2)) as x"), parts, "k")
+
+
+def test_decimals_are_exact(spark):
+    e = spark.sql("SELECT 1 AS k, cast(1000000.00 AS decimal(18,2)) AS x UNION ALL SELECT 2, cast(7 AS decimal(18,2))")
+    g = spark.sql("SELECT 1 AS k, cast(1000005.00 AS decimal(20,3)) AS x UNION ALL SELECT 2, cast(7 AS decimal(20,3))")
+    assert _diffs(compare_frames(e, g, "k")) == {ROWS: 0, "x": 1}
+    assert _diffs(compare_frames(e, spark.sql("SELECT 1 AS k, 1000000L AS x UNION ALL SELECT 2, 8L"), "k")) == {ROWS: 0, "x": 1}
+
+
+def test_tolerance_without_keys(spark):
+    e = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", None)], "s string, x double")
+    g = spark.createDataFrame([("b", None), ("b", 3.0 + 1e-9), ("a", 2.0 - 1e-9), ("a", 1.0)], "s string, x double")
+    assert _diffs(compare_frames(e, g)) == {ROWS: 0, "x": 0}
+    assert_frames_equal(e, g)
+    assert _diffs(compare_frames(e, g.withColumn("x", F.col("x") * 2))) == {ROWS: 0, "x": 3}
+    assert _diffs(compare_frames(e, g, rtol=0, atol=0)) == {ROWS: 4}
+    with pytest.raises(ValueError, match="keys"):
+        compare_frames(e.select("x"), g.select("x"))
+
+
 def test_multiset_without_keys(spark):
     e = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k long, s string")
     g = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, s string")

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 ROWS = "<rows>"
 DUPLICATE_KEYS = "<duplicate keys>"
@@ -22,8 +23,28 @@ DUPLICATE_KEYS = "<duplicate keys>"
 RTOL = 1e-5
 ATOL = 1e-8
 
-_TOLERANT = (T.FloatType, T.DoubleType, T.DecimalType)
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType) + _TOLERANT
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_FLOATING = (T.FloatType, T.DoubleType)
+
+
+def _common(name: str, e: T.DataType, g: T.DataType) -> T.DataType:
+    """A type that holds the values of both columns; whole numbers, decimals and floats are kept apart where one would be rounded."""
+    if e == g:
+        return T.DoubleType() if isinstance(e, T.FloatType) else e
+    pair = (e, g)
+    if all(isinstance(t, _INTEGRAL) for t in pair):
+        return T.LongType()
+    if all(isinstance(t, _INTEGRAL + _FLOATING) for t in pair):
+        return T.DoubleType()
+    if all(isinstance(t, _INTEGRAL + (T.DecimalType,)) for t in pair):
+        wide = [t if isinstance(t, T.DecimalType) else T.DecimalType(19, 0) for t in pair]
+        scale = max(t.scale for t in wide)
+        whole = max(t.precision - t.scale for t in wide)
+        if whole + scale <= 38:
+            return T.DecimalType(whole + scale, scale)
+    raise ValueError(
+        f"column {name!r} has type {e.simpleString()} in the expected frame and {g.simpleString()} in the generated one"
+    )
 
 
 def _check_columns(expected: DataFrame, generated: DataFrame) -> dict[str, T.DataType]:
@@ -31,17 +52,7 @@ def _check_columns(expected: DataFrame, generated: DataFrame) -> dict[str, T.Dat
         raise ValueError(
             f"the two frames have different columns: {expected.columns} != {generated.columns}"
         )
-    out = {}
-    for fe, fg in zip(expected.schema.fields, generated.schema.fields):
-        if fe.dataType != fg.dataType and not (
-            isinstance(fe.dataType, _NUMERIC) and isinstance(fg.dataType, _NUMERIC)
-        ):
-            raise ValueError(
-                f"column {fe.name!r} has type {fe.dataType.simpleString()} in the expected frame "
-                f"and {fg.dataType.simpleString()} in the generated one"
-            )
-        out[fe.name] = fe.dataType
-    return out
+    return {e.name: _common(e.name, e.dataType, g.dataType) for e, g in zip(expected.schema.fields, generated.schema.fields)}
 
 
 def _comparable(c: Column, dtype: T.DataType) -> Column:
@@ -51,11 +62,12 @@ def _comparable(c: Column, dtype: T.DataType) -> Column:
 
 
 def _differs(e: Column, g: Column, dtype: T.DataType, rtol: float, atol: float) -> Column:
-    """True when two values differ; null equals null, NaN equals NaN."""
+    """True when two values differ; null equals null, NaN equals NaN, and infinities equal themselves only."""
     same = e.eqNullSafe(g)
-    if isinstance(dtype, _TOLERANT):
-        ed, gd = e.cast("double"), g.cast("double")
-        close = F.abs(ed - gd) <= F.lit(atol) + F.lit(rtol) * F.abs(gd)
+    if isinstance(dtype, _FLOATING):
+        infinite = F.lit(float("inf"))
+        finite = (F.abs(e) < infinite) & (F.abs(g) < infinite)
+        close = finite & (F.abs(e - g) <= F.lit(atol) + F.lit(rtol) * F.abs(g))
         same = same | F.coalesce(close, F.lit(False))
     return ~same
 
@@ -73,20 +85,35 @@ def compare_frames(
 
     With ``keys``, rows are matched on the keys: ``<rows>`` counts rows with
     no partner, and each other column counts matched keys whose values differ
-    (floating and decimal columns within the tolerance). A key present more
-    than once on a side is not compared column by column; its surplus rows
-    count in ``<rows>`` and, when asked, the keys in ``<duplicate keys>``.
+    (floating columns within the tolerance, all others exactly). A key present
+    more than once on a side is not compared column by column; its surplus
+    rows count in ``<rows>`` and, when asked, the keys in ``<duplicate keys>``.
 
-    Without keys the frames are compared as multisets of whole rows, exactly.
+    Without keys the frames are compared as multisets of rows. Rows are matched
+    on their columns other than floating ones and, among rows equal there, in
+    the order of the floating ones, which are then compared within the tolerance.
+    Frames of floating columns alone need keys, or a tolerance of zero.
+
+    Columns of different numeric types are compared in a type that holds both.
     """
     types = _check_columns(expected, generated)
     side = "__side"
-    e = expected.withColumn(side, F.lit(0))
-    g = generated.select(
-        *[F.col(f"`{c}`").cast(types[c]).alias(c) if generated.schema[c].dataType != types[c] else F.col(f"`{c}`")
-          for c in generated.columns]
-    ).withColumn(side, F.lit(1))
-    both = e.unionByName(g)
+
+    def one(df: DataFrame, number: int) -> DataFrame:
+        columns = [F.col(f"`{f.name}`").cast(types[f.name]).alias(f.name) if f.dataType != types[f.name] else F.col(f"`{f.name}`") for f in df.schema.fields]
+        return df.select(*columns).withColumn(side, F.lit(number))
+
+    floating = [c for c, t in types.items() if isinstance(t, _FLOATING)]
+    if keys is None and floating and (rtol or atol):
+        exact = [c for c in expected.columns if c not in floating]
+        if not exact:
+            raise ValueError("without keys, floating columns cannot be matched within a tolerance; pass keys, or rtol=0 and atol=0")
+        place = "__place"
+        order = Window.partitionBy(*[F.col(f"`{c}`") for c in exact]).orderBy(*[F.col(f"`{c}`") for c in floating])
+        frames = [one(df, n).withColumn(place, F.row_number().over(order)) for n, df in enumerate((expected, generated))]
+        both, keys = frames[0].unionByName(frames[1]), [*exact, place]
+    else:
+        both = one(expected, 0).unionByName(one(generated, 1))
     n_e = F.sum(F.when(F.col(side) == 0, 1).otherwise(0)).alias("__n_e")
     n_g = F.sum(F.when(F.col(side) == 1, 1).otherwise(0)).alias("__n_g")
 
@@ -96,7 +123,7 @@ def compare_frames(
         names = [ROWS]
     else:
         keys = [keys] if isinstance(keys, str) else list(keys)
-        missing = [k for k in keys if k not in types]
+        missing = [k for k in keys if k not in both.columns]
         if missing:
             raise ValueError(f"key columns {missing} are not in the frames")
         values = [c for c in expected.columns if c not in keys]
@@ -105,7 +132,7 @@ def compare_frames(
             v = _comparable(F.col(f"`{c}`"), types[c])
             firsts.append(F.first(F.when(F.col(side) == 0, v), ignorenulls=True).alias(f"__e{i}"))
             firsts.append(F.first(F.when(F.col(side) == 1, v), ignorenulls=True).alias(f"__g{i}"))
-        grouped = both.groupBy(*keys).agg(n_e, n_g, *firsts)
+        grouped = both.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(n_e, n_g, *firsts)
         single = (F.col("__n_e") == 1) & (F.col("__n_g") == 1)
         counters = [F.coalesce(F.sum(F.abs(F.col("__n_e") - F.col("__n_g"))), F.lit(0)).cast("long").alias("r0")]
         for i, c in enumerate(values):
