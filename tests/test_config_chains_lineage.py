@@ -4,23 +4,17 @@ from pyspark.sql import types as T
 
 from tidemark.functions.periods import Period
 from tidemark.operators.lineage import cut_lineage
-from tidemark.plans.chains import backfill_table, frame, needed_periods, run, source, table
+from tidemark.plans.chains import backfill_table, external, frame, needed_periods, run, run_chain, source, table
 from tidemark.sources.config import config_frame, join_config
 from tidemark.sources.tables import read_period, read_table
 from tidemark.sources.writes import replace_periods
 
 
 def test_config_dict_to_frame(spark):
-    cfg = {
-        "entry1": {"key1": "value1", "key2": "value2", "key3": "value3"},
-        "entry2": {"key1": "value4", "key2": "value5", "key3": "value6"},
-    }
-    df = config_frame(spark, cfg, "entries")
-    assert df.columns == ["entries", "key1", "key2", "key3"]
-    assert sorted(map(tuple, df.collect())) == [
-        ("entry1", "value1", "value2", "value3"),
-        ("entry2", "value4", "value5", "value6"),
-    ]
+    cfg = {"eu": {"currency": "EUR", "vat": 21, "open": True}, "ch": {"currency": "CHF", "vat": 8, "open": False}}
+    df = config_frame(spark, cfg, "market")
+    assert df.columns == ["market", "currency", "vat", "open"]
+    assert sorted(map(tuple, df.collect())) == [("ch", "CHF", 8, False), ("eu", "EUR", 21, True)]
 
 
 def test_config_values_placed_by_key(spark):
@@ -31,30 +25,110 @@ def test_config_values_placed_by_key(spark):
         config_frame(spark, {"a": {"x": 1}, "b": {"y": 2}}, "id")
 
 
-def test_join_config_broadcasts(spark):
-    cfg = config_frame(spark, {"A": {"tier": "gold"}}, "seg")
-    df = spark.createDataFrame([(1, "A"), (2, "B")], "k long, seg_name string")
-    out = join_config(df, cfg, "seg_name", "seg", n_rows=1)
-    assert [tuple(r) for r in out.collect()] == [(1, "A", "gold")]
-    assert "Broadcast" in out._jdf.queryExecution().executedPlan().toString()
+def test_join_config(spark):
+    cfg = config_frame(spark, {"A": {"tier": "gold"}, "Q": {"tier": "q"}}, "seg")
+    df = spark.createDataFrame([(1, "A"), (2, "B"), (3, None)], "k long, seg_name string")
 
+    def rows(how):
+        return sorted(map(tuple, join_config(df, cfg, "seg_name", "seg", how).collect()), key=str)
 
-def _graph():
-    dep_a = source("DepA", "unused")
-    node_a = table("NodeA", lambda p, d: d, [dep_a.at(0)])
-    node_b = table("NodeB", lambda p, a: a, [node_a.at(2)])
-    node_c = table("NodeC", lambda p, b, a: b, [node_b.at(1), node_a.at(2)])
-    node_d = table("NodeD", lambda p, c: c, [node_c.at(0)])
-    node_e = table("NodeE", lambda p, d: d, [node_d.at(1)])
-    return node_e
+    assert rows("inner") == [(1, "A", "gold")]
+    assert rows("left") == [(1, "A", "gold"), (2, "B", None), (3, None, None)]
+    assert rows("right") == [(1, "A", "gold"), (None, "Q", "q")]
+    assert rows("full") == [(1, "A", "gold"), (2, "B", None), (3, None, None), (None, "Q", "q")]
+    assert rows("left_semi") == [(1, "A")] and rows("left_anti") == [(2, "B"), (3, None)]
+
+
+def _chain(deepest=None):
+    """sales -> month totals -> growth on the month before -> report on growth now, two and five months back."""
+    sales = source("sales", "unused")
+    totals = table("totals", lambda p, d: d, [sales.at(0)])
+    growth = table("growth", lambda p, now, before: now, [totals.at(0), totals.at(1)])
+    return table("report", lambda p, *parts: parts[0], [growth.at(0), growth.at(2), growth.at(5), deepest or totals.at(12)])
 
 
 def test_needed_periods_of_a_chain():
-    need = needed_periods(_graph(), (1998, 2))
-    assert need["NodeE"] == {Period(1998, 2)}
-    assert need["NodeD"] == {Period(1998, 1)}
-    assert need["NodeA"] == {Period(1997, 10), Period(1997, 11)}
-    assert need["DepA"] == {Period(1997, 10), Period(1997, 11)}
+    run_month = Period(2021, 4)
+    need = needed_periods(_chain(), run_month)
+    lags = {name: {run_month.index - p.index for p in months} for name, months in need.items()}
+    assert lags == {"report": {0}, "growth": {0, 2, 5}, "totals": {0, 1, 2, 3, 5, 6, 12}, "sales": {0, 1, 2, 3, 5, 6, 12}}
+
+
+def test_needed_periods_of_trailing_and_latest():
+    src = source("src", "unused")
+    assert needed_periods(table("t", None, [src.trailing(3, 1)]), (2021, 2))["src"] == {
+        Period(2021, 1), Period(2020, 12), Period(2020, 11), Period(2020, 10)}
+    assert needed_periods(table("t", None, [src.latest(1)]), (2021, 2))["src"] == {Period(2021, 1)}
+
+
+def test_each_table_and_month_is_built_once(spark):
+    calls = []
+    node = external("base", "unused")
+    level = table("level0", lambda p: spark.range(3), [])
+    for i in range(1, 7):
+        def build(p, a, b, i=i):
+            calls.append((i, p))
+            return a
+        level = table(f"level{i}", build, [level.at(0), level.at(0)])
+    frame(spark, level, (2021, 2))
+    assert len(calls) == 6
+    assert len(needed_periods(level, (2021, 2))) == 7 and node.external
+
+
+def _jobs(spark, group, action):
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        action()
+        return len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_backfill_jobs_do_not_grow_with_the_months(spark, scratch):
+    root = scratch("long-src")
+    months = [Period.from_index(Period(2015, 1).index + i) for i in range(36)]
+    rows = [(c, p.year, p.month) for p in months for c in range(p.month)]
+    replace_periods(spark.createDataFrame(rows, "cust long, year int, month int"), root)
+    schema = T.StructType([T.StructField("cust", T.LongType())])
+    count = F.count(F.lit(1)).alias("n")
+    src = source("src", root, schema)
+    out_schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("note", T.StringType())])
+    ranged = table("ranged", lambda p, m: m.groupBy().agg(count), [src.at(1)], root=scratch("ranged"), schema=out_schema,
+                   build_range=lambda m: m.groupBy("year", "month").agg(count))
+    single = table("single", lambda p, m: m.groupBy().agg(count), [src.at(1)], root=scratch("single"), schema=out_schema)
+    used = [_jobs(spark, f"g{i}", lambda: backfill_table(spark, t, wanted))
+            for i, (t, wanted) in enumerate([(ranged, months[1:5]), (ranged, months[1:]), (single, months[1:5]), (single, months[1:])])]
+    # Over 32 paths Spark lists in a job of its own. Month by month there is one shuffle per month, and no job for schemas.
+    assert used[1] - used[0] <= 1 and used[3] <= len(months[1:]) + 3
+    got = [{(r["year"], r["month"]): r["n"] for r in read_table(spark, t.root).collect()} for t in (ranged, single)]
+    assert got[0] == got[1] == {(p.year, p.month): p.minus(1).month for p in months[1:]}
+
+
+def test_no_job_looks_for_a_declared_schema(spark, stored):
+    schema = T.StructType([T.StructField("cust", T.LongType())])
+    assert _jobs(spark, "declared", lambda: [read_period(spark, stored, (1997, m), schema=schema) for m in (10, 11, 12)]) == 0
+
+
+def test_run_chain_stores_each_month_once(spark, scratch, stored):
+    built = []
+
+    def counted(p, m):
+        built.append(p)
+        return m.groupBy().agg(F.count(F.lit(1)).alias("n"))
+
+    counts = table("counts", counted, [source("src", stored).at(0)], root=scratch("counts"))
+    pair = table("pair", lambda p, a, b: a.crossJoin(b.withColumnRenamed("n", "before")), [counts.at(0), counts.at(1)], root=scratch("pair"))
+    top = table("top", lambda p, a, b: a.unionByName(b), [pair.at(0), pair.at(1)], root=scratch("top"))
+    done = run_chain(spark, top, (1997, 12))
+    assert done == {"counts": [Period(1997, 10), Period(1997, 11), Period(1997, 12)], "pair": [Period(1997, 11), Period(1997, 12)], "top": [Period(1997, 12)]}
+    assert sorted(built) == done["counts"]
+    assert sorted(map(tuple, read_period(spark, top.root, (1997, 12)).collect())) == [(11, 10), (12, 11)]
+
+
+def test_most_recent_dependency(spark, stored):
+    recent = table("recent", lambda p, m: m, [source("src", stored).most_recent()])
+    assert frame(spark, recent, (1990, 1)).count() == 1  # 1998-01, after the run month
 
 
 @pytest.fixture
@@ -97,8 +171,6 @@ def test_cut_lineage(spark, mode):
 
 
 def test_external_dependency_and_wide_id(spark, stored):
-    from tidemark.plans.chains import external
-
     ext = external("ext", stored)
     wide = table("wide", lambda p, e: e.groupBy("cust").count(), [ext.at(0)], id_col="cust")
     assert frame(spark, wide, (2030, 1)).count() == 12  # all months read, whatever the run month
@@ -110,13 +182,6 @@ def test_external_dependency_and_wide_id(spark, stored):
         table("both", lambda p: None, schema=schema, id_col="cust")
 
 
-def test_total_offsets_per_table_match_the_fixture():
-    run_month = Period(1998, 2)
-    need = needed_periods(_graph(), run_month)
-    total = {name: {run_month.index - p.index for p in months} for name, months in need.items()}
-    assert total == {"NodeE": {0}, "NodeD": {1}, "NodeC": {1}, "NodeB": {2}, "NodeA": {3, 4}, "DepA": {3, 4}}
-
-
 def test_clear_scratch(spark):
     import time
 

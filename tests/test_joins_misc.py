@@ -29,6 +29,22 @@ def test_wide_table_keeps_the_spine_and_rejects_repeated_columns(spark):
         wide_table(spine, "id", [f1.withColumnRenamed("id", "other")])
 
 
+def test_wide_table_rejects_a_second_row_for_an_id(spark):
+    spine = spark.createDataFrame([(1, "a"), (None, "b")], "id long, s string")
+    twice = spark.createDataFrame([(1, 10.0), (1, 20.0)], "id long, x double")
+    with pytest.raises(Exception, match="feature frame 0 has several rows for id 1"):
+        wide_table(spine, "id", [twice]).collect()
+    nulls = spark.createDataFrame([(None, 1.0), (None, 2.0), (1, None)], "id long, x double")
+    assert sorted(map(tuple, wide_table(spine, "id", [nulls]).collect()), key=str) == [(1, "a", None), (None, "b", None)]
+
+
+def test_wide_table_check_needs_no_other_shuffle(spark):
+    spine = spark.range(100).select("id")
+    feature = spark.range(1000).groupBy((F.col("id") % 100).alias("id")).agg(F.count("*").alias("n"))
+    plan = wide_table(spine, "id", [feature])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
 def test_counts(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "id long, name string")
     got = {(r["id"], r["name"]): r["count"] for r in group_count(df, ["id", "name"]).collect()}

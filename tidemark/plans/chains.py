@@ -5,11 +5,14 @@ source (a root read whole, whatever the month) or a build function over its
 dependencies. ``frame(spark, table, period)`` composes the lazy
 DataFrames of the whole chain for one run month: each dependency is resolved
 at the run month minus its offset, lags add up along a path, and a table
-reached by two paths is read at two months. Catalyst sees one plan, with each
+reached by two paths is read at two months. Each (table, month) is built once
+however many paths lead to it, so the number of build calls grows with the
+tables and months, not with the paths. Catalyst sees one plan, with each
 source scan pruned to its month.
 
 ``run`` writes one month of a table, ``backfill_table`` many months in one
-job; ``needed_periods`` lists every (table, month) a run reads.
+job, ``run_chain`` every stored table of a chain in order, each (table, month)
+computed and written once; ``needed_periods`` lists the (table, month) pairs.
 """
 
 from __future__ import annotations
@@ -18,14 +21,23 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.periods import Period, PeriodLike, as_periods
-from tidemark.operators.schema import check_id, conform
-from tidemark.sources.tables import read_external, read_latest_available, read_period, read_trailing
-from tidemark.sources.writes import backfill, replace_period
+from tidemark.functions.periods import Period, PeriodLike, as_periods, period_index
+from tidemark.operators.schema import PERIOD_COLUMNS, check_id, conform, declare_schema
+from tidemark.sources.tables import (
+    read_external,
+    read_latest_available,
+    read_most_recent,
+    read_period,
+    read_periods,
+    read_table,
+    read_trailing,
+)
+from tidemark.sources.writes import backfill, backfill_range, replace_period
 
-MODES = ("offset", "latest", "trailing")
+MODES = ("offset", "latest", "trailing", "most_recent")
 
 
 @dataclass(frozen=True, eq=False)
@@ -51,6 +63,7 @@ class Table:
     schema: "T.StructType | None" = None
     id_col: "str | None" = None
     external: bool = False
+    build_range: "Callable[..., DataFrame] | None" = None
 
     def at(self, offset: int = 0) -> Dependency:
         return Dependency(self, offset)
@@ -63,68 +76,147 @@ class Table:
         """The last ``k + 1`` available months not after the run month minus ``offset``."""
         return Dependency(self, offset, "trailing", k)
 
+    def most_recent(self) -> Dependency:
+        """The table's last available month, whatever the run month (it may lie after it)."""
+        return Dependency(self, 0, "most_recent")
 
-def source(name: str, root: str) -> Table:
-    """A stored monthly table, read one month at a time."""
-    return Table(name=name, root=root)
 
+def source(name: str, root: str, schema: "T.StructType | None" = None) -> Table:
+    """A stored monthly table, read one month at a time; with ``schema`` no file is opened to find its columns."""
+    return Table(name=name, root=root, schema=schema)
 
-def external(name: str, path: str) -> Table:
+
+def external(name: str, path: str, schema: "T.StructType | None" = None) -> Table:
     """A table outside the project, read whole for any month."""
-    return Table(name=name, root=path, external=True)
+    return Table(name=name, root=path, schema=schema, external=True)
 
 
-def table(name: str, build: Callable[..., DataFrame], deps: Iterable = (), root: "str | None" = None,
-          schema: "T.StructType | None" = None, id_col: "str | None" = None) -> Table:
+def table(name: str, build: "Callable[..., DataFrame] | None", deps: Iterable = (), root: "str | None" = None,
+          schema: "T.StructType | None" = None, id_col: "str | None" = None,
+          build_range: "Callable[..., DataFrame] | None" = None) -> Table:
     """A derived table: ``build(period, *inputs)`` with inputs in the order of ``deps``.
 
     A dependency given as a bare ``Table`` is read at offset 0. With
     ``schema`` the result is conformed to it; with ``id_col`` (a wide table
     with no fixed schema) the id column is checked instead.
+
+    ``build_range(*inputs)`` does the same for many months at once: its inputs
+    and result carry the run month in ``year`` and ``month`` (typically it
+    groups by them). Backfills then need one plan for any number of months.
     """
     if schema is not None and id_col is not None:
         raise ValueError("a table has either a schema or an id column, not both")
+    if schema is not None and not any(f.name in PERIOD_COLUMNS and not f.nullable for f in schema.fields):
+        schema = declare_schema(schema)
     resolved = tuple(d if isinstance(d, Dependency) else Dependency(d) for d in deps)
-    return Table(name=name, build=build, deps=resolved, root=root, schema=schema, id_col=id_col)
+    return Table(name=name, build=build, deps=resolved, root=root, schema=schema, id_col=id_col, build_range=build_range)
+
 
+class _Chain:
+    """The frames of one request, each (table, month) made once, and each undeclared root's columns looked up once."""
 
-def _read_dep(spark: SparkSession, dep: Dependency, period: Period, use_stored: frozenset) -> DataFrame:
-    at = period.minus(dep.offset)
-    t = dep.table
-    if dep.mode == "offset":
-        return frame(spark, t, at, use_stored=use_stored)
-    if t.external:
-        return read_external(spark, t.root)
-    if t.root is None or (t.build is not None and t.name not in use_stored):
-        raise ValueError(f"table {t.name} has to be stored to be read by availability")
-    if dep.mode == "latest":
-        return read_latest_available(spark, t.root, at).drop("year", "month")
-    return read_trailing(spark, t.root, at, dep.k)
+    def __init__(self, spark: SparkSession, use_stored: Iterable[str]):
+        self.spark = spark
+        self.stored = frozenset(use_stored)
+        self.frames: dict[tuple, DataFrame] = {}
+        self.schemas: dict[str, T.StructType] = {}
+
+    def is_read(self, t: Table) -> bool:
+        return t.build is None and t.build_range is None or t.name in self.stored
+
+    def schema(self, t: Table) -> T.StructType:
+        if t.schema is not None:
+            return t.schema
+        if t.root not in self.schemas:
+            self.schemas[t.root] = read_table(self.spark, t.root).schema
+        return self.schemas[t.root]
+
+    def root(self, t: Table) -> str:
+        if t.root is None:
+            raise ValueError(f"table {t.name} has no root to read from")
+        return t.root
+
+    def external(self, t: Table) -> DataFrame:
+        key = (id(t), "external")
+        if key not in self.frames:
+            self.frames[key] = read_external(self.spark, t.root, schema=t.schema)
+        return self.frames[key]
+
+    def checked(self, t: Table, out: "DataFrame | None", what: str, keep: tuple = ()) -> DataFrame:
+        if out is None:
+            raise ValueError(f"table {t.name} returned nothing for {what}")
+        if t.schema is not None:
+            return conform(out, t.schema, keep)
+        return check_id(out, t.id_col) if t.id_col is not None else out
+
+    def month(self, t: Table, p: Period) -> DataFrame:
+        if t.external:
+            return self.external(t)
+        key = (id(t), p)
+        if key not in self.frames:
+            if self.is_read(t):
+                self.frames[key] = read_period(self.spark, self.root(t), p, schema=self.schema(t))
+            else:
+                if t.build is None:
+                    raise ValueError(f"table {t.name} is only defined for ranges of months")
+                self.frames[key] = self.checked(t, t.build(p, *[self.dep(d, p) for d in t.deps]), str(p))
+        return self.frames[key]
+
+    def dep(self, d: Dependency, p: Period) -> DataFrame:
+        at, t = p.minus(d.offset), d.table
+        if d.mode == "offset":
+            return self.month(t, at)
+        if t.external:
+            return self.external(t)
+        if t.root is None or not self.is_read(t):
+            raise ValueError(f"table {t.name} has to be stored to be read by availability")
+        key = (id(t), at, d.mode, d.k)
+        if key not in self.frames:
+            schema = self.schema(t)
+            if d.mode == "latest":
+                found = read_latest_available(self.spark, t.root, at, schema=schema).drop(*PERIOD_COLUMNS)
+            elif d.mode == "most_recent":
+                found = read_most_recent(self.spark, t.root, schema=schema).drop(*PERIOD_COLUMNS)
+            else:
+                found = read_trailing(self.spark, t.root, at, d.k, schema=schema)
+            self.frames[key] = found
+        return self.frames[key]
+
+    def months(self, t: Table, wanted: list[Period]) -> DataFrame:
+        """The table's rows of all the months, with their year and month."""
+        key = (id(t), tuple(wanted))
+        if key not in self.frames:
+            if self.is_read(t):
+                self.frames[key] = read_periods(self.spark, self.root(t), wanted, schema=self.schema(t))
+            else:
+                inputs = [self.external(d.table) if d.table.external else self.lagged(d, wanted) for d in t.deps]
+                self.frames[key] = self.checked(t, t.build_range(*inputs), f"{wanted[0]} to {wanted[-1]}", PERIOD_COLUMNS)
+        return self.frames[key]
+
+    def lagged(self, d: Dependency, wanted: list[Period]) -> DataFrame:
+        """A dependency's rows under the run months that read them."""
+        if d.offset == 0:
+            return self.months(d.table, wanted)
+        rows = self.months(d.table, [p.minus(d.offset) for p in wanted])
+        run = period_index() + d.offset
+        return rows.withColumns({"year": F.floor(run / 12).cast("int"), "month": (run % 12 + 1).cast("int")})
+
+
+def _by_range(t: Table, stored: frozenset) -> bool:
+    """Whether the table and all it is built from can be made for many months at once."""
+    if t.external or t.build is None and t.build_range is None or t.name in stored:
+        return True
+    return t.build_range is not None and all(d.mode == "offset" and _by_range(d.table, stored) for d in t.deps)
 
 
 def frame(spark: SparkSession, t: Table, period: PeriodLike, *, use_stored: Iterable[str] = ()) -> DataFrame:
     """The table's frame for one month, as one lazy plan over its sources.
 
     Tables named in ``use_stored`` are read from their root instead of being
-    built again.
+    built again. A table that several others read is built once, but Spark
+    computes its plan for each reader; store it and name it here where that is costly.
     """
-    p = Period.of(period)
-    stored = frozenset(use_stored)
-    if t.external:
-        return read_external(spark, t.root)
-    if t.build is None or t.name in stored:
-        if t.root is None:
-            raise ValueError(f"table {t.name} has no root to read from")
-        return read_period(spark, t.root, p)
-    inputs = [_read_dep(spark, d, p, stored) for d in t.deps]
-    out = t.build(p, *inputs)
-    if out is None:
-        raise ValueError(f"table {t.name} returned nothing for {p}")
-    if t.schema is not None:
-        return conform(out, t.schema)
-    if t.id_col is not None:
-        return check_id(out, t.id_col)
-    return out
+    return _Chain(spark, use_stored).month(t, Period.of(period))
 
 
 def run(spark: SparkSession, t: Table, period: PeriodLike, *, use_stored: Iterable[str] = (),
@@ -141,20 +233,69 @@ def run(spark: SparkSession, t: Table, period: PeriodLike, *, use_stored: Iterab
 
 def backfill_table(spark: SparkSession, t: Table, periods: Iterable[PeriodLike], *,
                    use_stored: Iterable[str] = ()) -> list[Period]:
-    """Compute many months of a table and write them in one Spark job."""
+    """Compute many months of a table and write them in one Spark job.
+
+    Where the table and its inputs have ``build_range`` (or are read), the
+    plan is the same for any number of months; otherwise it holds one frame per month.
+    """
     if t.root is None:
         raise ValueError(f"table {t.name} has no root to write to")
-    return backfill(spark, t.root, lambda p: frame(spark, t, p, use_stored=use_stored), as_periods(periods))
+    chain, wanted = _Chain(spark, use_stored), as_periods(periods)
+    if t.build_range is not None and _by_range(t, chain.stored - {t.name}):
+        return backfill_range(spark, t.root, lambda months: chain.months(t, months), wanted)
+    return backfill(spark, t.root, lambda p: chain.month(t, p), wanted)
+
+
+def run_chain(spark: SparkSession, t: Table, period: PeriodLike) -> dict[str, list[Period]]:
+    """Run a chain for one month: every table with a root is written for the months that are needed of it.
+
+    Tables are written after those they read, each (table, month) once, and read
+    back from then on. Returns the months written by table.
+    """
+    needed = needed_periods(t, period)
+    done: dict[str, list[Period]] = {}
+    for node in _in_order(t):
+        if (node.build is not None or node.build_range is not None) and node.root is not None:
+            done[node.name] = backfill_table(spark, node, needed[node.name], use_stored=list(done))
+    return done
+
+
+def _in_order(t: Table) -> list[Table]:
+    """All tables of a chain, each after those it reads."""
+    out: list[Table] = []
+    seen: set[int] = set()
+
+    def visit(node: Table) -> None:
+        if id(node) in seen:
+            return
+        seen.add(id(node))
+        for d in node.deps:
+            visit(d.table)
+        out.append(node)
+
+    visit(t)
+    return out
 
 
 def needed_periods(t: Table, period: PeriodLike) -> dict[str, set[Period]]:
-    """Every (table name -> months) that a run of ``t`` for ``period`` reads or builds."""
+    """Every (table name -> months) that a run of ``t`` for ``period`` reads or builds.
+
+    Which months are available is known to the store alone. Without it a
+    trailing dependency is taken to need its ``k + 1`` calendar months, and a latest or most
+    recent one the run month minus its offset.
+    """
     out: dict[str, set[Period]] = {}
+    seen: set[tuple] = set()
 
-    def visit(node: Table, p: Period):
+    def visit(node: Table, p: Period) -> None:
+        if (id(node), p) in seen:
+            return
+        seen.add((id(node), p))
         out.setdefault(node.name, set()).add(p)
         for d in node.deps:
-            visit(d.table, p.minus(d.offset))
+            at = p.minus(d.offset)
+            for back in range(d.k + 1 if d.mode == "trailing" else 1):
+                visit(d.table, at.minus(back))
 
     visit(t, Period.of(period))
     return out

@@ -21,7 +21,9 @@ def wide_table(spine: DataFrame, id_col: str, features: Sequence[DataFrame]) ->
     """Left-join feature frames to a spine on one id column, then check the id.
 
     Each feature frame must carry ``id_col`` and hold at most one row per id
-    (aggregate first), so the spine's row count is kept.
+    (null ids aside, which join nothing), so that the spine's rows are kept; a
+    second row for an id fails the job. The check is an aggregate on the id, which
+    a frame that is keyed by it passes without another shuffle.
     """
     check_id(spine, id_col)
     out = spine
@@ -30,10 +32,19 @@ def wide_table(spine: DataFrame, id_col: str, features: Sequence[DataFrame]) ->
         clash = [c for c in feat.columns if c != id_col and c in out.columns]
         if clash:
             raise ValueError(f"feature frame {i} repeats columns {clash} of the wide table")
-        out = out.join(feat, id_col, "left")
+        out = out.join(_one_per_id(feat, id_col, i), id_col, "left")
     return check_id(out, id_col)
 
 
+def _one_per_id(feat: DataFrame, id_col: str, i: int) -> DataFrame:
+    values = [c for c in feat.columns if c != id_col]
+    known = feat.where(F.col(f"`{id_col}`").isNotNull())
+    grouped = known.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*[F.col(f"`{c}`") for c in values])).alias("__row"))
+    twice = F.raise_error(F.concat(F.lit(f"feature frame {i} has several rows for id "), F.col(f"`{id_col}`").cast("string")))
+    checked = F.when(F.col("__n") == 1, F.col("__row")).otherwise(twice.cast(grouped.schema["__row"].dataType))
+    return grouped.select(id_col, checked.alias("__row")).select(id_col, *[F.col("__row").getField(c).alias(c) for c in values])
+
+
 def lagged_join(current: DataFrame, lagged: DataFrame, keys, *, suffix: str = "_lag", how: str = "left") -> DataFrame:
     """Join a month's frame with the same (or another) frame some months earlier.
 
