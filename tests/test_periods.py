@@ -8,6 +8,7 @@ from tidemark.functions.periods import (
     current,
     last_day_of_month,
     month_end,
+    month_end_date,
     period_key,
     period_range,
     previous,
@@ -74,7 +75,8 @@ def test_column_functions(spark):
     assert row["d_last"] == dt.date(2020, 3, 31)
     assert row["key"] == "2020.02"
     assert row["prev"] == dt.date(2020, 2, 29)
-    assert row["d_end"] in (dt.date(2020, 3, 31), dt.datetime(2020, 3, 31))
+    assert row["d_end"] == dt.datetime(2020, 3, 31)
+    assert df.select(month_end_date("d").alias("x")).first()["x"] == dt.date(2020, 3, 31)
 
 
 def test_period_of_path():

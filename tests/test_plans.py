@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_module
 from tests.conftest import SF_CHECK
+from tidemark.plans.catalog import QUERIES
 
 
 def _plan(df) -> str:
@@ -14,7 +14,7 @@ def _plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: (fn(spark, SF_CHECK)) for name, fn in entry_module.queries().items()}
+    return {name: (fn(spark, SF_CHECK)) for name, fn in QUERIES.items()}
 
 
 def test_no_query_pairs_rows(plans):
@@ -56,8 +56,13 @@ def test_config_join_is_broadcast(plans):
 
 def test_lagged_chain_joins_aggregates_without_another_shuffle(plans):
     plan = _plan(plans["lagged_chain"])
-    # one shuffle per month's aggregate; the join reuses their partitioning
-    assert plan.count("Exchange hashpartitioning(o_custkey") == 2
+    # one shuffle per month's aggregate (lags 1, 2 and 3); the joins reuse their partitioning
+    assert plan.count("Exchange hashpartitioning(o_custkey") == 3
+
+
+def test_long_allow_list_reaches_the_reader(plans):
+    plan = _plan(plans["allowlist_count_long"])
+    assert "Join" not in plan and "In(o_orderkey" in plan
 
 
 def test_comparison_is_one_shuffle_on_the_key(plans):

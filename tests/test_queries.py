@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from tests.conftest import SF_CHECK
+from tidemark.plans.catalog import ORACLE_SQL, QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -39,14 +40,15 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.oracle_sql()) == set(entry_module.queries())
+    assert set(ORACLE_SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLE_SQL) <= set(entry_module.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    df = entry_module.queries()[name](spark, SF_CHECK)
+    df = QUERIES[name](spark, SF_CHECK)
     rows = df.collect()
-    rel = duck.sql(entry_module.oracle_sql()[name])
+    rel = duck.sql(ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
     cols = sorted(df.columns)
     got = sorted(tuple(_norm(r[c]) for c in cols) for r in rows)

@@ -20,6 +20,7 @@ from tidemark.functions import (
     spark_type,
 )
 from tidemark.operators import (
+    allow_from,
     allow_list,
     assert_frames_equal,
     check_id,
@@ -29,14 +30,16 @@ from tidemark.operators import (
     declare_schema,
     group_count,
     id_report,
+    row_count,
     stamp_period,
 )
-from tidemark.plans import backfill_table, external, frame, needed_periods, run, source, table, wide_table
+from tidemark.plans import backfill_table, external, frame, lagged_join, needed_periods, run, run_chain, source, table, wide_table
 from tidemark.session import build_session, clear_scratch, scratch_path, shared_dir
 from tidemark.sources import (
     backfill,
     backfill_range,
     clear_period,
+    clear_staging,
     config_frame,
     join_config,
     month_directories,
@@ -50,7 +53,6 @@ from tidemark.sources import (
     read_table,
     read_trailing,
     read_upto,
-    recover_writes,
     replace_period,
     replace_periods,
 )
@@ -58,12 +60,12 @@ from tidemark.sources import (
 __all__ = [
     "Period", "cast_columns", "current", "in_period", "last_day_of_month", "month_end", "period_key",
     "period_range", "previous", "shift_months", "spark_type",
-    "allow_list", "assert_frames_equal", "check_id", "compare_frames", "conform", "cut_lineage",
-    "declare_schema", "group_count", "id_report", "stamp_period",
-    "backfill_table", "external", "frame", "needed_periods", "run", "source", "table", "wide_table",
+    "allow_from", "allow_list", "assert_frames_equal", "check_id", "compare_frames", "conform", "cut_lineage",
+    "declare_schema", "group_count", "id_report", "row_count", "stamp_period",
+    "backfill_table", "external", "frame", "lagged_join", "needed_periods", "run", "run_chain", "source", "table", "wide_table",
     "build_session", "clear_scratch", "scratch_path", "shared_dir",
     "backfill", "backfill_range", "clear_period", "config_frame", "join_config", "month_directories",
     "partition_inventory", "read_external", "read_latest_available", "read_most_recent", "read_offset",
-    "read_period", "read_periods", "read_table", "read_trailing", "read_upto", "recover_writes",
+    "read_period", "read_periods", "read_table", "read_trailing", "read_upto", "clear_staging",
     "replace_period", "replace_periods",
 ]

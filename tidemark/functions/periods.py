@@ -145,13 +145,17 @@ def period_key(year="year", month="month") -> Column:
 
 
 def month_end(c) -> Column:
-    """Last day of the month. Dates give a date; timestamps keep their time of day."""
+    """A timestamp moved to the last day of its month, its time of day kept.
+
+    The result is a timestamp; for dates, ``month_end_date`` gives a date.
+    """
     c = _col(c)
     days_left = F.datediff(F.last_day(F.to_date(c)), F.to_date(c))
     return F.when(c.isNull(), None).otherwise(F.timestamp_add("DAY", days_left, c))
 
 
 def month_end_date(c) -> Column:
+    """The last day of the month, as a date."""
     return F.last_day(_col(c))
 
 

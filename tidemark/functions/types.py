@@ -39,16 +39,16 @@ def spark_type(name: "str | T.DataType") -> T.DataType:
     if isinstance(name, T.DataType):
         return name
     if not isinstance(name, str) or not name.strip():
-        raise ValueError(f"Could not find the Spark data type: {name!r}")
+        raise ValueError(f"{name!r} names no type")
     text = name.strip()
     if text in SIMPLE_TYPE_NAMES:
         return getattr(T, text)()
     if text.endswith("Type") and text[:1].isupper():
-        raise ValueError(f"Could not find the Spark data type: {name}")
+        raise ValueError(f"{name!r} names no type")
     try:
         return T.DataType.fromDDL(text)
     except Exception as exc:  # parse errors come back from the JVM
-        raise ValueError(f"Could not find the Spark data type: {name}") from exc
+        raise ValueError(f"{name!r} names no type") from exc
 
 
 def cast_columns(df: DataFrame, types: Mapping[str, "str | T.DataType"]) -> DataFrame:

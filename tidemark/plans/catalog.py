@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.periods import Period, in_period, month_end, month_end_date, period_columns, period_key, previous, shift_months
+from tidemark.functions.periods import Period, in_period, month_end, month_end_date, period_columns, period_key, period_range, previous, shift_months
 from tidemark.functions.types import cast_columns
+from tidemark.operators.aggregates import row_count
 from tidemark.operators.compare import compare_frames
-from tidemark.operators.filters import allow_list
+from tidemark.operators.filters import allow_from, allow_list
 from tidemark.operators.lineage import cut_lineage
 from tidemark.operators.schema import conform, id_report, stamp_period
-from tidemark.plans.chains import Table, backfill_table, external, frame, needed_periods, run, source, table
+from tidemark.plans.chains import Table, backfill_table, external, frame, run, run_chain, source, table
 from tidemark.plans.jobs import NAME_COUNTS_SCHEMA, name_counts
-from tidemark.plans.joins import wide_table
-from tidemark.plans.monthly_orders import orders_table
+from tidemark.plans.joins import lagged_join, wide_table
+from tidemark.plans.monthly_orders import orders_schema, orders_table
 from tidemark.session import scratch_path
+from tidemark.sources import fs
 from tidemark.sources.config import config_frame, join_config
 from tidemark.sources.inventory import partition_inventory
 from tidemark.sources.tables import (
@@ -73,52 +75,78 @@ def q_allowlist_count(spark, sf_dir):
 
 def q_month_read(spark, sf_dir):
     root = orders_table(spark, sf_dir)
-    return read_period(spark, root, RUN).select("o_orderkey", "o_custkey", "o_totalprice")
+    return read_period(spark, root, RUN, schema=orders_schema(spark, sf_dir)).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 def q_month_read_offset(spark, sf_dir):
     root = orders_table(spark, sf_dir)
-    return read_offset(spark, root, RUN, previous(3)).select("o_orderkey", "o_custkey", "o_totalprice")
+    return read_offset(spark, root, RUN, previous(3), schema=orders_schema(spark, sf_dir)).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 def q_external_read(spark, sf_dir):
     root = orders_table(spark, sf_dir)
     return (
-        read_external(spark, root)
+        read_external(spark, root, schema=orders_schema(spark, sf_dir))
         .groupBy("o_orderstatus")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_orderkey").alias("n_keys"))
     )
 
 
 def q_partition_inventory(spark, sf_dir):
-    root = orders_table(spark, sf_dir)
-    return partition_inventory(spark, root).select("year", "month", "n_rows")
+    """S4: months, their files and completeness from listings; one month's marker is gone."""
+    root = orders_table(spark, sf_dir, copy="inventory")
+    fs.delete(spark, f"{root}/year=1998/month=1/_SUCCESS")
+    return partition_inventory(spark, root).select("year", "month", (F.col("n_files") > 0).cast("int").alias("has_files"), "complete")
+
+
+def q_inventory_files(spark, sf_dir):
+    """S4: the number of files and rows of three months, one of them emptied."""
+    root = scratch_path(spark, "inventory")
+    months = orders_table(spark, sf_dir)
+    schema = orders_schema(spark, sf_dir)
+    for month in (9, 10, 11):
+        rows = read_period(spark, months, (1997, month), schema=schema)
+        replace_period(rows.where(F.lit(month != 10)).coalesce(1), root, (1997, month), rebalance=False)
+    return partition_inventory(spark, root, rows=True)
+
+
+def q_schema_drift_read(spark, sf_dir):
+    """S1-S7: a column that only later months have is kept, null before; once merged, once declared."""
+    root = scratch_path(spark, "drift")
+    months, schema = orders_table(spark, sf_dir), orders_schema(spark, sf_dir)
+    old = read_period(spark, months, (1997, 11), schema=schema).select("o_orderkey", "o_totalprice")
+    new = read_period(spark, months, (1997, 12), schema=schema).select("o_orderkey", "o_totalprice", "o_orderstatus")
+    replace_period(old, root, (1997, 11))
+    replace_period(new, root, (1997, 12))
+    declared = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderstatus", T.StringType())])
+    merged = read_upto(spark, root, RUN).select("o_orderkey", "o_orderstatus", "year", "month", F.lit("merged").alias("how"))
+    return merged.unionByName(read_periods(spark, root, [(1997, 11), (1997, 12), (1998, 1)], schema=declared).withColumn("how", F.lit("declared")))
 
 
 def q_bounded_periods(spark, sf_dir):
     root = orders_table(spark, sf_dir, gaps=True)
-    return _counts_by_month(read_upto(spark, root, RUN))
+    return _counts_by_month(read_upto(spark, root, RUN, schema=orders_schema(spark, sf_dir)))
 
 
 def q_trailing_periods(spark, sf_dir):
     root = orders_table(spark, sf_dir, gaps=True)
-    return _counts_by_month(read_trailing(spark, root, RUN, 3))
+    return _counts_by_month(read_trailing(spark, root, RUN, 3, schema=orders_schema(spark, sf_dir)))
 
 
 def q_latest_available(spark, sf_dir):
     root = orders_table(spark, sf_dir, gaps=True)
-    return read_latest_available(spark, root, RUN).select("o_orderkey", "o_totalprice")
+    return read_latest_available(spark, root, RUN, schema=orders_schema(spark, sf_dir)).select("o_orderkey", "o_totalprice")
 
 
 def q_most_recent(spark, sf_dir):
     root = orders_table(spark, sf_dir)
-    return read_most_recent(spark, root).select("o_orderkey", "o_totalprice")
+    return read_most_recent(spark, root, schema=orders_schema(spark, sf_dir)).select("o_orderkey", "o_totalprice")
 
 
 def q_config_table_join(spark, sf_dir):
     cfg = config_frame(spark, SEGMENT_TIERS, "segment", "segment string, tier string, discount int")
     customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return join_config(customer, cfg, "c_mktsegment", "segment", n_rows=len(SEGMENT_TIERS)).select(
+    return join_config(customer, cfg, "c_mktsegment", "segment").select(
         "c_custkey", "c_mktsegment", "tier", "discount"
     )
 
@@ -141,7 +169,7 @@ CONFORM_SCHEMA = T.StructType(
 
 def q_conform_schema(spark, sf_dir):
     root = orders_table(spark, sf_dir)
-    return conform(read_period(spark, root, RUN), CONFORM_SCHEMA)
+    return conform(read_period(spark, root, RUN, schema=orders_schema(spark, sf_dir)), CONFORM_SCHEMA)
 
 
 def q_stamp_period(spark, sf_dir):
@@ -164,59 +192,47 @@ def q_wide_table(spark, sf_dir):
     return wide_table(spine, "c_custkey", [per_customer])
 
 
-def _customer_counts(spark, sf_dir):
-    orders = source("orders_by_month", orders_table(spark, sf_dir))
-    return table(
-        "customer_counts",
-        lambda p, month: month.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")),
-        [orders.at(0)],
-    )
-
-
 def q_lagged_join(spark, sf_dir):
-    counts = _customer_counts(spark, sf_dir)
-    lagged = table(
-        "customer_counts_vs_lag2",
-        lambda p, now, lag: now.join(lag.withColumnRenamed("n", "n_lag"), "o_custkey", "left").select(
-            "o_custkey", F.col("n").alias("n_now"), F.coalesce("n_lag", F.lit(0)).alias("n_lag2")
-        ),
-        [counts.at(0), counts.at(previous(2))],
-    )
-    return frame(spark, lagged, RUN)
-
+    root, schema = orders_table(spark, sf_dir), orders_schema(spark, sf_dir)
+    now, lag = (_orders_per_customer(read_offset(spark, root, RUN, k, schema=schema)) for k in (0, previous(2)))
+    return lagged_join(now, lag, "o_custkey").withColumn("n_orders_lag", F.coalesce("n_orders_lag", F.lit(0).cast("long")))
 
-def lag_chain(spark, sf_dir, node_a_root=None):
-    """The five-table chain E -> D(1) -> C -> {B(1) -> A(2), A(2)}, A -> orders(0)."""
-    dep_a = source("DepA", orders_table(spark, sf_dir))
-    node_a = table("NodeA", lambda p, m: m.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), [dep_a.at(0)],
-                   root=node_a_root)
-    node_b = table("NodeB", lambda p, a: a, [node_a.at(2)])
 
-    def join_c(p, b, a):
-        b2 = b.select("o_custkey", F.col("n").alias("n_b"))
-        a2 = a.select("o_custkey", F.col("n").alias("n_a"))
-        return b2.join(a2, "o_custkey", "full_outer").select(
-            "o_custkey", F.coalesce("n_b", F.lit(0)).alias("n_b"), F.coalesce("n_a", F.lit(0)).alias("n_a")
-        )
+def customer_chain(spark, sf_dir, stored=False):
+    """Customers that lapsed: three months ago they ordered, last month they were not on a streak.
 
-    node_c = table("NodeC", join_c, [node_b.at(1), node_a.at(2)])
-    node_d = table("NodeD", lambda p, c: c, [node_c.at(0)])
-    node_e = table("NodeE", lambda p, d: d, [node_d.at(1)])
-    return {"NodeA": node_a, "NodeB": node_b, "NodeC": node_c, "NodeD": node_d, "NodeE": node_e}
+    ``spend`` counts a customer's orders in a month; ``streak`` holds those who
+    ordered in a month and in the one before; ``lapsed`` reads ``spend`` three
+    months back and ``streak`` one month back, so ``spend`` is reached at lags 1, 2 and 3.
+    """
+    root = (lambda name: scratch_path(spark, name)) if stored else (lambda name: None)
+    orders = source("orders", orders_table(spark, sf_dir), orders_schema(spark, sf_dir))
+    count = F.count(F.lit(1)).alias("n_orders")
+    spend = table(
+        "spend",
+        lambda p, month: month.groupBy("o_custkey").agg(count),
+        [orders.at(0)],
+        root=root("spend"),
+        build_range=lambda months: months.groupBy("o_custkey", "year", "month").agg(count),
+    )
+    streak = table("streak", lambda p, now, before: now.join(before.select("o_custkey"), "o_custkey", "left_semi"),
+                   [spend.at(0), spend.at(1)], root=root("streak"))
+    return table("lapsed", lambda p, then, on: then.join(on.select("o_custkey"), "o_custkey", "left_anti").select("o_custkey", "n_orders"),
+                 [spend.at(3), streak.at(1)], root=root("lapsed"))
 
 
 def q_lagged_chain(spark, sf_dir):
-    return frame(spark, lag_chain(spark, sf_dir)["NodeE"], RUN)
+    return frame(spark, customer_chain(spark, sf_dir), RUN)
 
 
 # --- writes ---------------------------------------------------------------------
 
 def q_replace_period(spark, sf_dir):
-    root = orders_table(spark, sf_dir, copy="replace")
+    root, schema = orders_table(spark, sf_dir, copy="replace"), orders_schema(spark, sf_dir)
     january = Period(1998, 1)
-    finished = read_period(spark, root, january).where(F.col("o_orderstatus") == "F")
+    finished = read_period(spark, root, january, schema=schema).where(F.col("o_orderstatus") == "F")
     replace_period(finished, root, january)
-    return read_table(spark, root).groupBy("year", "month").agg(
+    return read_table(spark, root, schema=schema).groupBy("year", "month").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("o_orderkey").alias("max_key")
     )
 
@@ -224,21 +240,23 @@ def q_replace_period(spark, sf_dir):
 def q_delete_period(spark, sf_dir):
     root = orders_table(spark, sf_dir, copy="delete")
     clear_period(spark, root, Period(1998, 1))
-    return _counts_by_month(read_table(spark, root))
+    return _counts_by_month(read_table(spark, root, schema=orders_schema(spark, sf_dir)))
 
 
 def q_rerun_period(spark, sf_dir):
     source_root = orders_table(spark, sf_dir)
     root = scratch_path(spark, "rerun")
     for _ in range(2):  # an aggregate of one month: written as it comes out of its shuffle
-        replace_period(_orders_per_customer(read_period(spark, source_root, RUN)), root, RUN, rebalance=False)
+        month = read_period(spark, source_root, RUN, schema=orders_schema(spark, sf_dir))
+        replace_period(_orders_per_customer(month), root, RUN, rebalance=False)
     return read_table(spark, root).select("o_custkey", "n_orders", "year", "month")
 
 
 def q_backfill_periods(spark, sf_dir):
     source_root = orders_table(spark, sf_dir)
     root = scratch_path(spark, "backfill")
-    backfill(spark, root, lambda p: _orders_per_customer(read_period(spark, source_root, p)),
+    schema = orders_schema(spark, sf_dir)
+    backfill(spark, root, lambda p: _orders_per_customer(read_period(spark, source_root, p, schema=schema)),
              [Period(1997, 10), Period(1997, 11)])
     return read_table(spark, root).select("o_custkey", "n_orders", "year", "month")
 
@@ -317,7 +335,7 @@ def q_backfill_periods_range(spark, sf_dir):
     root = scratch_path(spark, "backfill-range")
 
     def job(periods):
-        return read_periods(spark, source_root, periods).groupBy("o_custkey", "year", "month").agg(
+        return read_periods(spark, source_root, periods, schema=orders_schema(spark, sf_dir)).groupBy("o_custkey", "year", "month").agg(
             F.count(F.lit(1)).alias("n_orders")
         )
 
@@ -326,10 +344,53 @@ def q_backfill_periods_range(spark, sf_dir):
 
 
 def q_lagged_chain_stored(spark, sf_dir):
-    """The chain with NodeA backfilled first (one job) and read back by month."""
-    nodes = lag_chain(spark, sf_dir, node_a_root=scratch_path(spark, "NodeA"))
-    backfill_table(spark, nodes["NodeA"], needed_periods(nodes["NodeE"], RUN)["NodeA"])
-    return frame(spark, nodes["NodeE"], RUN, use_stored=["NodeA"])
+    """The chain with every (table, month) computed and written once, read back for the next."""
+    lapsed = customer_chain(spark, sf_dir, stored=True)
+    run_chain(spark, lapsed, RUN)
+    return read_period(spark, lapsed.root, RUN)
+
+
+def q_backfill_table_range(spark, sf_dir):
+    """W4: a table of a chain for a whole year from one plan."""
+    spend = customer_chain(spark, sf_dir, stored=True).deps[0].table
+    backfill_table(spark, spend, period_range((1997, 1), (1997, 12)))
+    return read_table(spark, spend.root)
+
+
+def q_allowlist_count_long(spark, sf_dir):
+    """a list of 20,000 order keys, given as text keys would be after a config load: as floats, in another case."""
+    keys = [float(k) for k in range(1, 40_001, 2)]
+    picked = allow_list(_table(spark, sf_dir, "orders"), "O_ORDERKEY", keys)
+    return picked.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"), F.max("o_orderkey").alias("max_key"))
+
+
+def q_allow_from(spark, sf_dir):
+    """the allowed values come from a frame; a semi join."""
+    building = _table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
+    return group_count_by_status(allow_from(_table(spark, sf_dir, "orders"), "o_custkey", building, "c_custkey"))
+
+
+def group_count_by_status(orders: DataFrame) -> DataFrame:
+    return orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+def q_row_count(spark, sf_dir):
+    return row_count(_table(spark, sf_dir, "lineitem"))
+
+
+def q_frame_diff_types(spark, sf_dir):
+    """C1 on mixed types: decimals exact, whole numbers against floats unrounded, infinities unequal to all else."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    urgent, high = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority") == "2-HIGH"
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    expected = orders.select("o_orderkey", price.alias("price"), "o_custkey", F.col("o_totalprice").alias("total"))
+    generated = orders.select(
+        F.col("o_orderkey").cast("int").alias("o_orderkey"),
+        F.when(urgent, price + F.lit(0.01).cast("decimal(18,2)")).otherwise(price).cast("decimal(20,3)").alias("price"),
+        (F.col("o_custkey") + F.when(high, 0.5).otherwise(0.0)).alias("o_custkey"),
+        F.when(urgent, float("inf")).otherwise(F.col("o_totalprice")).alias("total"),
+    )
+    return compare_frames(expected, generated, keys="o_orderkey")
 
 
 def q_month_end_time(spark, sf_dir):
@@ -354,6 +415,12 @@ def q_supplier_months(spark, sf_dir):
     return read_table(spark, root)
 
 
+def prepare(spark: SparkSession, sf_dir: str) -> None:
+    """Fresh copies for the queries that change their table (the bench builds them outside the timing)."""
+    for copy in ("replace", "delete", "inventory"):
+        orders_table(spark, sf_dir, copy=copy, fresh=True)
+
+
 QUERIES = {
     "allowlist_count": q_allowlist_count,
     "month_read": q_month_read,
@@ -385,6 +452,13 @@ QUERIES = {
     "month_end_time": q_month_end_time,
     "id_report": q_id_report,
     "supplier_months": q_supplier_months,
+    "inventory_files": q_inventory_files,
+    "schema_drift_read": q_schema_drift_read,
+    "allowlist_count_long": q_allowlist_count_long,
+    "allow_from": q_allow_from,
+    "row_count": q_row_count,
+    "frame_diff_types": q_frame_diff_types,
+    "backfill_table_range": q_backfill_table_range,
 }
 
 _GAPS = "(SELECT * FROM orders WHERE month(o_orderdate) NOT IN (1, 2))"
@@ -399,7 +473,24 @@ ORACLE_SQL = {
     "external_read": "SELECT o_orderstatus, count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_keys "
     "FROM orders GROUP BY o_orderstatus",
     "partition_inventory": "SELECT cast(year(o_orderdate) AS int) AS year, cast(month(o_orderdate) AS int) AS month, "
-    "count(*) AS n_rows FROM orders GROUP BY 1, 2",
+    "1 AS has_files, NOT (year(o_orderdate) = 1998 AND month(o_orderdate) = 1) AS complete FROM orders GROUP BY 1, 2, 4",
+    "inventory_files": "SELECT 1997 AS year, m AS month, cast(m <> 10 AS bigint) AS n_files, true AS complete, "
+    "(SELECT count(*) FROM orders WHERE year(o_orderdate) = 1997 AND month(o_orderdate) = m AND m <> 10) AS n_rows "
+    "FROM (SELECT unnest([9, 10, 11]) AS m)",
+    "schema_drift_read": "SELECT o_orderkey, CASE WHEN month(o_orderdate) = 12 THEN o_orderstatus END AS o_orderstatus, "
+    "1997 AS year, cast(month(o_orderdate) AS int) AS month, how FROM orders, (SELECT unnest(['merged', 'declared']) AS how) "
+    "WHERE o_orderdate >= TIMESTAMP '1997-11-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00'",
+    "allowlist_count_long": "SELECT o_orderstatus, count(*) AS n_orders, max(o_orderkey) AS max_key FROM orders "
+    "WHERE o_orderkey BETWEEN 1 AND 40000 AND o_orderkey % 2 = 1 GROUP BY 1",
+    "allow_from": "SELECT o_orderstatus, count(*) AS n_orders FROM orders WHERE o_custkey IN "
+    "(SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1",
+    "row_count": "SELECT count(*) AS n_rows FROM lineitem",
+    "frame_diff_types": "SELECT '<rows>' AS column_name, 0 AS n_diff UNION ALL "
+    "SELECT 'price', count(*) FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL "
+    "SELECT 'o_custkey', count(*) FROM orders WHERE o_orderpriority = '2-HIGH' AND abs(0.5) > 1e-8 + 1e-5 * abs(o_custkey + 0.5) UNION ALL "
+    "SELECT 'total', count(*) FROM orders WHERE o_orderpriority = '1-URGENT'",
+    "backfill_table_range": "SELECT o_custkey, count(*) AS n_orders, 1997 AS year, cast(month(o_orderdate) AS int) AS month "
+    "FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1, 4",
     "latest_available": f"SELECT o_orderkey, o_totalprice FROM {_GAPS} g WHERE date_trunc('month', o_orderdate) = "
     f"(SELECT max(date_trunc('month', o_orderdate)) FROM {_GAPS} h WHERE o_orderdate < TIMESTAMP '1998-03-01 00:00:00')",
     "trailing_periods": f"WITH g AS {_GAPS}, p AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM g "
@@ -417,7 +508,7 @@ ORACLE_SQL = {
     "wide_table": "SELECT c.c_custkey, c.c_mktsegment, n.n_name, a.n_orders, a.max_price FROM customer c "
     "LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, "
     "max(o_totalprice) AS max_price FROM orders GROUP BY o_custkey) a ON c.c_custkey = a.o_custkey",
-    "lagged_join": "SELECT a.o_custkey, a.n AS n_now, coalesce(b.n, 0) AS n_lag2 FROM (SELECT o_custkey, count(*) AS n "
+    "lagged_join": "SELECT a.o_custkey, a.n AS n_orders, coalesce(b.n, 0) AS n_orders_lag FROM (SELECT o_custkey, count(*) AS n "
     "FROM orders WHERE o_orderdate >= TIMESTAMP '1998-02-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-03-01 00:00:00' "
     "GROUP BY 1) a LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1997-12-01 00:00:00' "
     "AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1) b ON a.o_custkey = b.o_custkey",
@@ -431,10 +522,9 @@ ORACLE_SQL = {
     "backfill_periods": "SELECT o_custkey, count(*) AS n_orders, cast(year(o_orderdate) AS int) AS year, "
     "cast(month(o_orderdate) AS int) AS month FROM orders WHERE o_orderdate >= TIMESTAMP '1997-10-01 00:00:00' "
     "AND o_orderdate < TIMESTAMP '1997-12-01 00:00:00' GROUP BY 1, 3, 4",
-    "lagged_chain": "WITH a AS (SELECT o_custkey, year(o_orderdate)*12 + month(o_orderdate) - 1 AS p, count(*) AS n "
-    "FROM orders GROUP BY 1, 2), b AS (SELECT o_custkey, n FROM a WHERE p = 1998*12 + 2 - 1 - 4), "
-    "c AS (SELECT o_custkey, n FROM a WHERE p = 1998*12 + 2 - 1 - 3) SELECT coalesce(b.o_custkey, c.o_custkey) AS o_custkey, "
-    "coalesce(b.n, 0) AS n_b, coalesce(c.n, 0) AS n_a FROM b FULL OUTER JOIN c ON b.o_custkey = c.o_custkey",
+    "lagged_chain": "WITH spend AS (SELECT o_custkey, 1998*12 + 1 - (year(o_orderdate)*12 + month(o_orderdate) - 1) AS lag, count(*) AS n_orders "
+    "FROM orders GROUP BY 1, 2) SELECT o_custkey, n_orders FROM spend WHERE lag = 3 AND o_custkey NOT IN "
+    "(SELECT o_custkey FROM spend WHERE lag = 1 INTERSECT SELECT o_custkey FROM spend WHERE lag = 2)",
     "period_dates": "SELECT o_orderkey, last_day(cast(o_orderdate AS date)) AS month_end, "
     "concat(cast(year(o_orderdate) AS string), '.', lpad(cast(month(o_orderdate) AS string), 2, '0')) AS period_key, "
     "cast(cast(o_orderdate AS date) - INTERVAL '1' MONTH AS date) AS prev_month_day FROM orders",
@@ -461,10 +551,9 @@ ORACLE_SQL = {
     "backfill_periods_range": "SELECT o_custkey, count(*) AS n_orders, cast(year(o_orderdate) AS int) AS year, "
     "cast(month(o_orderdate) AS int) AS month FROM orders WHERE o_orderdate >= TIMESTAMP '1997-10-01 00:00:00' "
     "AND o_orderdate < TIMESTAMP '1997-12-01 00:00:00' GROUP BY 1, 3, 4",
-    "lagged_chain_stored": "WITH a AS (SELECT o_custkey, year(o_orderdate)*12 + month(o_orderdate) - 1 AS p, count(*) AS n "
-    "FROM orders GROUP BY 1, 2), b AS (SELECT o_custkey, n FROM a WHERE p = 1998*12 + 2 - 1 - 4), "
-    "c AS (SELECT o_custkey, n FROM a WHERE p = 1998*12 + 2 - 1 - 3) SELECT coalesce(b.o_custkey, c.o_custkey) AS o_custkey, "
-    "coalesce(b.n, 0) AS n_b, coalesce(c.n, 0) AS n_a FROM b FULL OUTER JOIN c ON b.o_custkey = c.o_custkey",
+    "lagged_chain_stored": "WITH spend AS (SELECT o_custkey, 1998*12 + 1 - (year(o_orderdate)*12 + month(o_orderdate) - 1) AS lag, count(*) AS n_orders "
+    "FROM orders GROUP BY 1, 2) SELECT o_custkey, n_orders FROM spend WHERE lag = 3 AND o_custkey NOT IN "
+    "(SELECT o_custkey FROM spend WHERE lag = 1 INTERSECT SELECT o_custkey FROM spend WHERE lag = 2)",
     "month_end_time": "SELECT event_id, ts + to_days(CAST(date_diff('day', CAST(ts AS date), last_day(ts)) AS INTEGER)) "
     "AS month_end_ts FROM events",
     "supplier_months": "SELECT l_suppkey, count(*) AS n_lines, count(DISTINCT l_orderkey) AS n_orders, "

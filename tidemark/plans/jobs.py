@@ -11,6 +11,7 @@ from tidemark.operators.aggregates import group_count
 from tidemark.operators.filters import allow_list
 from tidemark.operators.schema import conform, declare_schema
 
+# The columns of the worked job's result.
 NAME_COUNTS_SCHEMA = declare_schema(
     T.StructType(
         [

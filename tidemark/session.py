@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Settings for local runs (tests, bench). On a cluster the deployment's own
-# settings apply; nothing in the library depends on these values.
+# settings apply. Results depend on none of them; the sizes of written files and the
+# splitting of large months and keys rely on AQE (on by default in Spark).
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
@@ -34,9 +35,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 
-    This is the cluster's ``spark.checkpoint.dir``. Only when the session has
-    none (a bare local session, as in tests) is a local folder set as the
-    checkpoint directory.
+    This is the cluster's ``spark.checkpoint.dir``. Only a local session
+    (as in tests) that has none gets a local folder as checkpoint directory;
+    on a cluster it must be set.
     """
     sc = spark.sparkContext
     current_dir = sc.getCheckpointDir()
@@ -44,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current_dir.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tidemark-checkpoints-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir().rstrip("/")
