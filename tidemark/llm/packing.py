@@ -29,12 +29,11 @@ from tidemark.llm.tokens import encoder, vocabulary_path
 MAX_LEN = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-MARK = "<|startoftext|>"
 
 
-def _cut(path: str, spaces: bool, mark: str, end_id: int, max_len: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut(path: str, spaces: bool, end_id: int, max_len: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, spaces, mark)
+        enc = encoder(path, spaces)
         for batch in given:
             rows, starts, lengths, crcs, totals = [], [], [], [], []
             for row, ids in enumerate(enc.each(t.as_py() for t in batch.column("text"))):
@@ -95,15 +94,15 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return out
 
 
-def token_pieces(docs: DataFrame, id: str, text: str, path: str, spaces: bool = False, mark: str = MARK, end_id: int = END_ID, max_len: int = MAX_LEN) -> DataFrame:
+def token_pieces(docs: DataFrame, id: str, text: str, path: str, spaces: bool = False, end_id: int = END_ID, max_len: int = MAX_LEN) -> DataFrame:
     given = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    return given.mapInArrow(_cut(path, spaces, mark, end_id, max_len), "id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return given.mapInArrow(_cut(path, spaces, end_id, max_len), "id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, spaces: bool = False, mark: str = MARK, end_id: int = END_ID, max_len: int = MAX_LEN) -> DataFrame:
+def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, spaces: bool = False, end_id: int = END_ID, max_len: int = MAX_LEN) -> DataFrame:
     """One row per piece: ``id``, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = stored(token_pieces(docs, id, text, path or vocabulary_path(VOCABULARY), spaces, mark, end_id, max_len), "pieces")
+    pieces = stored(token_pieces(docs, id, text, path or vocabulary_path(VOCABULARY), spaces, end_id, max_len), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # max_len rows at most
     where = spark.createDataFrame(places(pack_histogram(counts, max_len)), "at long, first long, end long, sequence long, offset long")
     ranked = running_totals(pieces.withColumn("one", F.lit(1).cast("long")), ["length"], ["id", "start"], "one", "rank")

@@ -37,7 +37,6 @@ from tidemark.llm.common import table
 from tidemark.llm.tokens import encoder, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
-MARK = "<|endoftext|>"
 #: Fixed value: the splitting rule of the byte-level vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_BYTES = 16_000_000
@@ -98,7 +97,7 @@ def _block_rows(block: int, ids: list, texts: list[str | None], pages: int, spec
 
 def _blocks(path: str, pages: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        specials = encoder(path, True, MARK).specials
+        specials = encoder(path, True).specials
         # The same rows get the same block again when a task is repeated.
         block = TaskContext.get().partitionId() << 32
         ids, texts, size = [], [], 0
@@ -121,7 +120,7 @@ def _blocks(path: str, pages: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 def _counted(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, True, MARK)
+        enc = encoder(path, True)
         count: dict[bytes, int] = {}
         for batch in given:
             rows = []

@@ -2,9 +2,9 @@
 
 A vocabulary file's splitting rule never lets a token cross the space in front of a
 non-space character, so a text's ids are the ids of its stretches in a row.
-Stretches met before are looked up; new ones are encoded together, separated by
-a special token, which the library always treats as a boundary. Texts that hold
-a special token's own string are encoded whole.
+Stretches met before are looked up; new ones are encoded together by the same
+model, with a control character between them at which the text is split first. Texts
+that hold that character or a special token's own string are encoded whole.
 
 The cache lives in the worker process. At CACHED stretches it keeps the more
 frequent half at most, so memory does not depend on the number of texts.
@@ -23,6 +23,8 @@ CACHED = 600_000
 #: Bytes of text handled at once.
 CHUNK_BYTES = 4_000_000
 _JOIN = 200
+#: Stands between stretches.
+_MARK = "\x01"
 # A space before white space is no boundary.
 _SPACES = re.compile(r" (?=\s|$)")
 _BOUNDARY = re.compile(r" (?=\S)")
@@ -54,13 +56,18 @@ class Encoder:
     stretch behind it) or drops them.
     """
 
-    def __init__(self, path: str, spaces: bool, mark: str):
+    def __init__(self, path: str, spaces: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaces, self.mark, self.mark_id = spaces, mark, self.tokenizer.token_to_id(mark)
+        self.spaces = spaces
+        self.parts = Tokenizer(self.tokenizer.model)
+        if self.tokenizer.normalizer is not None:
+            self.parts.normalizer = self.tokenizer.normalizer
+        self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(_MARK, "isolated"), self.tokenizer.pre_tokenizer])
+        (self.mark_id,) = self.parts.encode(_MARK).ids
         self.known = _Stretches()
         self.ids = np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
@@ -91,11 +98,19 @@ class Encoder:
         return parts
 
     def counts(self, stretches: list[str]) -> list[int]:
-        """Number of tokens of each string that holds no special token's string."""
-        joined = [self.mark.join(stretches[i : i + _JOIN]) + self.mark for i in range(0, len(stretches), _JOIN)]
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-        ends = np.flatnonzero(np.concatenate([np.empty(0, np.uint32), *ids]) == self.mark_id)
-        return (np.diff(ends, prepend=-1) - 1).tolist()
+        """Number of tokens of each string; a special token's string counts as ordinary text."""
+        odd = [i for i, s in enumerate(stretches) if _MARK in s]
+        _, ends = self._together([s if _MARK not in s else "" for s in stretches])
+        out = (np.diff(ends, prepend=-1) - 1).tolist()
+        for i in odd:
+            out[i] = len(self.whole(stretches[i]))
+        return out
+
+    def _together(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the stretches with the mark's after each, where those are)."""
+        joined = [_MARK.join(stretches[i : i + _JOIN]) + _MARK for i in range(0, len(stretches), _JOIN)]
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.parts.encode_batch_fast(joined, add_special_tokens=False))])
+        return ids, np.flatnonzero(ids == self.mark_id)
 
     def _learn(self) -> None:
         new, self.known.pending = self.known.pending, []
@@ -103,9 +118,7 @@ class Encoder:
             return
         if self.spaces:
             new = [s[1:] if s[:1] == "\0" else " " + s for s in new]
-        joined = [self.mark.join(new[i : i + _JOIN]) + self.mark for i in range(0, len(new), _JOIN)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
-        ends = np.flatnonzero(ids == self.mark_id)
+        ids, ends = self._together(new)
         assert len(ends) == len(new)
         self.starts = np.concatenate([self.starts, self.starts[-1] + ends - np.arange(len(ends))])
         self.ids = np.concatenate([self.ids, ids[ids != self.mark_id]])
@@ -114,7 +127,7 @@ class Encoder:
         """The ids of each text."""
         if len(self.known) >= CACHED:
             self._trim()
-        odd = [any(s in t for s in self.specials) or (self.spaces and "\0" in t) for t in texts]
+        odd = [_MARK in t or any(s in t for s in self.specials) or (self.spaces and "\0" in t) for t in texts]
         parts = [[] if o or not t else self._stretches(t) for t, o in zip(texts, odd)]
         sizes = np.array([len(p) for p in parts], np.int64)
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
@@ -144,9 +157,9 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, spaces: bool, mark: str) -> Encoder:
+def encoder(path: str, spaces: bool) -> Encoder:
     """One encoder per worker process and file."""
-    key = (path, spaces, mark)
+    key = (path, spaces)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, spaces, mark)
+        _encoders[key] = Encoder(path, spaces)
     return _encoders[key]
