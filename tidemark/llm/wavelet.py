@@ -15,7 +15,7 @@ Files are written by Spark's text writer (one record per file, whose line feed
 ends the file) and read by its binary reader, so any store Spark knows will do.
 
 Defined cases: a null or empty text has the end id alone; null ids come first; rows
-that repeat an id stand in a row, ordered by text; an empty table writes no shard.
+that repeat an id stand in a row, ordered by their ids' bytes; an empty table writes no shard.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ from tidemark.llm.tokens import encoder, vocabulary_path
 from tidemark.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
-MARK = "<|endoftext|>"
 END_ID = 2
 BITS = 16
 SHARD_TOKENS = 2_000_000
@@ -43,19 +42,23 @@ _HEADER = struct.Struct("<4sIIIQQQ")
 _MAGIC, _VERSION, _BLOCK = b"WVMX", 1, 512
 
 
+def _kind(bits: int) -> str:
+    return "<u2" if bits <= 16 else "<u4"
+
+
 def write_shard(ids: np.ndarray, doc_ids: list, ends: np.ndarray, part: int, shard: int, bits: int = BITS) -> bytes:
     out = [_HEADER.pack(_MAGIC, _VERSION, bits, len(doc_ids), len(ids), part, shard)]
     out += [np.array([i or 0 for i in doc_ids], "<i8").tobytes(), np.array([i is None for i in doc_ids], np.uint8).tobytes(), ends.astype("<u8").tobytes()]
-    now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    now = ids.astype(_kind(bits))
     for b in range(bits - 1, -1, -1):
         ones = (now >> b & 1).astype(bool)
         packed = np.packbits(ones, bitorder="little")
         packed = np.pad(packed, (0, -len(packed) % (_BLOCK // 8)))
         per_block = np.bitwise_count(packed.view("<u8")).reshape(-1, _BLOCK // 64).sum(axis=1)
         before = np.concatenate([[0], np.cumsum(per_block)]).astype("<u4")
-        zeros = now[~ones]
+        zeros = np.flatnonzero(~ones)
         out += [struct.pack("<Q", len(zeros)), packed.tobytes(), before.tobytes()]
-        now = np.concatenate([zeros, now[ones]])
+        now = np.concatenate([now.take(zeros), now.take(np.flatnonzero(ones))])
     return b"".join(out)
 
 
@@ -139,20 +142,30 @@ class Shard:
 
     def all_ids(self) -> np.ndarray:
         """Every id in order: the levels undone from the last to the first."""
-        now = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
+        now = np.zeros(self.n, _kind(self.bits))
         for level in range(self.bits - 1, -1, -1):
             zeros, plane, _ = self.levels[level]
-            ones = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
+            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             above = np.empty_like(now)
-            above[~ones] = now[:zeros]
-            above[ones] = now[zeros:] | now.dtype.type(1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~ones)] = now[:zeros]
+            above[np.flatnonzero(ones)] = now[zeros:] | now.dtype.type(1 << (self.bits - 1 - level))
             now = above
         return now
 
 
-def _build(path: str, spaces: bool, mark: str, end_id: int, bits: int, shard_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encode(path: str, spaces: bool, end_id: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, shard = encoder(path, spaces, mark), TaskContext.get().partitionId(), 0
+        enc, kind = encoder(path, spaces), _kind(bits)
+        for batch in given:
+            tokens = [np.append(ids, np.uint32(end_id)).astype(kind).tobytes() for ids in enc.each(t.as_py() for t in batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tokens, pa.binary())], names=["id", "tokens"])
+
+    return batches
+
+
+def _build(bits: int, shard_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, shard = TaskContext.get().partitionId(), 0
         docs, ids, size = [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -160,8 +173,8 @@ def _build(path: str, spaces: bool, mark: str, end_id: int, bits: int, shard_tok
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
         for batch in given:
-            for doc, tokens in zip(batch.column("id"), enc.each(t.as_py() for t in batch.column("text"))):
-                docs.append(doc.as_py()), ids.append(np.append(tokens, np.uint32(end_id)))
+            for doc, tokens in zip(batch.column("id"), batch.column("tokens")):
+                docs.append(doc.as_py()), ids.append(np.frombuffer(tokens.as_py(), _kind(bits)))
                 size += len(ids[-1])
                 if size >= shard_tokens:
                     yield out()
@@ -172,11 +185,15 @@ def _build(path: str, spaces: bool, mark: str, end_id: int, bits: int, shard_tok
     return batches
 
 
-def write_shards(docs: DataFrame, to: str, id: str = "doc_id", text: str = "text", path: str | None = None, spaces: bool = True, mark: str = MARK, end_id: int = END_ID, bits: int = BITS, shard_tokens: int = SHARD_TOKENS) -> str:
-    """Tokenises the documents and writes shard files to the folder ``to``, in ascending order of id."""
+def write_shards(docs: DataFrame, to: str, id: str = "doc_id", text: str = "text", path: str | None = None, spaces: bool = True, end_id: int = END_ID, bits: int = BITS, shard_tokens: int = SHARD_TOKENS) -> str:
+    """Tokenises the documents and writes shard files to the folder ``to``, in ascending order of id.
+
+    The ids are stored first, so that texts are tokenised once and not shuffled.
+    """
     given = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    ordered = given.repartitionByRange(F.col("id")).sortWithinPartitions("id", "text")
-    shards = ordered.mapInArrow(_build(path or vocabulary_path(VOCABULARY), spaces, mark, end_id, bits, shard_tokens), "data binary")
+    encoded = given.mapInArrow(_encode(path or vocabulary_path(VOCABULARY), spaces, end_id, bits), "id long, tokens binary")
+    ordered = stored(encoded, "token-ids").repartitionByRange(F.col("id")).sortWithinPartitions("id", "tokens")
+    shards = ordered.mapInArrow(_build(bits, shard_tokens), "data binary")
     shards.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(to)
     return to
 
