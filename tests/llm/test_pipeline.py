@@ -18,7 +18,7 @@ from tidemark.llm.common import running_totals, stored
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_CHECK}/{t}.parquet')")
     rel = con.sql(queries.ORACLE_SQL[name])
     df = queries.QUERIES[name](spark, SF_CHECK)

@@ -154,3 +154,22 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}
+), r(id, c) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.y, r.c FROM r JOIN l ON r.id = l.x
+), m AS (
+  SELECT id, min(c) AS component_id FROM r GROUP BY id
+), n AS (
+  SELECT x, count(*) AS n FROM l GROUP BY x
+)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN m ON m.id = vec_id LEFT JOIN n ON n.x = vec_id
+"""

@@ -19,7 +19,9 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op2_near_dedup": near_dedup.ORACLE_SQL,
     "op3_chat_tree": chat_tree.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
+    "op7_embedding_dedup": embedding_dedup.ORACLE_SQL,
 }
