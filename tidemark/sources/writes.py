@@ -80,7 +80,7 @@ def replace_periods(df: DataFrame, root: str, periods: "Iterable[PeriodLike] | N
     staging = f"{root}/_staging-{uuid.uuid4().hex}"
     data = _checked(df, wanted)
     if rebalance:
-        data = data.hint("rebalance", "year", "month")
+        data = data.hint("rebalance", *([] if wanted is not None and len(wanted) == 1 else ["year", "month"]))
     try:
         data.write.mode("errorifexists").partitionBy("year", "month").parquet(staging)
     except Exception:
