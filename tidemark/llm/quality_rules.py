@@ -19,8 +19,9 @@ from tidemark.llm.common import SPACES, let, stored, table, unused, words_of
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A host is rejected when the shrunk rate of any rule reaches this share of its documents.
+#: A host is rejected when this share of its documents fails a rule, and the shrunk rate is above it by DEVIATIONS or more.
 MAX_HOST_RATE = 0.5
+DEVIATIONS = 2
 #: Strength of the prior (in documents) is kept within these bounds.
 PRIOR_STRENGTH = (2.0, 1e6)
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -61,22 +62,23 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     ).cast("long")
 
 
-def measures(text: Column) -> Column:
-    """A struct of the counts in MEASURES (long) for one text."""
+def measures(text: Column, only: list[str] = MEASURES) -> Column:
+    """A struct of the counts ``only`` (long) for one text."""
     whole = F.coalesce(text, F.lit(""))
+    repeated_lines = let(
+        F.filter(F.split(whole, "\n"), lambda line: F.trim(line, F.lit(SPACES)) != ""),
+        lambda a: F.size(a) - F.size(F.array_distinct(a)),
+    )
 
     def of_words(w: Column) -> Column:
-        lines = let(
-            F.filter(F.split(whole, "\n"), lambda line: F.trim(line, F.lit(SPACES)) != ""),
-            lambda a: F.size(a) - F.size(F.array_distinct(a)),
-        )
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-            lines.cast("long").alias("n_dup_lines"),
-            repeat_words(w).alias("n_repeat_words"),
-        )
+        counts = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": F.regexp_count(whole, F.lit(r"[#*$%&|<>]")),
+            "n_dup_lines": repeated_lines,
+            "n_repeat_words": repeat_words(w),
+        }
+        return F.struct(*[counts[c].cast("long").alias(c) for c in only])
 
     return let(words_of(text), of_words)
 
@@ -89,6 +91,11 @@ def base_rules(m: Column) -> dict[str, Column]:
     }
 
 
+def base_failed(text: Column) -> Column:
+    """Whether a text fails a rule by itself, as one expression that is worked out once per row."""
+    return let(measures(text, ["n_words", "n_repeat_words"]), lambda m: F.greatest(*base_rules(m).values()))
+
+
 def host_rules(m: Column) -> dict[str, Column]:
     """The rules counted by host: the document rules, and two that only speak about hosts."""
     return base_rules(m) | {
@@ -126,7 +133,12 @@ def beta_prior(counts: DataFrame, rules: list[str]) -> dict[str, tuple[float, fl
 
 
 def host_verdicts(measured: DataFrame, host: str, m: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Per host: n (documents), failures and shrunk rate of every rule, and ``rejected``."""
+    """Per host: n (documents), failures and shrunk rate of every rule, and ``rejected``.
+
+    The shrunk rate is the mean of the beta distribution that prior and host
+    make together. A host is only rejected by its own failures, and only when
+    there are enough documents to be sure.
+    """
     rules = host_rules(F.col(m))
     counts = stored(
         measured.where(F.col(host).isNotNull())
@@ -134,16 +146,15 @@ def host_verdicts(measured: DataFrame, host: str, m: str, max_rate: float = MAX_
         .agg(F.count("*").alias("n"), *[F.sum(c.cast("long")).alias(r) for r, c in rules.items()]),
         "host-counts",
     )
-    prior = beta_prior(counts, list(rules))
-    rate = {r: (F.col(r) + F.lit(a)) / (F.col("n") + F.lit(a + b)) for r, (a, b) in prior.items()}
-    return counts.select(
-        "host",
-        "n",
-        *rules,
-        *[c.alias(f"{r}_rate") for r, c in rate.items()],
-        F.greatest(*rate.values()).alias("worst_rate"),
-        (F.greatest(*rate.values()) >= max_rate).alias("rejected"),
-    )
+    columns, bad, rates = [], F.lit(False), []
+    for r, (a, b) in beta_prior(counts, list(rules)).items():
+        size = F.col("n") + F.lit(a + b)
+        rate = (F.col(r) + F.lit(a)) / size
+        sure = rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (size + 1)) >= max_rate
+        bad = bad | (sure & (F.col(r) >= F.col("n") * max_rate))
+        columns.append(rate.alias(f"{r}_rate"))
+        rates.append(rate)
+    return counts.select("host", "n", *rules, *columns, F.greatest(*rates).alias("worst_rate"), bad.alias("rejected"))
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE, keep: list[str] | None = None) -> DataFrame:
@@ -180,12 +191,11 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows and columns of ``docs`` that the rules keep."""
-    flag = unused(docs.columns, "_kept")
-    m = unused([*docs.columns, flag], "_measures")
-    key = unused([*docs.columns, flag, m], "_host")
-    measured = docs.withColumn(m, measures(F.col(text)))
+    m = unused(docs.columns, "_measures")
+    key = unused([*docs.columns, m], "_host")
+    measured = docs.select(host, measures(F.col(text)).alias(m))
     rejected = host_verdicts(measured, host, m, max_rate).where("rejected").select(F.col("host").alias(key))
-    good = measured.where(~F.greatest(*base_rules(F.col(m)).values())).drop(m)
+    good = docs.where(~base_failed(F.col(text)))
     return good.join(rejected, good[host] == rejected[key], "left_anti")
 
 
@@ -236,12 +246,13 @@ WITH d AS (
            ELSE least(greatest(mean * (1 - mean) / between_var - 1, {PRIOR_STRENGTH[0]}), {PRIOR_STRENGTH[1]}) END AS strength
   FROM p
 ), v AS (
-  SELECT source, max(n) AS host_docs, max((f + mean * strength) / (n + strength)) AS worst
-  FROM h JOIN k USING (rule) GROUP BY source
+  SELECT source, max(n) AS host_docs, max(rate) AS worst,
+         bool_or(f >= n * {MAX_HOST_RATE} AND rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (n + strength + 1)) >= {MAX_HOST_RATE}) AS rejected
+  FROM (SELECT source, n, f, strength, (f + mean * strength) / (n + strength) AS rate FROM h JOIN k USING (rule)) GROUP BY source
 )
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        too_short OR repeated AS base_failed, v.host_docs, round(v.worst, 6) AS host_worst_rate,
-       coalesce(v.worst >= {MAX_HOST_RATE}, false) AS host_rejected,
-       NOT (too_short OR repeated) AND NOT coalesce(v.worst >= {MAX_HOST_RATE}, false) AS kept
+       coalesce(v.rejected, false) AS host_rejected,
+       NOT (too_short OR repeated) AND NOT coalesce(v.rejected, false) AS kept
 FROM r LEFT JOIN v ON r.source = v.source
 """
