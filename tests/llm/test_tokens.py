@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.corpus import DOCS, awkward, prose, with_clashes
@@ -32,7 +33,7 @@ def test_encoder(kind, monkeypatch):
     name, spaces = kind
     texts = fuzz(3000) + [" ".join(prose(random.Random(i), 200)) for i in range(20)]
     enc, lib = tokens.Encoder(tokens.vocabulary_path(name), spaces), library(name)
-    for text, ids in zip(texts, enc.each(texts)):
+    for text, ids in zip(texts, enc.each(pa.array(texts)), strict=True):
         assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
 
 

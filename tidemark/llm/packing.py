@@ -36,7 +36,7 @@ def _cut(path: str, spaces: bool, end_id: int, max_len: int) -> Callable[[Iterat
         enc = encoder(path, spaces)
         for batch in given:
             rows, starts, lengths, crcs, totals = [], [], [], [], []
-            for row, ids in enumerate(enc.each(t.as_py() for t in batch.column("text"))):
+            for row, ids in enumerate(enc.each(batch.column("text"))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for at in range(0, len(ids), max_len):
                     piece = ids[at : at + max_len]

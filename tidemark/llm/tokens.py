@@ -15,9 +15,10 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHED = 600_000
 #: Bytes of text handled at once.
@@ -26,7 +27,7 @@ _JOIN = 200
 #: Stands between stretches.
 _MARK = "\x01"
 # A space before white space is no boundary.
-_SPACES = re.compile(r" (?=\s|$)")
+_SPACES = r" (\s|[\x0b\x1c-\x1f\x{85}]|\p{Z}|$)"
 _BOUNDARY = re.compile(r" (?=\S)")
 
 
@@ -49,6 +50,13 @@ class _Stretches(dict):
         return n
 
 
+def _gather(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the numbered strings ``at`` in a row, where each begins and the last ends)."""
+    begins, lengths = starts[at], starts[at + 1] - starts[at]
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+    return ids[np.repeat(begins - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
+
 class Encoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
@@ -81,22 +89,12 @@ class Encoder:
         names = list(self.known)
         self.known = _Stretches()
         self.known.update((names[old], new) for new, old in enumerate(keep))
-        lengths = np.diff(self.starts)[keep]
-        starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
-        self.ids = self.ids[np.repeat(self.starts[keep] - starts[:-1], lengths) + np.arange(starts[-1])]
-        self.starts, self.used = starts, np.ones(len(keep), np.int64)
+        self.ids, self.starts = _gather(self.ids, self.starts, keep)
+        self.used = np.ones(len(keep), np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _stretches(self, text: str) -> list[str]:
-        if not self.spaces:
-            return [s for s in text.split(" ") if s]
-        parts = _BOUNDARY.split(text) if _SPACES.search(text) else text.split(" ")
-        # Only the first stretch has no space before it; \0 tells it from the others.
-        parts[0] = "\0" + parts[0]
-        return parts
-
     def counts(self, stretches: list[str]) -> list[int]:
         """Number of tokens of each string; a special token's string counts as ordinary text."""
         odd = [i for i, s in enumerate(stretches) if _MARK in s]
@@ -123,35 +121,64 @@ class Encoder:
         self.starts = np.concatenate([self.starts, self.starts[-1] + ends - np.arange(len(ends))])
         self.ids = np.concatenate([self.ids, ids[ids != self.mark_id]])
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def _numbers(self, strings) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, strings), np.int64)
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the texts' stretches in a row, how many each text has); every space is a boundary."""
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        stretches = lists.flatten()
+        coded = stretches.dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_pylist())
+        at = numbers[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)
+        if self.spaces and len(texts):
+            # Only the first stretch has no space before it; \0 tells it from the others.
+            first = offsets[:-1]
+            at[first] = self._numbers("\0" + s for s in stretches.take(pa.array(first)).to_pylist())
+        return at, np.diff(offsets)
+
+    def _split_spaced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_split``, where only a space before another character is a boundary."""
+        parts = [_BOUNDARY.split(t) for t in texts]
+        return self._numbers(s if i else "\0" + s for p in parts for i, s in enumerate(p)), np.array([len(p) for p in parts], np.int64)
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (null: none)."""
         if len(self.known) >= CACHED:
             self._trim()
-        odd = [_MARK in t or any(s in t for s in self.specials) or (self.spaces and "\0" in t) for t in texts]
-        parts = [[] if o or not t else self._stretches(t) for t, o in zip(texts, odd)]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        has = lambda s: pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        odd = np.logical_or.reduce([has(s) for s in (*self.specials, _MARK, *(["\0"] if self.spaces else []))])
+        spaced = pc.match_substring_regex(texts, _SPACES).to_numpy(zero_copy_only=False) & ~odd if self.spaces else np.zeros(len(odd), bool)
+        plain = ~odd & ~spaced
+        groups = [(plain, self._split(texts.filter(pa.array(plain))))]
+        if spaced.any():
+            groups.append((spaced, self._split_spaced(texts.filter(pa.array(spaced)).to_pylist())))
         self._learn()
-        used = np.bincount(at, minlength=len(self.known))
-        used[: len(self.used)] += self.used
+        out: list = [None] * len(texts)
+        used = np.zeros(len(self.known), np.int64)
+        used[: len(self.used)] = self.used
+        for rows, (at, sizes) in groups:
+            used += np.bincount(at, minlength=len(used))
+            ids, ends = _gather(self.ids, self.starts, at)
+            cuts = ends[np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])]
+            for i, row in enumerate(np.flatnonzero(rows).tolist()):
+                out[row] = ids[cuts[i] : cuts[i + 1]]
         self.used = used
-        begins, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(begins - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        total = np.concatenate([np.zeros(1, np.int64), ends])
-        cuts = total[np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])]
-        return [self.whole(t) if o else ids[cuts[i] : cuts[i + 1]] for i, (t, o) in enumerate(zip(texts, odd))]
-
-    def each(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text in order (null: none), holding CHUNK_BYTES of text at a time or one text."""
-        chunk, size = [], 0
-        for t in texts:
-            chunk.append(t or "")
-            size += len(chunk[-1])
-            if size >= CHUNK_BYTES:
-                yield from self.batch(chunk)
-                chunk, size = [], 0
-        yield from self.batch(chunk)
+        for row in np.flatnonzero(odd).tolist():
+            out[row] = self.whole(texts[row].as_py())
+        return out
+
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text in order, holding CHUNK_BYTES of text at a time or one text."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        begin, ends = 0, np.cumsum(sizes)
+        while begin < len(texts):
+            before = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right")))
+            yield from self.batch(texts.slice(begin, end - begin))
+            begin = end
 
 
 _encoders: dict[tuple, Encoder] = {}

@@ -157,7 +157,7 @@ def _encode(path: str, spaces: bool, end_id: int, bits: int) -> Callable[[Iterat
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, kind = encoder(path, spaces), _kind(bits)
         for batch in given:
-            tokens = [np.append(ids, np.uint32(end_id)).astype(kind).tobytes() for ids in enc.each(t.as_py() for t in batch.column("text"))]
+            tokens = [np.append(ids, np.uint32(end_id)).astype(kind).tobytes() for ids in enc.each(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tokens, pa.binary())], names=["id", "tokens"])
 
     return batches
