@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED = 600_000
+CACHED = 400_000
 #: Bytes of text handled at once.
 CHUNK_BYTES = 4_000_000
 _JOIN = 200
