@@ -47,7 +47,7 @@ BANDS, ROWS, K, BITS = 24, 6, 192, 256
 #: Differing bits up to which a pair is confirmed: 46 are expected at 0.85, with a deviation of 7.5.
 MAX_BITS = 80
 #: Shingles in one part of a split bucket.
-CELL_SHINGLES = 200_000
+CELL_SHINGLES = 100_000
 
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
