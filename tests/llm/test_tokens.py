@@ -11,7 +11,7 @@ import pytest
 from tests.llm.corpus import DOCS, awkward, prose, with_clashes
 from tidemark.llm import packing, token_counts, tokens, wavelet
 
-PIECES = [" ", "  ", "\n", "\t", "a", "B", "é", "ΑΣ", "1", "²", "<|endoftext|>", "<|startoftext|>", "'s", ".", "́", "\xa0", "\x1c", "\x85", "中", "🙂", "\r\n", "\x01", "İ", "ﬁ", "\0", "Ⅷ", "क"]
+PIECES = [" ", "  ", "\n", "\t", "a", "B", "é", "ΑΣ", "1", "²", "<|endoftext|>", "<|startoftext|>", "'s", ".", "́", "\xa0", "\x1c", "\x85", "中", "🙂", "\r\n", "\x01", "İ", "ﬁ", "\0", "Ⅷ", "क", "ß", "Ä", "ñ", "\x0b", "ª", "ƻ", "İ", "ʼ", "x\x01"]
 KINDS = [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)]
 
 

@@ -1,19 +1,20 @@
-"""Token ids of whole texts from the tokenizers library, each distinct stretch between spaces encoded once.
+"""Token ids of whole texts from the tokenizers library, each distinct pre-token encoded once.
 
-A vocabulary file's splitting rule never lets a token cross the space in front of a
-non-space character, so a text's ids are the ids of its stretches in a row.
-Stretches met before are looked up; new ones are encoded together by the same
-model, with a control character between them at which the text is split first. Texts
-that hold that character or a special token's own string are encoded whole.
+A text of Latin letters is split into pre-tokens by the vocabulary's own rule,
+applied to whole columns by Arrow's regular expressions. Pre-tokens met before
+are looked up; new ones go to the vocabulary's model together, as words that
+are already split, with a mark between them. Other texts (with characters whose
+classes differ between versions of Unicode, the mark, or a special token's own
+string) are encoded whole by the library. Either way the ids are
+those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-The cache lives in the worker process. At CACHED stretches it keeps the more
+The cache lives in the worker process. At CACHED pre-tokens it keeps the more
 frequent half at most, so memory does not depend on the number of texts.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,17 @@ import pyarrow.compute as pc
 CACHED = 400_000
 #: Bytes of text handled at once.
 CHUNK_BYTES = 4_000_000
-_JOIN = 200
-#: Stands between stretches.
+_TOGETHER = 400
+#: Stands between pre-tokens.
 _MARK = "\x01"
-# A space before white space is no boundary.
-_SPACES = r" (\s|[\x0b\x1c-\x1f\x{85}]|\p{Z}|$)"
-_BOUNDARY = re.compile(r" (?=\S)")
+# Up to Latin Extended-B, but for the capital I with a dot, which becomes two characters in lower case.
+_OTHER = r"[^\x00-\x{24f}]|\x{130}|\x01"
+_SPACE = r"\t-\r \x{85}\x{a0}"
+#: The splitting rules of the byte-level and the word vocabulary. Of white space before a word, the last character is apart.
+BYTE_RULE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\x01\p{{L}}\p{{N}}]+|[{_SPACE}]+"
+BYTE_LAST_SPACE = rf"([{_SPACE}])([{_SPACE}][^{_SPACE}])"
+WORD_RULE = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+"
+_STRIPPED = "\t\n\x0b\x0c\r \x85\xa0"
 
 
 def vocabulary_path(name: str) -> str:
@@ -37,16 +43,26 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Stretches(dict):
-    """Number of each stretch; new ones are listed in ``pending``."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is printable, else the next one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Numbered(dict):
+    """Number of each string; new ones are listed in ``pending``."""
 
     def __init__(self):
         super().__init__()
         self.pending: list[str] = []
 
-    def __missing__(self, stretch: str) -> int:
-        n = self[stretch] = len(self)
-        self.pending.append(stretch)
+    def __missing__(self, string: str) -> int:
+        n = self[string] = len(self)
+        self.pending.append(string)
         return n
 
 
@@ -58,116 +74,103 @@ def _gather(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.nda
 
 
 class Encoder:
-    """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
-
-    ``spaces``: whether the vocabulary keeps spaces (a space belongs to the
-    stretch behind it) or drops them.
-    """
+    """Encodes texts. ``spaces``: whether the vocabulary keeps white space (byte level) or drops it (words, lower case)."""
 
     def __init__(self, path: str, spaces: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaces = spaces
-        self.parts = Tokenizer(self.tokenizer.model)
-        if self.tokenizer.normalizer is not None:
-            self.parts.normalizer = self.tokenizer.normalizer
-        self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(_MARK, "isolated"), self.tokenizer.pre_tokenizer])
-        (self.mark_id,) = self.parts.encode(_MARK).ids
-        self.known = _Stretches()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.mark = _LETTERS[ord(_MARK)]
+        (self.mark_id,) = self.model.encode([self.mark], is_pretokenized=True, add_special_tokens=False).ids
+        self.known = _Numbered()
         self.ids = np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
         self.used = np.zeros(0, np.int64)
 
     def _trim(self) -> None:
-        """Keeps the stretches used twice or more, at most half of CACHED, most used first."""
+        """Keeps the pre-tokens used twice or more, at most half of CACHED, most used first."""
         keep = np.flatnonzero(self.used > 1)
         if len(keep) > CACHED // 2:
             keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[: CACHED // 2]])
         names = list(self.known)
-        self.known = _Stretches()
+        self.known = _Numbered()
         self.known.update((names[old], new) for new, old in enumerate(keep))
         self.ids, self.starts = _gather(self.ids, self.starts, keep)
         self.used = np.ones(len(keep), np.int64)
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def counts(self, stretches: list[str]) -> list[int]:
-        """Number of tokens of each string; a special token's string counts as ordinary text."""
-        odd = [i for i, s in enumerate(stretches) if _MARK in s]
-        _, ends = self._together([s if _MARK not in s else "" for s in stretches])
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pre-tokens with the mark's after each, where those are)."""
+        words = []
+        for i in range(0, len(pieces), _TOGETHER):
+            row = []
+            for p in pieces[i : i + _TOGETHER]:
+                if p:
+                    row.append(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS))
+                row.append(self.mark)
+            words.append(row)
+        encoded = self.model.encode_batch_fast(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in encoded)])
+        ends = np.flatnonzero(ids == self.mark_id)
+        assert len(ends) == len(pieces)
+        return ids, ends
+
+    def counts(self, pieces: list[str]) -> list[int]:
+        """Number of tokens of each pre-token."""
+        marked = [i for i, p in enumerate(pieces) if _MARK in p]
+        _, ends = self._together([p if _MARK not in p else "" for p in pieces])
         out = (np.diff(ends, prepend=-1) - 1).tolist()
-        for i in odd:
-            out[i] = len(self.whole(stretches[i]))
+        for i in marked:
+            out[i] = len(self.tokenizer.encode(pieces[i], add_special_tokens=False).ids)
         return out
 
-    def _together(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the stretches with the mark's after each, where those are)."""
-        joined = [_MARK.join(stretches[i : i + _JOIN]) + _MARK for i in range(0, len(stretches), _JOIN)]
-        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.parts.encode_batch_fast(joined, add_special_tokens=False))])
-        return ids, np.flatnonzero(ids == self.mark_id)
-
     def _learn(self) -> None:
         new, self.known.pending = self.known.pending, []
         if not new:
             return
-        if self.spaces:
-            new = [s[1:] if s[:1] == "\0" else " " + s for s in new]
         ids, ends = self._together(new)
-        assert len(ends) == len(new)
         self.starts = np.concatenate([self.starts, self.starts[-1] + ends - np.arange(len(ends))])
         self.ids = np.concatenate([self.ids, ids[ids != self.mark_id]])
 
-    def _numbers(self, strings) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, strings), np.int64)
-
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of the texts' stretches in a row, how many each text has); every space is a boundary."""
-        lists = pc.split_pattern(texts, " ")
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        stretches = lists.flatten()
-        coded = stretches.dictionary_encode()
-        numbers = self._numbers(coded.dictionary.to_pylist())
-        at = numbers[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)
-        if self.spaces and len(texts):
-            # Only the first stretch has no space before it; \0 tells it from the others.
-            first = offsets[:-1]
-            at[first] = self._numbers("\0" + s for s in stretches.take(pa.array(first)).to_pylist())
-        return at, np.diff(offsets)
-
-    def _split_spaced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``_split``, where only a space before another character is a boundary."""
-        parts = [_BOUNDARY.split(t) for t in texts]
-        return self._numbers(s if i else "\0" + s for p in parts for i, s in enumerate(p)), np.array([len(p) for p in parts], np.int64)
+        """(numbers of the texts' pre-tokens in a row, how many each text has)."""
+        if self.spaces:
+            texts = pc.replace_substring_regex(texts, BYTE_LAST_SPACE, r"\1" + _MARK + r"\2")
+            texts = pc.replace_substring_regex(texts, BYTE_RULE, _MARK + r"\0")
+        else:
+            # White space stays behind the pre-token before it and is taken off the distinct ones.
+            texts = pc.replace_substring_regex(pc.utf8_lower(texts), WORD_RULE, _MARK + r"\0")
+        lists = pc.split_pattern(texts, _MARK)
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.known.__getitem__, names if self.spaces else (p.strip(_STRIPPED) for p in names)), np.int64, len(names))
+        return numbers[coded.indices.to_numpy()], np.diff(lists.offsets.to_numpy())
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (null: none)."""
         if len(self.known) >= CACHED:
             self._trim()
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        has = lambda s: pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        odd = np.logical_or.reduce([has(s) for s in (*self.specials, _MARK, *(["\0"] if self.spaces else []))])
-        spaced = pc.match_substring_regex(texts, _SPACES).to_numpy(zero_copy_only=False) & ~odd if self.spaces else np.zeros(len(odd), bool)
-        plain = ~odd & ~spaced
-        groups = [(plain, self._split(texts.filter(pa.array(plain))))]
-        if spaced.any():
-            groups.append((spaced, self._split_spaced(texts.filter(pa.array(spaced)).to_pylist())))
-        self._learn()
+        flags = [pc.match_substring_regex(texts, _OTHER), *(pc.match_substring(texts, s) for s in self.specials)]
+        whole = np.logical_or.reduce([f.to_numpy(zero_copy_only=False) for f in flags])
         out: list = [None] * len(texts)
-        used = np.zeros(len(self.known), np.int64)
-        used[: len(self.used)] = self.used
-        for rows, (at, sizes) in groups:
-            used += np.bincount(at, minlength=len(used))
+        if not whole.all():
+            at, sizes = self._split(texts.filter(pa.array(~whole)))
+            self._learn()
+            used = np.bincount(at, minlength=len(self.known))
+            used[: len(self.used)] += self.used
+            self.used = used
             ids, ends = _gather(self.ids, self.starts, at)
             cuts = ends[np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])]
-            for i, row in enumerate(np.flatnonzero(rows).tolist()):
+            for i, row in enumerate(np.flatnonzero(~whole).tolist()):
                 out[row] = ids[cuts[i] : cuts[i + 1]]
-        self.used = used
-        for row in np.flatnonzero(odd).tolist():
-            out[row] = self.whole(texts[row].as_py())
+        if whole.any():
+            encoded = self.tokenizer.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)
+            for row, e in zip(np.flatnonzero(whole).tolist(), encoded):
+                out[row] = np.array(e.ids, np.uint32)
         return out
 
     def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
