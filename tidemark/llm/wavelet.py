@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,33 +153,36 @@ class Shard:
         return now
 
 
-def _encode(path: str, spaces: bool, end_id: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encode(path: str, spaces: bool, end_id: int, bits: int, bounds: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, kind = encoder(path, spaces), _kind(bits)
         for batch in given:
             tokens = [np.append(ids, np.uint32(end_id)).astype(kind).tobytes() for ids in enc.each(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tokens, pa.binary())], names=["id", "tokens"])
+            ids = batch.column("id")
+            part = np.searchsorted(bounds, pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids, pa.array(tokens, pa.binary())], names=["part", "id", "tokens"])
 
     return batches
 
 
 def _build(bits: int, shard_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard = TaskContext.get().partitionId(), 0
-        docs, ids, size = [], [], 0
+        part, shard, docs, ids, size = None, 0, [], [], 0
 
         def out() -> pa.RecordBatch:
             data = write_shard(np.concatenate(ids), docs, np.cumsum([len(i) for i in ids]), part, shard, bits)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
         for batch in given:
-            for doc, tokens in zip(batch.column("id"), batch.column("tokens")):
-                docs.append(doc.as_py()), ids.append(np.frombuffer(tokens.as_py(), _kind(bits)))
-                size += len(ids[-1])
-                if size >= shard_tokens:
+            for of, doc, tokens in zip(*(batch.column(c) for c in ("part", "id", "tokens"))):
+                if size and (size >= shard_tokens or of.as_py() != part):
                     yield out()
                     docs, ids, size, shard = [], [], 0, shard + 1
-        if docs:
+                if of.as_py() != part:
+                    part, shard = of.as_py(), 0
+                docs.append(doc.as_py()), ids.append(np.frombuffer(tokens.as_py(), _kind(bits)))
+                size += len(ids[-1])
+        if size:
             yield out()
 
     return batches
@@ -188,11 +191,15 @@ def _build(bits: int, shard_tokens: int) -> Callable[[Iterator[pa.RecordBatch]],
 def write_shards(docs: DataFrame, to: str, id: str = "doc_id", text: str = "text", path: str | None = None, spaces: bool = True, end_id: int = END_ID, bits: int = BITS, shard_tokens: int = SHARD_TOKENS) -> str:
     """Tokenises the documents and writes shard files to the folder ``to``, in ascending order of id.
 
-    The ids are stored first, so that texts are tokenised once and not shuffled.
+    Quantiles of the ids (as many as there are shuffle partitions) part the
+    documents, so that texts are tokenised once and only their ids are shuffled.
     """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    encoded = given.mapInArrow(_encode(path or vocabulary_path(VOCABULARY), spaces, end_id, bits), "id long, tokens binary")
-    ordered = stored(encoded, "token-ids").repartitionByRange(F.col("id")).sortWithinPartitions("id", "tokens")
+    found = given.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"]
+    bounds = sorted(set(found or []))[: n - 1]
+    encoded = given.mapInArrow(_encode(path or vocabulary_path(VOCABULARY), spaces, end_id, bits, bounds), "part int, id long, tokens binary")
+    ordered = encoded.repartitionById(n, F.col("part")).sortWithinPartitions("part", "id", "tokens")
     shards = ordered.mapInArrow(_build(bits, shard_tokens), "data binary")
     shards.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(to)
     return to
