@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED = 400_000
+CACHED = 300_000
 #: Bytes of text handled at once.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 _TOGETHER = 400
 #: Stands between pre-tokens.
 _MARK = "\x01"

@@ -37,7 +37,7 @@ from tidemark.session import scratch_path
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 BITS = 16
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 _HEADER = struct.Struct("<4sIIIQQQ")
 _MAGIC, _VERSION, _BLOCK = b"WVMX", 1, 512
 
