@@ -149,7 +149,8 @@ def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_m
         .select("leaf", F.transform("template", lambda x: x["token"]).alias("template"))
     )
     equal = F.size(F.filter(F.zip_with(tokens, "template", lambda a, b: a.eqNullSafe(b) & b.isNotNull()), lambda x: x))
-    matched = members.join(general, "leaf").where(equal >= F.length("tokens") / 2 * SIMILAR).select("leaf", "h")
+    # Stored, so that a leaf with many lines can be split in the join.
+    matched = members.join(stored(general, "leaf-templates"), "leaf").where(equal >= F.length("tokens") / 2 * SIMILAR).select("leaf", "h")
     matched = stored(matched, "leaf-matched")
     of_template = open_lines.join(matched, ["leaf", "h"], "left_semi").groupBy("leaf", "d").agg(F.max("n").alias("n"))
     generalised = matched.join(_recurring(stored(of_template, "leaf-docs"), sketches, "leaf", min_docs, long_min_docs), "leaf", "left_semi").select("h")
