@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED = 400_000
+CACHED = 600_000
 #: Bytes of text handled at once.
 CHUNK_BYTES = 4_000_000
 _TOGETHER = 400

@@ -214,9 +214,9 @@ def _read_documents(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in given:
         for content in batch.column("content"):
             s = Shard(content.as_py())
-            ids = s.all_ids()
+            ids = memoryview(s.all_ids().astype("<u4"))
             starts = np.concatenate([[0], s.ends[:-1]]).astype(np.int64)
-            crcs = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(starts, s.ends)]
+            crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), s.ends.tolist())]
             k = len(crcs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([s.part] * k, pa.int64()), pa.array([s.shard] * k, pa.int64()), s.doc_ids, pa.array(starts), pa.array(s.ends - starts), pa.array(crcs, pa.int64())],
