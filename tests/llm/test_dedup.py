@@ -230,3 +230,17 @@ def test_a_line_that_most_documents_have(spark):
     rows = [(i, " ".join(prose(rng, 40)) + "\nshared by a third and more\n" + " ".join(prose(rng, 40))) for i in range(300)]
     got = line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.n_dropped == 1 and "shared" not in r.text for r in got)
+
+
+def kept_lines(spark, rows):
+    """{doc_id: lines left} of rows (doc_id, text)."""
+    return {r.doc_id: r.text.split("\n") for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_a_group_of_copies_does_not_hide_other_holders(spark):
+    rng = random.Random(12)
+    page, passage, footer = " ".join(prose(rng, 200)), " ".join(prose(rng, 60)), "all of this is ours"
+    rows = [(i, f"{page}{' ' + str(i) if i % 2 else ''}\n{passage}\n{footer}") for i in range(60)]
+    rows += [(100 + i, f"{' '.join(prose(rng, 150))}\n{passage}\n{footer}") for i in range(8)]
+    got = kept_lines(spark, rows)
+    assert all(got[i] == [text.split("\n")[0]] for i, text in rows)

@@ -9,17 +9,17 @@ templates of that leaf. Tokens with a digit, an @ or a :// are variable fields
   lines have, or ``<*>`` where no token has half of them. A line belongs to it
   if it has the template's token at SIMILAR of its positions or more.
 
-A template recurs when enough documents hold it that are not copies of each
-other. Each document has the SKETCH smallest hashes of its word pairs; the mean
-overlap of two of the template's documents follows from how many documents hold
-each hash, without listing pairs. Above MAX_OVERLAP the documents are copies of
-each other, which are left for document dedup.
+A template recurs when documents of enough copy groups hold it. Documents that
+hold a template often enough to matter are grouped by ``near_dedup`` on their full
+shingle sets; a group counts once, however large, and is left for document
+dedup. Two documents that share a passage only are two groups, however short
+they are.
 
 Defined cases: blank lines are never dropped or counted; a null text stays
-null; a line repeated within one document counts once; repeated rows overlap
-fully and so count as copies; an empty table gives an empty result.
+null; a line repeated within one document counts once; repeated rows are one
+group; an empty table gives an empty result.
 Texts are compared whole, at any length. Counting shuffles hashes only: a line's tokens go along as
-16-bit hashes, of which templates are made.
+16-bit hashes, of which templates are made. Texts are shuffled once for the groups.
 """
 
 from __future__ import annotations
@@ -30,28 +30,24 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import stored, table, unused
+from tidemark.llm.near_dedup import near_duplicates
 
 DEPTH = 3
-#: Documents a template must be in: short lines, and lines of LONG_WORDS words or more.
+#: Copy groups a template must be in: short lines, and lines of LONG_WORDS words or more.
 MIN_DOCS = 5
 LONG_WORDS = 30
 LONG_MIN_DOCS = 2
 SIMILAR = 0.6
-SKETCH = 16
-MAX_OVERLAP = 0.5
 WILD = b"<*>"
 _FIELD = re.compile(rb"[0-9@]|://")
 _MAYBE_FIELD = re.compile(rb"[0-9@:]")
 
 
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
-
-
 def masked(line: bytes) -> list[bytes]:
     """The tokens of a line, variable fields masked."""
     tokens = line.split()
@@ -62,9 +58,9 @@ def template_hash(tokens: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(tokens)) >> 1
 
 
-def _lines(text: str) -> tuple[dict[int, tuple], np.ndarray]:
-    """({h: (leaf, n, token hashes)} of a text's distinct lines, the SKETCH smallest hashes of its word pairs)."""
-    lines, words = {}, [np.empty(0, np.uint64)]
+def _lines(text: str) -> dict[int, tuple]:
+    """{h: (leaf, n, token hashes)} of a text's distinct lines."""
+    lines = {}
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
         tokens = masked(line)
         if not tokens:
@@ -76,13 +72,7 @@ def _lines(text: str) -> tuple[dict[int, tuple], np.ndarray]:
         each = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, n)
         leaf = xxhash.xxh3_64_intdigest(b" ".join(tokens[:DEPTH]), seed=n) >> 1 if n > DEPTH else None
         lines[h] = (leaf, n, each.astype("<u2").tobytes())
-        words.append(each)
-    each = np.concatenate(words)
-    pairs = each[:-1] * _PAIR + each[1:] if len(each) > 1 else each
-    pairs = (pairs ^ (pairs >> np.uint64(29))) * _PAIR >> np.uint64(1)
-    pairs = pairs.view(np.int64)
-    few = np.unique(np.partition(pairs, 4 * SKETCH)[: 4 * SKETCH] if len(pairs) > 4 * SKETCH else pairs)
-    return lines, (few if len(few) >= SKETCH else np.unique(pairs))[:SKETCH]
+    return lines
 
 
 _LINES = pa.list_(pa.struct([("h", pa.int64()), ("leaf", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())]))
@@ -90,39 +80,45 @@ _LINES = pa.list_(pa.struct([("h", pa.int64()), ("leaf", pa.int64()), ("n", pa.i
 
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lines, sketches = [], []
-        for text in batch.column("text"):
-            of_text, sketch = _lines(text.as_py())
-            lines.append([{"h": h, "leaf": leaf, "n": n, "tokens": tokens} for h, (leaf, n, tokens) in of_text.items()])
-            sketches.append(sketch)
-        yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(sketches, pa.list_(pa.int64())), pa.array(lines, _LINES)], names=["d", "s", "lines"])
-
-
-def _recurring(lines: DataFrame, sketches: DataFrame, key: str, min_docs: int, long_min_docs: int) -> DataFrame:
-    """Keys of templates that recur, from rows (key, n tokens, d), one per document and key."""
-    counts = lines.groupBy(key).agg(F.count("*").alias("docs"), F.max("n").alias("tokens"))
-    need = F.when(F.col("tokens") >= LONG_WORDS, long_min_docs).otherwise(min_docs)
-    often = stored(counts.where(F.col("docs") >= need).select(key, "docs"), f"often-{key}")
-    shared = (
-        lines.select(key, "d").join(often.select(key).hint("merge"), key, "left_semi")
-        .join(sketches.hint("merge"), "d")
-        .select(key, F.explode("s").alias("e"))
-        .groupBy(key, "e").agg(F.count("*").alias("c"))
-        .groupBy(key).agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"), F.sum("c").alias("held"))
-    )
-    overlap = F.col("pairs") / (F.col("held") * (F.col("docs") - 1))
-    return often.join(shared, key).where(overlap <= MAX_OVERLAP).select(key)
+        lines = [[{"h": h, "leaf": leaf, "n": n, "tokens": tokens} for h, (leaf, n, tokens) in _lines(text.as_py()).items()] for text in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(lines, _LINES)], names=["d", "lines"])
+
+
+def _need(min_docs: int, long_min_docs: int) -> Column:
+    return F.when(F.col("n") >= LONG_WORDS, long_min_docs).otherwise(min_docs)
+
+
+def _often(lines: DataFrame, key: str, min_docs: int, long_min_docs: int) -> DataFrame:
+    """Rows (key, n, d) of the templates that enough different texts hold, from rows (key, n, d) that may repeat."""
+    # Every row of a text counts here, which only lets more templates through to the groups; a single text is one group.
+    counts = lines.groupBy(key).agg(F.count("*").alias("docs"), F.max("n").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    need = _need(min_docs, long_min_docs)
+    often = stored(counts.where((F.col("docs") >= need) & ((F.col("lo") != F.col("hi")) | (need <= 1))).select(key, "n"), f"often-{key}")
+    return stored(lines.select(key, "d").join(often.hint("merge"), key).select(key, "n", "d"), f"holders-{key}")
+
+
+def _copy_groups(given: DataFrame, held: DataFrame) -> DataFrame:
+    """(d, g): the group of near-duplicates of each text in ``held``."""
+    texts = given.groupBy("d").agg(F.first("text").alias("text")).join(held.select("d").distinct().hint("merge"), "d", "left_semi")
+    groups = near_duplicates(stored(texts, "holder-texts"), "d", "text")
+    return stored(groups.select("d", F.col("component_id").alias("g")), "copy-groups")
+
+
+def _recurring(held: DataFrame, groups: DataFrame, key: str, min_docs: int, long_min_docs: int) -> DataFrame:
+    """Keys that documents of enough copy groups hold."""
+    # Stored, so that the join can split the rows of a text with many copies.
+    once = held.join(groups.hint("merge"), "d").groupBy(key, "g").agg(F.max("n").alias("n"))
+    counts = once.groupBy(key).agg(F.count("*").alias("groups"), F.max("n").alias("n"))
+    return counts.where(F.col("groups") >= _need(min_docs, long_min_docs)).select(key)
 
 
 def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_min_docs: int = LONG_MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(rows d, h, leaf, n, tokens of the distinct lines of each text d; hashes h of the lines to drop)."""
     lines_type = "array<struct<h: long, leaf: long, n: int, tokens: binary>>"
     given = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("d"), F.col(text).alias("text"))
-    texts = stored(given.mapInArrow(_line_batches, f"d long, s array<long>, lines {lines_type}"), "lines")
+    texts = stored(given.mapInArrow(_line_batches, f"d long, lines {lines_type}"), "lines")
     lines = texts.select("d", F.explode("lines").alias("x")).select("d", "x.*")
-    # Rows with one text have one sketch; each still counts as a document, so that copies show as overlap.
-    sketches = stored(texts.groupBy("d").agg(F.first("s").alias("s")), "line-sketches")
-    exact = stored(_recurring(lines, sketches, "h", min_docs, long_min_docs), "recurring-exact")
+    held = _often(lines, "h", min_docs, long_min_docs)
 
     # Leaves that hold different lines in enough documents: their lines are generalised.
     leaves = (
@@ -153,7 +149,11 @@ def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_m
     matched = members.join(stored(general, "leaf-templates"), "leaf").where(equal >= F.length("tokens") / 2 * SIMILAR).select("leaf", "h")
     matched = stored(matched, "leaf-matched")
     of_template = open_lines.join(matched, ["leaf", "h"], "left_semi").groupBy("leaf", "d").agg(F.max("n").alias("n"))
-    generalised = matched.join(_recurring(stored(of_template, "leaf-docs"), sketches, "leaf", min_docs, long_min_docs), "leaf", "left_semi").select("h")
+    held_leaves = _often(stored(of_template, "leaf-docs"), "leaf", min_docs, long_min_docs)
+
+    groups = _copy_groups(given, held.select("d").union(held_leaves.select("d")))
+    exact = _recurring(held, groups, "h", min_docs, long_min_docs)
+    generalised = matched.join(_recurring(held_leaves, groups, "leaf", min_docs, long_min_docs), "leaf", "left_semi").select("h")
     return lines, stored(exact.union(generalised).distinct(), "recurring")
 
 
