@@ -244,3 +244,16 @@ def test_a_group_of_copies_does_not_hide_other_holders(spark):
     rows += [(100 + i, f"{' '.join(prose(rng, 150))}\n{passage}\n{footer}") for i in range(8)]
     got = kept_lines(spark, rows)
     assert all(got[i] == [text.split("\n")[0]] for i, text in rows)
+
+
+def test_passages_in_short_documents(spark):
+    rng = random.Random(13)
+    rows, left = [], {}
+    for own in (20, 30, 40, 60, 80, 100):
+        for _ in range(10):
+            passage = " ".join(prose(rng, 60))
+            for _ in range(2):
+                words = prose(rng, own)
+                left[len(rows)] = [" ".join(words[: own // 2]), " ".join(words[own // 2 :])]
+                rows.append((len(rows), "\n".join([left[len(rows)][0], passage, left[len(rows)][1]])))
+    assert kept_lines(spark, rows) == left
