@@ -19,6 +19,10 @@ from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import keep_good
 
 
+#: Documents of this similarity or more are near-duplicates in the pipeline; op2_near_dedup asks for more.
+NEAR_PERCENT = 80
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     return keep_good(docs)
@@ -32,7 +36,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    return keep_one(docs)
+    return keep_one(docs, percent=NEAR_PERCENT)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

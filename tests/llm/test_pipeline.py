@@ -1,5 +1,6 @@
 """The queries against their SQL, and the pipeline stage by stage against its brute-force version."""
 
+import random
 from collections import Counter, defaultdict
 
 import duckdb
@@ -8,10 +9,10 @@ import pytest
 import __spark_entry__ as entry_module
 import corpus_pipeline
 from tests.conftest import SF_CHECK, SF_SMALL
-from tests.llm.corpus import DOCS, awkward, with_clashes
-from tests.llm.test_dedup import brute_near
+from tests.llm.corpus import DOCS, awkward, prose, with_clashes
+from tests.llm.test_dedup import brute_near, shingle_set
 from tests.llm.test_native import brute_measures
-from tidemark.llm import queries
+from tidemark.llm import near_dedup, queries
 from tidemark.llm.common import running_totals, stored
 
 
@@ -84,3 +85,22 @@ def test_awkward_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs, empty = stored(stage(spark, docs, ""), "awkward"), stored(stage(spark, empty, ""), "empty")
     assert docs.count() > 0 and empty.count() == 0
+
+
+def test_near_stage_takes_groups_at_080(spark):
+    """Groups linked at 0.80 to 0.85 only: one document is left; at 0.77 both stay."""
+    rng = random.Random(14)
+    rows, want = [], set()
+    for changes in (5, 6) * 8 + (8,) * 4:
+        words = prose(rng, 300)
+        other = list(words)
+        for k in range(changes):
+            other[20 + 40 * k if changes < 8 else 15 + 35 * k] = f"neu{len(rows)}x{k}"
+        a, b = shingle_set(" ".join(words)), shingle_set(" ".join(other))
+        similar = len(a & b) / len(a | b)
+        assert 0.8 <= similar < 0.85 if changes < 8 else similar < 0.8
+        want |= {len(rows)} if changes < 8 else {len(rows), len(rows) + 1}
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == want
+    assert near_dedup.near_duplicates(docs).where("kept").count() == len(rows)

@@ -11,7 +11,7 @@ templates of that leaf. Tokens with a digit, an @ or a :// are variable fields
 
 A template recurs when documents of enough copy groups hold it. Documents that
 hold a template often enough to matter are grouped by ``near_dedup`` on their full
-shingle sets; a group counts once, however large, and is left for document
+shingle sets, at COPY_PERCENT; a group counts once, however large, and is left for document
 dedup. Two documents that share a passage only are two groups, however short
 they are.
 
@@ -43,6 +43,8 @@ MIN_DOCS = 5
 LONG_WORDS = 30
 LONG_MIN_DOCS = 2
 SIMILAR = 0.6
+#: Similarity of copies, as in the pipeline's near-duplicate stage.
+COPY_PERCENT = 80
 WILD = b"<*>"
 _FIELD = re.compile(rb"[0-9@]|://")
 _MAYBE_FIELD = re.compile(rb"[0-9@:]")
@@ -100,7 +102,7 @@ def _often(lines: DataFrame, key: str, min_docs: int, long_min_docs: int) -> Dat
 def _copy_groups(given: DataFrame, held: DataFrame) -> DataFrame:
     """(d, g): the group of near-duplicates of each text in ``held``."""
     texts = given.groupBy("d").agg(F.first("text").alias("text")).join(held.select("d").distinct().hint("merge"), "d", "left_semi")
-    groups = near_duplicates(stored(texts, "holder-texts"), "d", "text")
+    groups = near_duplicates(stored(texts, "holder-texts"), "d", "text", COPY_PERCENT)
     return stored(groups.select("d", F.col("component_id").alias("g")), "copy-groups")
 
 

@@ -3,11 +3,11 @@
 A document's set is its distinct 5-word shingles (words lower-cased in A-Z
 only); with one to four words, the whole sequence is one shingle; without words
 it is empty and linked with nothing. Two documents are linked when
-100 * intersection >= PERCENT * union. The result names for every document the
+100 * intersection >= percent * union, with PERCENT in the query. The result names for every document the
 smallest doc_id reachable by links.
 
 1. Equal sets are one class; the class continues as its smallest document.
-2. K minimum hashes of each set: the first BANDS * ROWS form the band keys, and
+2. K minimum hashes of each set: the first bands * rows form the band keys, and
    all K, as pairs (place, minimum), are folded into a parity bitmap of BITS
    bits (odd sketch). Where two bitmaps are XORed, the population count tells
    how many minima differ, most precisely where similarity is high.
@@ -19,8 +19,9 @@ smallest doc_id reachable by links.
    that join components. So no link within a bucket is lost, a
    large group of copies never becomes all its pairs, and no cap is needed.
 
-At similarity 0.85 a pair shares no band with probability 1e-5, and a true link
-is sifted out by the sketch with less than 1e-5.
+Bands and sketch limit follow from ``percent``: a pair right at the threshold shares
+no band with probability MISS at most, and is sifted out by the sketch with less
+than 1e-5. That is 24 bands of 6 minima and 80 bits at 0.85, 29 of 5 and 93 bits at 0.8.
 
 Defined cases: null and blank texts have no shingles and stay by themselves; rows
 without a doc_id keep their size, have no component and are kept; rows that
@@ -30,7 +31,8 @@ repeat a doc_id are each judged by their own text, and all carry the same id.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +45,9 @@ from tidemark.llm.graph import by_cell, cells, components, each_cell, numbers
 
 SHINGLE = 5
 PERCENT = 85
-BANDS, ROWS, K, BITS = 24, 6, 192, 256
-#: Differing bits up to which a pair is confirmed: 46 are expected at 0.85, with a deviation of 7.5.
-MAX_BITS = 80
+K, BITS = 192, 256
+#: Most minima in a band, and the probability with which a pair at the threshold may share no band.
+ROWS, MISS = 6, 1.2e-5
 #: Shingles in one part of a split bucket.
 CELL_SHINGLES = 100_000
 
@@ -94,57 +96,84 @@ def odd_sketch(m: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    rows = m[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for j in range(ROWS):
+def band_shape(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows, ROWS at most, whose bands fit into K minima."""
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-min((percent / 100) ** rows, 1 - 1e-9)))
+        if bands * rows <= K:
+            return bands, rows
+    raise ValueError(f"percent {percent} is too low for {K} minima")
+
+
+def max_bits(percent: int) -> int:
+    """Differing bits up to which a pair is confirmed: what is expected at the threshold and 4.5 deviations."""
+    s = percent / 100
+    differing = K * (1 - s)
+    left = math.exp(-4 * differing / BITS)
+    variance = 4 * left**2 * K * s * (1 - s) + BITS / 4 * (1 - left**2) - 2 * differing * left**2
+    return math.ceil(BITS / 2 * (1 - left) + 4.5 * math.sqrt(variance))
+
+
+def band_keys(m: np.ndarray, bands: int, n_rows: int) -> np.ndarray:
+    rows = m[: bands * n_rows].reshape(bands, n_rows).astype(np.uint64)
+    h = np.arange(1, bands + 1, dtype=np.uint64)
+    for j in range(n_rows):
         h = _mix(h + rows[:, j])
     return h.view(np.int64)
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, keys, bands, odd = [], [], [], []
-        for text in batch.column("text"):
-            s = shingles(text.as_py())
-            n.append(len(s))
-            if len(s):
-                m = minima(s)
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bands.append(band_keys(m))
-                odd.append(odd_sketch(m))
-            else:
-                keys.append(None), bands.append(None), odd.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-            names=["id", "t", "n", "key", "bands", "odd"],
-        )
-
-
-def _linked(n_a: int, n_b: int, common: int) -> bool:
-    return 100 * common >= PERCENT * (n_a + n_b - common)
-
-
-def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, of_last = None, None
-    for batch in batches:
-        a, b = [], []
-        for i, t, j, x, y in zip(*(batch.column(c) for c in ("a", "t_a", "b", "text_a", "text_b"))):
-            i = i.as_py()
-            if (i, t.as_py()) != last:
-                last, of_last = (i, t.as_py()), shingles(x.as_py())
-            s = shingles(y.as_py())
-            if _linked(len(of_last), len(s), len(np.intersect1d(of_last, s, assume_unique=True))):
-                a.append(i), b.append(j.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _cell_links(members: pa.Table) -> list[tuple[int, int]]:
+def _sketch_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    shape = band_shape(percent)
+
+    def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, keys, bands, odd = [], [], [], []
+            for text in batch.column("text"):
+                s = shingles(text.as_py())
+                n.append(len(s))
+                if len(s):
+                    m = minima(s)
+                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    bands.append(band_keys(m, *shape))
+                    odd.append(odd_sketch(m))
+                else:
+                    keys.append(None), bands.append(None), odd.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                names=["id", "t", "n", "key", "bands", "odd"],
+            )
+
+    return sketch_batches
+
+
+def _linked(n_a: int, n_b: int, common: int, percent: int) -> bool:
+    return 100 * common >= percent * (n_a + n_b - common)
+
+
+def _confirm_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of_last = None, None
+        for batch in batches:
+            a, b = [], []
+            for i, t, j, x, y in zip(*(batch.column(c) for c in ("a", "t_a", "b", "text_a", "text_b"))):
+                i = i.as_py()
+                if (i, t.as_py()) != last:
+                    last, of_last = (i, t.as_py()), shingles(x.as_py())
+                s = shingles(y.as_py())
+                if _linked(len(of_last), len(s), len(np.intersect1d(of_last, s, assume_unique=True)), percent):
+                    a.append(i), b.append(j.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return confirm_batches
+
+
+def _cell_links(members: pa.Table, percent: int) -> list[tuple[int, int]]:
     """Links between components among one cell's members; pairs that share an earlier band are that band's."""
     id, n, side, bands, odd = (numbers(members, c) for c in ("id", "n", "side", "bands", "odd"))
     odd, label = odd.view(np.uint64), np.unique(numbers(members, "label"), return_inverse=True)[1]
     texts, band, crossing = members.column("text"), members.column("band")[0].as_py(), members.column("cell_i")[0] != members.column("cell_j")[0]
     sets: dict[int, np.ndarray] = {}
+    most_bits = max_bits(percent)
     links = []
 
     def of(x: int) -> np.ndarray:
@@ -154,36 +183,39 @@ def _cell_links(members: pa.Table) -> list[tuple[int, int]]:
 
     for x in range(len(id) - 1):
         rest = np.arange(x + 1, len(id))
-        fits = (label[rest] != label[x]) & (100 * np.minimum(n[rest], n[x]) >= PERCENT * np.maximum(n[rest], n[x]))
+        fits = (label[rest] != label[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
         if crossing:
             fits &= side[rest] != side[x]
         rest = rest[fits]
-        rest = rest[np.bitwise_count(odd[rest] ^ odd[x]).sum(axis=1) <= MAX_BITS]
+        rest = rest[np.bitwise_count(odd[rest] ^ odd[x]).sum(axis=1) <= most_bits]
         rest = rest[(bands[rest, :band] != bands[x, :band]).all(axis=1)]
         for y in rest.tolist():
-            if label[y] != label[x] and _linked(int(n[x]), int(n[y]), len(np.intersect1d(of(x), of(y), assume_unique=True))):
+            if label[y] != label[x] and _linked(int(n[x]), int(n[y]), len(np.intersect1d(of(x), of(y), assume_unique=True)), percent):
                 links.append((int(id[x]), int(id[y])))
                 label[label == label[y]] = label[x]
     return links
 
 
-def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for members in each_cell(batches):
-        links = _cell_links(members)
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+def _cell_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for members in each_cell(batches):
+            links = _cell_links(members, percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+
+    return cell_batches
 
 
-def _alike(odd_a: str, odd_b: str, n_a: str, n_b: str) -> Column:
-    """The sizes allow a link and the sketches differ in MAX_BITS bits at most."""
+def _alike(odd_a: str, odd_b: str, n_a: str, n_b: str, percent: int) -> Column:
+    """The sizes allow a link and the sketches differ in max_bits at most."""
     bits = F.aggregate(F.zip_with(odd_a, odd_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT) & (bits <= MAX_BITS)
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (bits <= max_bits(percent))
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: ``id``, n_shingles, component_id, kept (the document is its component's smallest)."""
     whole = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
-    sketched = stored(whole.mapInArrow(_sketch_batches, "id long, t long, n long, key binary, bands array<long>, odd array<long>"), "sketches")
+    sketched = stored(whole.mapInArrow(_sketch_batches(percent), "id long, t long, n long, key binary, bands array<long>, odd array<long>"), "sketches")
     known = sketched.where(F.col("key").isNotNull() & F.col("id").isNotNull())
     classes = stored(
         known.groupBy("key").agg(
@@ -204,9 +236,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     pairs = others.select(F.col("center.id").alias("a"), F.col("center.t").alias("t_a"), F.col("id").alias("b"), F.col("t").alias("t_b")).distinct()
     side = lambda k, df, *more: df.select(F.col("id").alias(k), F.col("t").alias(f"t_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more))
     sifted = stored(pairs, "pairs").join(side("b", classes, "n", "odd"), ["b", "t_b"]).join(side("a", classes, "n", "odd"), ["a", "t_a"])
-    likely = stored(sifted.where(_alike("odd_a", "odd_b", "n_a", "n_b")).select(*pairs.columns), "likely")
+    likely = stored(sifted.where(_alike("odd_a", "odd_b", "n_a", "n_b", percent)).select(*pairs.columns), "likely")
     both = likely.join(side("b", texts, "text"), ["b", "t_b"]).join(side("a", texts, "text"), ["a", "t_a"]).select(*pairs.columns, "text_a", "text_b")
-    near = stored(both.mapInArrow(_confirm_batches, "a long, b long"), "near")
+    near = stored(both.mapInArrow(_confirm_batches(percent), "a long, b long"), "near")
     found = stored(components(near), "components")
 
     # What the comparison with each bucket's smallest member leaves open.
@@ -215,7 +247,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     undecided = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
     rest = members.join(stored(undecided, "open-buckets"), "bucket", "left_semi").join(classes.select("id", "t", "n", "bands", "odd"), ["id", "t"])
     dealt = cells(stored(rest, "open"), "bucket", "id", F.col("n"), CELL_SHINGLES).join(texts, ["id", "t"])
-    more = stored(by_cell(dealt).mapInArrow(_cell_batches, "a long, b long"), "more-near")
+    more = stored(by_cell(dealt).mapInArrow(_cell_batches(percent), "a long, b long"), "more-near")
     if not more.isEmpty():
         found = components(near.union(more))
 
@@ -228,9 +260,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     )
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that have a smaller near-duplicate in their component."""
-    gone = near_duplicates(docs, id, text).where("not kept").select(id)
+    gone = near_duplicates(docs, id, text, percent).where("not kept").select(id)
     return docs.join(stored(gone, "near-duplicates"), id, "left_anti").select(docs.columns)
 
 
