@@ -257,3 +257,16 @@ def test_passages_in_short_documents(spark):
                 left[len(rows)] = [" ".join(words[: own // 2]), " ".join(words[own // 2 :])]
                 rows.append((len(rows), "\n".join([left[len(rows)][0], passage, left[len(rows)][1]])))
     assert kept_lines(spark, rows) == left
+
+
+def test_unlike_lines_of_one_leaf_and_rows_of_numbers_stay(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(12):
+        row = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+        own = [f"there is a {'abcdefghijkl'[i] * 5}", f"there is a {'abcdefghijkl'[i] * 4} {prose(rng, 1)[0]}x", row(3), row(8), row(40), f"total {row(5)}"]
+        rows.append((i, "\n".join([" ".join(prose(rng, 40)), *own, "1 2 3", f"Page {i} of 12 pages", " ".join(prose(rng, 40))])))
+    got = kept_lines(spark, rows)
+    for i, text in rows:
+        lines = text.split("\n")
+        assert got[i] == [*lines[:7], lines[9]]

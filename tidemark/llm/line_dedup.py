@@ -2,12 +2,15 @@
 
 The tree has a fixed depth: token count, then the first DEPTH tokens, then the
 templates of that leaf. Tokens with a digit, an @ or a :// are variable fields
-(``<*>``). Two kinds of templates exist:
+(``<*>``). A line that would keep less than half of its tokens is not masked: it
+recurs only word for word. Two kinds of templates exist:
 
 * the masked line itself;
 * per leaf, the generalised line: at each position the token most of the leaf's
-  lines have, or ``<*>`` where no token has half of them. A line belongs to it
-  if it has the template's token at SIMILAR of its positions or more.
+  lines have, or ``<*>`` where no token has half of them; half of its positions
+  at least must be tokens. A line belongs to it if it has the template's token
+  at SIMILAR of its positions or more, not counting the first DEPTH, which all
+  lines of the leaf share.
 
 A template recurs when documents of enough copy groups hold it. Documents that
 hold a template often enough to matter are grouped by ``near_dedup`` on their full
@@ -50,10 +53,15 @@ _FIELD = re.compile(rb"[0-9@]|://")
 _MAYBE_FIELD = re.compile(rb"[0-9@:]")
 
 
-def masked(line: bytes) -> list[bytes]:
-    """The tokens of a line, variable fields masked."""
+def masked(line: bytes) -> tuple[list[bytes], bool]:
+    """The tokens of a line, variable fields masked, and True; as they are, and False, if more than half are fields."""
     tokens = line.split()
-    return [WILD if _FIELD.search(t) else t for t in tokens] if _MAYBE_FIELD.search(line) else tokens
+    if not _MAYBE_FIELD.search(line):
+        return tokens, True
+    fields = [bool(_FIELD.search(t)) for t in tokens]
+    if 2 * sum(fields) > len(tokens):
+        return tokens, False
+    return [WILD if f else t for t, f in zip(tokens, fields)], True
 
 
 def template_hash(tokens: list[bytes]) -> int:
@@ -64,7 +72,7 @@ def _lines(text: str) -> dict[int, tuple]:
     """{h: (leaf, n, token hashes)} of a text's distinct lines."""
     lines = {}
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-        tokens = masked(line)
+        tokens, general = masked(line)
         if not tokens:
             continue
         h = template_hash(tokens)
@@ -72,7 +80,7 @@ def _lines(text: str) -> dict[int, tuple]:
             continue
         n = len(tokens)
         each = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, n)
-        leaf = xxhash.xxh3_64_intdigest(b" ".join(tokens[:DEPTH]), seed=n) >> 1 if n > DEPTH else None
+        leaf = xxhash.xxh3_64_intdigest(b" ".join(tokens[:DEPTH]), seed=n) >> 1 if general and n > DEPTH else None
         lines[h] = (leaf, n, each.astype("<u2").tobytes())
     return lines
 
@@ -145,10 +153,13 @@ def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_m
         .select("leaf", "at", F.when((F.col("best.c") * 2 >= F.col("total")) & (F.col("best.token") != wild), F.col("best.token")).alias("token"))
         .groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("template"))
         .select("leaf", F.transform("template", lambda x: x["token"]).alias("template"))
+        .where(F.size(F.filter("template", lambda x: x.isNotNull())) * 2 >= F.size("template"))
     )
-    equal = F.size(F.filter(F.zip_with(tokens, "template", lambda a, b: a.eqNullSafe(b) & b.isNotNull()), lambda x: x))
+    # The first DEPTH tokens are the leaf's own and say nothing about the line.
+    rest = lambda x: F.slice(x, DEPTH + 1, F.size(x))
+    equal = F.size(F.filter(F.zip_with(rest(tokens), rest(F.col("template")), lambda a, b: a.eqNullSafe(b) & b.isNotNull()), lambda x: x))
     # Stored, so that a leaf with many lines can be split in the join.
-    matched = members.join(stored(general, "leaf-templates"), "leaf").where(equal >= F.length("tokens") / 2 * SIMILAR).select("leaf", "h")
+    matched = members.join(stored(general, "leaf-templates"), "leaf").where(equal >= (F.length("tokens") / 2 - DEPTH) * SIMILAR).select("leaf", "h")
     matched = stored(matched, "leaf-matched")
     of_template = open_lines.join(matched, ["leaf", "h"], "left_semi").groupBy("leaf", "d").agg(F.max("n").alias("n"))
     held_leaves = _often(stored(of_template, "leaf-docs"), "leaf", min_docs, long_min_docs)
@@ -168,7 +179,7 @@ def _without(text: str, drop: str) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 lines = value.split("\n") if value is not None else []
                 kept = lines
                 if gone:
-                    kept = [x for x in lines if not (t := masked(x.encode("utf-8", "surrogatepass"))) or template_hash(t) not in gone]
+                    kept = [x for x in lines if not (t := masked(x.encode("utf-8", "surrogatepass"))[0]) or template_hash(t) not in gone]
                 out.append(None if value is None else "\n".join(kept) if gone else value)
                 n_lines.append(len(lines)), n_dropped.append(len(lines) - len(kept))
             names = [c for c in batch.schema.names if c != drop]
