@@ -270,3 +270,35 @@ def test_unlike_lines_of_one_leaf_and_rows_of_numbers_stay(spark):
     for i, text in rows:
         lines = text.split("\n")
         assert got[i] == [*lines[:7], lines[9]]
+
+
+def test_passages_on_several_lines(spark):
+    rng = random.Random(16)
+    rows, left = [], {}
+    for size, docs in ((8, 2), (10, 3), (25, 4), (29, 2)):
+        words = prose(rng, 60)
+        passage = [" ".join(words[i : i + size]) for i in range(0, 60, size)]
+        for k in range(docs):
+            own = [" ".join(prose(rng, n)) for n in (12, 50, 7, 7)]
+            # The passage's first line once more by itself: that is no recurring passage.
+            own += [passage[0], " ".join(prose(rng, 40))] if k == 0 else []
+            left[len(rows)] = own
+            rows.append((len(rows), "\n".join([*own[:2], *passage, *own[2:]])))
+    assert kept_lines(spark, rows) == left
+
+
+def test_runs_leave_no_line_of_a_passage_out():
+    rng = random.Random(17)
+    for _ in range(500):
+        sizes = [rng.choice([1, 3, 9, 20, 29, 30, 45]) for _ in range(rng.randrange(1, 14))]
+        found = line_dedup.runs(sizes, list(range(len(sizes))))
+        want = set()
+        for i in range(len(sizes)):
+            want |= {(i, next(j for j in range(i, len(sizes)) if sum(sizes[i : j + 1]) >= 30))} if sum(sizes[i:]) >= 30 else set()
+            want |= {(next(j for j in range(i, -1, -1) if sum(sizes[j : i + 1]) >= 30), i)} if sum(sizes[: i + 1]) >= 30 else set()
+        assert set(found) == {(i, j) for i, j in want if i < j} and len(set(found.values())) == len(found)
+        for a in range(len(sizes)):
+            for b in range(a, len(sizes)):
+                if sum(sizes[a : b + 1]) >= 30:
+                    covered = {k for i, j in want if a <= i and j <= b for k in range(i, j + 1)}
+                    assert covered == set(range(a, b + 1))

@@ -12,6 +12,13 @@ recurs only word for word. Two kinds of templates exist:
   at SIMILAR of its positions or more, not counting the first DEPTH, which all
   lines of the leaf share.
 
+A passage may stand on several lines. So runs of consecutive lines (blank ones
+aside) are templates too, named by the hashes of their lines: from every line
+shorter than LONG_WORDS on, and back from every such line, the fewest lines that
+have LONG_WORDS words together. Both ways, so that no line of a passage of
+LONG_WORDS words or more is left out. Where a run recurs, its lines go there,
+and stay where they stand elsewhere.
+
 A template recurs when documents of enough copy groups hold it. Documents that
 hold a template often enough to matter are grouped by ``near_dedup`` on their full
 shingle sets, at COPY_PERCENT; a group counts once, however large, and is left for document
@@ -68,20 +75,45 @@ def template_hash(tokens: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(tokens)) >> 1
 
 
+def runs(sizes: list[int], hashes: list[int]) -> dict[tuple[int, int], int]:
+    """{(first, last): key} of the runs of lines with these numbers of words and template hashes."""
+    ends = set()
+    last = words = 0
+    for first, size in enumerate(sizes):  # forward: [first, last) has LONG_WORDS words
+        while last < len(sizes) and words < LONG_WORDS:
+            words += sizes[last]
+            last += 1
+        if words >= LONG_WORDS and last - first > 1:
+            ends.add((first, last - 1))
+        words -= size
+    first = words = 0
+    for last, size in enumerate(sizes):  # back: [first, last] has LONG_WORDS words, and no fewer lines do
+        words += size
+        while words - sizes[first] >= LONG_WORDS:
+            words -= sizes[first]
+            first += 1
+        if words >= LONG_WORDS and last > first:
+            ends.add((first, last))
+    packed = np.array(hashes, "<i8").tobytes()
+    return {(i, j): xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j + 8], seed=1) >> 1 for i, j in ends}
+
+
 def _lines(text: str) -> dict[int, tuple]:
-    """{h: (leaf, n, token hashes)} of a text's distinct lines."""
-    lines = {}
+    """{h: (leaf, n, token hashes)} of a text's distinct lines and, without leaf and hashes, its runs of lines."""
+    lines, sizes, hashes = {}, [], []
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
         tokens, general = masked(line)
         if not tokens:
             continue
-        h = template_hash(tokens)
+        h, n = template_hash(tokens), len(tokens)
+        sizes.append(n), hashes.append(h)
         if h in lines:
             continue
-        n = len(tokens)
         each = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, n)
         leaf = xxhash.xxh3_64_intdigest(b" ".join(tokens[:DEPTH]), seed=n) >> 1 if general and n > DEPTH else None
         lines[h] = (leaf, n, each.astype("<u2").tobytes())
+    for (i, j), key in runs(sizes, hashes).items():
+        lines[key] = (None, sum(sizes[i : j + 1]), None)
     return lines
 
 
@@ -123,7 +155,7 @@ def _recurring(held: DataFrame, groups: DataFrame, key: str, min_docs: int, long
 
 
 def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_min_docs: int = LONG_MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(rows d, h, leaf, n, tokens of the distinct lines of each text d; hashes h of the lines to drop)."""
+    """(rows d, h, leaf, n, tokens of the distinct lines and runs of each text d; hashes h of the lines and runs to drop)."""
     lines_type = "array<struct<h: long, leaf: long, n: int, tokens: binary>>"
     given = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("d"), F.col(text).alias("text"))
     texts = stored(given.mapInArrow(_line_batches, f"d long, lines {lines_type}"), "lines")
@@ -170,6 +202,19 @@ def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_m
     return lines, stored(exact.union(generalised).distinct(), "recurring")
 
 
+def _kept(lines: list[str], gone: set[int]) -> list[str]:
+    """The lines that neither recur nor stand in a run that does; blank lines stay."""
+    at, sizes, hashes = [], [], []
+    for i, line in enumerate(lines):
+        if tokens := masked(line.encode("utf-8", "surrogatepass"))[0]:
+            at.append(i), sizes.append(len(tokens)), hashes.append(template_hash(tokens))
+    drop = {i for i, h in zip(at, hashes) if h in gone}
+    for (first, last), key in runs(sizes, hashes).items():
+        if key in gone:
+            drop.update(at[first : last + 1])
+    return [x for i, x in enumerate(lines) if i not in drop]
+
+
 def _without(text: str, drop: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
@@ -179,7 +224,7 @@ def _without(text: str, drop: str) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 lines = value.split("\n") if value is not None else []
                 kept = lines
                 if gone:
-                    kept = [x for x in lines if not (t := masked(x.encode("utf-8", "surrogatepass"))[0]) or template_hash(t) not in gone]
+                    kept = _kept(lines, gone)
                 out.append(None if value is None else "\n".join(kept) if gone else value)
                 n_lines.append(len(lines)), n_dropped.append(len(lines) - len(kept))
             names = [c for c in batch.schema.names if c != drop]
