@@ -1,0 +1,120 @@
+"""The Merkle manifest against a plain tree in Python."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import SF_SMALL
+from tests.llm.corpus import DOCS, awkward, prose, with_clashes
+from tidemark.llm import merkle
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def brute_leaf(row):
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def brute_tree(digests):
+    """(root, per leaf the list of its siblings, per leaf the path as (before, after))."""
+    paths = [[] for _ in digests]
+    level, under = list(digests), [[i] for i in range(len(digests))]
+    while len(level) > 1:
+        runs = [range(i, min(i + 3, len(level))) for i in range(0, len(level), 3)]
+        for run in runs:
+            for i in run:
+                for leaf in under[i]:
+                    paths[leaf].append(("".join(level[j] for j in run if j < i), "".join(level[j] for j in run if j > i)))
+        level = [sha("".join(level[i] for i in run)) for run in runs]
+        under = [[leaf for i in run for leaf in under[i]] for run in runs]
+    return level[0], paths
+
+
+def brute_manifest(rows):
+    """rows: (doc_id, source, lang, n_chars, text). Sorted result rows."""
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1]].append((brute_leaf(r), r))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    subroots, parts = [], []
+    for s in names:
+        groups[s].sort(key=lambda p: (p[1][0] is not None, p[1][0] or 0, p[0]))
+        subroot, paths = brute_tree([leaf for leaf, _ in groups[s]])
+        subroots.append(subroot)
+        parts.append(paths)
+    root, above = brute_tree(subroots)
+    out = []
+    for s, subroot, paths, upper in zip(names, subroots, parts, above):
+        for (leaf, r), path in zip(groups[s], paths):
+            proof = path + upper
+            text = r[4]
+            if text is not None and r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0:
+                text = text.replace("\n", "")
+            folded = brute_leaf((*r[:4], text))
+            for before, after in proof:
+                folded = sha(before + folded + after)
+            out.append((r[0], leaf, subroot, root, sha("".join(b + a for b, a in proof)), folded, folded == root))
+    return sorted(out, key=str)
+
+
+def rows_of(docs):
+    return [(r.doc_id, r.source, r.lang, r.n_chars, r.text) for r in docs.collect()]
+
+
+def queried(docs, **given):
+    return sorted((tuple(r) for r in merkle.manifest(docs, **given).collect()), key=str)
+
+
+def test_given_table(spark):
+    got = merkle.op11_merkle_manifest(spark, SF_SMALL).collect()
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert sorted((tuple(r) for r in got), key=str) == brute_manifest(rows_of(docs))
+    assert {r.verified for r in got} == {True, False}
+
+
+@pytest.mark.parametrize("block_levels", [1, 2])
+def test_several_rounds(spark, block_levels):
+    # Small blocks, so that messages cross blocks several times; group sizes at and around powers of three.
+    rng, rows = random.Random(block_levels), []
+    for s, n in enumerate([1, 2, 3, 4, 8, 9, 10, 26, 27, 28, 82, 100]):
+        rows += [(rng.randrange(10**6), "\n".join(prose(rng, 3)), "en", f"s{s:02}", 5) for _ in range(n)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert queried(docs, block_levels=block_levels) == brute_manifest(rows_of(docs))
+
+
+def test_awkward(spark):
+    docs = spark.createDataFrame(awkward(), DOCS)
+    assert queried(docs) == brute_manifest(rows_of(docs))
+    one = spark.createDataFrame([(5, "a\nb", None, None, None)], DOCS)
+    assert queried(one) == brute_manifest(rows_of(one))
+    lone = spark.createDataFrame([(i, "t", "en", f"s{i}", 1) for i in range(5)], DOCS)
+    assert queried(lone) == brute_manifest(rows_of(lone))
+    assert queried(spark.createDataFrame([], DOCS)) == []
+
+
+def test_extra_columns(spark):
+    docs = with_clashes(spark.createDataFrame(awkward(), DOCS)).withColumns({c: F.lit(1) for c in ("g", "pos", "block", "digest", "proof", "root", "_g", "_above")})
+    proved = merkle.proofs(docs.withColumn("leaf", merkle.leaf_digest(F.col("doc_id"), F.col("text"))))
+    assert set(docs.columns) | {"leaf", "subroot"} == set(proved.columns)
+    rows = proved.withColumn("folded", merkle.fold(F.col("leaf"), F.col("proof"))).collect()
+    assert len(rows) == len(awkward()) and all(r.folded == r.root for r in rows)
+
+
+def test_hot_group_is_spread(spark):
+    """A group's rows are dealt by block, so that one group with most rows is many keys."""
+    rows = [(i, None, None, "hot" if i % 10 else "b", i) for i in range(4000)]
+    leaves = spark.createDataFrame(rows, DOCS).withColumn("leaf", F.sha2(F.col("doc_id").cast("string"), 256))
+    proved = merkle.proofs(leaves, block_levels=3)
+    assert proved.select("root").distinct().count() == 1
+    assert proved.where(merkle.fold(F.col("leaf"), F.col("proof")) != F.col("root")).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert proved.select(F.spark_partition_id()).distinct().count() == 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_tree, embedding_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts, warc, wavelet
+from tidemark.llm import chat_tree, embedding_dedup, line_dedup, merkle, mixing, near_dedup, packing, quality_rules, token_counts, url_filter, warc, wavelet, whitening
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_url_filter": url_filter.op12_url_filter,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,6 @@ ORACLE_SQL = {
     "op4_warc": warc.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
     "op7_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_url_filter": url_filter.ORACLE_SQL,
 }
