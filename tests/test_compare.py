@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,76 @@ def test_columns_must_match(spark):
         compare_frames(e, e.select("s", "k"), "k")
     with pytest.raises(ValueError):
         compare_frames(e, e.withColumn("s", F.lit(1)), "k")
+
+
+def test_noise_in_one_column_does_not_decide_the_pairs(spark):
+    e = spark.createDataFrame([("k", 1.0, 5.0), ("k", 1.0 + 1e-9, 3.0)], "s string, a double, b double")
+    g = spark.createDataFrame([("k", 1.0 + 1e-9, 5.0), ("k", 1.0, 3.0)], "s string, a double, b double")
+    assert _diffs(compare_frames(e, g)) == {ROWS: 0, "a": 0, "b": 0}
+    assert_frames_equal(e, g)
+    assert _diffs(compare_frames(e, g.withColumn("b", F.col("b") + 1))) == {ROWS: 0, "a": 0, "b": 2}
+
+
+def _close(x, y, rtol, atol):
+    if x is None or y is None or x != x or y != y or abs(x) == float("inf") or abs(y) == float("inf"):
+        return x is y or x == y or (x != x and y != y)
+    return abs(x - y) <= atol + rtol * abs(y)
+
+
+@pytest.mark.parametrize(("rtol", "atol", "scale"), [(1e-5, 1e-8, 1e-6), (0, 1e-3, 1e-5), (1e-6, 0, 1e-8), (0.1, 0, 1e-3), (1e-12, 1e-12, 1e-14)])
+def test_every_row_with_noise_finds_its_partner(spark, rtol, atol, scale):
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), *[rng.choice([-1, 1]) * 10 ** rng.uniform(-2, 6) for _ in range(4)]) for _ in range(400)]
+    rows += [("a", 1.0, None, float("nan"), float("inf")), ("a", 0.0, -float("inf"), None, -1.0), ("b", None, None, None, None)] * 2 + rows[:50]
+    noisy = lambda x: x if x is None or x - x != 0 else x * (1 + scale * rng.uniform(-1, 1)) if rtol else x + scale * rng.uniform(-1, 1)
+    other = [(r[0], *map(noisy, r[1:])) for r in rows]
+    rng.shuffle(other)
+    schema = "s string, w double, x double, y double, z double"
+    got = _diffs(compare_frames(spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema), rtol=rtol, atol=atol))
+    assert got == {ROWS: 0, "w": 0, "x": 0, "y": 0, "z": 0}
+
+
+def test_rows_without_a_partner(spark):
+    """Random sparse rows: the number without a partner is that of a largest matching, found by augmenting paths."""
+    rng = random.Random(2)
+    for case in range(3):
+        e = [(rng.choice("ab"), float(rng.randrange(8)), float(rng.randrange(8))) for _ in range(60)]
+        g = [(s, x + rng.choice([0, 1e-9, 0.5]), y - rng.choice([0, 1e-9])) for s, x, y in e[case * 5 :]]
+        taken: dict = {}
+
+        def place(i, seen):
+            for j, row in enumerate(g):
+                if j not in seen and e[i][0] == row[0] and all(_close(a, b, 1e-5, 1e-8) for a, b in zip(e[i][1:], row[1:])):
+                    seen.add(j)
+                    if j not in taken or place(taken[j], seen):
+                        taken[j] = i
+                        return True
+            return False
+
+        most = sum(place(i, set()) for i in range(len(e)))
+        schema = "s string, x double, y double"
+        got = _diffs(compare_frames(spark.createDataFrame(e, schema), spark.createDataFrame(g, schema)))
+        lone = {s: [sum(1 for r in f if r[0] == s) for f in (e, g)] for s in "ab"}
+        assert got[ROWS] == sum(abs(a - b) for a, b in lone.values())
+        # Pairs made of rows without a partner differ in a column each, surplus rows are counted alone.
+        assert max(got["x"], got["y"]) <= len(g) - most <= got["x"] + got["y"]
+
+
+def test_a_hot_group_is_dealt_over_tasks(spark):
+    """All rows in one group: its cells are keys of their own, and equal rows are one row before they travel."""
+    from tidemark.operators.matching import unmatched
+
+    rows = spark.range(30_000).select(
+        F.lit(1).cast("long").alias("h1"), F.lit(2).cast("long").alias("h2"), (F.col("id") % 2).cast("int").alias("side"), F.lit(1).cast("long").alias("n"),
+        F.array((F.floor(F.col("id") / 2) * 1.5 + 1).cast("double") * (1 + (F.col("id") % 2) * 1e-9), F.lit(7.0)).alias("values"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert unmatched(rows.where("id < 60000"), 2, 1e-7, 0).count() == 0
+        lone = unmatched(rows.where("side = 0"), 2, 1e-7, 0)
+        assert lone.agg(F.sum("n")).first()[0] == 15_000
+        assert len(lone.inputFiles()) == 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    same = spark.range(50_000).select(F.lit(1).cast("long").alias("h1"), F.lit(2).cast("long").alias("h2"), (F.col("id") % 2).cast("int").alias("side"), F.lit(1).cast("long").alias("n"), F.array(F.lit(1.0), F.lit(2.0)).alias("values"))
+    assert unmatched(same, 2, 1e-7, 0).count() == 0

@@ -14,7 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from tidemark.operators.matching import unmatched
+from tidemark.operators.ranks import running_total
 
 ROWS = "<rows>"
 DUPLICATE_KEYS = "<duplicate keys>"
@@ -72,6 +74,33 @@ def _differs(e: Column, g: Column, dtype: T.DataType, rtol: float, atol: float)
     return ~same
 
 
+def _paired(
+    both: DataFrame, side: str, exact: list[str], floating: list[str], types: dict[str, T.DataType], rtol: float, atol: float
+) -> tuple[DataFrame, list[str]]:
+    """The rows to compare column by column, and the keys that pair them.
+
+    What has to be equal goes along as two hashes of 64 bits each.
+    """
+    flags = [F.col(f"`{c}`").isNull() for c in exact]
+    whole = [_comparable(F.col(f"`{c}`"), types[c]) for c in exact]
+    if len(floating) > 1:
+        # A null, a NaN and the infinities equal themselves only.
+        odd = [F.coalesce(F.when(F.abs(f"`{c}`") < float("inf"), F.lit("finite")), F.col(f"`{c}`").cast("string"), F.lit("null")) for c in floating]
+        hashes = [F.xxhash64(F.lit(seed), *flags, *whole, *odd).alias(f"h{seed}") for seed in (1, 2)]
+        numbers = F.array(*[F.when(F.abs(f"`{c}`") < float("inf"), F.col(f"`{c}`").cast("double") + 0.0).otherwise(0.0) for c in floating])
+        rows = both.select(*hashes, F.col(side).alias("side"), F.lit(1).cast("long").alias("n"), numbers.alias("values"))
+        left = unmatched(rows, len(floating), rtol, atol)
+        each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+        rest = left.select("h1", "h2", F.col("side").alias(side), "values", each.alias("copy")).select("h1", "h2", side, *[F.get("values", F.lit(i)).alias(c) for i, c in enumerate(floating)])
+    else:
+        hashes = [F.xxhash64(F.lit(seed), *flags, *whole).alias(f"h{seed}") for seed in (1, 2)]
+        rest = both.select(*hashes, side, *[F.col(f"`{c}`") for c in floating])
+    names = dict(zip(floating, [f"__v{i}" for i in range(len(floating))]))
+    plain = rest.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), side, *[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.lit(1).alias("__one"))
+    placed = running_total(plain, ["__h1", "__h2", side], list(names.values()), "__one", "__place").drop("__one")
+    return placed.withColumnsRenamed({n: c for c, n in names.items()}), ["__h1", "__h2", "__place"]
+
+
 def compare_frames(
     expected: DataFrame,
     generated: DataFrame,
@@ -89,10 +118,17 @@ def compare_frames(
     more than once on a side is not compared column by column; its surplus
     rows count in ``<rows>`` and, when asked, the keys in ``<duplicate keys>``.
 
-    Without keys the frames are compared as multisets of rows. Rows are matched
-    on their columns other than floating ones and, among rows equal there, in
-    the order of the floating ones, which are then compared within the tolerance.
-    Frames of floating columns alone need keys, or a tolerance of zero.
+    Without keys the frames are compared as multisets of rows. With one floating
+    column, rows equal in the others are paired in its order, which finds
+    a partner for every row if there is a way to. With several, every row is
+    first matched with a row of the other frame that equals it in the other columns and lies
+    within the tolerance in each floating one (``operators.matching``: the nearest
+    first; where many unlike rows lie within one tolerance, a row can stay
+    without a partner that another choice would have found). Rows without such a partner are paired in
+    order among those equal in the other columns, and their floating columns counted
+    where they differ. The surplus of a frame counts in ``<rows>``. Both ways run jobs
+    when they are called and deal hot groups over many tasks. Frames of floating
+    columns alone need keys, or a tolerance of zero.
 
     Columns of different numeric types are compared in a type that holds both.
     """
@@ -104,21 +140,21 @@ def compare_frames(
         return df.select(*columns).withColumn(side, F.lit(number))
 
     floating = [c for c, t in types.items() if isinstance(t, _FLOATING)]
+    both = one(expected, 0).unionByName(one(generated, 1))
     if keys is None and floating and (rtol or atol):
         exact = [c for c in expected.columns if c not in floating]
         if not exact:
             raise ValueError("without keys, floating columns cannot be matched within a tolerance; pass keys, or rtol=0 and atol=0")
-        place = "__place"
-        order = Window.partitionBy(*[F.col(f"`{c}`") for c in exact]).orderBy(*[F.col(f"`{c}`") for c in floating])
-        frames = [one(df, n).withColumn(place, F.row_number().over(order)) for n, df in enumerate((expected, generated))]
-        both, keys = frames[0].unionByName(frames[1]), [*exact, place]
+        both, keys = _paired(both, side, exact, floating, types, rtol, atol)
+        types = {f.name: f.dataType for f in both.schema.fields}
+        columns = [c for c in both.columns if c != side]
     else:
-        both = one(expected, 0).unionByName(one(generated, 1))
+        columns = expected.columns
     n_e = F.sum(F.when(F.col(side) == 0, 1).otherwise(0)).alias("__n_e")
     n_g = F.sum(F.when(F.col(side) == 1, 1).otherwise(0)).alias("__n_g")
 
     if keys is None:
-        grouped = both.groupBy(*[F.col(f"`{c}`") for c in expected.columns]).agg(n_e, n_g)
+        grouped = both.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(n_e, n_g)
         totals = grouped.agg(F.coalesce(F.sum(F.abs(F.col("__n_e") - F.col("__n_g"))), F.lit(0)).cast("long").alias("r0"))
         names = [ROWS]
     else:
@@ -126,7 +162,7 @@ def compare_frames(
         missing = [k for k in keys if k not in both.columns]
         if missing:
             raise ValueError(f"key columns {missing} are not in the frames")
-        values = [c for c in expected.columns if c not in keys]
+        values = [c for c in columns if c not in keys]
         firsts = []
         for i, c in enumerate(values):
             v = _comparable(F.col(f"`{c}`"), types[c])

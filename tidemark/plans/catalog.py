@@ -293,6 +293,25 @@ def q_frame_diff(spark, sf_dir):
     return compare_frames(expected, generated, keys="o_orderkey")
 
 
+def q_frame_diff_unkeyed(spark, sf_dir):
+    """C1 without keys on two floating columns: noise within the tolerance, which puts rows in another order, and known differences.
+
+    Only priority and status have to be equal, so a group holds thousands of rows. The
+    copy leaves out pending low-priority orders and moves urgent prices by 1%.
+    """
+    orders = _table(spark, sf_dir, "orders")
+    expected = orders.select("o_orderpriority", "o_orderstatus", "o_totalprice", F.col("o_custkey").cast("double").alias("customer"))
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    noise = F.when(F.col("customer") % 2 == 0, 1 + 1e-10).otherwise(1 - 1e-10)
+    generated = expected.where(~((status == "P") & (priority == "5-LOW"))).select(
+        "o_orderpriority",
+        "o_orderstatus",
+        (F.when(priority == "1-URGENT", F.col("o_totalprice") * 1.01).otherwise(F.col("o_totalprice")) * noise).alias("o_totalprice"),
+        (F.col("customer") / noise).alias("customer"),
+    )
+    return compare_frames(expected, generated, rtol=1e-9)
+
+
 def q_ordered_head(spark, sf_dir):
     return (
         _table(spark, sf_dir, "orders")
@@ -442,6 +461,7 @@ QUERIES = {
     "lagged_chain": q_lagged_chain,
     "period_dates": q_period_dates,
     "frame_diff": q_frame_diff,
+    "frame_diff_unkeyed": q_frame_diff_unkeyed,
     "ordered_head": q_ordered_head,
     "checkpointed_count": q_checkpointed_count,
     "most_recent": q_most_recent,
@@ -538,6 +558,8 @@ ORACLE_SQL = {
     "SELECT 'o_totalprice', count(*) FROM j WHERE ek IS NOT NULL AND gk IS NOT NULL AND NOT "
     "(abs(ep - gp) <= 1e-8 + 1e-5 * abs(gp)) UNION ALL SELECT 'o_orderstatus', count(*) FROM j "
     "WHERE ek IS NOT NULL AND gk IS NOT NULL AND es IS DISTINCT FROM gs",
+    "frame_diff_unkeyed": "SELECT '<rows>' AS column_name, count(*) AS n_diff FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW' "
+    "UNION ALL SELECT 'o_totalprice', count(*) FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'customer', 0",
     "ordered_head": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "checkpointed_count": "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders "
     "WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY o_custkey, o_orderpriority",
