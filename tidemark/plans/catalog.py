@@ -302,7 +302,7 @@ def q_frame_diff_unkeyed(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders")
     expected = orders.select("o_orderpriority", "o_orderstatus", "o_totalprice", F.col("o_custkey").cast("double").alias("customer"))
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
-    noise = F.when(F.col("customer") % 2 == 0, 1 + 1e-10).otherwise(1 - 1e-10)
+    noise = F.when(priority == "1-URGENT", 1.0).when(F.col("customer") % 2 == 0, 1 + 1e-10).otherwise(1 - 1e-10)
     generated = expected.where(~((status == "P") & (priority == "5-LOW"))).select(
         "o_orderpriority",
         "o_orderstatus",
