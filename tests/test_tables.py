@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from tidemark.functions.periods import Period
 from tidemark.sources import fs
 from tidemark.sources.inventory import completed_periods, partition_inventory
+from tidemark.sources.notes import store_schema
 from tidemark.sources.tables import (
     month_path,
     read_external,
@@ -204,7 +205,7 @@ def test_a_rerun_after_a_lost_driver_replaces_every_month(spark, table, monkeypa
     monkeypatch.setattr(writes.fs, "parallel", real_parallel)
     # the run is repeated with newer rows; a month the lost run had emptied gets rows
     replace_periods(_rows(spark, [(2020, 8), (2020, 9), (2020, 10)], per_month=2), table)
-    assert len(clear_staging(spark, table)) == 1
+    assert clear_staging(spark, table) == []  # the job itself had succeeded, so nothing was left behind
     counts = _month_counts(spark, table)
     assert counts == {(2020, 1): 3, (2020, 8): 2, (2020, 9): 2, (2020, 10): 2, (2020, 11): 3, (2020, 12): 3}
     assert all(fs.exists(spark, f"{table}/year=2020/month={m}/_SUCCESS") for m in (8, 9, 10))
@@ -227,8 +228,8 @@ def test_rows_of_another_month_fail_the_write(spark, table):
     assert _month_counts(spark, table) == {p: 3 for p in MONTHS}
 
 
-def test_one_month_is_written_without_a_rename(spark, table, monkeypatch):
-    monkeypatch.setattr(fs.FileStore, "rename", lambda *a: pytest.fail("renamed"))
+def test_one_month_is_written_without_a_rename(spark, table):
+    assert not hasattr(fs.FileStore, "rename")
     replace_period(spark.createDataFrame([(7, 7, "new")], "k long, i long, v string"), table, (2020, 1))
     assert _month_counts(spark, table)[(2020, 1)] == 1 and fs.exists(spark, f"{table}/year=2020/month=1/_SUCCESS")
 
@@ -305,3 +306,78 @@ def test_replace_without_rebalance(spark, table):
     plan_rows = agg.select("k", "i", "v")
     replace_period(plan_rows, table, (2020, 8), rebalance=False)
     assert [tuple(r) for r in read_period(spark, table, (2020, 8)).collect()] == [(202008, 3, "agg")]
+
+
+def test_months_of_a_lost_job_stay_as_they_were(spark, table):
+    """A job that fails after it wrote some files leaves every month as it was, and what it staged can be cleared."""
+    late = F.when(F.col("i") == 2, F.raise_error(F.lit("task lost")).cast("string")).otherwise("new")
+    with pytest.raises(Exception, match="task lost"):
+        replace_periods(_rows(spark, MONTHS).withColumn("v", late), table)
+    assert _month_counts(spark, table) == {p: 3 for p in MONTHS}
+    assert read_table(spark, table).where("v = 'new'").count() == 0 and len(completed_periods(spark, table)) == len(MONTHS)
+    fs.mkdirs(spark, f"{table}/.spark-staging-1")
+    assert len(clear_staging(spark, table)) == 1
+
+
+def test_several_months_that_read_their_own_table(spark, table):
+    replace_periods(read_periods(spark, table, [(2020, 8), (2020, 9)]).where("i = 0"), table, [(2020, 8), (2020, 9)])
+    assert _month_counts(spark, table) == {p: 1 if p in ((2020, 8), (2020, 9)) else 3 for p in MONTHS}
+
+
+def test_only_written_months_are_returned(spark, table):
+    fs.delete(spark, f"{table}/year=2020/month=11/_SUCCESS")  # left by another run
+    assert replace_periods(_rows(spark, [(2020, 8), (2021, 1)]), table) == [Period(2020, 8), Period(2021, 1)]
+    assert Period(2020, 11) not in completed_periods(spark, table)
+    assert replace_periods(_rows(spark, []), table) == []
+
+
+def _jobs(spark, group, action):
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        action()
+        return len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_stored_schema_spares_the_job_over_footers(spark, scratch):
+    root = scratch("noted")
+    months = [(y, m) for y in (2019, 2020) for m in range(1, 13)]
+    replace_periods(_rows(spark, months, per_month=1), root)
+    replace_period(spark.createDataFrame([(1, "w")], "k long, w string"), root, (2021, 1))
+    declared = T.StructType([*SCHEMA.fields, T.StructField("w", T.StringType())])
+    for i, read in enumerate((lambda **s: read_table(spark, root, **s), lambda **s: read_period(spark, root, (2020, 5), **s), lambda **s: read_trailing(spark, root, (2021, 3), 30, **s))):
+        assert _jobs(spark, f"noted{i}", read) == _jobs(spark, f"declared{i}", lambda: read(schema=declared)) == 0
+        assert [c for c in read().columns if c not in ("year", "month")] == ["k", "i", "v", "w"]
+    assert read_table(spark, root).where("w = 'w'").count() == 1 and read_table(spark, root).count() == 25
+    # Columns of unlike types take the note away; the readers look at the files again.
+    replace_period(spark.createDataFrame([(1.5,)], "k double"), root, (2021, 2))
+    assert not fs.exists(spark, f"{root}/_schema")
+    assert read_period(spark, root, (2021, 2)).columns == ["k"]
+
+
+def test_a_table_with_data_gets_no_guessed_schema(spark, scratch):
+    root = scratch("foreign")
+    spark.createDataFrame([(1, 2)], "a long, b long").write.parquet(f"{root}/year=2020/month=1")
+    replace_period(spark.createDataFrame([(1,)], "a long"), root, (2020, 2))
+    assert not fs.exists(spark, f"{root}/_schema")
+    assert read_table(spark, root).columns == ["a", "b", "year", "month"]
+    store_schema(spark, root, T.StructType([T.StructField("b", T.LongType(), False)]))
+    assert sorted(r["b"] for r in read_table(spark, root).select("b").collect() if r["b"]) == [2]
+
+
+def test_inventory_rows_come_from_the_notes(spark, table):
+    replace_periods(_rows(spark, [(2020, 8)], per_month=5), table, [(2020, 8), (2020, 9)])
+    replace_period(_rows(spark, [(2020, 10)], per_month=4).drop("year", "month"), table, (2020, 10))
+    store = fs.FileStore(spark, table)
+    replace_periods(_rows(spark, MONTHS), table)  # months that were not named are not counted
+    assert store.read_text(f"{table}/year=2020/month=8/_rows") is None
+    replace_periods(_rows(spark, MONTHS), table, MONTHS)
+    noted = partition_inventory(spark, table, rows=True)
+    assert "parquet" not in noted._jdf.queryExecution().executedPlan().toString().lower()
+    assert {r["n_rows"] for r in noted.collect()} == {3}
+    # A note that does not fit the files counts for nothing.
+    spark.createDataFrame([(1, 1, "x")], "k long, i long, v string").write.mode("append").parquet(month_path(table, (2020, 8)))
+    counted = {(r["year"], r["month"]): r["n_rows"] for r in partition_inventory(spark, table, rows=True).collect()}
+    assert counted == {p: 4 if p == (2020, 8) else 3 for p in MONTHS}

@@ -55,6 +55,7 @@ from tidemark.sources import (
     read_upto,
     replace_period,
     replace_periods,
+    store_schema,
 )
 
 __all__ = [
@@ -67,5 +68,5 @@ __all__ = [
     "backfill", "backfill_range", "clear_period", "config_frame", "join_config", "month_directories",
     "partition_inventory", "read_external", "read_latest_available", "read_most_recent", "read_offset",
     "read_period", "read_periods", "read_table", "read_trailing", "read_upto", "clear_staging",
-    "replace_period", "replace_periods",
+    "replace_period", "replace_periods", "store_schema",
 ]

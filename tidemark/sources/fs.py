@@ -1,6 +1,6 @@
 """Metadata calls on the table store through Hadoop's FileSystem.
 
-These list, create, rename and delete directory entries on the driver; they
+These list, create and delete directory entries, and keep small notes, on the driver; they
 never read rows. Any Hadoop URI works (file:, hdfs:, s3a:, abfs:, ...).
 ``FileStore`` keeps one FileSystem handle per root so each call is one or two
 gateway round trips; ``parallel`` runs independent per-month calls on a few
@@ -41,10 +41,13 @@ class FileStore:
         statuses = self._fs.globStatus(self._Path(pattern))
         return [] if statuses is None else [s.getPath().toString() for s in statuses]
 
+    def data_sizes(self, uri: str) -> dict[str, int]:
+        """The files of a directory that Spark would read (not ``_*`` or ``.*``), with their bytes."""
+        found = [s for s in self._fs.listStatus(self._Path(uri)) if s.isFile()]
+        return {s.getPath().toString(): int(s.getLen()) for s in found if not s.getPath().getName().startswith(("_", "."))}
+
     def data_files(self, uri: str) -> list[str]:
-        """The files of a directory that Spark would read (not ``_*`` or ``.*``)."""
-        found = [s.getPath() for s in self._fs.listStatus(self._Path(uri)) if s.isFile()]
-        return [p.toString() for p in found if not p.getName().startswith(("_", "."))]
+        return list(self.data_sizes(uri))
 
     def delete(self, uri: str) -> bool:
         """Remove a path and everything under it; a missing path is not an error."""
@@ -53,14 +56,28 @@ class FileStore:
     def mkdirs(self, uri: str) -> None:
         self._fs.mkdirs(self._Path(uri))
 
-    def rename(self, src: str, dst: str) -> None:
-        """Move ``src`` to ``dst``; the parent of ``dst`` must exist."""
-        if not self._fs.rename(self._Path(src), self._Path(dst)):
-            raise OSError(f"could not move {src} to {dst}")
-
     def touch(self, uri: str) -> None:
         self._fs.create(self._Path(uri), True).close()
 
+    def write_text(self, uri: str, text: str) -> None:
+        """A small file of notes, in place of one that is there."""
+        out = self._fs.create(self._Path(uri), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def read_text(self, uri: str) -> "str | None":
+        """The whole text of a small file; None if there is none."""
+        path = self._Path(uri)
+        if not self._fs.exists(path):
+            return None
+        stream = self._fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
     def modified_ms(self, uri: str) -> int:
         return int(self._fs.getFileStatus(self._Path(uri)).getModificationTime())
 

@@ -1,4 +1,4 @@
-"""Which months a table holds and which are complete: listings on the driver, no file is opened."""
+"""Which months a table holds, which are complete, and their rows: listings and notes on the driver, no data file is opened."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.periods import Period
 from tidemark.sources import fs
-from tidemark.sources.tables import month_paths, read_table
+from tidemark.sources.notes import noted_rows
+from tidemark.sources.tables import month_paths, read_periods
 
 SUCCESS = "/_SUCCESS"
 
@@ -27,18 +28,25 @@ def partition_inventory(spark: SparkSession, root: str, *, rows: bool = False) -
     """One row per month directory: ``year, month, n_files, complete``, and ``n_rows`` when asked.
 
     One listing of the months and one per month, on a few driver threads.
-    ``rows=True`` adds a count per month, which reads the files' footers in a job.
+    ``rows=True`` adds the counts that were noted when the months were written (one
+    small file each); only months without such a note are counted, in a job
+    over their files' footers.
     """
     complete = set(completed_periods(spark, root))
     months = month_paths(spark, root)
     store = fs.FileStore(spark, root)
-    n_files = fs.parallel(lambda path: len(store.data_files(path)), months.values())
-    listed = spark.createDataFrame(
-        [(p.year, p.month, n, p in complete) for p, n in zip(months, n_files)], "year int, month int, n_files long, complete boolean"
-    )
+
+    def facts(path: str) -> tuple[int, "int | None"]:
+        sizes = store.data_sizes(path)
+        return len(sizes), noted_rows(store, path, sizes) if rows else None
+
+    found = fs.parallel(facts, months.values())
+    listed = [(p.year, p.month, n, p in complete, counted) for p, (n, counted) in zip(months, found)]
+    frame = spark.createDataFrame(listed, "year int, month int, n_files long, complete boolean, n_rows long")
     if not rows:
-        return listed
-    if not any(n_files):
-        return listed.withColumn("n_rows", F.lit(0).cast("long"))
-    counts = read_table(spark, root).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_rows"))
-    return listed.join(counts, ["year", "month"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("long")))
+        return frame.drop("n_rows")
+    open_ = [p for p, (_, counted) in zip(months, found) if counted is None]
+    if not open_:
+        return frame
+    counts = read_periods(spark, root, open_).groupBy("year", "month").agg(F.count(F.lit(1)).alias("counted"))
+    return frame.join(counts, ["year", "month"], "left").select("year", "month", "n_files", "complete", F.coalesce("n_rows", "counted", F.lit(0)).alias("n_rows"))

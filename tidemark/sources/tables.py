@@ -17,9 +17,10 @@ Hive-style layout Spark's ``partitionBy("year", "month")`` writes.
 Every reader takes the table's ``schema`` (with or without the period
 columns). With it no file is opened to find the columns, columns a month's
 files lack read as null, and a table without any file can be read. Without
-it the columns of all files that are read are merged (``mergeSchema``: one
-job over their footers), so no month's column is lost; types that do not fit
-together are an error.
+it the columns that this library's writers noted beside the table are taken
+(``notes``), in the same way. Without a note either, the columns of all files that are
+read are merged (``mergeSchema``: one job over their footers), so no month's
+column is lost; types that do not fit together are an error.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.periods import Period, PeriodLike, as_periods, period_index, period_of_path
 from tidemark.sources import fs
+from tidemark.sources.notes import noted_schema
 
 log = logging.getLogger(__name__)
 
@@ -51,6 +53,7 @@ def stored_schema(schema: T.StructType) -> T.StructType:
 
 
 def _load(spark: SparkSession, root: str, paths: list[str], schema: Schema) -> DataFrame:
+    schema = noted_schema(spark, root) if schema is None else schema
     if schema is not None:
         full = stored_schema(schema)
         return spark.read.schema(full).option("basePath", root).parquet(*paths) if paths else spark.createDataFrame([], full)
@@ -167,12 +170,15 @@ def read_most_recent(spark: SparkSession, root: str, *, schema: Schema = None) -
 def read_external(spark: SparkSession, root: str, *, schema: Schema = None) -> DataFrame:
     """A table outside the project, all of its partitions read once as one dataset.
 
-    ``schema`` is used as given; without it the files' columns are merged.
+    ``schema`` is used as given; without it the columns noted beside the
+    table are, or else the files' columns merged.
     """
     if not fs.exists(spark, root):
         raise FileNotFoundError(f"there is nothing to read at {root}")
     months = fs.glob(spark, f"{root.rstrip('/')}/year=*/month=*")
     if len(months) > 1:
         log.warning("external table %s has %d partitions; reading them as one dataset", root, len(months))
-    reader = spark.read.option("mergeSchema", "true") if schema is None else spark.read.schema(schema)
-    return reader.parquet(root)
+    if schema is None:
+        noted = noted_schema(spark, root)
+        return spark.read.option("mergeSchema", "true").parquet(root) if noted is None else spark.read.schema(stored_schema(noted)).parquet(root)
+    return spark.read.schema(schema).parquet(root)

@@ -1,18 +1,16 @@
 """Writing monthly tables: replace months, clear a month, backfill a range.
 
 One month (``replace_period``) is one Spark job that overwrites the month's own
-directory through the store's committer: nothing is renamed on the driver. A
-job that fails leaves the month without ``_SUCCESS``; running it again is the
-recovery. Only a job that reads from the table it writes goes through a staging
-directory, so that it never deletes what it reads.
-
-Several months (``replace_periods``) are one Spark job into a staging directory
-under the table root (Spark's readers skip names starting with ``_``). A job
-that fails leaves the table as it was. Afterwards each month is swapped in on
-the driver: the old directory is removed, the staged one renamed into its place
-and ``_SUCCESS`` written. On stores where a rename copies, write months one by
-one. A driver lost in between leaves some months new and some old; running the
-job again replaces them all. ``clear_staging`` removes what lost drivers left.
+directory through the store's committer. A job that fails leaves the month
+without ``_SUCCESS``; running it again is the recovery.
+
+Several months (``replace_periods``) are one Spark job that overwrites the table's
+partitions dynamically (``partitionOverwriteMode``): the committer puts the months
+that have rows in the place of the old ones when the whole job has succeeded, so a job that
+fails leaves the table as it was, and a job may read the table it writes. Requested months
+without rows are then cleared apart, and ``_SUCCESS`` is written in each month.
+A driver lost in between leaves months without ``_SUCCESS``; running the job
+again replaces them all. ``clear_staging`` removes what lost jobs left.
 
 Rows without a year or month, or of a month that was not asked for, fail the
 job with the reason; they are checked where the rows are written, without a
@@ -23,12 +21,14 @@ Writes of one month are spread evenly over tasks (``rebalance`` hint); writes of
 several shuffle on ``(year, month)`` with the same hint: AQE splits a month that
 holds a large share of the rows over several tasks and packs small months
 together, so files come out near the advisory size.
+
+The rows of each requested month are counted as they are written, and the
+table's columns noted (see ``notes``).
 """
 
 from __future__ import annotations
 
 import logging
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.periods import Period, PeriodLike, as_periods, period_index
 from tidemark.operators.schema import stamp_period
 from tidemark.sources import fs
-from tidemark.sources.tables import month_path, month_paths
+from tidemark.sources.notes import add_columns, note_rows
+from tidemark.sources.tables import available_periods, month_path, month_paths
 
 log = logging.getLogger(__name__)
 
@@ -77,41 +78,51 @@ def replace_periods(df: DataFrame, root: str, periods: "Iterable[PeriodLike] | N
         raise ValueError("no months requested")
     spark, root = df.sparkSession, root.rstrip("/")
     store = fs.FileStore(spark, root)
-    staging = f"{root}/_staging-{uuid.uuid4().hex}"
     data = _checked(df, wanted)
     if rebalance:
         data = data.hint("rebalance", *([] if wanted is not None and len(wanted) == 1 else ["year", "month"]))
-    try:
-        data.write.mode("errorifexists").partitionBy("year", "month").parquet(staging)
-    except Exception:
-        store.delete(staging)
-        raise
-    staged = month_paths(spark, staging)
-    wanted = list(staged) if wanted is None else wanted
-    for year in sorted({p.year for p in wanted}):
-        store.mkdirs(f"{root}/year={year}")
-
-    def swap(p: Period) -> None:
-        target = month_path(root, p)
-        store.delete(target)
-        if p in staged:
-            store.rename(staged[p], target)
-        else:
+    rows = Observation()
+    if wanted is not None:
+        index = period_index()
+        data = data.observe(rows, *[F.count_if(index == p.index).alias(f"n{p.index}") for p in wanted])
+    unfinished = _unfinished(spark, root, store)
+    first = not available_periods(spark, root)
+    data.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(root)
+    # The committer put whole months in place, so those it wrote have no _SUCCESS yet.
+    found = _unfinished(spark, root, store)
+    written = [p for p, files in found.items() if files and files != unfinished.get(p)]
+    counts = None if wanted is None else {p: rows.get[f"n{p.index}"] for p in wanted}
+    wanted = written if wanted is None else wanted
+    if written:
+        add_columns(spark, root, df.schema, new_table=first)
+
+    def finish(p: Period) -> None:
+        leaf = month_path(root, p)
+        if p not in written:
             log.warning("month %s of %s has no rows; leaving it empty", p, root)
-            store.mkdirs(target)
-        store.touch(f"{target}/{SUCCESS}")
+            store.delete(leaf)
+            store.mkdirs(leaf)
+        elif counts is not None:
+            note_rows(store, leaf, counts[p])
+        store.touch(f"{leaf}/{SUCCESS}")
 
-    fs.parallel(swap, wanted)
-    store.delete(staging)
+    fs.parallel(finish, wanted)
     return wanted
 
 
+def _unfinished(spark: SparkSession, root: str, store: fs.FileStore) -> dict[Period, set[str]]:
+    """The months without ``_SUCCESS``, with their data files."""
+    complete = month_paths(spark, root, f"/{SUCCESS}")
+    open_ = {p: path for p, path in month_paths(spark, root).items() if p not in complete}
+    return dict(zip(open_, fs.parallel(lambda path: set(store.data_files(path)), open_.values()))) if open_ else {}
+
+
 def replace_period(df: DataFrame, root: str, period: PeriodLike, *, rebalance: bool = True) -> Period:
     """Replace one month of the table with the frame (its own ``year``/``month`` columns are left out)."""
     if df is None:
         raise ValueError("the job returned nothing")
     p, spark, root = Period.of(period), df.sparkSession, root.rstrip("/")
-    if fs.reads_from(df, root):
+    if fs.reads_from(df, root):  # replaced only when the whole job has succeeded
         replace_periods(stamp_period(df, p), root, [p], rebalance=rebalance)
         return p
     data = df.drop(*[c for c in df.columns if c.lower() in ("year", "month")])
@@ -119,10 +130,14 @@ def replace_period(df: DataFrame, root: str, period: PeriodLike, *, rebalance: b
         data = data.hint("rebalance")
     rows = Observation()
     leaf, store = month_path(root, p), fs.FileStore(spark, root)
+    first = not available_periods(spark, root)
     data.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(leaf)
     if not rows.get["n"]:
         log.warning("month %s of %s has no rows; leaving it empty", p, root)
         fs.parallel(store.delete, store.data_files(leaf))
+    else:
+        note_rows(store, leaf, rows.get["n"])
+        add_columns(spark, root, data.schema, new_table=first)
     if not store.exists(f"{leaf}/{SUCCESS}"):  # committers can be set up not to write it
         store.touch(f"{leaf}/{SUCCESS}")
     return p
@@ -134,9 +149,9 @@ def clear_period(spark: SparkSession, root: str, period: PeriodLike) -> bool:
 
 
 def clear_staging(spark: SparkSession, root: str) -> list[str]:
-    """Remove staging directories that lost drivers left. Only while nobody writes to the table."""
+    """Remove the directories in which lost jobs kept their months. Only while nobody writes to the table."""
     store = fs.FileStore(spark, root)
-    found = store.glob(f"{root.rstrip('/')}/_staging-*")
+    found = store.glob(f"{root.rstrip('/')}/.spark-staging-*")
     fs.parallel(store.delete, found)
     return found
 
