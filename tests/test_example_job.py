@@ -67,6 +67,19 @@ def test_awkward_strings_in_a_list(spark):
     assert sorted(r["s"] for r in allow_list(df, "s", odd).collect()) == sorted(odd)
 
 
+def test_values_are_of_the_columns_own_type(spark, scratch):
+    """A float column holds the float nearest to 1.1, and so does the list."""
+    path = scratch("floats")
+    spark.createDataFrame([(1.1,), (2.5,), (float("inf"),), (float("nan"),)], "x float").write.parquet(path)
+    floats = spark.read.parquet(path)
+    listed = allow_list(floats, "x", [1.1, 3])
+    assert listed.count() == 1 and "PushedFilters: [In(x, [1.1,3.0])]" in listed._jdf.queryExecution().executedPlan().toString()
+    assert allow_list(floats, "x", [1.1, float("inf"), float("nan")]).count() == 3
+    assert allow_list(floats.select(F.col("x").cast("double").alias("x")), "x", [1.1]).count() == 0
+    prices = spark.sql("SELECT cast(1.01 AS decimal(18,2)) AS x")
+    assert allow_list(prices, "x", [1.005]).count() == 0 and allow_list(prices, "x", [1.01]).count() == 1
+
+
 def test_allow_from_a_frame(spark, swipes):
     listed = spark.createDataFrame([("Mira",), (None,), ("Mira",)], "who string")
     out = allow_from(swipes, "name", listed, "who")

@@ -38,14 +38,14 @@ def _of_type(value, dtype: T.DataType):
     raise TypeError(f"the allow-list value {value!r} does not fit a column of type {dtype.simpleString()}")
 
 
-def _literal(value) -> "str | None":
-    """The value as SQL text, which makes a long list one call to the JVM; None for types it is not made for."""
+def _literal(value, dtype: T.DataType) -> "str | None":
+    """The value as SQL text of the column's type, which makes a long list one call to the JVM; None for types it is not made for."""
     if isinstance(value, bool):
         return str(value)
     if isinstance(value, int):
         return f"{value}L" if value > -(2**63) else f"({value + 1}L - 1L)"
     if isinstance(value, float) and value - value == 0:
-        return f"{value!r}D"
+        return f"cast({value!r}D as float)" if isinstance(dtype, T.FloatType) else f"{value!r}D"
     return f"cast(X'{value.encode().hex()}' as string)" if isinstance(value, str) else None
 
 
@@ -67,9 +67,9 @@ def allow_list(df: DataFrame, column: str, allowed: "Sequence | None") -> DataFr
     dtype = df.schema[actual].dataType
     values = [_of_type(v, dtype) for v in dict.fromkeys(allowed) if v is not None]
     values = [v for v in values if v is not None]
-    texts = [_literal(v) for v in values]
+    texts = [_literal(v, dtype) for v in values]
     if not values or None in texts:
-        return df.where(F.col(f"`{actual}`").isin(values))
+        return df.where(F.col(f"`{actual}`").isin([F.lit(v).cast(dtype) if isinstance(dtype, T.FloatType) else v for v in values]))
     return df.where(F.expr(f"`{actual}` IN ({', '.join(texts)})"))
 
 

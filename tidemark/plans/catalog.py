@@ -100,13 +100,13 @@ def q_partition_inventory(spark, sf_dir):
 
 
 def q_inventory_files(spark, sf_dir):
-    """S4: the number of files and rows of three months, one of them emptied."""
+    """S4: the number of files and rows of three months, one of them emptied; months this small are one file each."""
     root = scratch_path(spark, "inventory")
     months = orders_table(spark, sf_dir)
     schema = orders_schema(spark, sf_dir)
     for month in (9, 10, 11):
         rows = read_period(spark, months, (1997, month), schema=schema)
-        replace_period(rows.where(F.lit(month != 10)).coalesce(1), root, (1997, month), rebalance=False)
+        replace_period(rows.where(F.lit(month != 10)), root, (1997, month))
     return partition_inventory(spark, root, rows=True)
 
 
@@ -123,6 +123,18 @@ def q_schema_drift_read(spark, sf_dir):
     return merged.unionByName(read_periods(spark, root, [(1997, 11), (1997, 12), (1998, 1)], schema=declared).withColumn("how", F.lit("declared")))
 
 
+def q_stored_schema_read(spark, sf_dir):
+    """P4 for S1-S7: columns noted by the writers; a later month has one more. No footer is opened to find them."""
+    root = scratch_path(spark, "stored-schema")
+    months, schema = orders_table(spark, sf_dir), orders_schema(spark, sf_dir)
+    rows = read_upto(spark, months, RUN, schema=schema).select("o_orderkey", "o_totalprice", "year", "month")
+    replace_periods(rows.where(F.col("year") < 1998), root, period_range((1995, 1), (1997, 12)))
+    for month in (1, 2):
+        late = read_period(spark, months, (1998, month), schema=schema)
+        replace_period(late.select("o_orderkey", "o_totalprice", "o_orderstatus"), root, (1998, month))
+    return read_trailing(spark, root, RUN, 3).groupBy("year", "month", "o_orderstatus").agg(F.count(F.lit(1)).alias("n_rows"), F.max("o_orderkey").alias("max_key"))
+
+
 def q_bounded_periods(spark, sf_dir):
     root = orders_table(spark, sf_dir, gaps=True)
     return _counts_by_month(read_upto(spark, root, RUN, schema=orders_schema(spark, sf_dir)))
@@ -474,6 +486,7 @@ QUERIES = {
     "supplier_months": q_supplier_months,
     "inventory_files": q_inventory_files,
     "schema_drift_read": q_schema_drift_read,
+    "stored_schema_read": q_stored_schema_read,
     "allowlist_count_long": q_allowlist_count_long,
     "allow_from": q_allow_from,
     "row_count": q_row_count,
@@ -500,6 +513,9 @@ ORACLE_SQL = {
     "schema_drift_read": "SELECT o_orderkey, CASE WHEN month(o_orderdate) = 12 THEN o_orderstatus END AS o_orderstatus, "
     "1997 AS year, cast(month(o_orderdate) AS int) AS month, how FROM orders, (SELECT unnest(['merged', 'declared']) AS how) "
     "WHERE o_orderdate >= TIMESTAMP '1997-11-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00'",
+    "stored_schema_read": "SELECT cast(year(o_orderdate) AS int) AS year, cast(month(o_orderdate) AS int) AS month, "
+    "CASE WHEN year(o_orderdate) = 1998 THEN o_orderstatus END AS o_orderstatus, count(*) AS n_rows, max(o_orderkey) AS max_key "
+    "FROM orders WHERE o_orderdate >= TIMESTAMP '1997-11-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-03-01 00:00:00' GROUP BY 1, 2, 3",
     "allowlist_count_long": "SELECT o_orderstatus, count(*) AS n_orders, max(o_orderkey) AS max_key FROM orders "
     "WHERE o_orderkey BETWEEN 1 AND 40000 AND o_orderkey % 2 = 1 GROUP BY 1",
     "allow_from": "SELECT o_orderstatus, count(*) AS n_orders FROM orders WHERE o_custkey IN "
