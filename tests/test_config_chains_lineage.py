@@ -131,6 +131,82 @@ def test_most_recent_dependency(spark, stored):
     assert frame(spark, recent, (1990, 1)).count() == 1  # 1998-01, after the run month
 
 
+def test_tables_of_one_name_are_an_error(spark, stored):
+    one, two = (table("same", lambda p, m: m, [source("src", stored).at(0)]) for _ in range(2))
+    with pytest.raises(ValueError, match="named"):
+        frame(spark, table("top", lambda p, a, b: a, [one, two]), (1997, 12))
+    with pytest.raises(ValueError, match="named"):
+        run_chain(spark, table("top", lambda p, a, b: a, [one, two]), (1997, 12))
+
+
+def _shared_chain(root, out):
+    """base is read three times: by left and right, and by top itself."""
+    count = F.count(F.lit(1)).alias("n")
+    months = lambda m: m.groupBy("year", "month").agg(count)
+    base = table("base", lambda p, m: m.groupBy("cust").agg(count), [source("src", root, T.StructType([T.StructField("cust", T.LongType())])).at(0)],
+                 build_range=lambda m: m.groupBy("cust", "year", "month").agg(count))
+    left = table("left", lambda p, b: b.groupBy().agg(count), [base.at(0)], build_range=months)
+    right = table("right", lambda p, b: b.groupBy().agg(count), [base.at(0)], build_range=months)
+    build = lambda p, a, b, c: a.unionByName(b).unionByName(c.groupBy().agg(count))
+    return table("top", build, [left.at(0), right.at(0), base.at(1)], root=out, build_range=lambda a, b, c: a.unionByName(b).unionByName(months(c)))
+
+
+def test_a_table_with_several_readers_is_computed_once(spark, stored, scratch, monkeypatch):
+    from tidemark.plans import chains
+
+    cuts, cut = [], chains.cut_lineage
+
+    def recorded(df, **given):
+        cuts.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, **given)
+
+    monkeypatch.setattr(chains, "cut_lineage", recorded)
+    top = _shared_chain(stored, scratch("shared"))
+    plain = frame(spark, top, (1997, 12))
+    assert not cuts
+    once = frame(spark, top, (1997, 12), cut_shared=True)
+    # December has two readers and is stored once; November has one and stays in the plan.
+    assert len(cuts) == 1 and cuts[0].count("FileScan") == 1
+    months = [{f.split("month=")[1].split("/")[0] for f in df.inputFiles() if stored.rsplit("/", 1)[-1] in f} for df in (once, plain)]
+    assert months == [{"11"}, {"11", "12"}]
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, plain.collect())) == [(11,), (12,), (12,)]
+    # By range the months of all readers are computed together, whatever their number.
+    cuts.clear()
+    backfill_table(spark, top, [(1997, 11), (1997, 12), (1998, 1)])
+    assert len(cuts) == 1 and cuts[0].count("FileScan") == 1
+    got = sorted((r["year"], r["month"], r["n"]) for r in read_table(spark, top.root).collect())
+    assert got == sorted((y, m, n) for y, m, before in ((1997, 11, 10), (1997, 12, 11), (1998, 1, 12)) for n in (m, m, before))
+
+
+def test_trailing_and_latest_by_range_are_those_of_each_month(spark, scratch):
+    root = scratch("gappy")
+    months = [Period.from_index(Period(2015, 1).index + i) for i in range(40) if i % 5 not in (1, 2)]
+    replace_periods(spark.createDataFrame([(c, p.year, p.month) for p in months for c in range(p.month)], "cust long, year int, month int"), root)
+    src = source("src", root, T.StructType([T.StructField("cust", T.LongType())]))
+    count = F.count(F.lit(1)).alias("n")
+
+    def whole(p, t, l, r):  # noqa: E741
+        return t.groupBy().agg(count, F.sum(F.col("year") * 100 + F.col("month")).alias("own")).crossJoin(l.groupBy().agg(count.alias("l"))).crossJoin(r.groupBy().agg(count.alias("r")))
+
+    def ranged(t, l, r):  # noqa: E741
+        by = ["year", "month"]
+        own = F.sum(F.col("own_year") * 100 + F.col("own_month")).alias("own")
+        return t.groupBy(*by).agg(count, own).join(l.groupBy(*by).agg(count.alias("l")), by).join(r.groupBy(*by).agg(count.alias("r")), by)
+
+    deps = [src.trailing(3), src.latest(2), src.most_recent()]
+    by_month = table("by_month", whole, deps)
+    by_range = table("by_range", whole, deps, root=scratch("by-range"), build_range=ranged)
+    few, many = [Period(2016, m) for m in range(1, 5)], [Period.from_index(Period(2015, 4).index + i) for i in range(36)]
+    used = [_jobs(spark, f"avail{i}", lambda: backfill_table(spark, by_range, wanted)) for i, wanted in enumerate((few, many))]
+    assert used[1] - used[0] <= 1  # Spark lists more than 32 paths in a job of its own
+    got = {(r["year"], r["month"]): (r["n"], r["own"], r["l"], r["r"]) for r in read_table(spark, by_range.root).collect()}
+    assert set(got) == {(p.year, p.month) for p in many}
+    for p in (many[0], many[7], many[20], many[-1]):
+        assert got[(p.year, p.month)] == tuple(frame(spark, by_month, p).first())
+    with pytest.raises(FileNotFoundError):
+        backfill_table(spark, by_range, [(2015, 1)])
+
+
 @pytest.fixture
 def stored(spark, scratch):
     root = scratch("chain-src")

@@ -33,7 +33,7 @@ from tidemark.operators import (
     row_count,
     stamp_period,
 )
-from tidemark.plans import backfill_table, external, frame, lagged_join, needed_periods, run, run_chain, source, table, wide_table
+from tidemark.plans import backfill_table, external, frame, lagged_join, multi_lag, needed_periods, run, run_chain, source, table, wide_table
 from tidemark.session import build_session, clear_scratch, scratch_path, shared_dir
 from tidemark.sources import (
     backfill,
@@ -63,7 +63,7 @@ __all__ = [
     "period_range", "previous", "shift_months", "spark_type",
     "allow_from", "allow_list", "assert_frames_equal", "check_id", "compare_frames", "conform", "cut_lineage",
     "declare_schema", "group_count", "id_report", "row_count", "stamp_period",
-    "backfill_table", "external", "frame", "lagged_join", "needed_periods", "run", "run_chain", "source", "table", "wide_table",
+    "backfill_table", "external", "frame", "lagged_join", "multi_lag", "needed_periods", "run", "run_chain", "source", "table", "wide_table",
     "build_session", "clear_scratch", "scratch_path", "shared_dir",
     "backfill", "backfill_range", "clear_period", "config_frame", "join_config", "month_directories",
     "partition_inventory", "read_external", "read_latest_available", "read_most_recent", "read_offset",

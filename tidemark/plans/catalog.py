@@ -21,7 +21,7 @@ from tidemark.operators.lineage import cut_lineage
 from tidemark.operators.schema import conform, id_report, stamp_period
 from tidemark.plans.chains import Table, backfill_table, external, frame, run, run_chain, source, table
 from tidemark.plans.jobs import NAME_COUNTS_SCHEMA, name_counts
-from tidemark.plans.joins import lagged_join, wide_table
+from tidemark.plans.joins import lagged_join, multi_lag, wide_table
 from tidemark.plans.monthly_orders import orders_schema, orders_table
 from tidemark.session import scratch_path
 from tidemark.sources import fs
@@ -204,12 +204,33 @@ def q_wide_table(spark, sf_dir):
     return wide_table(spine, "c_custkey", [per_customer])
 
 
+def q_wide_table_many(spark, sf_dir):
+    """J1 with five features of customers, from four aggregates and a plain frame; one fold, one join."""
+    customer = _table(spark, sf_dir, "customer")
+    orders = _table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    count = F.count(F.lit(1))
+    features = [orders.where(F.col("o_orderstatus") == s).groupBy("c_custkey").agg(count.alias(f"n_{s.lower()}"), F.max("o_orderkey").alias(f"last_{s.lower()}")) for s in "FOP"]
+    features.append(orders.groupBy("c_custkey").agg(F.max("o_totalprice").alias("top_price"), F.min("o_orderpriority").alias("top_priority")))
+    features.append(customer.where("c_acctbal < 0").select("c_custkey", F.col("c_acctbal").alias("debt")))
+    return wide_table(customer.select("c_custkey", "c_mktsegment"), "c_custkey", features)
+
+
+def q_multi_lag(spark, sf_dir):
+    """J2 with three lags for a quarter of run months: one shuffle of the orders, no join."""
+    orders = read_table(spark, orders_table(spark, sf_dir), schema=orders_schema(spark, sf_dir))
+    values = {"n_orders": (F.count, F.lit(1)), "top_price": (F.max, F.col("o_totalprice"))}
+    return multi_lag(orders, "o_custkey", [1, 2, 6], values, period_range((1997, 12), RUN))
+
+
 def q_lagged_join(spark, sf_dir):
     root, schema = orders_table(spark, sf_dir), orders_schema(spark, sf_dir)
     now, lag = (_orders_per_customer(read_offset(spark, root, RUN, k, schema=schema)) for k in (0, previous(2)))
     return lagged_join(now, lag, "o_custkey").withColumn("n_orders_lag", F.coalesce("n_orders_lag", F.lit(0).cast("long")))
 
 
+_BY_MONTH = ["o_custkey", "year", "month"]
+
+
 def customer_chain(spark, sf_dir, stored=False):
     """Customers that lapsed: three months ago they ordered, last month they were not on a streak.
 
@@ -227,10 +248,20 @@ def customer_chain(spark, sf_dir, stored=False):
         root=root("spend"),
         build_range=lambda months: months.groupBy("o_custkey", "year", "month").agg(count),
     )
-    streak = table("streak", lambda p, now, before: now.join(before.select("o_custkey"), "o_custkey", "left_semi"),
-                   [spend.at(0), spend.at(1)], root=root("streak"))
-    return table("lapsed", lambda p, then, on: then.join(on.select("o_custkey"), "o_custkey", "left_anti").select("o_custkey", "n_orders"),
-                 [spend.at(3), streak.at(1)], root=root("lapsed"))
+    streak = table(
+        "streak",
+        lambda p, now, before: now.join(before.select("o_custkey"), "o_custkey", "left_semi"),
+        [spend.at(0), spend.at(1)],
+        root=root("streak"),
+        build_range=lambda now, before: now.join(before.select(*_BY_MONTH), _BY_MONTH, "left_semi"),
+    )
+    return table(
+        "lapsed",
+        lambda p, then, on: then.join(on.select("o_custkey"), "o_custkey", "left_anti").select("o_custkey", "n_orders"),
+        [spend.at(3), streak.at(1)],
+        root=root("lapsed"),
+        build_range=lambda then, on: then.join(on.select(*_BY_MONTH), _BY_MONTH, "left_anti"),
+    )
 
 
 def q_lagged_chain(spark, sf_dir):
@@ -388,6 +419,27 @@ def q_backfill_table_range(spark, sf_dir):
     return read_table(spark, spend.root)
 
 
+def q_lagged_chain_cut(spark, sf_dir):
+    """W5 and K1: nine months of the chain from one plan; ``spend``, which three dependencies read, is computed and stored once."""
+    lapsed = customer_chain(spark, sf_dir, stored=True)
+    backfill_table(spark, lapsed, period_range((1997, 6), RUN))
+    return read_table(spark, lapsed.root)
+
+
+def q_trailing_backfill(spark, sf_dir):
+    """W5 with S6 and S7: ten run months that read by availability, from one plan. January and February are missing."""
+    orders = source("orders", orders_table(spark, sf_dir, gaps=True), orders_schema(spark, sf_dir))
+
+    def build(trailing, latest):
+        months = trailing.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_orders"), F.min(F.col("own_year") * 100 + F.col("own_month")).alias("since"))
+        last = latest.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_latest"), F.max("o_orderkey").alias("max_key"))
+        return months.join(last, ["year", "month"])
+
+    recent = table("recent", None, [orders.trailing(2), orders.latest(1)], root=scratch_path(spark, "recent"), build_range=build)
+    backfill_table(spark, recent, period_range((1997, 9), (1998, 6)))
+    return read_table(spark, recent.root)
+
+
 def q_allowlist_count_long(spark, sf_dir):
     """a list of 20,000 order keys, given as text keys would be after a config load: as floats, in another case."""
     keys = [float(k) for k in range(1, 40_001, 2)]
@@ -465,7 +517,9 @@ QUERIES = {
     "conform_schema": q_conform_schema,
     "stamp_period": q_stamp_period,
     "wide_table": q_wide_table,
+    "wide_table_many": q_wide_table_many,
     "lagged_join": q_lagged_join,
+    "multi_lag": q_multi_lag,
     "replace_period": q_replace_period,
     "delete_period": q_delete_period,
     "rerun_period": q_rerun_period,
@@ -481,6 +535,8 @@ QUERIES = {
     "allowlist_count_written": q_allowlist_count_written,
     "backfill_periods_range": q_backfill_periods_range,
     "lagged_chain_stored": q_lagged_chain_stored,
+    "lagged_chain_cut": q_lagged_chain_cut,
+    "trailing_backfill": q_trailing_backfill,
     "month_end_time": q_month_end_time,
     "id_report": q_id_report,
     "supplier_months": q_supplier_months,
@@ -494,6 +550,14 @@ QUERIES = {
     "backfill_table_range": q_backfill_table_range,
 }
 
+_PER_MONTH = (
+    "SELECT o_custkey, year(o_orderdate)*12 + month(o_orderdate) - 1 AS m, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1, 2"
+)
+_FEATURES = " ".join(
+    f"LEFT JOIN (SELECT o_custkey, count(*) AS n_{x}, max(o_orderkey) AS last_{x} FROM orders WHERE o_orderstatus = '{x.upper()}' "
+    f"GROUP BY 1) {x} ON {x}.o_custkey = c_custkey"
+    for x in "fop"
+)
 _GAPS = "(SELECT * FROM orders WHERE month(o_orderdate) NOT IN (1, 2))"
 
 ORACLE_SQL = {
@@ -544,6 +608,26 @@ ORACLE_SQL = {
     "wide_table": "SELECT c.c_custkey, c.c_mktsegment, n.n_name, a.n_orders, a.max_price FROM customer c "
     "LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, "
     "max(o_totalprice) AS max_price FROM orders GROUP BY o_custkey) a ON c.c_custkey = a.o_custkey",
+    "wide_table_many": f"SELECT c_custkey, c_mktsegment, n_f, last_f, n_o, last_o, n_p, last_p, top_price, top_priority, "
+    f"CASE WHEN c_acctbal < 0 THEN c_acctbal END AS debt FROM customer {_FEATURES} "
+    "LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS top_price, min(o_orderpriority) AS top_priority FROM orders GROUP BY 1) t ON t.o_custkey = c_custkey",
+    "multi_lag": f"WITH s AS ({_PER_MONTH}) SELECT s.o_custkey, cast(s.m // 12 AS int) AS year, cast(s.m % 12 + 1 AS int) AS month, "
+    "s.n AS n_orders, s.top AS top_price, "
+    + ", ".join(f"coalesce(l{k}.n, 0) AS n_orders_lag{k}, l{k}.top AS top_price_lag{k}" for k in (1, 2, 6))
+    + " FROM s "
+    + " ".join(f"LEFT JOIN s l{k} ON l{k}.o_custkey = s.o_custkey AND l{k}.m = s.m - {k}" for k in (1, 2, 6))
+    + " WHERE s.m BETWEEN 1997*12 + 11 AND 1998*12 + 1",
+    "lagged_chain_cut": f"WITH s AS ({_PER_MONTH}), r AS (SELECT unnest(range(1997*12 + 5, 1998*12 + 2)) AS m) "
+    "SELECT s.o_custkey, s.n AS n_orders, cast(r.m // 12 AS int) AS year, cast(r.m % 12 + 1 AS int) AS month FROM r JOIN s ON s.m = r.m - 3 "
+    "WHERE NOT (EXISTS (SELECT 1 FROM s a WHERE a.o_custkey = s.o_custkey AND a.m = r.m - 1) "
+    "AND EXISTS (SELECT 1 FROM s b WHERE b.o_custkey = s.o_custkey AND b.m = r.m - 2))",
+    "trailing_backfill": "WITH g AS (SELECT year(o_orderdate)*12 + month(o_orderdate) - 1 AS m, count(*) AS n, max(o_orderkey) AS k FROM orders "
+    "WHERE month(o_orderdate) NOT IN (1, 2) GROUP BY 1), r AS (SELECT unnest(range(1997*12 + 8, 1998*12 + 6)) AS m), "
+    "t AS (SELECT r.m, g.n, g.m AS own, row_number() OVER (PARTITION BY r.m ORDER BY g.m DESC) AS i FROM r JOIN g ON g.m <= r.m), "
+    "l AS (SELECT r.m, max(g.m) AS own FROM r JOIN g ON g.m <= r.m - 1 GROUP BY 1) "
+    "SELECT cast(t.m // 12 AS int) AS year, cast(t.m % 12 + 1 AS int) AS month, cast(sum(t.n) AS bigint) AS n_orders, "
+    "cast(min(t.own // 12 * 100 + t.own % 12 + 1) AS int) AS since, g.n AS n_latest, g.k AS max_key "
+    "FROM t JOIN l ON l.m = t.m JOIN g ON g.m = l.own WHERE t.i <= 3 GROUP BY t.m, g.n, g.k",
     "lagged_join": "SELECT a.o_custkey, a.n AS n_orders, coalesce(b.n, 0) AS n_orders_lag FROM (SELECT o_custkey, count(*) AS n "
     "FROM orders WHERE o_orderdate >= TIMESTAMP '1998-02-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-03-01 00:00:00' "
     "GROUP BY 1) a LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1997-12-01 00:00:00' "
