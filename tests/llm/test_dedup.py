@@ -56,10 +56,10 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
 
 
-def brute_near(rows):
+def brute_near(rows, percent=85):
     sets = {i: shingle_set(t) for i, t in rows}
     ids = sorted(sets)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     return sets, reach(ids, links)
 
 
@@ -116,6 +116,42 @@ def test_near_awkward(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repeated_ids_with_unlike_texts(spark):
+    """Every row is judged by its own text: an id that has two texts does not join them."""
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    one = lambda words, k=0: " ".join(words[:-1] + [words[-1] + "x" * k])
+    rows = [(1, one(a)), (5, one(a, 1)), (5, one(b)), (7, one(b, 1)), (8, one(c)), (8, one(c)), (9, one(c, 2)), (8, one(a, 2)), (None, one(c)), (10, None), (10, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()), key=str)
+    want = [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (8, 8, True), (8, 8, True), (9, 8, False), (8, 1, False), (None, None, True), (10, 10, True), (10, 10, True)]
+    assert got == sorted(want, key=str)
+    left = sorted(((r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect()), key=str)
+    assert left == sorted([(1, one(a)), (5, one(b)), (8, one(c)), (None, one(c)), (10, None), (10, None)], key=str)
+
+
+def test_a_settled_group_is_not_copied_for_every_part(spark):
+    """One stray member beside a group of thousands: the group's rows go to one cell each."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(F.lit(1).alias("bucket"), "id", (F.col("id") > 2).alias("big"))
+    dealt = graph.cells_beside(rows, "bucket", "id", "big", F.lit(1), 100)
+    assert dealt.where("big").count() == 4997 and dealt.where("not big").groupBy("id").count().select("count").distinct().first()[0] == 51
+    met = dealt.where("not big").alias("a").join(dealt.alias("b"), graph.CELL).where("a.id < b.id and (cell_i = cell_j or a.side != b.side)")
+    assert met.count() == met.select("a.id", "b.id").distinct().count() == 3 * 4997 + 3
+
+
+def test_sketches_of_a_chunk_are_those_of_each_text():
+    rng = random.Random(22)
+    texts = [None, "", " ", "One two", "a b c d e", " ".join(prose(rng, 3000)), "É ß \u00a0 x"] + [" ".join(prose(rng, rng.randrange(1, 60))) for _ in range(50)]
+    for i, (n, key, bands, odd) in enumerate(zip(*(a.to_pylist() for a in near_dedup.sketches(texts, 85)))):
+        s = near_dedup.shingles(texts[i])
+        assert n == len(s) and (key is None) == (n == 0)
+        if n:
+            m = near_dedup.minima(s)
+            assert bands == near_dedup.band_keys(m[None], *near_dedup.band_shape(85))[0].tolist() and odd == near_dedup.odd_sketch(m).tolist()
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(2)
     for share in (0.8, 0.9, 0.97):

@@ -118,6 +118,15 @@ def test_mixing_awkward(spark):
     assert mixing.take_mix(spark.createDataFrame([(1, None, "en", "a", 0), (2, " ", "en", "b", 0)], DOCS)).count() == 0
 
 
+def test_the_mix_is_taken_as_it_was_drawn(spark):
+    """Rows without an id, equal rows and rows that share an id are taken as often as the mix says."""
+    rows = [(None, "a b c", "en", "a", 1)] * 4 + [(None, "a b d", "en", "a", 1)] * 2 + [(7, "u v w", "en", "b", 1), (7, "x y z", None, "b", None), (8, " ".join("n" * 12), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    taken = mixing.take_mix(docs).collect()
+    assert sum(len(r.text.split()) for r in taken) == mixing.mix(docs).agg({"taken": "sum"}).first()[0]
+    assert {tuple(r) for r in taken} <= set(rows)
+
+
 def test_no_python_in_plans(spark):
     docs = spark.createDataFrame(awkward(), DOCS)
     for df in (quality_rules.judge(docs), quality_rules.keep_good(docs), mixing.mix(docs), mixing.take_mix(docs)):

@@ -57,18 +57,19 @@ def word_count(text: Column) -> Column:
 def running_totals(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the group before this one.
 
-    Rows are dealt to tasks by range of (group, order), so a group of any size
-    is spread over many tasks. Each task's range sums its own rows, and only
+    Rows are dealt to tasks by range of (group, order) and a salt, so a group of
+    any size, also one whose rows all tie, is spread over many tasks. Each task's range sums its own rows, and only
     one total per range and group is summed across ranges. ``group`` columns
     must not be null; ``order`` should be total (ties are broken arbitrarily
     but each row counts once). ``value`` must be an integer without nulls.
     """
-    part, run, before = (unused(df.columns, c) for c in ("_part", "_run", "_before"))
+    part, run, before, salt = (unused(df.columns, c) for c in ("_part", "_run", "_before", "_salt"))
+    keys = [F.col(c) for c in [*group, *order, salt]]
     ranged = stored(
-        df.repartitionByRange(*[F.col(c) for c in [*group, *order]]).withColumn(part, F.spark_partition_id()),
+        df.withColumn(salt, F.monotonically_increasing_id()).repartitionByRange(*keys).withColumn(part, F.spark_partition_id()),
         f"ranges-{out}",
     )
-    inside = Window.partitionBy(part, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(part, *group).orderBy(*order, salt).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = ranged.withColumn(run, F.sum(value).over(inside) - F.col(value))
     earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*group, part).agg(F.sum(value).alias(run))

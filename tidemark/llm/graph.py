@@ -96,3 +96,20 @@ def cells(rows: DataFrame, bucket: str, id: str, weight: Column, most: int) -> D
         .withColumn("cell_j", F.greatest("side", "other"))
         .drop("other", "parts")
     )
+
+
+def cells_beside(rows: DataFrame, bucket: str, id: str, big: str, weight: Column, most: int) -> DataFrame:
+    """As ``cells``, but rows with ``big`` of one bucket do not meet each other.
+
+    The others are dealt into k parts and the big ones into l. Cells are the
+    pairs of the k parts, and of each of them with each of the l: a big row is
+    copied k times, another k + l times. So a large group that is settled in
+    itself is copied once for every part of what is not.
+    """
+    part = F.ceil(F.sum(F.when(F.col(big), weight).otherwise(0)) / most), F.ceil(F.sum(F.when(F.col(big), 0).otherwise(weight)) / most)
+    parts = stored(rows.groupBy(bucket).agg(part[0].cast("int").alias("bigs"), part[1].cast("int").alias("smalls")), "parts")
+    h = F.xxhash64(F.col(id))
+    own = F.when(F.col(big), F.col("smalls") + F.pmod(h, F.col("bigs"))).otherwise(F.pmod(h, F.col("smalls"))).cast("int")
+    last = F.when(F.col(big), F.col("smalls")).otherwise(F.col("smalls") + F.col("bigs")) - 1
+    dealt = rows.join(parts, bucket).withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.withColumn("cell_i", F.least("side", "other")).withColumn("cell_j", F.greatest("side", "other")).drop("other", "bigs", "smalls")

@@ -12,8 +12,9 @@ is spread over many tasks.
 
 Defined cases: a null source is a source of its own, ordered last; a null or
 blank text has size 0 and is never taken; a null id hashes as an empty string; rows
-that repeat an id have equal keys and count each for itself; an empty table or
-one without words gives targets of 0.
+that repeat an id have equal keys and count each for itself; texts of any length are counted whole, in their row;
+an empty table or one without words gives targets of 0; other columns play no part in ``mix``, whatever
+their names, and ``take_mix`` returns them as they are (columns of map type cannot be hashed and are an error there).
 """
 
 from __future__ import annotations
@@ -64,14 +65,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return weighed.select("source", "rank", "size", F.least(F.col("cap").cast("double"), F.lit(float(found["level"]) if found else 0.0) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, row_key: Column | None = None) -> DataFrame:
     """One row per document: ``id``, size, source_size, target (words, of its source), epochs, sampled, copies, taken.
 
-    ``copies`` is how often the document is in the mix, ``taken`` the words that makes.
+    ``copies`` is how often the document is in the mix, ``taken`` the words that makes. ``row_key``
+    comes back in a column ``row_key``.
     """
     weight = quality_weight(F.col(text)) if quality is None else quality
     sized = stored(
-        docs.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), sample_key(F.col(id), weight, seed).alias("key")),
+        docs.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), sample_key(F.col(id), weight, seed).alias("key"), *([] if row_key is None else [row_key.alias("row_key")])),
         "sized",
     )
     targets = stored(source_targets(stored(sized.groupBy("source").agg(F.sum("size").alias("size")), "sources"), weights), "targets")
@@ -92,14 +94,24 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
         sampled.alias("sampled"),
         copies.alias("copies"),
         (F.col("size") * copies).alias("taken"),
+        *([] if row_key is None else ["row_key"]),
     )
 
 
 def take_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` in the mix, each as often as the mix takes it. Rows that share an id and a size are taken alike."""
-    copies, at, size = (unused(docs.columns, c) for c in ("_copies", "_copy", "_size"))
-    chosen = mix(docs, id, text, source).where("copies > 0").groupBy(F.col(id).alias(at), F.col("size").alias(size)).agg(F.max("copies").alias(copies))
-    joined = docs.join(stored(chosen, "mix"), F.col(id).eqNullSafe(F.col(at)) & (word_count(F.col(text)) == F.col(size)))
+    """The rows of ``docs`` in the mix, each as often as the mix takes it.
+
+    Rows are found again by a hash of 128 bits over all their columns. Equal rows
+    are one row, repeated as often as the mix takes all of them together.
+    """
+    copies, at, key = (unused(docs.columns, c) for c in ("_copies", "_copy", "_key"))
+    everything = [c for name in docs.columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
+    row_key = F.struct(*[F.xxhash64(F.lit(salt), *everything).alias(f"h{salt}") for salt in (1, 2)])
+    mixed = mix(docs, id, text, source, row_key=row_key)
+    chosen = stored(mixed.groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(at)).where(F.col(copies) > 0), "mix")
+    joined = docs.withColumn(key, row_key).join(chosen, key)
+    if not chosen.where(F.col(at) > 1).isEmpty():
+        joined = joined.where(F.col(at) == 1).unionByName(joined.where(F.col(at) > 1).dropDuplicates([key]))
     return joined.withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(docs.columns)
 
 

@@ -6,16 +6,19 @@ it is empty and linked with nothing. Two documents are linked when
 100 * intersection >= percent * union, with PERCENT in the query. The result names for every document the
 smallest doc_id reachable by links.
 
-1. Equal sets are one class; the class continues as its smallest document.
+1. Equal sets are one class, which continues as a number of its own.
 2. K minimum hashes of each set: the first bands * rows form the band keys, and
    all K, as pairs (place, minimum), are folded into a parity bitmap of BITS
    bits (odd sketch). Where two bitmaps are XORed, the population count tells
    how many minima differ, most precisely where similarity is high.
 3. In each band bucket every class is compared with the bucket's smallest one:
    linear in the bucket. Pairs that the sizes and the sketches allow are
-   confirmed on full sets.
+   confirmed on full sets; only their texts are fetched.
 4. Buckets whose other members still fall into two or more components are
-   compared in full, in cells of bounded size; a task returns only the links
+   compared further, in cells of bounded size: all members outside the bucket's
+   largest component with each other and with that component, whose members
+   need no comparison among themselves. Sketches alone are dealt to the cells first;
+   texts follow for the members that have a likely partner. A task returns only the links
    that join components. So no link within a bucket is lost, a
    large group of copies never becomes all its pairs, and no cap is needed.
 
@@ -25,14 +28,17 @@ than 1e-5. That is 24 bands of 6 minima and 80 bits at 0.85, 29 of 5 and 93 bits
 
 Defined cases: null and blank texts have no shingles and stay by themselves; rows
 without a doc_id keep their size, have no component and are kept; rows that
-repeat a doc_id are each judged by their own text, and all carry the same id.
+repeat a doc_id are each judged by their own text, and each carries the smallest doc_id
+of its own component; equal texts of any number are one class; texts of any length are
+compared whole; an empty table gives an empty result; other columns play no part,
+whatever their names, and ``keep_one`` returns them as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +46,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, table
-from tidemark.llm.graph import by_cell, cells, components, each_cell, numbers
+from tidemark.llm.common import stored, table, unused
+from tidemark.llm.graph import CELL, by_cell, cells_beside, components, each_cell, numbers
 
 SHINGLE = 5
 PERCENT = 85
 K, BITS = 192, 256
 #: Most minima in a band, and the probability with which a pair at the threshold may share no band.
 ROWS, MISS = 6, 1.2e-5
-#: Shingles in one part of a split bucket.
-CELL_SHINGLES = 100_000
+#: Shingles in one part of a split bucket, and what a member counts at least.
+CELL_SHINGLES, CELL_LEAST = 100_000, 100
 
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -61,13 +67,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    # bytes.lower changes A-Z only, and bytes.split splits at space and the code points 9 to 13.
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
+def shingles_of(w: np.ndarray) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of hashed words."""
+    if not len(w):
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(SHINGLE, len(w))
     n = len(w) - size + 1
     h = np.full(n, size, np.uint64)
@@ -76,12 +79,20 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles."""
+    # bytes.lower changes A-Z only, and bytes.split splits at space and the code points 9 to 13.
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return shingles_of(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+
+
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 2**31, K, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = _rng.integers(0, 2**32, K, dtype=np.uint32)[:, None]
 
 
 def minima(s: np.ndarray) -> np.ndarray:
+    """The K minimum hashes of one set."""
     x = (s >> np.uint64(32)).astype(np.uint32)
     out = np.full(K, np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(x), 1024):
@@ -89,11 +100,16 @@ def minima(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(m: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the pairs (place, minimum) as BITS / 64 signed longs."""
+def odd_sketches(m: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of the pairs (place, minimum) of each row, as BITS / 64 signed longs."""
     at = _mix(m.astype(np.uint64) + (np.arange(K, dtype=np.uint64) << np.uint64(32))) % np.uint64(BITS)
-    odd = np.bincount(at.astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    row = np.arange(len(m), dtype=np.int64)[:, None] * BITS
+    odd = np.bincount((at.astype(np.int64) + row).ravel(), minlength=len(m) * BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(m), BITS), axis=1).view(np.int64)
+
+
+def odd_sketch(m: np.ndarray) -> np.ndarray:
+    return odd_sketches(m[None])[0]
 
 
 def band_shape(percent: int) -> tuple[int, int]:
@@ -115,33 +131,83 @@ def max_bits(percent: int) -> int:
 
 
 def band_keys(m: np.ndarray, bands: int, n_rows: int) -> np.ndarray:
-    rows = m[: bands * n_rows].reshape(bands, n_rows).astype(np.uint64)
-    h = np.arange(1, bands + 1, dtype=np.uint64)
+    """The band keys of each row of minima."""
+    rows = m[:, : bands * n_rows].reshape(len(m), bands, n_rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), rows.shape[:2])
     for j in range(n_rows):
-        h = _mix(h + rows[:, j])
+        h = _mix(h + rows[:, :, j])
     return h.view(np.int64)
 
 
-def _sketch_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    shape = band_shape(percent)
+#: Bytes of text that are worked on together.
+CHUNK = 1 << 20
+SKETCH = "n long, key binary, bands array<long>, odd array<long>"
+_SKETCH_ARROW = [("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))]
 
+
+class _Hashes(dict):
+    """Word to hash; words recur, so most are looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _sets(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(sorted distinct shingle hashes, K minima) of each text, all words of the chunk at once."""
+    words = [t.lower().split() for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = [w for ws in words for w in ws]
+    w = np.fromiter(map(_Hashes().__getitem__, flat), np.uint64, len(flat))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    n = len(flat) - SHINGLE + 1
+    h = np.full(max(n, 0), SHINGLE, np.uint64)
+    for j in range(SHINGLE if n > 0 else 0):
+        h = _mix(h + w[j : j + n])
+    sets, minimal = [], np.full((len(texts), K), np.iinfo(np.uint32).max, np.uint32)
+    for i, size in enumerate(sizes.tolist()):
+        sets.append(np.unique(h[starts[i] : starts[i] + size - SHINGLE + 1]) if size >= SHINGLE else shingles_of(w[starts[i] : starts[i + 1]]))
+    known = [i for i, s in enumerate(sets) if len(s)]
+    if known:
+        x = (np.concatenate([sets[i] for i in known]) >> np.uint64(32)).astype(np.uint32)
+        begin = np.concatenate([[0], np.cumsum([len(sets[i]) for i in known])[:-1]])
+        for k in range(K):
+            minimal[known, k] = np.minimum.reduceat(_A[k] * x + _B[k], begin)
+    return sets, minimal
+
+
+def sketches(texts: Iterable[str | None], percent: int) -> list[pa.Array]:
+    """The columns SKETCH of some texts; those without words have a size of 0 and nulls."""
+    shape, columns = band_shape(percent), [[], [], [], []]
+    chunk: list[bytes] = []
+    size = 0
+
+    def flush() -> None:
+        sets, m = _sets(chunk)
+        bands, odd = band_keys(m, *shape), odd_sketches(m)
+        for i, s in enumerate(sets):
+            some = len(s) > 0
+            columns[0].append(len(s))
+            columns[1].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if some else None)
+            columns[2].append(bands[i] if some else None)
+            columns[3].append(odd[i] if some else None)
+
+    for text in texts:
+        chunk.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(chunk[-1])
+        if size >= CHUNK:
+            flush()
+            chunk, size = [], 0
+    if chunk:
+        flush()
+    return [pa.array(c, t) for c, (_, t) in zip(columns, _SKETCH_ARROW)]
+
+
+def _sketch_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, bands, odd = [], [], [], []
-            for text in batch.column("text"):
-                s = shingles(text.as_py())
-                n.append(len(s))
-                if len(s):
-                    m = minima(s)
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    bands.append(band_keys(m, *shape))
-                    odd.append(odd_sketch(m))
-                else:
-                    keys.append(None), bands.append(None), odd.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                names=["id", "t", "n", "key", "bands", "odd"],
-            )
+            made = sketches((t.as_py() for t in batch.column("text")), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *made], names=["id", "t", *(c for c, _ in _SKETCH_ARROW)])
 
     return sketch_batches
 
@@ -155,10 +221,10 @@ def _confirm_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         last, of_last = None, None
         for batch in batches:
             a, b = [], []
-            for i, t, j, x, y in zip(*(batch.column(c) for c in ("a", "t_a", "b", "text_a", "text_b"))):
+            for i, j, x, y in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b"))):
                 i = i.as_py()
-                if (i, t.as_py()) != last:
-                    last, of_last = (i, t.as_py()), shingles(x.as_py())
+                if i != last:
+                    last, of_last = i, shingles(x.as_py())
                 s = shingles(y.as_py())
                 if _linked(len(of_last), len(s), len(np.intersect1d(of_last, s, assume_unique=True)), percent):
                     a.append(i), b.append(j.as_py())
@@ -167,13 +233,36 @@ def _confirm_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return confirm_batches
 
 
+def _likely(members: pa.Table, percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """For a member of a cell and its labels so far, the later members that may be linked with it and are not yet joined.
+
+    Pairs that share an earlier band are that band's; in a cell of two parts only pairs of unlike sides are new.
+    """
+    n, side, bands, odd = (numbers(members, c) for c in ("n", "side", "bands", "odd"))
+    odd, band, crossing = odd.view(np.uint64), members.column("band")[0].as_py(), members.column("cell_i")[0] != members.column("cell_j")[0]
+    most_bits = max_bits(percent)
+
+    def later(x: int, label: np.ndarray) -> np.ndarray:
+        rest = np.arange(x + 1, len(n))
+        fits = (label[rest] != label[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
+        if crossing:
+            fits &= side[rest] != side[x]
+        rest = rest[fits]
+        rest = rest[np.bitwise_count(odd[rest] ^ odd[x]).sum(axis=1) <= most_bits]
+        return rest[(bands[rest, :band] != bands[x, :band]).all(axis=1)]
+
+    return later
+
+
+def _labels(members: pa.Table) -> np.ndarray:
+    return np.unique(numbers(members, "label"), return_inverse=True)[1]
+
+
 def _cell_links(members: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Links between components among one cell's members; pairs that share an earlier band are that band's."""
-    id, n, side, bands, odd = (numbers(members, c) for c in ("id", "n", "side", "bands", "odd"))
-    odd, label = odd.view(np.uint64), np.unique(numbers(members, "label"), return_inverse=True)[1]
-    texts, band, crossing = members.column("text"), members.column("band")[0].as_py(), members.column("cell_i")[0] != members.column("cell_j")[0]
+    """Links between components among one cell's members."""
+    id, n, label, later = numbers(members, "id"), numbers(members, "n"), _labels(members), _likely(members, percent)
+    texts = members.column("text")
     sets: dict[int, np.ndarray] = {}
-    most_bits = max_bits(percent)
     links = []
 
     def of(x: int) -> np.ndarray:
@@ -182,14 +271,7 @@ def _cell_links(members: pa.Table, percent: int) -> list[tuple[int, int]]:
         return sets[x]
 
     for x in range(len(id) - 1):
-        rest = np.arange(x + 1, len(id))
-        fits = (label[rest] != label[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
-        if crossing:
-            fits &= side[rest] != side[x]
-        rest = rest[fits]
-        rest = rest[np.bitwise_count(odd[rest] ^ odd[x]).sum(axis=1) <= most_bits]
-        rest = rest[(bands[rest, :band] != bands[x, :band]).all(axis=1)]
-        for y in rest.tolist():
+        for y in later(x, label).tolist():
             if label[y] != label[x] and _linked(int(n[x]), int(n[y]), len(np.intersect1d(of(x), of(y), assume_unique=True)), percent):
                 links.append((int(id[x]), int(id[y])))
                 label[label == label[y]] = label[x]
@@ -206,64 +288,117 @@ def _cell_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return cell_batches
 
 
+def _open_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The members of each cell that have a likely partner there: rows of the cell, never its pairs."""
+
+    def open_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for members in each_cell(batches):
+            label, later = _labels(members), _likely(members, percent)
+            found = np.zeros(members.num_rows, bool)
+            for x in range(members.num_rows - 1):
+                rest = later(x, label)
+                found[rest] = True
+                found[x] |= len(rest) > 0
+            if found.any():
+                yield from members.select([*CELL, "id"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+    return open_batches
+
+
 def _alike(odd_a: str, odd_b: str, n_a: str, n_b: str, percent: int) -> Column:
     """The sizes allow a link and the sketches differ in max_bits at most."""
     bits = F.aggregate(F.zip_with(odd_a, odd_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (bits <= max_bits(percent))
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per document: ``id``, n_shingles, component_id, kept (the document is its component's smallest)."""
-    whole = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
-    sketched = stored(whole.mapInArrow(_sketch_batches(percent), "id long, t long, n long, key binary, bands array<long>, odd array<long>"), "sketches")
-    known = sketched.where(F.col("key").isNotNull() & F.col("id").isNotNull())
-    classes = stored(
-        known.groupBy("key").agg(
-            F.min(F.struct("id", "t")).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")
-        ).select("key", "m.id", "m.t", "n", "bands", "odd"),
-        "classes",
-    )
+def class_components(sketched: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(key, first): for every set of ``sketched`` (id, t and SKETCH), (id, t) of its component's smallest document.
 
-    in_bands = classes.select("id", "t", F.posexplode("bands").alias("band", "bucket"))
-    buckets = stored(in_bands.groupBy("bucket").agg(F.min(F.struct("id", "t")).alias("center"), F.count("*").alias("c")).where("c > 1"), "buckets")
-    hits = stored(in_bands.join(buckets, "bucket"), "hits")
-    texts = stored(
-        whole.join(hits.select("id", "t").distinct(), ["id", "t"], "left_semi").select("id", "t", "text").dropDuplicates(["id", "t"]),
-        "candidate-texts",
-    )
-
-    others = hits.where(F.struct("id", "t") != F.col("center"))
-    pairs = others.select(F.col("center.id").alias("a"), F.col("center.t").alias("t_a"), F.col("id").alias("b"), F.col("t").alias("t_b")).distinct()
-    side = lambda k, df, *more: df.select(F.col("id").alias(k), F.col("t").alias(f"t_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more))
-    sifted = stored(pairs, "pairs").join(side("b", classes, "n", "odd"), ["b", "t_b"]).join(side("a", classes, "n", "odd"), ["a", "t_a"])
-    likely = stored(sifted.where(_alike("odd_a", "odd_b", "n_a", "n_b", percent)).select(*pairs.columns), "likely")
-    both = likely.join(side("b", texts, "text"), ["b", "t_b"]).join(side("a", texts, "text"), ["a", "t_a"]).select(*pairs.columns, "text_a", "text_b")
+    ``whole`` (id, t, text) is where the texts of likely pairs are fetched from.
+    """
+    known = sketched.where(F.col("key").isNotNull() & F.col("id").isNotNull())
+    classes = known.groupBy("key").agg(F.min(F.struct("id", "t")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    # A class is named by its smallest id, or by a hash of its set where that id has several sets.
+    mark = F.xxhash64("key")
+    several = known.groupBy("id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo != hi").select(F.col("id").alias("several"))
+    named = classes.join(stored(several, "repeated-ids"), F.col("first.id") == F.col("several"), "left")
+    classes = stored(named.select("key", F.when(F.col("several").isNull(), F.col("first.id")).otherwise(mark).alias("id"), "first", "n", "bands", "odd"), "classes")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = classes.select(F.col("id").alias("class"), F.col("first.id").alias("id"), F.col("first.t").alias("t")).join(ids.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
+        found = whole.join(stored(wanted, "wanted-texts"), ["id", "t"]).select(F.col("class").alias("id"), "text")
+        return stored(found.dropDuplicates(["id"]), "candidate-texts")
+
+    in_bands = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    buckets = stored(in_bands.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("c")).where("c > 1"), "buckets")
+    others = stored(in_bands.join(buckets, "bucket").where("id != center"), "hits")
+
+    pairs = others.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    side = lambda k, df, *more: df.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in more))
+    sifted = stored(pairs, "pairs").join(side("b", classes, "n", "odd"), "b").join(side("a", classes, "n", "odd"), "a")
+    likely = stored(sifted.where(_alike("odd_a", "odd_b", "n_a", "n_b", percent)).select("a", "b"), "likely")
+    of_likely = texts(likely.select(F.col("a").alias("id")).union(likely.select("b")))
+    both = likely.join(side("b", of_likely, "text"), "b").join(side("a", of_likely, "text"), "a").select("a", "b", "text_a", "text_b")
     near = stored(both.mapInArrow(_confirm_batches(percent), "a long, b long"), "near")
     found = stored(components(near), "components")
 
     # What the comparison with each bucket's smallest member leaves open.
     members = others.where("c > 2").join(found, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    members = stored(members.select("bucket", "band", "id", "t", "label"), "open-members")
-    undecided = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    rest = members.join(stored(undecided, "open-buckets"), "bucket", "left_semi").join(classes.select("id", "t", "n", "bands", "odd"), ["id", "t"])
-    dealt = cells(stored(rest, "open"), "bucket", "id", F.col("n"), CELL_SHINGLES).join(texts, ["id", "t"])
-    more = stored(by_cell(dealt).mapInArrow(_cell_batches(percent), "a long, b long"), "more-near")
-    if not more.isEmpty():
-        found = components(near.union(more))
-
-    of_class = stored(classes.select("key", F.col("id").alias("first")).join(found.withColumnRenamed("id", "first"), "first", "left").select("key", F.coalesce("component", "first").alias("c")), "class-components")
-    return sketched.join(of_class, "key", "left").select(
+    members = stored(members.select("bucket", "band", "id", "label"), "open-members")
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("most"))
+    undecided = stored(sizes.where("labels > 1").select("bucket", F.col("most.label").alias("largest")), "open-buckets")
+    if not undecided.isEmpty():
+        rest = members.join(undecided, "bucket").withColumn("big", F.col("label") == F.col("largest")).drop("largest")
+        rest = stored(rest.join(classes.select("id", "n", "bands", "odd"), "id"), "open")
+        weight = F.greatest(F.col("n"), F.lit(CELL_LEAST))
+        dealt = stored(cells_beside(rest, "bucket", "id", "big", weight, CELL_SHINGLES), "open-cells")
+        hopeful = stored(by_cell(dealt).mapInArrow(_open_batches(percent), "bucket long, cell_i int, cell_j int, id long"), "hopeful")
+        met = dealt.join(hopeful, [*CELL, "id"]).join(texts(hopeful), "id")
+        more = stored(by_cell(met).mapInArrow(_cell_batches(percent), "a long, b long"), "more-near")
+        if not more.isEmpty():
+            found = stored(components(near.union(more)), "components")
+
+    linked = found.join(classes.select("id", "first"), "id")
+    smallest = stored(linked.groupBy("component").agg(F.min("first").alias("smallest")), "smallest")
+    of_linked = stored(found.join(smallest, "component").select("id", "smallest"), "linked")
+    return stored(classes.select("key", "id", "first").join(of_linked, "id", "left").select("key", F.coalesce("smallest", "first").alias("first")), "class-components")
+
+
+def _sketched(docs: DataFrame, id: str, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, t and SKETCH of every row; what ``class_components`` makes of them)."""
+    whole = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
+    sketched = stored(whole.mapInArrow(_sketch_batches(percent), f"id long, t long, {SKETCH}"), "sketches")
+    return sketched, class_components(sketched, whole, percent)
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: ``id``, n_shingles, component_id, kept (the document is its component's smallest)."""
+    sketched, of_class = _sketched(docs, id, text, percent)
+    smallest = F.coalesce("first.id", "id")
+    return sketched.select("id", "n", "key").join(of_class, "key", "left").select(
         F.col("id").alias(id),
         F.col("n").alias("n_shingles"),
-        F.coalesce("c", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("c", "id"), F.lit(True)).alias("kept"),
+        F.when(F.col("id").isNotNull(), smallest).alias("component_id"),
+        F.coalesce(F.col("id") == smallest, F.lit(True)).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that have a smaller near-duplicate in their component."""
-    gone = near_duplicates(docs, id, text, percent).where("not kept").select(id)
-    return docs.join(stored(gone, "near-duplicates"), id, "left_anti").select(docs.columns)
+    """``docs`` with one row of each component, the one with the smallest id; rows without shingles or id stay.
+
+    Where rows repeat that id, the text with the smallest hash stays, and of equal rows one.
+    """
+    sketched, of_class = _sketched(docs, id, text, percent)
+    known = sketched.where(F.col("id").isNotNull()).select("id", "t", "key").join(of_class, "key")
+    at, t = unused(docs.columns, "_id"), unused(docs.columns, "_t")
+    own = lambda df: df.select(F.col("id").alias(at), F.col("t").alias(t))
+    gone = own(known.where(F.struct("id", "t") != F.col("first")).distinct())
+    again = stored(own(known.groupBy("id", "t").agg(F.count("*").alias("c")).where("c > 1")), "repeated-rows")
+    marked = docs.withColumns({at: F.col(id).cast("long"), t: F.xxhash64(F.col(text))})
+    left = marked.join(stored(gone, "near-duplicates"), [at, t], "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, [at, t], "left_anti").unionByName(left.join(again, [at, t], "left_semi").dropDuplicates([at, t]))
+    return left.select(docs.columns)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
