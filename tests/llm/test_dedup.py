@@ -338,3 +338,147 @@ def test_runs_leave_no_line_of_a_passage_out():
                 if sum(sizes[a : b + 1]) >= 30:
                     covered = {k for i, j in want if a <= i and j <= b for k in range(i, j + 1)}
                     assert covered == set(range(a, b + 1))
+
+
+def brute_templates(lines, need):
+    """Sets of lines, one per template, of a leaf: {tuple of masked tokens: number of texts}; plain Python, on the tokens themselves."""
+    if sum(lines.values()) < need:
+        return []
+    total, n = sum(lines.values()), len(next(iter(lines)))
+    c = [defaultdict(int) for _ in range(n)]
+    for tokens, w in lines.items():
+        for at, token in enumerate(tokens):
+            c[at][token] += w
+    general = [next((t for t, k in c[at].items() if 2 * k > total and t != line_dedup.WILD), None) for at in range(n)]
+    if 2 * sum(t is not None for t in general) >= n:
+        own = {x for x in lines if sum(a == b for a, b in zip(x[3:], general[3:])) >= 0.6 * (n - 3)}
+        if own:
+            left = {x: w for x, w in lines.items() if x not in own}
+            return [own, *(brute_templates(left, need) if left else [])]
+    most, position = max(((k, -at) for at in range(3, n) for t, k in c[at].items() if k < total and t != line_dedup.WILD), default=(0, 0))
+    if most < need:
+        return []
+    parts = defaultdict(dict)
+    for x, w in lines.items():
+        token = x[-position]
+        parts[token if c[-position][token] >= need and token != line_dedup.WILD else None][x] = w
+    return [t for part in parts.values() for t in brute_templates(part, need)]
+
+
+def brute_lines(rows):
+    """{id: lines left} by the whole tree in plain Python, on texts and tokens instead of hashes."""
+    texts = {t for _, t in rows if t is not None}
+    sets = {t: shingle_set(t) for t in texts}
+    order = sorted(texts)
+    links = [(a, b) for k, a in enumerate(order) for b in order[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    group = reach(order, links)
+    # Copies are grouped among the holders of frequent templates only; here all texts are, which joins no more in these corpora.
+    parsed, holds, leaves = {}, defaultdict(set), defaultdict(lambda: defaultdict(set))
+    for text in texts:
+        at = []
+        for i, line in enumerate(text.split("\n")):
+            tokens, general = line_dedup.masked(line.encode())
+            if tokens:
+                at.append((i, tuple(tokens)))
+                holds[(tuple(tokens),)].add(text)
+                if general and len(tokens) > 3:
+                    leaves[len(tokens), tuple(tokens[:3])][tuple(tokens)].add(text)
+        runs = [tuple(x for _, x in at[i : j + 1]) for i, j in line_dedup.runs([len(x) for _, x in at], list(range(len(at))))]
+        for run in runs:
+            holds[run].add(text)
+        parsed[text] = at
+    recurs = lambda words, held: len({group[t] for t in held}) >= (2 if words >= 30 else 5)
+    gone = {k for k, held in holds.items() if recurs(sum(map(len, k)), held)}
+    for (n, _), lines in leaves.items():
+        if len(lines) > 1:
+            for own in brute_templates({x: len(held) for x, held in lines.items()}, 2 if n >= 30 else 5):
+                if recurs(n, set().union(*(lines[x] for x in own))):
+                    gone |= {(x,) for x in own}
+    out = {}
+    for i, text in rows:
+        if text is None:
+            continue
+        at = parsed[text]
+        drop = {k for k, x in at if (x,) in gone}
+        for first, last in line_dedup.runs([len(x) for _, x in at], list(range(len(at)))):
+            if tuple(x for _, x in at[first : last + 1]) in gone:
+                drop |= {k for k, _ in at[first : last + 1]}
+        out[i] = [x for k, x in enumerate(text.split("\n")) if k not in drop]
+    return out
+
+
+def template_corpus(seed):
+    """Texts of lines from a few templates with variable fields that share their first tokens, passages, copies and own lines."""
+    rng = random.Random(seed)
+    words = prose(rng, 12)
+    shapes = []
+    for _ in range(6):
+        start, n = rng.choice([["this", "page", "was"], words[:3]]), rng.choice([6, 6, 9, 34])
+        shape = start + [rng.choice(words) for _ in range(n - 3)]
+        shapes.append((shape, rng.sample(range(3, n), rng.choice([0, 1, 1, 2]))))
+    passage = [" ".join(prose(rng, 11)) for _ in range(4)]
+    rows = []
+    for i in range(70):
+        lines = [" ".join(prose(rng, rng.choice([3, 8, 35]))) for _ in range(rng.randrange(1, 5))]
+        for shape, fields in rng.sample(shapes, rng.randrange(0, 4)):
+            line = list(shape)
+            for f in fields:
+                line[f] = rng.choice([*prose(rng, 3), f"n{i}"])
+            lines.insert(rng.randrange(len(lines) + 1), " ".join(line))
+        if rng.random() < 0.1:
+            lines[1:1] = passage
+        rows.append((i, "\n".join(lines)))
+        if rng.random() < 0.2:
+            rows.append((200 + i, rows[-1][1] + rng.choice(["", "\nx"])))
+    return [*rows, (900, None), (901, ""), (902, rows[0][1])]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lines_against_a_plain_tree(spark, seed):
+    rows = template_corpus(seed)
+    want = brute_lines(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Also with nodes so small that all of them go through the aggregates and joins of large ones.
+    for node_tokens in (line_dedup.NODE_TOKENS, 1) if seed < 2 else (line_dedup.NODE_TOKENS,):
+        got = {r.doc_id: r.text.split("\n") for r in line_dedup.drop_recurring_lines(docs, node_tokens=node_tokens).collect() if r.text is not None}
+        assert {i: x or [""] for i, x in want.items()} == got
+    assert sum(len(x) for x in want.values()) < sum(len(t.split("\n")) for _, t in rows if t is not None)
+
+
+def test_several_templates_of_one_leaf(spark):
+    """Two and three templates of one length that share their first three tokens: all go, alone or together."""
+    rng = random.Random(23)
+    shapes = ["this page was last edited by {} on the old server", "this page was first seen in {} at some new place", "this page was once called {} by all its few authors"]
+    for k in (1, 2, 3):
+        rows, left = [], {}
+        for i in range(8 * k):
+            own = [" ".join(prose(rng, 40)), " ".join(prose(rng, 40))]
+            left[i] = own
+            rows.append((i, "\n".join([own[0], shapes[i % k].format(f"name{'abcdefghijklmnopqrstuvwx'[i]}"), own[1]])))
+        assert kept_lines(spark, rows) == left
+
+
+def test_the_two_ways_through_a_node_agree(spark):
+    rng = random.Random(24)
+    rows, plain = [], {}
+    for node in range(30):
+        n = rng.choice([4, 7, 12])
+        bases = [[rng.randrange(6) for _ in range(n)] for _ in range(rng.randrange(1, 4))]
+        lines = {}
+        for _ in range(rng.randrange(1, 25)):
+            line = [0, 0, 0, *rng.choice(bases)[3:]]
+            for _ in range(rng.choice([0, 1, 2])):
+                line[rng.randrange(3, n)] = rng.choice([line_dedup.WILD_HASH, rng.randrange(40)])
+            lines[tuple(line)] = rng.randrange(1, 4)
+        plain[node] = lines
+        rows += [(node, rng.randrange(2**60), n, w, list(x)) for x, w in lines.items()]
+    members = spark.createDataFrame(rows, "node long, h long, n int, w long, tokens array<int>")
+
+    def found(most):
+        by = defaultdict(set)
+        for r in line_dedup._templates(members, 5, 2, most).collect():
+            by[r.template].add(r.h)
+        weight = {h: w for _, h, _, w, _ in rows}
+        return {frozenset(x) for x in by.values() if sum(weight[h] for h in x) >= 5}
+
+    assert found(10**6) == found(0) and len(found(10**6)) > 20

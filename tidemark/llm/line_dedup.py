@@ -1,16 +1,19 @@
 """Line dedup with a log-template tree: lines that recur across different documents are dropped.
 
-The tree has a fixed depth: token count, then the first DEPTH tokens, then the
-templates of that leaf. Tokens with a digit, an @ or a :// are variable fields
-(``<*>``). A line that would keep less than half of its tokens is not masked: it
-recurs only word for word. Two kinds of templates exist:
+The tree's first levels are fixed: token count, then the first DEPTH tokens. Tokens
+with a digit, an @ or a :// are variable fields (``<*>``). A line that would
+keep less than half of its tokens is not masked: it recurs only word for word.
+Two kinds of templates exist:
 
 * the masked line itself;
-* per leaf, the generalised line: at each position the token most of the leaf's
-  lines have, or ``<*>`` where no token has half of them; half of its positions
-  at least must be tokens. A line belongs to it if it has the template's token
-  at SIMILAR of its positions or more, not counting the first DEPTH, which all
-  lines of the leaf share.
+* generalised lines, any number in a leaf. Of the lines of a node, a template has at
+  each position the token that more than half of them have (weighed by documents), or
+  ``<*>``. If at least half of its positions are tokens and lines belong to it, they form
+  a template, and the node goes on with the others. A line belongs to a template if it has its
+  token at SIMILAR of the positions or more, not counting the first DEPTH. If there is no such
+  template, the node is split at the position of its most frequent token that not
+  all lines have: every token that enough documents have there makes a node, the rest another;
+  without such a token the node ends.
 
 A passage may stand on several lines. So runs of consecutive lines (blank ones
 aside) are templates too, named by the hashes of their lines: from every line
@@ -20,22 +23,29 @@ LONG_WORDS words or more is left out. Where a run recurs, its lines go there,
 and stay where they stand elsewhere.
 
 A template recurs when documents of enough copy groups hold it. Documents that
-hold a template often enough to matter are grouped by ``near_dedup`` on their full
+hold a template often enough to matter are grouped as by ``near_dedup``, on their full
 shingle sets, at COPY_PERCENT; a group counts once, however large, and is left for document
 dedup. Two documents that share a passage only are two groups, however short
 they are.
 
+One pass reads the texts and leaves hashes: of lines, runs, tokens, and the sketches that
+``near_dedup`` works on. Texts are fetched again only for likely copies that the
+sketches do not settle, and for the final join. Nodes of up to NODE_TOKENS tokens are worked off
+within a task; larger ones, such as a leaf with a third of all lines, go through the same
+steps as aggregates and joins until their parts are small. So the result does not depend on the limit.
+
 Defined cases: blank lines are never dropped or counted; a null text stays
 null; a line repeated within one document counts once; repeated rows are one
-group; an empty table gives an empty result.
-Texts are compared whole, at any length. Counting shuffles hashes only: a line's tokens go along as
-16-bit hashes, of which templates are made. Texts are shuffled once for the groups.
+group; an empty table gives an empty result; texts are compared whole, at any
+length; among tokens that are equally frequent, the first position and then the larger hash decides; added columns
+take an underscore in front if the input has their name. Lines are compared by hashes of 63 bits, tokens by 32.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +55,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import stored, table, unused
-from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.near_dedup import CHUNK, SKETCH_ARROW, class_components, sketches
 
 DEPTH = 3
 #: Copy groups a template must be in: short lines, and lines of LONG_WORDS words or more.
@@ -55,6 +65,8 @@ LONG_MIN_DOCS = 2
 SIMILAR = 0.6
 #: Similarity of copies, as in the pipeline's near-duplicate stage.
 COPY_PERCENT = 80
+#: Rows whose texts are rewritten together.
+PART = 500
 WILD = b"<*>"
 _FIELD = re.compile(rb"[0-9@]|://")
 _MAYBE_FIELD = re.compile(rb"[0-9@:]")
@@ -98,32 +110,204 @@ def runs(sizes: list[int], hashes: list[int]) -> dict[tuple[int, int], int]:
     return {(i, j): xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j + 8], seed=1) >> 1 for i, j in ends}
 
 
-def _lines(text: str) -> dict[int, tuple]:
-    """{h: (leaf, n, token hashes)} of a text's distinct lines and, without leaf and hashes, its runs of lines."""
-    lines, sizes, hashes = {}, [], []
-    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-        tokens, general = masked(line)
-        if not tokens:
-            continue
-        h, n = template_hash(tokens), len(tokens)
-        sizes.append(n), hashes.append(h)
-        if h in lines:
+#: Tokens in one node that a task works off by itself.
+NODE_TOKENS = 1 << 19
+_ROWS = "d long, h long, leaf long, n int, tokens array<int>"
+_ROWS_ARROW = [("d", pa.int64()), ("h", pa.int64()), ("leaf", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int32()))]
+
+
+class _Tokens(dict):
+    """Token to its hash of 32 bits."""
+
+    def __missing__(self, token: bytes) -> int:
+        h = self[token] = xxhash.xxh3_64_intdigest(token) & 0xFFFFFFFF
+        return h
+
+
+def token_hash(token: bytes) -> int:
+    """The hash as a signed number, as it is stored."""
+    return int(np.uint32(xxhash.xxh3_64_intdigest(token) & 0xFFFFFFFF).view(np.int32))
+
+
+WILD_HASH = token_hash(WILD)
+
+
+def _line_rows(ids: list[int], texts: list[str]) -> list[pa.Array]:
+    """The distinct lines of some texts and, without leaf and tokens, their runs of lines: columns _ROWS."""
+    d, hs, leaves, ns, flat, ends = [], [], [], [], [], [0]
+    for i, text in zip(ids, texts):
+        seen: set[int] = set()
+        sizes, hashes = [], []
+        for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+            tokens, general = masked(line)
+            if not tokens:
+                continue
+            h, n = template_hash(tokens), len(tokens)
+            sizes.append(n), hashes.append(h)
+            if h in seen:
+                continue
+            seen.add(h)
+            if general and n > DEPTH:
+                leaves.append(xxhash.xxh3_64_intdigest(b" ".join(tokens[:DEPTH]), seed=n) >> 1)
+                flat += tokens
+            else:
+                leaves.append(None)
+            d.append(i), hs.append(h), ns.append(n), ends.append(len(flat))
+        for (i_, j), key in runs(sizes, hashes).items():
+            if key not in seen:
+                seen.add(key)
+                d.append(i), hs.append(key), leaves.append(None), ns.append(sum(sizes[i_ : j + 1])), ends.append(len(flat))
+    hashed = np.fromiter(map(_Tokens().__getitem__, flat), np.uint32, len(flat)).view(np.int32)
+    tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashed))
+    return [*(pa.array(c, t) for c, (_, t) in zip((d, hs, leaves, ns), _ROWS_ARROW)), tokens]
+
+
+def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of lines (_ROWS) and, without h, one row of SKETCH per text; by CHUNK bytes, whatever the batch."""
+    sketch = [(c, t) for c, t in SKETCH_ARROW if c != "n"]
+    names = [*(c for c, _ in _ROWS_ARROW), *(c for c, _ in sketch)]
+
+    def made(ids: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+        rows = _line_rows(ids, texts)
+        yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(rows[0]), t) for _, t in sketch)], names=names)
+        n, *more = sketches(texts, COPY_PERCENT)
+        none = {c: pa.nulls(len(ids), t) for c, t in _ROWS_ARROW} | {"d": pa.array(ids, pa.int64()), "n": n.cast(pa.int32())}
+        yield pa.RecordBatch.from_arrays([*(none[c] for c, _ in _ROWS_ARROW), *more], names=names)
+
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        for i, text in zip(batch.column("d").to_pylist(), batch.column("text")):
+            ids.append(i), texts.append(text.as_py())
+            size += len(texts[-1])
+            if size >= CHUNK:
+                yield from made(ids, texts)
+                ids, texts, size = [], [], 0
+        if ids:
+            yield from made(ids, texts)
+
+
+def node_step(tokens: np.ndarray, weights: np.ndarray, need: int) -> tuple[np.ndarray | None, list[np.ndarray]]:
+    """One step of a node of lines (rows of tokens): (members of its template, or None; the nodes that go on, as masks)."""
+    m, n = tokens.shape
+    total = int(weights.sum())
+    keys = (np.arange(n, dtype=np.int64) << 32) + (tokens.astype(np.int64) + (1 << 31))
+    _, at = np.unique(keys, return_inverse=True)
+    at = at.reshape(m, n)
+    c = np.bincount(at.ravel(), weights=np.repeat(weights, n)).astype(np.int64)[at]
+    best = c.argmax(axis=0)
+    fixed = (2 * c.max(axis=0) > total) & (tokens[best, np.arange(n)] != WILD_HASH)
+    if 2 * fixed.sum() >= n:
+        equal = ((tokens == tokens[best, np.arange(n)]) & fixed)[:, DEPTH:].sum(axis=1)
+        members = equal >= SIMILAR * (n - DEPTH)
+        if members.any():
+            return members, [~members]
+    open_ = np.where((c < total) & (tokens != WILD_HASH), c, 0)[:, DEPTH:]
+    if open_.max(initial=0) < need:
+        return None, []
+    position = DEPTH + int(open_.max(axis=0).argmax())
+    often = (c[:, position] >= need) & (tokens[:, position] != WILD_HASH)
+    values = tokens[:, position]
+    return None, [*(often & (values == v) for v in np.unique(values[often])), ~often]
+
+
+def node_templates(tokens: np.ndarray, weights: np.ndarray, need: int) -> list[np.ndarray]:
+    """The members, as row numbers, of every template below a node."""
+    out, nodes = [], [np.arange(len(tokens))]
+    while nodes:
+        rows = nodes.pop()
+        if weights[rows].sum() < need:
             continue
-        each = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, n)
-        leaf = xxhash.xxh3_64_intdigest(b" ".join(tokens[:DEPTH]), seed=n) >> 1 if general and n > DEPTH else None
-        lines[h] = (leaf, n, each.astype("<u2").tobytes())
-    for (i, j), key in runs(sizes, hashes).items():
-        lines[key] = (None, sum(sizes[i : j + 1]), None)
-    return lines
+        members, rest = node_step(tokens[rows], weights[rows], need)
+        if members is not None:
+            out.append(rows[members])
+        nodes += [rows[r] for r in rest if r.any()]
+    return out
+
+
+def _node_batches(min_docs: int, long_min_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(template, h) from rows (node, h, n, w, tokens) with each node's rows together."""
+
+    def made(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        n = rows.column("n")[0].as_py()
+        tokens = rows.column("tokens").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        h, w = (rows.column(c).to_numpy() for c in ("h", "w"))
+        node = rows.column("node")[0].as_py()
+        order = np.argsort(h)  # so that a repeated task names its templates alike
+        for members in node_templates(tokens[order], w[order], _need_of(n, min_docs, long_min_docs)):
+            own = h[order][members]
+            name = xxhash.xxh3_64_intdigest(np.sort(own).tobytes(), seed=node & 0xFFFFFFFF) >> 1
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.int64()), pa.array(own, pa.int64())], names=["template", "h"])
 
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in given:
+            nodes = batch.column("node").to_numpy()
+            cuts = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(nodes)]
+            for begin, end in zip(cuts[:-1], cuts[1:]):
+                if held and held[-1].column("node")[0].as_py() != nodes[begin]:
+                    yield from made(pa.Table.from_batches(held))
+                    held = []
+                if end > begin:
+                    held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from made(pa.Table.from_batches(held))
 
-_LINES = pa.list_(pa.struct([("h", pa.int64()), ("leaf", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())]))
+    return batches
 
 
-def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lines = [[{"h": h, "leaf": leaf, "n": n, "tokens": tokens} for h, (leaf, n, tokens) in _lines(text.as_py()).items()] for text in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(lines, _LINES)], names=["d", "lines"])
+def _need_of(n: int, min_docs: int, long_min_docs: int) -> int:
+    return long_min_docs if n >= LONG_WORDS else min_docs
+
+
+def _large_step(nodes: DataFrame, min_docs: int, long_min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """``node_step`` for all nodes at once: ((template, h), the rows (node, h, n, w, tokens) that go on)."""
+    total = nodes.groupBy("node").agg(F.sum("w").alias("total"), F.first("n").alias("n"))
+    at = nodes.select("node", "w", F.posexplode("tokens").alias("at", "token")).groupBy("node", "at", "token").agg(F.sum("w").alias("c"))
+    counts = stored(at.join(total, "node"), "node-counts")
+    wild = F.col("token") == WILD_HASH
+    best = counts.groupBy("node", "at", "total").agg(F.max(F.struct("c", "token")).alias("best"))
+    fixed = F.when((F.col("best.c") * 2 > F.col("total")) & (F.col("best.token") != WILD_HASH), F.col("best.token")).alias("token")
+    general = (
+        best.select("node", "at", fixed).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("x"))
+        .select("node", F.transform("x", lambda x: x["token"]).alias("general"))
+        .where(F.size(F.filter("general", lambda x: x.isNotNull())) * 2 >= F.size("general"))
+    )
+    # The node's most frequent token that not all lines have, at its first position.
+    pivot = (
+        counts.where((F.col("c") < F.col("total")) & ~wild & (F.col("at") >= DEPTH))
+        .groupBy("node").agg(F.max(F.struct("c", (-F.col("at")).alias("at"))).alias("most"), F.first("n").alias("n"))
+        .where(F.col("most.c") >= _need(min_docs, long_min_docs)).select("node", (-F.col("most.at")).alias("position"))
+    )
+    rest = lambda x: F.slice(x, DEPTH + 1, F.size(x))
+    equal = F.size(F.filter(F.zip_with(rest(F.col("tokens")), rest(F.col("general")), lambda a, b: a.eqNullSafe(b) & b.isNotNull()), lambda x: x))
+    belongs = F.coalesce(equal >= (F.col("n") - DEPTH) * SIMILAR, F.lit(False)) & F.col("general").isNotNull()
+    marked = stored(nodes.join(stored(general, "node-templates"), "node", "left").withColumn("belongs", belongs).drop("general"), "node-members")
+    members = marked.where("belongs").select(F.xxhash64(F.lit("t"), "node", "n").alias("template"), "h")
+    peeled = stored(marked.where("belongs").select("node").distinct(), "peeled")
+    others = marked.where("not belongs").drop("belongs")
+    same = others.join(peeled, "node", "left_semi")
+    split = others.join(peeled, "node", "left_anti").join(stored(pivot, "pivots"), "node").withColumn("token", F.element_at("tokens", F.col("position") + 1))
+    often = counts.where((F.col("c") >= _need(min_docs, long_min_docs)) & ~wild).select("node", F.col("at").alias("position"), "token", F.lit(True).alias("often"))
+    named = split.join(often, ["node", "position", "token"], "left")
+    own = F.when(F.col("often"), F.xxhash64("node", "position", "token")).otherwise(F.xxhash64("node", "position"))
+    again = same.withColumn("node", F.xxhash64(F.lit("r"), "node")).unionByName(named.withColumn("node", own).select(*same.columns))
+    return members, again
+
+
+def _templates(members: DataFrame, min_docs: int, long_min_docs: int, most: int) -> DataFrame:
+    """(template, h): the lines of every template, from rows (node, h, n, w, tokens)."""
+    found = []
+    while True:
+        large = stored(members.groupBy("node").agg(F.sum("n").alias("size")).where(F.col("size") > most).select("node"), "large-nodes")
+        small = members.join(large, "node", "left_anti")
+        dealt = small.repartition("node").sortWithinPartitions("node")
+        found.append(stored(dealt.mapInArrow(_node_batches(min_docs, long_min_docs), "template long, h long"), "templates"))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        templates, rest = _large_step(stored(members.join(large, "node", "left_semi"), "large"), min_docs, long_min_docs)
+        found.append(stored(templates, "large-templates"))
+        members = stored(rest, "nodes")
 
 
 def _need(min_docs: int, long_min_docs: int) -> Column:
@@ -139,11 +323,12 @@ def _often(lines: DataFrame, key: str, min_docs: int, long_min_docs: int) -> Dat
     return stored(lines.select(key, "d").join(often.hint("merge"), key).select(key, "n", "d"), f"holders-{key}")
 
 
-def _copy_groups(given: DataFrame, held: DataFrame) -> DataFrame:
-    """(d, g): the group of near-duplicates of each text in ``held``."""
-    texts = given.groupBy("d").agg(F.first("text").alias("text")).join(held.select("d").distinct().hint("merge"), "d", "left_semi")
-    groups = near_duplicates(stored(texts, "holder-texts"), "d", "text", COPY_PERCENT)
-    return stored(groups.select("d", F.col("component_id").alias("g")), "copy-groups")
+def _copy_groups(first: DataFrame, given: DataFrame, holders: DataFrame) -> DataFrame:
+    """(d, g): the group of near-duplicates of each text in ``holders``."""
+    sketch = first.where("key is not null").select(F.col("d").alias("id"), F.col("d").alias("t"), "n", "key", "bands", "odd").dropDuplicates(["id"])
+    sketched = stored(sketch.join(holders.select(F.col("d").alias("id")).distinct(), "id", "left_semi"), "holder-sketches")
+    groups = class_components(sketched, given.select(F.col("d").alias("id"), F.col("d").alias("t"), "text"), COPY_PERCENT)
+    return stored(sketched.select("id", "key").join(groups, "key").select(F.col("id").alias("d"), F.col("first.id").alias("g")), "copy-groups")
 
 
 def _recurring(held: DataFrame, groups: DataFrame, key: str, min_docs: int, long_min_docs: int) -> DataFrame:
@@ -154,12 +339,11 @@ def _recurring(held: DataFrame, groups: DataFrame, key: str, min_docs: int, long
     return counts.where(F.col("groups") >= _need(min_docs, long_min_docs)).select(key)
 
 
-def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_min_docs: int = LONG_MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(rows d, h, leaf, n, tokens of the distinct lines and runs of each text d; hashes h of the lines and runs to drop)."""
-    lines_type = "array<struct<h: long, leaf: long, n: int, tokens: binary>>"
+def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_min_docs: int = LONG_MIN_DOCS, node_tokens: int = NODE_TOKENS) -> DataFrame:
+    """(d, h): for each text, by its hash d, the hashes of its lines and runs to drop; rows may repeat."""
     given = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("d"), F.col(text).alias("text"))
-    texts = stored(given.mapInArrow(_line_batches, f"d long, lines {lines_type}"), "lines")
-    lines = texts.select("d", F.explode("lines").alias("x")).select("d", "x.*")
+    first = stored(given.mapInArrow(_first_pass, f"{_ROWS}, key binary, bands array<long>, odd array<long>"), "lines")
+    lines = first.where("h is not null").select("d", "h", "leaf", "n", "tokens")
     held = _often(lines, "h", min_docs, long_min_docs)
 
     # Leaves that hold different lines in enough documents: their lines are generalised.
@@ -167,39 +351,20 @@ def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_m
         lines.where(F.col("leaf").isNotNull())
         .groupBy("leaf")
         .agg(F.count("*").alias("docs"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("n").alias("n"))
-        .where((F.col("lo") != F.col("hi")) & (F.col("docs") >= F.when(F.col("n") >= LONG_WORDS, long_min_docs).otherwise(min_docs)))
+        .where((F.col("lo") != F.col("hi")) & (F.col("docs") >= _need(min_docs, long_min_docs).cast("long")))
         .select("leaf")
     )
     open_lines = stored(lines.join(stored(leaves, "leaves").hint("merge"), "leaf", "left_semi"), "leaf-lines")
-    members = stored(open_lines.groupBy("leaf", "h").agg(F.count("*").alias("w"), F.first("tokens").alias("tokens")), "leaf-members")
-    total = members.groupBy("leaf").agg(F.sum("w").alias("total"))
-    tokens = F.transform(F.sequence(F.lit(1), F.length("tokens"), F.lit(2)), lambda i: F.substring("tokens", i, F.lit(2)))
-    at = (
-        members.select("leaf", "w", F.posexplode(tokens).alias("at", "token"))
-        .groupBy("leaf", "at", "token").agg(F.sum("w").alias("c"))
-        .groupBy("leaf", "at").agg(F.max(F.struct("c", "token")).alias("best"))
-    )
-    wild = F.lit((xxhash.xxh3_64_intdigest(WILD) & 0xFFFF).to_bytes(2, "little"))
-    general = (
-        at.join(total, "leaf")
-        .select("leaf", "at", F.when((F.col("best.c") * 2 >= F.col("total")) & (F.col("best.token") != wild), F.col("best.token")).alias("token"))
-        .groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("template"))
-        .select("leaf", F.transform("template", lambda x: x["token"]).alias("template"))
-        .where(F.size(F.filter("template", lambda x: x.isNotNull())) * 2 >= F.size("template"))
-    )
-    # The first DEPTH tokens are the leaf's own and say nothing about the line.
-    rest = lambda x: F.slice(x, DEPTH + 1, F.size(x))
-    equal = F.size(F.filter(F.zip_with(rest(tokens), rest(F.col("template")), lambda a, b: a.eqNullSafe(b) & b.isNotNull()), lambda x: x))
-    # Stored, so that a leaf with many lines can be split in the join.
-    matched = members.join(stored(general, "leaf-templates"), "leaf").where(equal >= (F.length("tokens") / 2 - DEPTH) * SIMILAR).select("leaf", "h")
-    matched = stored(matched, "leaf-matched")
-    of_template = open_lines.join(matched, ["leaf", "h"], "left_semi").groupBy("leaf", "d").agg(F.max("n").alias("n"))
-    held_leaves = _often(stored(of_template, "leaf-docs"), "leaf", min_docs, long_min_docs)
+    members = open_lines.groupBy(F.col("leaf").alias("node"), "h").agg(F.count("*").alias("w"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    matched = stored(_templates(stored(members, "leaf-members"), min_docs, long_min_docs, node_tokens), "matched")
+    # Stored, so that a template with many lines can be split in the joins.
+    own = stored(open_lines.select("d", "h", "n").join(matched, "h").select("template", "d", "h", "n"), "template-lines")
+    held_templates = _often(own.groupBy("template", "d").agg(F.max("n").alias("n")), "template", min_docs, long_min_docs)
 
-    groups = _copy_groups(given, held.select("d").union(held_leaves.select("d")))
-    exact = _recurring(held, groups, "h", min_docs, long_min_docs)
-    generalised = matched.join(_recurring(held_leaves, groups, "leaf", min_docs, long_min_docs), "leaf", "left_semi").select("h")
-    return lines, stored(exact.union(generalised).distinct(), "recurring")
+    groups = _copy_groups(first, given, held.select("d").union(held_templates.select("d")))
+    exact = held.join(_recurring(held, groups, "h", min_docs, long_min_docs), "h", "left_semi")
+    generalised = own.join(_recurring(held_templates, groups, "template", min_docs, long_min_docs), "template", "left_semi")
+    return exact.select("d", "h").union(generalised.select("d", "h"))
 
 
 def _kept(lines: list[str], gone: set[int]) -> list[str]:
@@ -217,7 +382,7 @@ def _kept(lines: list[str], gone: set[int]) -> list[str]:
 
 def _without(text: str, drop: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in given:
+        for batch in (whole.slice(i, PART) for whole in given for i in range(0, whole.num_rows, PART)):
             out, n_lines, n_dropped = [], [], []
             for value, gone in zip(batch.column(text), batch.column(drop)):
                 value, gone = value.as_py(), set(gone.as_py() or ())
@@ -234,17 +399,19 @@ def _without(text: str, drop: str) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return batches
 
 
-def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, long_min_docs: int = LONG_MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(
+    docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, long_min_docs: int = LONG_MIN_DOCS, node_tokens: int = NODE_TOKENS
+) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and n_lines, n_dropped (long).
 
     The line feeds of dropped lines go with them. Added columns take an
     underscore in front if ``docs`` has their name.
     """
-    lines, recurring = recurring_lines(docs, text, min_docs, long_min_docs)
+    recurring = recurring_lines(docs, text, min_docs, long_min_docs, node_tokens)
     n_lines = unused(docs.columns, "n_lines")
     n_dropped = unused([*docs.columns, n_lines], "n_dropped")
     d, drop = unused([*docs.columns, n_lines, n_dropped], "_d"), unused([*docs.columns, n_lines, n_dropped], "_drop")
-    drops = lines.select("d", "h").join(recurring.hint("merge"), "h", "left_semi").groupBy(F.col("d").alias(d)).agg(F.collect_set("h").alias(drop))
+    drops = recurring.groupBy(F.col("d").alias(d)).agg(F.collect_set("h").alias(drop))
     whole = docs.withColumn(d, F.xxhash64(text)).join(stored(drops, "drops").hint("merge"), d, "left").drop(d)
     schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
     return whole.mapInArrow(_without(text, drop), schema)

@@ -142,7 +142,7 @@ def band_keys(m: np.ndarray, bands: int, n_rows: int) -> np.ndarray:
 #: Bytes of text that are worked on together.
 CHUNK = 1 << 20
 SKETCH = "n long, key binary, bands array<long>, odd array<long>"
-_SKETCH_ARROW = [("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))]
+SKETCH_ARROW = [("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))]
 
 
 class _Hashes(dict):
@@ -200,14 +200,14 @@ def sketches(texts: Iterable[str | None], percent: int) -> list[pa.Array]:
             chunk, size = [], 0
     if chunk:
         flush()
-    return [pa.array(c, t) for c, (_, t) in zip(columns, _SKETCH_ARROW)]
+    return [pa.array(c, t) for c, (_, t) in zip(columns, SKETCH_ARROW)]
 
 
 def _sketch_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = sketches((t.as_py() for t in batch.column("text")), percent)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *made], names=["id", "t", *(c for c, _ in _SKETCH_ARROW)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *made], names=["id", "t", *(c for c, _ in SKETCH_ARROW)])
 
     return sketch_batches
 
