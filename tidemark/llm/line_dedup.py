@@ -107,7 +107,7 @@ def runs(sizes: list[int], hashes: list[int]) -> dict[tuple[int, int], int]:
         if words >= LONG_WORDS and last > first:
             ends.add((first, last))
     packed = np.array(hashes, "<i8").tobytes()
-    return {(i, j): xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j + 8], seed=1) >> 1 for i, j in ends}
+    return {(i, j): xxhash.xxh3_64_intdigest(b"run " + packed[8 * i : 8 * j + 8]) >> 1 for i, j in ends}
 
 
 #: Tokens in one node that a task works off by itself.
@@ -148,7 +148,8 @@ def _line_rows(ids: list[int], texts: list[str]) -> list[pa.Array]:
                 continue
             seen.add(h)
             if general and n > DEPTH:
-                leaves.append(xxhash.xxh3_64_intdigest(b" ".join(tokens[:DEPTH]), seed=n) >> 1)
+                # The number is hashed, not a seed: for short inputs a seed is little more than an XOR.
+                leaves.append(xxhash.xxh3_64_intdigest(b"%d %s" % (n, b" ".join(tokens[:DEPTH]))) >> 1)
                 flat += tokens
             else:
                 leaves.append(None)
@@ -236,7 +237,7 @@ def _node_batches(min_docs: int, long_min_docs: int) -> Callable[[Iterator[pa.Re
         order = np.argsort(h)  # so that a repeated task names its templates alike
         for members in node_templates(tokens[order], w[order], _need_of(n, min_docs, long_min_docs)):
             own = h[order][members]
-            name = xxhash.xxh3_64_intdigest(np.sort(own).tobytes(), seed=node & 0xFFFFFFFF) >> 1
+            name = xxhash.xxh3_64_intdigest(np.append(own, node).tobytes()) >> 1
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.int64()), pa.array(own, pa.int64())], names=["template", "h"])
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
