@@ -1,6 +1,7 @@
 """Near-duplicate documents and vectors, recurring lines."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 
 from tests.llm.corpus import DOCS, awkward, prose, with_clashes
 from tidemark.llm import embedding_dedup, graph, line_dedup, near_dedup
+from tidemark.llm.words import Words
 
 
 def reach(nodes, links):
@@ -144,7 +146,8 @@ def test_a_settled_group_is_not_copied_for_every_part(spark):
 def test_sketches_of_a_chunk_are_those_of_each_text():
     rng = random.Random(22)
     texts = [None, "", " ", "One two", "a b c d e", " ".join(prose(rng, 3000)), "É ß \u00a0 x"] + [" ".join(prose(rng, rng.randrange(1, 60))) for _ in range(50)]
-    for i, (n, key, bands, odd) in enumerate(zip(*(a.to_pylist() for a in near_dedup.sketches(texts, 85)))):
+    words = Words([(t or "").encode() for t in texts])
+    for i, (n, key, bands, odd) in enumerate(zip(*(a.to_pylist() for a in near_dedup.sketches(words, 85)))):
         s = near_dedup.shingles(texts[i])
         assert n == len(s) and (key is None) == (n == 0)
         if n:
@@ -340,6 +343,37 @@ def test_runs_leave_no_line_of_a_passage_out():
                     assert covered == set(range(a, b + 1))
 
 
+def masked(line):
+    """The tokens of a line, fields masked, and True; as they are, and False, if more than half are fields."""
+    tokens = line.split()
+    fields = [bool(re.search(rb"[0-9@]|://", t)) for t in tokens]
+    return (tokens, False) if 2 * sum(fields) > len(tokens) else ([line_dedup.WILD if f else t for t, f in zip(tokens, fields)], True)
+
+
+def test_words_and_lines_by_arrays():
+    rng = random.Random(25)
+    texts = ["", " ", "\n", "a", "A b\n\n c\td ", "x://y 1a :/ b@ <*>\r\nÉ \u00a0\x0b\x0c e\n", "same same\nsame same", "w" * 100_000]
+    texts += ["".join(rng.choice("aB1 \n:/@\t") for _ in range(rng.randrange(60))) for _ in range(300)]
+    words = Words([t.encode() for t in texts])
+    raw, low, lines = words.hashes(), words.hashes(lower=True), line_dedup.Lines(words)
+    of_word, of_line, of_leaf = {}, {}, {}
+    for i, text in enumerate(texts):
+        own = slice(words.text[i], words.text[i + 1])
+        for w, h, g in zip(text.encode().split(), raw[own], low[own], strict=True):
+            assert of_word.setdefault(w, h) == h and of_word.setdefault(w.lower(), g) == g
+        n, h, at = lines.of(i)
+        want = [(k, *masked(x.encode())) for k, x in enumerate(text.split("\n")) if x.encode().split()]
+        assert at == [k for k, _, _ in want] and n == [len(x) for _, x, _ in want]
+        leaves = lines.leaf[lines.text[i] : lines.text[i + 1]]
+        for (_, x, general), own_h, leaf in zip(want, h, leaves):
+            assert of_line.setdefault(tuple(x), own_h) == own_h
+            assert (leaf != 0) == (general and len(x) > 3)
+            if leaf:
+                assert of_leaf.setdefault((len(x), *x[:3]), leaf) == leaf
+    for known in (of_word, of_line, of_leaf):
+        assert len(set(known.values())) == len(known) > 50
+
+
 def brute_templates(lines, need):
     """Sets of lines, one per template, of a leaf: {tuple of masked tokens: number of texts}; plain Python, on the tokens themselves."""
     if sum(lines.values()) < need:
@@ -377,7 +411,7 @@ def brute_lines(rows):
     for text in texts:
         at = []
         for i, line in enumerate(text.split("\n")):
-            tokens, general = line_dedup.masked(line.encode())
+            tokens, general = masked(line.encode())
             if tokens:
                 at.append((i, tuple(tokens)))
                 holds[(tuple(tokens),)].add(text)

@@ -28,9 +28,10 @@ shingle sets, at COPY_PERCENT; a group counts once, however large, and is left f
 dedup. Two documents that share a passage only are two groups, however short
 they are.
 
-One pass reads the texts and leaves hashes: of lines, runs, tokens, and the sketches that
-``near_dedup`` works on. Texts are fetched again only for likely copies that the
-sketches do not settle, and for the final join. Nodes of up to NODE_TOKENS tokens are worked off
+One pass reads the texts and leaves hashes: of lines and runs, and the sketches that
+``near_dedup`` works on. Tokens are made in a second one, only of lines that are not alone in their leaf,
+which a Bloom filter of bounded size tells (what it lets through besides goes in a join). Texts are shuffled only for
+likely copies that the sketches do not settle, and for the final join. Nodes of up to NODE_TOKENS tokens are worked off
 within a task; larger ones, such as a leaf with a third of all lines, go through the same
 steps as aggregates and joins until their parts are small. So the result does not depend on the limit.
 
@@ -43,19 +44,20 @@ take an underscore in front if the input has their name. Lines are compared by h
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import stored, table, unused
-from tidemark.llm.near_dedup import CHUNK, SKETCH_ARROW, class_components, sketches
+from tidemark.llm.near_dedup import SKETCH_ARROW, chunks, class_components, sketches
+from tidemark.llm.words import Words, in_order, mix, word_hash
 
 DEPTH = 3
 #: Copy groups a template must be in: short lines, and lines of LONG_WORDS words or more.
@@ -68,23 +70,36 @@ COPY_PERCENT = 80
 #: Rows whose texts are rewritten together.
 PART = 500
 WILD = b"<*>"
-_FIELD = re.compile(rb"[0-9@]|://")
-_MAYBE_FIELD = re.compile(rb"[0-9@:]")
+WILD_WORD = word_hash(WILD)
+WILD_HASH = int(np.uint32(WILD_WORD >> 32).view(np.int32))
 
 
-def masked(line: bytes) -> tuple[list[bytes], bool]:
-    """The tokens of a line, variable fields masked, and True; as they are, and False, if more than half are fields."""
-    tokens = line.split()
-    if not _MAYBE_FIELD.search(line):
-        return tokens, True
-    fields = [bool(_FIELD.search(t)) for t in tokens]
-    if 2 * sum(fields) > len(tokens):
-        return tokens, False
-    return [WILD if f else t for t, f in zip(tokens, fields)], True
+class Lines:
+    """The lines of some texts that have words: ``n`` words, hash ``h``, ``leaf`` (0: none), ``line`` (number in its text), by array operations.
 
+    ``text`` has the first line of each text, and their number.
+    """
 
-def template_hash(tokens: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(tokens)) >> 1
+    def __init__(self, words: Words):
+        first, self.line, self.text = words.lines()
+        total = len(words.begin)
+        self.first, self.n = first, np.diff(np.append(first, total))
+        tokens, fields = words.hashes(), words.fields()
+        masked = np.add.reduceat(fields, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+        self.general = 2 * masked <= self.n
+        self.tokens = np.where(fields & np.repeat(self.general, self.n), np.uint64(WILD_WORD), tokens)
+        placed = in_order(self.tokens, first, self.n)
+        sums = np.add.reduceat(placed, first) if len(first) else placed
+        self.h = (mix(sums + self.n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+        leafy = np.flatnonzero(self.general & (self.n > DEPTH))
+        self.leaf = np.zeros(len(first), np.int64)
+        lead = sum(placed[first[leafy] + j] for j in range(DEPTH)) if len(leafy) else np.empty(0, np.uint64)
+        self.leaf[leafy] = (mix(mix(lead) + self.n[leafy].astype(np.uint64)) >> np.uint64(1)).astype(np.int64) | 1
+
+    def of(self, i: int) -> tuple[list[int], list[int], list[int]]:
+        """(n, h, line) of the lines of text ``i``."""
+        own = slice(self.text[i], self.text[i + 1])
+        return self.n[own].tolist(), self.h[own].tolist(), self.line[own].tolist()
 
 
 def runs(sizes: list[int], hashes: list[int]) -> dict[tuple[int, int], int]:
@@ -112,79 +127,82 @@ def runs(sizes: list[int], hashes: list[int]) -> dict[tuple[int, int], int]:
 
 #: Tokens in one node that a task works off by itself.
 NODE_TOKENS = 1 << 19
-_ROWS = "d long, h long, leaf long, n int, tokens array<int>"
-_ROWS_ARROW = [("d", pa.int64()), ("h", pa.int64()), ("leaf", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int32()))]
-
-
-class _Tokens(dict):
-    """Token to its hash of 32 bits."""
-
-    def __missing__(self, token: bytes) -> int:
-        h = self[token] = xxhash.xxh3_64_intdigest(token) & 0xFFFFFFFF
-        return h
-
-
-def token_hash(token: bytes) -> int:
-    """The hash as a signed number, as it is stored."""
-    return int(np.uint32(xxhash.xxh3_64_intdigest(token) & 0xFFFFFFFF).view(np.int32))
-
-
-WILD_HASH = token_hash(WILD)
-
-
-def _line_rows(ids: list[int], texts: list[str]) -> list[pa.Array]:
-    """The distinct lines of some texts and, without leaf and tokens, their runs of lines: columns _ROWS."""
-    d, hs, leaves, ns, flat, ends = [], [], [], [], [], [0]
-    for i, text in zip(ids, texts):
-        seen: set[int] = set()
-        sizes, hashes = [], []
-        for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-            tokens, general = masked(line)
-            if not tokens:
-                continue
-            h, n = template_hash(tokens), len(tokens)
-            sizes.append(n), hashes.append(h)
-            if h in seen:
-                continue
-            seen.add(h)
-            if general and n > DEPTH:
-                # The number is hashed, not a seed: for short inputs a seed is little more than an XOR.
-                leaves.append(xxhash.xxh3_64_intdigest(b"%d %s" % (n, b" ".join(tokens[:DEPTH]))) >> 1)
-                flat += tokens
-            else:
-                leaves.append(None)
-            d.append(i), hs.append(h), ns.append(n), ends.append(len(flat))
-        for (i_, j), key in runs(sizes, hashes).items():
-            if key not in seen:
-                seen.add(key)
-                d.append(i), hs.append(key), leaves.append(None), ns.append(sum(sizes[i_ : j + 1])), ends.append(len(flat))
-    hashed = np.fromiter(map(_Tokens().__getitem__, flat), np.uint32, len(flat)).view(np.int32)
-    tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashed))
-    return [*(pa.array(c, t) for c, (_, t) in zip((d, hs, leaves, ns), _ROWS_ARROW)), tokens]
+_ROWS = "d long, h long, leaf long, n int"
+_ROWS_ARROW = [("d", pa.int64()), ("h", pa.int64()), ("leaf", pa.int64()), ("n", pa.int32())]
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lines (_ROWS) and, without h, one row of SKETCH per text; by CHUNK bytes, whatever the batch."""
+    """The distinct lines (_ROWS) and, without leaf, runs of lines of each text and, without h, one row of SKETCH per text."""
     sketch = [(c, t) for c, t in SKETCH_ARROW if c != "n"]
     names = [*(c for c, _ in _ROWS_ARROW), *(c for c, _ in sketch)]
+    for batch in batches:
+        for begin, texts in chunks(batch.column("text")):
+            ids = batch.column("d").slice(begin, len(texts)).to_numpy()
+            words = Words(texts)
+            lines = Lines(words)
+            d, h, leaf, n = [], [], [], []
+            for i, own in enumerate(ids.tolist()):
+                sizes, hashes, _ = lines.of(i)
+                found = {x: (y, z) for x, y, z in zip(hashes, sizes, lines.leaf[lines.text[i] : lines.text[i + 1]].tolist())}
+                for (first, last), key in runs(sizes, hashes).items():
+                    found.setdefault(key, (sum(sizes[first : last + 1]), 0))
+                d += [own] * len(found)
+                h += found
+                n += [x for x, _ in found.values()]
+                leaf += [x or None for _, x in found.values()]
+            rows = [pa.array(c, t) for c, (_, t) in zip((d, h, leaf, n), _ROWS_ARROW)]
+            yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(d), t) for _, t in sketch)], names=names)
+            size, *more = sketches(words, COPY_PERCENT)
+            none = [pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), size.cast(pa.int32())]
+            yield pa.RecordBatch.from_arrays([*none, *more], names=names)
+
+
+#: Bits of the filter for leaves, for each leaf and at most; places of a leaf in it.
+FILTER_BITS, FILTER_MOST, FILTER_PLACES = 16, 1 << 30, 4
+
+
+def _filter_places(leaf: np.ndarray, bits: int) -> np.ndarray:
+    h = mix(leaf.astype(np.uint64))
+    return np.stack([(mix(h + np.uint64(k)) % np.uint64(bits)).astype(np.int64) for k in range(FILTER_PLACES)])
+
+
+def _leaf_filter(leaves: DataFrame) -> tuple[int, np.ndarray]:
+    """A Bloom filter of the leaves: (bits, packed). FILTER_MOST bits at most, so its size is bounded; a fuller one lets more through."""
+    bits = 1 << 16
+    while bits < min(FILTER_BITS * leaves.count(), FILTER_MOST):
+        bits *= 2
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_filter_places(batch.column("leaf").to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
+
+    packed = np.zeros(bits >> 6, np.int64)
+    rows = leaves.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    packed[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return bits, packed
+
+
+def _open_pass(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(leaf, h, n, tokens) of the lines whose leaf the filter lets through."""
 
-    def made(ids: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
-        rows = _line_rows(ids, texts)
-        yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(rows[0]), t) for _, t in sketch)], names=names)
-        n, *more = sketches(texts, COPY_PERCENT)
-        none = {c: pa.nulls(len(ids), t) for c, t in _ROWS_ARROW} | {"d": pa.array(ids, pa.int64()), "n": n.cast(pa.int32())}
-        yield pa.RecordBatch.from_arrays([*(none[c] for c, _ in _ROWS_ARROW), *more], names=names)
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, packed = sent.value
+        for batch in given:
+            for _, texts in chunks(batch.column("text")):
+                lines = Lines(Words(texts))
+                at = _filter_places(lines.leaf, bits)
+                hit = np.flatnonzero(((packed[at >> 6] >> (at & 63)) & 1).all(axis=0) & (lines.leaf != 0))
+                _, once = np.unique(lines.h[hit], return_index=True)
+                hit = hit[once]
+                n = lines.n[hit]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                places = np.arange(ends[-1]) + np.repeat(lines.first[hit] - ends[:-1], n)
+                tokens = (lines.tokens[places] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(lines.leaf[hit]), pa.array(lines.h[hit]), pa.array(n, pa.int32()), lists], names=["leaf", "h", "n", "tokens"])
 
-    for batch in batches:
-        ids, texts, size = [], [], 0
-        for i, text in zip(batch.column("d").to_pylist(), batch.column("text")):
-            ids.append(i), texts.append(text.as_py())
-            size += len(texts[-1])
-            if size >= CHUNK:
-                yield from made(ids, texts)
-                ids, texts, size = [], [], 0
-        if ids:
-            yield from made(ids, texts)
+    return batches
 
 
 def node_step(tokens: np.ndarray, weights: np.ndarray, need: int) -> tuple[np.ndarray | None, list[np.ndarray]]:
@@ -344,7 +362,7 @@ def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_m
     """(d, h): for each text, by its hash d, the hashes of its lines and runs to drop; rows may repeat."""
     given = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("d"), F.col(text).alias("text"))
     first = stored(given.mapInArrow(_first_pass, f"{_ROWS}, key binary, bands array<long>, odd array<long>"), "lines")
-    lines = first.where("h is not null").select("d", "h", "leaf", "n", "tokens")
+    lines = first.where("h is not null").select("d", "h", "leaf", "n")
     held = _often(lines, "h", min_docs, long_min_docs)
 
     # Leaves that hold different lines in enough documents: their lines are generalised.
@@ -355,8 +373,14 @@ def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_m
         .where((F.col("lo") != F.col("hi")) & (F.col("docs") >= _need(min_docs, long_min_docs).cast("long")))
         .select("leaf")
     )
-    open_lines = stored(lines.join(stored(leaves, "leaves").hint("merge"), "leaf", "left_semi"), "leaf-lines")
-    members = open_lines.groupBy(F.col("leaf").alias("node"), "h").agg(F.count("*").alias("w"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    leaves = stored(leaves, "leaves")
+    open_lines = stored(lines.join(leaves.hint("merge"), "leaf", "left_semi"), "leaf-lines")
+    # The tokens of these lines only: most lines are alone in their leaf.
+    sent = docs.sparkSession.sparkContext.broadcast(_leaf_filter(leaves))
+    read = given.mapInArrow(_open_pass(sent), "leaf long, h long, n int, tokens array<int>")
+    tokens = read.groupBy("leaf", "h").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    weights = open_lines.groupBy("leaf", "h").agg(F.count("*").alias("w"))
+    members = tokens.join(weights, ["leaf", "h"]).select(F.col("leaf").alias("node"), "h", "n", "w", "tokens")
     matched = stored(_templates(stored(members, "leaf-members"), min_docs, long_min_docs, node_tokens), "matched")
     # Stored, so that a template with many lines can be split in the joins.
     own = stored(open_lines.select("d", "h", "n").join(matched, "h").select("template", "d", "h", "n"), "template-lines")
@@ -368,33 +392,30 @@ def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_m
     return exact.select("d", "h").union(generalised.select("d", "h"))
 
 
-def _kept(lines: list[str], gone: set[int]) -> list[str]:
+def _without(text: str, drop: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The lines that neither recur nor stand in a run that does; blank lines stay."""
-    at, sizes, hashes = [], [], []
-    for i, line in enumerate(lines):
-        if tokens := masked(line.encode("utf-8", "surrogatepass"))[0]:
-            at.append(i), sizes.append(len(tokens)), hashes.append(template_hash(tokens))
-    drop = {i for i, h in zip(at, hashes) if h in gone}
-    for (first, last), key in runs(sizes, hashes).items():
-        if key in gone:
-            drop.update(at[first : last + 1])
-    return [x for i, x in enumerate(lines) if i not in drop]
 
+    def rewritten(value: str, gone: set[int], lines: Lines, i: int) -> list[str]:
+        sizes, hashes, at = lines.of(i)
+        drop = {k for k, h in zip(at, hashes) if h in gone}
+        for (first, last), key in runs(sizes, hashes).items():
+            if key in gone:
+                drop.update(at[first : last + 1])
+        return [x for k, x in enumerate(value.split("\n")) if k not in drop]
 
-def _without(text: str, drop: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, PART) for whole in given for i in range(0, whole.num_rows, PART)):
-            out, n_lines, n_dropped = [], [], []
-            for value, gone in zip(batch.column(text), batch.column(drop)):
-                value, gone = value.as_py(), set(gone.as_py() or ())
-                lines = value.split("\n") if value is not None else []
-                kept = lines
-                if gone:
-                    kept = _kept(lines, gone)
-                out.append(None if value is None else "\n".join(kept) if gone else value)
-                n_lines.append(len(lines)), n_dropped.append(len(lines) - len(kept))
+            values, gone = batch.column(text).to_pylist(), batch.column(drop).to_pylist()
+            n_lines = [0 if v is None else v.count("\n") + 1 for v in values]
+            n_dropped, touched = [0] * len(values), [i for i, g in enumerate(gone) if g]
+            for begin, texts in chunks(pa.array([values[i] for i in touched], pa.string())):
+                lines = Lines(Words(texts))
+                for k in range(len(texts)):
+                    i = touched[begin + k]
+                    kept = rewritten(values[i], set(gone[i]), lines, k)
+                    values[i], n_dropped[i] = "\n".join(kept), n_lines[i] - len(kept)
             names = [c for c in batch.schema.names if c != drop]
-            columns = [pa.array(out, pa.string()) if c == text else batch.column(c) for c in names]
+            columns = [pa.array(values, pa.string()) if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "lines", "dropped"])
 
     return batches

@@ -38,16 +38,16 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table, unused
 from tidemark.llm.graph import CELL, by_cell, cells_beside, components, each_cell, numbers
+from tidemark.llm.words import Words, mix
 
 SHINGLE = 5
 PERCENT = 85
@@ -58,15 +58,6 @@ ROWS, MISS = 6, 1.2e-5
 CELL_SHINGLES, CELL_LEAST = 100_000, 100
 
 
-_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _MIX1
-    h = (h ^ (h >> np.uint64(27))) * _MIX2
-    return h ^ (h >> np.uint64(31))
-
-
 def shingles_of(w: np.ndarray) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of hashed words."""
     if not len(w):
@@ -75,15 +66,13 @@ def shingles_of(w: np.ndarray) -> np.ndarray:
     n = len(w) - size + 1
     h = np.full(n, size, np.uint64)
     for j in range(size):
-        h = _mix(h + w[j : j + n])
+        h = mix(h + w[j : j + n])
     return np.unique(h)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    # bytes.lower changes A-Z only, and bytes.split splits at space and the code points 9 to 13.
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return shingles_of(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+    return shingles_of(Words([(text or "").encode("utf-8", "surrogatepass")]).hashes(lower=True))
 
 
 _rng = np.random.default_rng(20)
@@ -102,7 +91,7 @@ def minima(s: np.ndarray) -> np.ndarray:
 
 def odd_sketches(m: np.ndarray) -> np.ndarray:
     """Parity bitmaps of the pairs (place, minimum) of each row, as BITS / 64 signed longs."""
-    at = _mix(m.astype(np.uint64) + (np.arange(K, dtype=np.uint64) << np.uint64(32))) % np.uint64(BITS)
+    at = mix(m.astype(np.uint64) + (np.arange(K, dtype=np.uint64) << np.uint64(32))) % np.uint64(BITS)
     row = np.arange(len(m), dtype=np.int64)[:, None] * BITS
     odd = np.bincount((at.astype(np.int64) + row).ravel(), minlength=len(m) * BITS) & 1
     return np.packbits(odd.astype(np.uint8).reshape(len(m), BITS), axis=1).view(np.int64)
@@ -135,7 +124,7 @@ def band_keys(m: np.ndarray, bands: int, n_rows: int) -> np.ndarray:
     rows = m[:, : bands * n_rows].reshape(len(m), bands, n_rows).astype(np.uint64)
     h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), rows.shape[:2])
     for j in range(n_rows):
-        h = _mix(h + rows[:, :, j])
+        h = mix(h + rows[:, :, j])
     return h.view(np.int64)
 
 
@@ -145,69 +134,63 @@ SKETCH = "n long, key binary, bands array<long>, odd array<long>"
 SKETCH_ARROW = [("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))]
 
 
-class _Hashes(dict):
-    """Word to hash; words recur, so most are looked up."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _sets(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(sorted distinct shingle hashes, K minima) of each text, all words of the chunk at once."""
-    words = [t.lower().split() for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = [w for ws in words for w in ws]
-    w = np.fromiter(map(_Hashes().__getitem__, flat), np.uint64, len(flat))
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    n = len(flat) - SHINGLE + 1
+def _sets(words: Words) -> tuple[list[np.ndarray], np.ndarray]:
+    """(sorted distinct shingle hashes, K minima) of each text."""
+    w, starts = words.hashes(lower=True), words.text.tolist()
+    n = len(w) - SHINGLE + 1
     h = np.full(max(n, 0), SHINGLE, np.uint64)
     for j in range(SHINGLE if n > 0 else 0):
-        h = _mix(h + w[j : j + n])
-    sets, minimal = [], np.full((len(texts), K), np.iinfo(np.uint32).max, np.uint32)
-    for i, size in enumerate(sizes.tolist()):
-        sets.append(np.unique(h[starts[i] : starts[i] + size - SHINGLE + 1]) if size >= SHINGLE else shingles_of(w[starts[i] : starts[i + 1]]))
+        h = mix(h + w[j : j + n])
+    sets, minimal = [], np.full((len(starts) - 1, K), np.iinfo(np.uint32).max, np.uint32)
+    for begin, end in zip(starts[:-1], starts[1:]):
+        if end - begin >= SHINGLE:
+            s = np.sort(h[begin : end - SHINGLE + 1])
+            sets.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        else:
+            sets.append(shingles_of(w[begin:end]))
     known = [i for i, s in enumerate(sets) if len(s)]
     if known:
         x = (np.concatenate([sets[i] for i in known]) >> np.uint64(32)).astype(np.uint32)
-        begin = np.concatenate([[0], np.cumsum([len(sets[i]) for i in known])[:-1]])
+        first = np.concatenate([[0], np.cumsum([len(sets[i]) for i in known])[:-1]])
         for k in range(K):
-            minimal[known, k] = np.minimum.reduceat(_A[k] * x + _B[k], begin)
+            minimal[known, k] = np.minimum.reduceat(_A[k] * x + _B[k], first)
     return sets, minimal
 
 
-def sketches(texts: Iterable[str | None], percent: int) -> list[pa.Array]:
+def sketches(words: Words, percent: int) -> list[pa.Array]:
     """The columns SKETCH of some texts; those without words have a size of 0 and nulls."""
-    shape, columns = band_shape(percent), [[], [], [], []]
-    chunk: list[bytes] = []
-    size = 0
-
-    def flush() -> None:
-        sets, m = _sets(chunk)
-        bands, odd = band_keys(m, *shape), odd_sketches(m)
-        for i, s in enumerate(sets):
-            some = len(s) > 0
-            columns[0].append(len(s))
-            columns[1].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if some else None)
-            columns[2].append(bands[i] if some else None)
-            columns[3].append(odd[i] if some else None)
-
-    for text in texts:
-        chunk.append((text or "").encode("utf-8", "surrogatepass"))
-        size += len(chunk[-1])
+    sets, m = _sets(words)
+    bands, odd = band_keys(m, *band_shape(percent)), odd_sketches(m)
+    empty = np.array([not len(s) for s in sets], bool)
+    keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+
+    def lists(of: np.ndarray) -> pa.Array:
+        ends = np.arange(0, of.size + 1, of.shape[1], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(empty, False)), pa.array(of.ravel()))
+
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists(bands), lists(odd)]
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(row of the first, texts) of CHUNK bytes or one text each; a null text counts as empty."""
+    begin, held, size = 0, [], 0
+    for row, text in enumerate(texts):
+        held.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
         if size >= CHUNK:
-            flush()
-            chunk, size = [], 0
-    if chunk:
-        flush()
-    return [pa.array(c, t) for c, (_, t) in zip(columns, SKETCH_ARROW)]
+            yield begin, held
+            begin, held, size = row + 1, [], 0
+    if held:
+        yield begin, held
 
 
 def _sketch_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = sketches((t.as_py() for t in batch.column("text")), percent)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *made], names=["id", "t", *(c for c, _ in SKETCH_ARROW)])
+            for begin, texts in chunks(batch.column("text")):
+                own = batch.slice(begin, len(texts))
+                made = sketches(Words(texts), percent)
+                yield pa.RecordBatch.from_arrays([own.column("id"), own.column("t"), *made], names=["id", "t", *(c for c, _ in SKETCH_ARROW)])
 
     return sketch_batches
 
