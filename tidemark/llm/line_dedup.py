@@ -28,9 +28,9 @@ shingle sets, at COPY_PERCENT; a group counts once, however large, and is left f
 dedup. Two documents that share a passage only are two groups, however short
 they are.
 
-One pass reads the texts and leaves hashes: of lines and runs, and the sketches that
-``near_dedup`` works on. Tokens are made in a second one, only of lines that are not alone in their leaf,
-which a Bloom filter of bounded size tells (what it lets through besides goes in a join). Texts are shuffled only for
+One pass reads the texts and leaves hashes of lines and runs. A second one makes tokens of the lines that are
+not alone in their leaf, and the sketches that ``near_dedup`` works on, of the texts that hold a frequent template or such a line.
+Bloom filters of bounded size tell which (what they let through besides goes in a join). Texts are shuffled only for
 likely copies that the sketches do not settle, and for the final join. Nodes of up to NODE_TOKENS tokens are worked off
 within a task; larger ones, such as a leaf with a third of all lines, go through the same
 steps as aggregates and joins until their parts are small. So the result does not depend on the limit.
@@ -49,6 +49,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,16 +133,12 @@ _ROWS_ARROW = [("d", pa.int64()), ("h", pa.int64()), ("leaf", pa.int64()), ("n",
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct lines (_ROWS) and, without leaf, runs of lines of each text and, without h, one row of SKETCH per text."""
-    sketch = [(c, t) for c, t in SKETCH_ARROW if c != "n"]
-    names = [*(c for c, _ in _ROWS_ARROW), *(c for c, _ in sketch)]
+    """The distinct lines and, without leaf, runs of lines of each text (_ROWS)."""
     for batch in batches:
         for begin, texts in chunks(batch.column("text")):
-            ids = batch.column("d").slice(begin, len(texts)).to_numpy()
-            words = Words(texts)
-            lines = Lines(words)
+            lines = Lines(Words(texts))
             d, h, leaf, n = [], [], [], []
-            for i, own in enumerate(ids.tolist()):
+            for i, own in enumerate(batch.column("d").slice(begin, len(texts)).to_pylist()):
                 sizes, hashes, _ = lines.of(i)
                 found = {x: (y, z) for x, y, z in zip(hashes, sizes, lines.leaf[lines.text[i] : lines.text[i + 1]].tolist())}
                 for (first, last), key in runs(sizes, hashes).items():
@@ -150,49 +147,59 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h += found
                 n += [x for x, _ in found.values()]
                 leaf += [x or None for _, x in found.values()]
-            rows = [pa.array(c, t) for c, (_, t) in zip((d, h, leaf, n), _ROWS_ARROW)]
-            yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(d), t) for _, t in sketch)], names=names)
-            size, *more = sketches(words, COPY_PERCENT)
-            none = [pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), size.cast(pa.int32())]
-            yield pa.RecordBatch.from_arrays([*none, *more], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip((d, h, leaf, n), _ROWS_ARROW)], names=[c for c, _ in _ROWS_ARROW])
 
 
-#: Bits of the filter for leaves, for each leaf and at most; places of a leaf in it.
+#: Bits of a filter for each of its keys and at most; places of a key in it.
 FILTER_BITS, FILTER_MOST, FILTER_PLACES = 16, 1 << 30, 4
 
 
-def _filter_places(leaf: np.ndarray, bits: int) -> np.ndarray:
-    h = mix(leaf.astype(np.uint64))
+def _filter_places(keys: np.ndarray, bits: int) -> np.ndarray:
+    h = mix(keys.astype(np.uint64))
     return np.stack([(mix(h + np.uint64(k)) % np.uint64(bits)).astype(np.int64) for k in range(FILTER_PLACES)])
 
 
-def _leaf_filter(leaves: DataFrame) -> tuple[int, np.ndarray]:
-    """A Bloom filter of the leaves: (bits, packed). FILTER_MOST bits at most, so its size is bounded; a fuller one lets more through."""
+def _filter(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """A Bloom filter of the one column: (bits, packed). FILTER_MOST bits at most, so its size is bounded; a fuller one lets more through."""
     bits = 1 << 16
-    while bits < min(FILTER_BITS * leaves.count(), FILTER_MOST):
+    while bits < min(FILTER_BITS * keys.count(), FILTER_MOST):
         bits *= 2
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_filter_places(batch.column("leaf").to_numpy(), bits))
+            at = np.unique(_filter_places(batch.column(0).to_numpy(), bits))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
 
     packed = np.zeros(bits >> 6, np.int64)
-    rows = leaves.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    rows = keys.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     packed[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return bits, packed
 
 
-def _open_pass(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(leaf, h, n, tokens) of the lines whose leaf the filter lets through."""
+def _passes(keys: np.ndarray, bits: int, packed: np.ndarray) -> np.ndarray:
+    at = _filter_places(keys, bits)
+    return ((packed[at >> 6] >> (at & 63)) & 1).all(axis=0).astype(bool)
+
+
+_SECOND = "d long, leaf long, h long, n int, tokens array<int>, key binary, bands array<long>, odd array<long>"
+_SECOND_ARROW = [("d", pa.int64()), ("leaf", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int32())), *[(c, t) for c, t in SKETCH_ARROW if c != "n"]]
+
+
+def _second_pass(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the texts that the first filter lets through, the SKETCH and, for lines whose leaf the second one does, (leaf, h, n, tokens)."""
+    names = [c for c, _ in _SECOND_ARROW]
+
+    def filled(given: dict[str, pa.Array], size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(size, t) for c, t in _SECOND_ARROW], names=names)
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, packed = sent.value
-        for batch in given:
-            for _, texts in chunks(batch.column("text")):
-                lines = Lines(Words(texts))
-                at = _filter_places(lines.leaf, bits)
-                hit = np.flatnonzero(((packed[at >> 6] >> (at & 63)) & 1).all(axis=0) & (lines.leaf != 0))
+        of_texts, of_leaves = sent.value
+        for whole in given:
+            batch = whole.filter(pa.array(_passes(whole.column("d").to_numpy(), *of_texts)))
+            for begin, texts in chunks(batch.column("text")):
+                words = Words(texts)
+                lines = Lines(words)
+                hit = np.flatnonzero(_passes(lines.leaf, *of_leaves) & (lines.leaf != 0))
                 _, once = np.unique(lines.h[hit], return_index=True)
                 hit = hit[once]
                 n = lines.n[hit]
@@ -200,7 +207,10 @@ def _open_pass(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 places = np.arange(ends[-1]) + np.repeat(lines.first[hit] - ends[:-1], n)
                 tokens = (lines.tokens[places] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(lines.leaf[hit]), pa.array(lines.h[hit]), pa.array(n, pa.int32()), lists], names=["leaf", "h", "n", "tokens"])
+                yield filled({"leaf": pa.array(lines.leaf[hit]), "h": pa.array(lines.h[hit]), "n": pa.array(n, pa.int32()), "tokens": lists}, len(hit))
+                size, *more = sketches(words, COPY_PERCENT)
+                sketch = {"d": batch.column("d").slice(begin, len(texts)), "n": size.cast(pa.int32())} | dict(zip(("key", "bands", "odd"), more))
+                yield filled(sketch, len(texts))
 
     return batches
 
@@ -342,9 +352,9 @@ def _often(lines: DataFrame, key: str, min_docs: int, long_min_docs: int) -> Dat
     return stored(lines.select(key, "d").join(often.hint("merge"), key).select(key, "n", "d"), f"holders-{key}")
 
 
-def _copy_groups(first: DataFrame, given: DataFrame, holders: DataFrame) -> DataFrame:
+def _copy_groups(second: DataFrame, given: DataFrame, holders: DataFrame) -> DataFrame:
     """(d, g): the group of near-duplicates of each text in ``holders``."""
-    sketch = first.where("key is not null").select(F.col("d").alias("id"), F.col("d").alias("t"), "n", "key", "bands", "odd").dropDuplicates(["id"])
+    sketch = second.where("key is not null").select(F.col("d").alias("id"), F.col("d").alias("t"), "n", "key", "bands", "odd").dropDuplicates(["id"])
     sketched = stored(sketch.join(holders.select(F.col("d").alias("id")).distinct(), "id", "left_semi"), "holder-sketches")
     groups = class_components(sketched, given.select(F.col("d").alias("id"), F.col("d").alias("t"), "text"), COPY_PERCENT)
     return stored(sketched.select("id", "key").join(groups, "key").select(F.col("id").alias("d"), F.col("first.id").alias("g")), "copy-groups")
@@ -361,8 +371,7 @@ def _recurring(held: DataFrame, groups: DataFrame, key: str, min_docs: int, long
 def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_min_docs: int = LONG_MIN_DOCS, node_tokens: int = NODE_TOKENS) -> DataFrame:
     """(d, h): for each text, by its hash d, the hashes of its lines and runs to drop; rows may repeat."""
     given = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("d"), F.col(text).alias("text"))
-    first = stored(given.mapInArrow(_first_pass, f"{_ROWS}, key binary, bands array<long>, odd array<long>"), "lines")
-    lines = first.where("h is not null").select("d", "h", "leaf", "n")
+    lines = stored(given.mapInArrow(_first_pass, _ROWS), "lines")
     held = _often(lines, "h", min_docs, long_min_docs)
 
     # Leaves that hold different lines in enough documents: their lines are generalised.
@@ -375,10 +384,11 @@ def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_m
     )
     leaves = stored(leaves, "leaves")
     open_lines = stored(lines.join(leaves.hint("merge"), "leaf", "left_semi"), "leaf-lines")
-    # The tokens of these lines only: most lines are alone in their leaf.
-    sent = docs.sparkSession.sparkContext.broadcast(_leaf_filter(leaves))
-    read = given.mapInArrow(_open_pass(sent), "leaf long, h long, n int, tokens array<int>")
-    tokens = read.groupBy("leaf", "h").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    # Tokens of these lines and sketches of the texts that may hold a template only: most lines are alone in their leaf.
+    texts = stored(held.select("d").union(open_lines.select("d")).distinct(), "texts")
+    sent = docs.sparkSession.sparkContext.broadcast((_filter(texts), _filter(leaves)))
+    second = stored(given.mapInArrow(_second_pass(sent), _SECOND), "second")
+    tokens = second.where("leaf is not null").groupBy("leaf", "h").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     weights = open_lines.groupBy("leaf", "h").agg(F.count("*").alias("w"))
     members = tokens.join(weights, ["leaf", "h"]).select(F.col("leaf").alias("node"), "h", "n", "w", "tokens")
     matched = stored(_templates(stored(members, "leaf-members"), min_docs, long_min_docs, node_tokens), "matched")
@@ -386,7 +396,7 @@ def recurring_lines(docs: DataFrame, text: str, min_docs: int = MIN_DOCS, long_m
     own = stored(open_lines.select("d", "h", "n").join(matched, "h").select("template", "d", "h", "n"), "template-lines")
     held_templates = _often(own.groupBy("template", "d").agg(F.max("n").alias("n")), "template", min_docs, long_min_docs)
 
-    groups = _copy_groups(first, given, held.select("d").union(held_templates.select("d")))
+    groups = _copy_groups(second, given, held.select("d").union(held_templates.select("d")))
     exact = held.join(_recurring(held, groups, "h", min_docs, long_min_docs), "h", "left_semi")
     generalised = own.join(_recurring(held_templates, groups, "template", min_docs, long_min_docs), "template", "left_semi")
     return exact.select("d", "h").union(generalised.select("d", "h"))
@@ -405,18 +415,23 @@ def _without(text: str, drop: str) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, PART) for whole in given for i in range(0, whole.num_rows, PART)):
-            values, gone = batch.column(text).to_pylist(), batch.column(drop).to_pylist()
-            n_lines = [0 if v is None else v.count("\n") + 1 for v in values]
-            n_dropped, touched = [0] * len(values), [i for i, g in enumerate(gone) if g]
-            for begin, texts in chunks(pa.array([values[i] for i in touched], pa.string())):
+            column, gone = batch.column(text), batch.column(drop).to_pylist()
+            n_lines = pc.fill_null(pc.add(pc.count_substring(column, "\n"), 1), 0).to_numpy().astype(np.int64)
+            n_dropped, touched = np.zeros(len(column), np.int64), [i for i, g in enumerate(gone) if g]
+            values, rewritten_texts = column.take(pa.array(touched, pa.int64())), []
+            for begin, texts in chunks(values):
                 lines = Lines(Words(texts))
-                for k in range(len(texts)):
+                for k, value in enumerate(values.slice(begin, len(texts)).to_pylist()):
                     i = touched[begin + k]
-                    kept = rewritten(values[i], set(gone[i]), lines, k)
-                    values[i], n_dropped[i] = "\n".join(kept), n_lines[i] - len(kept)
+                    kept = rewritten(value, set(gone[i]), lines, k)
+                    rewritten_texts.append("\n".join(kept))
+                    n_dropped[i] = n_lines[i] - len(kept)
+            mask = np.zeros(len(column), bool)
+            mask[touched] = True
+            column = pc.replace_with_mask(column, pa.array(mask), pa.array(rewritten_texts, column.type))
             names = [c for c in batch.schema.names if c != drop]
-            columns = [pa.array(values, pa.string()) if c == text else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "lines", "dropped"])
+            columns = [column if c == text else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_dropped)], names=[*names, "lines", "dropped"])
 
     return batches
 

@@ -134,32 +134,39 @@ SKETCH = "n long, key binary, bands array<long>, odd array<long>"
 SKETCH_ARROW = [("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))]
 
 
-def _sets(words: Words) -> tuple[list[np.ndarray], np.ndarray]:
-    """(sorted distinct shingle hashes, K minima) of each text."""
+def _shingle_sets(words: Words) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
     w, starts = words.hashes(lower=True), words.text.tolist()
     n = len(w) - SHINGLE + 1
     h = np.full(max(n, 0), SHINGLE, np.uint64)
     for j in range(SHINGLE if n > 0 else 0):
         h = mix(h + w[j : j + n])
-    sets, minimal = [], np.full((len(starts) - 1, K), np.iinfo(np.uint32).max, np.uint32)
+    sets = []
     for begin, end in zip(starts[:-1], starts[1:]):
         if end - begin >= SHINGLE:
             s = np.sort(h[begin : end - SHINGLE + 1])
             sets.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         else:
             sets.append(shingles_of(w[begin:end]))
+    return sets
+
+
+def _minima(sets: list[np.ndarray]) -> np.ndarray:
+    """The K minimum hashes of each set."""
+    out = np.full((len(sets), K), np.iinfo(np.uint32).max, np.uint32)
     known = [i for i, s in enumerate(sets) if len(s)]
     if known:
         x = (np.concatenate([sets[i] for i in known]) >> np.uint64(32)).astype(np.uint32)
         first = np.concatenate([[0], np.cumsum([len(sets[i]) for i in known])[:-1]])
         for k in range(K):
-            minimal[known, k] = np.minimum.reduceat(_A[k] * x + _B[k], first)
-    return sets, minimal
+            out[known, k] = np.minimum.reduceat(_A[k] * x + _B[k], first)
+    return out
 
 
 def sketches(words: Words, percent: int) -> list[pa.Array]:
     """The columns SKETCH of some texts; those without words have a size of 0 and nulls."""
-    sets, m = _sets(words)
+    sets = _shingle_sets(words)
+    m = _minima(sets)
     bands, odd = band_keys(m, *band_shape(percent)), odd_sketches(m)
     empty = np.array([not len(s) for s in sets], bool)
     keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -204,13 +211,14 @@ def _confirm_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         last, of_last = None, None
         for batch in batches:
             a, b = [], []
-            for i, j, x, y in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b"))):
-                i = i.as_py()
-                if i != last:
-                    last, of_last = i, shingles(x.as_py())
-                s = shingles(y.as_py())
-                if _linked(len(of_last), len(s), len(np.intersect1d(of_last, s, assume_unique=True)), percent):
-                    a.append(i), b.append(j.as_py())
+            for begin, texts in chunks(batch.column("text_b")):
+                sets = _shingle_sets(Words(texts))
+                for row, s in enumerate(sets, begin):
+                    i, j = batch.column("a")[row].as_py(), batch.column("b")[row].as_py()
+                    if i != last:
+                        last, of_last = i, shingles(batch.column("text_a")[row].as_py())
+                    if _linked(len(of_last), len(s), len(np.intersect1d(of_last, s, assume_unique=True)), percent):
+                        a.append(i), b.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return confirm_batches
@@ -309,7 +317,8 @@ def class_components(sketched: DataFrame, whole: DataFrame, percent: int) -> Dat
 
     def texts(ids: DataFrame) -> DataFrame:
         wanted = classes.select(F.col("id").alias("class"), F.col("first.id").alias("id"), F.col("first.t").alias("t")).join(ids.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
-        found = whole.join(stored(wanted, "wanted-texts"), ["id", "t"]).select(F.col("class").alias("id"), "text")
+        # The likely pairs grow with the documents: a merge join, whatever their number.
+        found = whole.join(stored(wanted, "wanted-texts").hint("merge"), ["id", "t"]).select(F.col("class").alias("id"), "text")
         return stored(found.dropDuplicates(["id"]), "candidate-texts")
 
     in_bands = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
