@@ -46,6 +46,34 @@ def test_shard():
         assert s.occurrences(v) == np.flatnonzero(ids == v).tolist() and s.count(v, 100, 3333) == (ids[100:3333] == v).sum()
 
 
+@pytest.mark.parametrize("kind", ["equal", "two", "zipf", "wide", "one", "none", "distinct", "rare"])
+def test_shards_of_all_shapes(kind):
+    rng = np.random.default_rng(2)
+    ids = {
+        "equal": np.full(100_000, 7), "two": rng.integers(0, 2, 3000), "zipf": np.minimum(rng.zipf(1.3, 40_000), 50_000), "wide": rng.integers(69_000, 2**32, 4000),
+        "one": np.array([70_000]), "none": np.empty(0, np.int64), "distinct": rng.permutation(3000), "rare": np.array([5] * 5000 + [1, 2, 3]),
+    }[kind].astype(np.uint32)
+    data = wavelet.write_shard(ids, [4], np.array([len(ids)]), 0, 0)
+    s = wavelet.Shard(data)
+    assert (s.all_ids() == ids).all() and s.n == len(ids)
+    assert all(s.access(i) == ids[i] for i in range(0, len(ids), 97))
+    for v in np.unique(ids)[:: max(1, len(np.unique(ids)) // 60)].tolist():
+        assert s.occurrences(v) == np.flatnonzero(ids == v).tolist() and s.count(v, len(ids) // 3) == (ids[len(ids) // 3 :] == v).sum()
+    assert s.count(4_000_000_000) == (ids == 4_000_000_000).sum() and s.occurrences(69_999) == []
+    if kind == "equal":
+        assert len(data) < 200
+    if kind == "zipf":
+        counts = np.unique(ids, return_counts=True)[1]
+        entropy = -(counts * np.log2(counts / len(ids))).sum()
+        assert 8 * len(data) < 1.2 * entropy + 64 * len(counts) + 32 * 600
+
+
+def test_shards_of_a_large_vocabulary(spark, scratch, monkeypatch):
+    """Ids above 65,535 are kept: the width follows from the vocabulary and the end id."""
+    folder = wavelet.write_shards(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), scratch("wide"), end_id=70_000)
+    assert wavelet.find_token(spark, folder, 70_000).count() == 2 and wavelet.count_tokens(spark, folder, [4_464]).first().n == 0
+
+
 def test_shards_round_trip(spark, scratch):
     rows = awkward() + [(1000 + i, t, "en", "a", 0) for i, t in enumerate(fuzz(50))]
     docs = with_clashes(spark.createDataFrame(rows, DOCS))

@@ -47,6 +47,13 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a vocabulary file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself where it is printable, else the next one from 256 on."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
