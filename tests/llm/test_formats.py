@@ -133,3 +133,15 @@ def test_damage_is_told(spark, scratch):
         frame.repartition(2).write.option("lineSep", "\r\n").text(folder)
         with pytest.raises(Exception, match="segments missing or of wrong length: 7"):
             warc.read_pages(spark, folder).collect()
+
+
+def test_the_query_has_records_in_segments(spark, scratch):
+    """The query's segment size makes several records of the given table's long pages, and all come back."""
+    from tests.conftest import SF_CHECK
+
+    pages = spark.read.parquet(f"{SF_CHECK}/pages.parquet")
+    folder = warc.write_archives(pages, scratch("query-segments"))
+    read = warc._archive_files(spark, folder).mapInArrow(warc._read_batches, warc._READ_KINDS)
+    long = pages.where(f"octet_length(html) > {warc.SEGMENT_BYTES}").count()
+    assert read.where("type = 'continuation'").count() >= long > 10
+    assert warc.read_pages(spark, folder).count() == pages.count()

@@ -40,7 +40,8 @@ from tidemark.llm.common import running_totals, stored, table
 from tidemark.session import scratch_path
 
 MIN_REVISIT = 1000
-SEGMENT_BYTES = 64 * 1024
+#: Payloads beyond this are written in segments: small enough that long pages have several.
+SEGMENT_BYTES = 8 * 1024
 CHUNK_BYTES = 16 * 1024
 RECORDS_PER_FILE = 400
 #: Fixed values of the format.
@@ -154,7 +155,9 @@ def write_archives(pages: DataFrame, to: str, id: str = "page_id", url: str = "u
     given = given.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
     slim = given.select("id", "sha1", "bytes")
     copies = slim.where((F.col("bytes") >= MIN_REVISIT) & F.col("id").isNotNull()).groupBy("sha1", "bytes").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1")
-    marked = given.join(stored(copies.select("sha1", "bytes", "response"), "equal-payloads").hint("merge"), ["sha1", "bytes"], "left").drop("bytes")
+    # Joined by id: the largest equal one per page with a twin. Pages that are alone keep their html where it is, unless Spark has to shuffle for the join.
+    twins = stored(slim.join(copies.select("sha1", "bytes", "response"), ["sha1", "bytes"]).select(F.col("id").alias("twin"), F.col("sha1").alias("twin_sha1"), "response").distinct(), "equal-payloads")
+    marked = given.join(twins, (F.col("id") == F.col("twin")) & (F.col("sha1") == F.col("twin_sha1")), "left").drop("bytes", "twin", "twin_sha1")
     marked = _numbered(marked, slim.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
     name = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.when(F.col("number").isNull(), F.lit("")).otherwise(F.concat(F.lit("."), F.col("number").cast("string"))))
     refers_to = F.when((F.col("response") != F.col("id")), F.col("response").cast("string"))
@@ -204,30 +207,48 @@ def _read_batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _READ.types)] if rows else [pa.array([], t) for t in _READ.types], schema=_READ)
 
 
+def _payload(name: str, digest: str | None, block: bytes) -> tuple[bytes, str]:
+    """The payload of a response block, its framing undone and its digest compared, and the digest."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    payload = unchunked(body) if re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", head) else body
+    sha1 = hashlib.sha1(payload).hexdigest()
+    if digest is not None and digest != sha1:
+        raise ValueError(f"record {name}: the payload does not have the digest in its header")
+    return payload, sha1
+
+
+def _measured(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parsed records with the payload's bytes and digest; blocks of whole responses, which nothing else needs, go."""
+    for batch in _read_batches(given):
+        sizes, sha1s, blocks = [], [], []
+        for name, kind, segment, digest, block in zip(*(batch.column(c).to_pylist() for c in ("name", "type", "segment", "digest", "block"))):
+            if kind == "response" and segment is None:
+                payload, sha1 = _payload(name, digest, block)
+                sizes.append(len(payload)), sha1s.append(sha1), blocks.append(None)
+            else:
+                sizes.append(None), sha1s.append(None), blocks.append(block if segment is not None else None)
+        columns = [pa.array(blocks, pa.binary()) if c == "block" else batch.column(c) for c in _READ.names]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(sha1s, pa.string())], names=[*_READ.names, "payload_bytes", "sha1"])
+
+
 def _payloads(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The payload of each response block, its framing undone and its digest compared."""
     for batch in given:
         payloads, sha1s = [], []
         for name, digest, block in zip(*(batch.column(c) for c in ("name", "digest", "block"))):
-            head, _, body = block.as_py().partition(b"\r\n\r\n")
-            payload = unchunked(body) if re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", head) else body
-            sha1 = hashlib.sha1(payload).hexdigest()
-            if digest.is_valid and digest.as_py() != sha1:
-                raise ValueError(f"record {name.as_py()}: the payload does not have the digest in its header")
+            payload, sha1 = _payload(name.as_py(), digest.as_py(), block.as_py())
             payloads.append(payload), sha1s.append(sha1)
         columns = {c: batch.column(c) for c in ("name", "url")} | {"payload": pa.array(payloads, pa.binary()), "sha1": pa.array(sha1s, pa.string())}
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def read_archives(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(responses: name, url, payload, sha1; revisits: name, url, refers_to, digest) of all archives in a folder.
-
-    Only segmented records are shuffled. A segmented record whose numbers have
-    gaps or whose length is not its total fails the job that reads it.
-    """
+def _archive_files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "part-*").load(folder)
-    read = files.where("length > 0").select("content").mapInArrow(_read_batches, _READ_KINDS)
-    whole = read.where("type = 'response' and segment is null").select("name", "url", "digest", "block")
+    return files.where("length > 0").select("content")
+
+
+def _reassembled(read: DataFrame) -> DataFrame:
+    """name, url, digest, block of the segmented records; gaps in the numbers or a wrong length fail the job."""
     parts = F.sort_array(F.collect_list(F.struct("segment", "block")))
     joined = (
         read.where("segment is not null").groupBy("origin")
@@ -237,20 +258,37 @@ def read_archives(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     complete = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1), F.size("parts"))
     damaged = F.raise_error(F.concat(F.lit("segments missing or of wrong length: "), F.col("origin"))).cast("binary")
     block = F.when(complete & F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False)), F.col("block")).otherwise(damaged)
-    segmented = joined.select(F.col("origin").alias("name"), "url", "digest", block.alias("block"))
-    responses = whole.unionByName(segmented).mapInArrow(_payloads, "name string, url string, payload binary, sha1 string")
+    return joined.select(F.col("origin").alias("name"), "url", "digest", block.alias("block"))
+
+
+_PAYLOAD_KINDS = "name string, url string, payload binary, sha1 string"
+
+
+def read_archives(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(responses: name, url, payload, sha1; revisits: name, url, refers_to, digest) of all archives in a folder.
+
+    Only segmented records are shuffled. A segmented record whose numbers have
+    gaps or whose length is not its total fails the job that reads it.
+    """
+    read = _archive_files(spark, folder).mapInArrow(_read_batches, _READ_KINDS)
+    whole = read.where("type = 'response' and segment is null").select("name", "url", "digest", "block")
+    responses = whole.unionByName(_reassembled(read)).mapInArrow(_payloads, _PAYLOAD_KINDS)
     return responses, read.where("type = 'revisit'").select("name", "url", "refers_to", "digest")
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page in the archives.
 
-    A revisit's figures are those of the response it refers to.
+    The archives are parsed once; what is kept of it are figures and the
+    blocks of segments. A revisit's figures are those of the response it refers to.
     """
-    responses, revisits = read_archives(spark, folder)
     id_of = lambda c: F.regexp_extract(c, r"^(-?\d+)", 1)
     page = lambda c: F.when(id_of(c) != "", id_of(c).cast("long"))
-    full = stored(responses.select(page("name").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("sha1").alias("payload_digest")), "responses")
+    read = stored(_archive_files(spark, folder).mapInArrow(_measured, f"{_READ_KINDS}, payload_bytes long, sha1 string"), "records")
+    segmented = _reassembled(read).mapInArrow(_payloads, _PAYLOAD_KINDS).select("name", F.octet_length("payload").cast("long").alias("payload_bytes"), "sha1")
+    whole = read.where("type = 'response' and segment is null").select("name", "payload_bytes", "sha1")
+    full = stored(whole.unionByName(segmented).select(page("name").alias("page_id"), "payload_bytes", F.col("sha1").alias("payload_digest")), "responses")
+    revisits = read.where("type = 'revisit'")
     again = revisits.select(page("name").alias("page_id"), page("refers_to").alias("refers_to"), F.col("digest").alias("payload_digest"))
     target = full.where("page_id is not null").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
     found = again.join(target, ["refers_to", "payload_digest"], "left").select(
