@@ -55,7 +55,7 @@ K, BITS = 192, 256
 #: Most minima in a band, and the probability with which a pair at the threshold may share no band.
 ROWS, MISS = 6, 1.2e-5
 #: Shingles in one part of a split bucket, and what a member counts at least.
-CELL_SHINGLES, CELL_LEAST = 100_000, 100
+CELL_SHINGLES, CELL_LEAST = 100_000, 16
 
 
 def shingles_of(w: np.ndarray) -> np.ndarray:
