@@ -54,8 +54,8 @@ PERCENT = 85
 K, BITS = 192, 256
 #: Most minima in a band, and the probability with which a pair at the threshold may share no band.
 ROWS, MISS = 6, 1.2e-5
-#: Shingles in one part of a split bucket, and what a member counts at least.
-CELL_SHINGLES, CELL_LEAST = 100_000, 16
+#: Shingles in one part of a split bucket, and what a member counts at least: larger parts are copied less, smaller ones hold less.
+CELL_SHINGLES, CELL_LEAST = 400_000, 100
 
 
 def shingles_of(w: np.ndarray) -> np.ndarray:
@@ -341,9 +341,11 @@ def class_components(sketched: DataFrame, whole: DataFrame, percent: int) -> Dat
     undecided = stored(sizes.where("labels > 1").select("bucket", F.col("most.label").alias("largest")), "open-buckets")
     if not undecided.isEmpty():
         rest = members.join(undecided, "bucket").withColumn("big", F.col("label") == F.col("largest")).drop("largest")
-        rest = stored(rest.join(classes.select("id", "n", "bands", "odd"), "id"), "open")
+        # Of a band key, 31 bits are enough to tell whether a pair shares it.
+        keys = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")
+        rest = stored(rest.join(classes.select("id", "n", keys, "odd"), "id"), "open")
         weight = F.greatest(F.col("n"), F.lit(CELL_LEAST))
-        dealt = stored(cells_beside(rest, "bucket", "id", "big", weight, CELL_SHINGLES), "open-cells")
+        dealt = cells_beside(rest, "bucket", "id", "big", weight, CELL_SHINGLES)
         hopeful = stored(by_cell(dealt).mapInArrow(_open_batches(percent), "bucket long, cell_i int, cell_j int, id long"), "hopeful")
         met = dealt.join(hopeful, [*CELL, "id"]).join(texts(hopeful), "id")
         more = stored(by_cell(met).mapInArrow(_cell_batches(percent), "a long, b long"), "more-near")
