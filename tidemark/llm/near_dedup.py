@@ -129,7 +129,7 @@ def band_keys(m: np.ndarray, bands: int, n_rows: int) -> np.ndarray:
 
 
 #: Bytes of text that are worked on together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SKETCH = "n long, key binary, bands array<long>, odd array<long>"
 SKETCH_ARROW = [("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))]
 

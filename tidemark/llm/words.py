@@ -30,7 +30,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _UNDO)):
-            steps = np.full(max(n, 1 << 21), base, np.uint64)
+            steps = np.full(max(n, 1 << 18), base, np.uint64)
             steps[0] = 1
             _powers[i] = np.cumprod(steps)
     return _powers
