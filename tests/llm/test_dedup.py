@@ -146,6 +146,7 @@ def test_a_settled_group_is_not_copied_for_every_part(spark):
 def test_sketches_of_a_chunk_are_those_of_each_text():
     rng = random.Random(22)
     texts = [None, "", " ", "One two", "a b c d e", " ".join(prose(rng, 3000)), "É ß \u00a0 x"] + [" ".join(prose(rng, rng.randrange(1, 60))) for _ in range(50)]
+    texts += ["", None, "a b c d e f", " ", ""]  # empty texts beside others
     words = Words([(t or "").encode() for t in texts])
     for i, (n, key, bands, odd) in enumerate(zip(*(a.to_pylist() for a in near_dedup.sketches(words, 85)))):
         s = near_dedup.shingles(texts[i])

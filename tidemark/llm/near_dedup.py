@@ -173,7 +173,7 @@ def sketches(words: Words, percent: int) -> list[pa.Array]:
 
     def lists(of: np.ndarray) -> pa.Array:
         ends = np.arange(0, of.size + 1, of.shape[1], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(empty, False)), pa.array(of.ravel()))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(of.ravel()), mask=pa.array(empty))
 
     return [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists(bands), lists(odd)]
 
