@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 from tests.llm.corpus import DOCS, awkward, prose, with_clashes
 from tidemark.llm import packing, token_counts, tokens, wavelet
@@ -153,3 +154,23 @@ def test_token_counts(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == Counter(want)
     assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
     assert token_counts.token_counts(spark.createDataFrame([], DOCS)).count() == 0
+    # Small blocks, so that texts longer than a block, and blocks without a pre-token, occur.
+    monkeypatch.setattr(token_counts, "BLOCK_BYTES", 300)
+    small = token_counts.token_counts(docs.coalesce(1), pages=5).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in small) == Counter(want)
+    blank = spark.createDataFrame([(-5, None), (None, ""), (-5, " ")], "doc_id long, text string")
+    assert Counter(map(tuple, token_counts.token_counts(blank).collect())) == Counter([(-5, 0, 0, False), (None, 0, 0, False), (-5, 1, 1, False)])
+
+
+def test_token_counts_hot_pre_token(spark, monkeypatch):
+    """A pre-token in every document, a third of all words, travels once per block, not once per document."""
+    monkeypatch.setattr(token_counts, "BLOCK_BYTES", 50_000)
+    rng = random.Random(9)
+    rows = [(i, " the".join(["", *prose(rng, 12)])) for i in range(3000)]
+    lib = library(token_counts.VOCABULARY)
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), pages=7)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    made = list(token_counts._block_rows(0, [i for i, _ in rows], [t for _, t in rows], 7, ["<|endoftext|>"]))
+    names = [token_counts._unpack(data, 2) for _, page, _, data in made if page is not None]
+    distinct = {p for _, t in rows for p in regex.findall(token_counts.PRE_TOKEN, t)}
+    assert sum(len(lengths) for _, lengths in names) == len(distinct)
