@@ -222,6 +222,31 @@ def test_estimates_are_unbiased_and_bounded():
     true = (unit[:200] * unit[200:]).sum(axis=1)
     bound = embedding_dedup.EPSILON * np.sqrt((1 - factor[:200] ** 2) / factor[:200] ** 2 / 63)
     assert abs((estimate - true).mean()) < 0.02 and (abs(estimate - true) <= bound).all()
+    whole, step, left_out = embedding_dedup.steps(turned[200:])
+    rounded = (code[:200] * whole * step[:, None]).sum(axis=1) / factor[:200]
+    assert (abs(rounded - estimate) <= left_out / factor[:200] + 1e-12).all() and (left_out < 0.03).all()
+
+
+def test_vectors_of_any_scale(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((3, 40))
+    rows = [(10 * k + i, [float(x) for x in (base[k] + 0.02 * rng.standard_normal(40)) * 10.0**e], 1) for k in range(3) for i, e in enumerate((0, 300, -300, -5))]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert all((r.component_id, r.n_links) == (r.vec_id // 10 * 10, 3) for r in got) and len(got) == 12
+
+
+def test_vectors_travel_for_open_pairs_only(spark, monkeypatch):
+    """Cells get codes; of vectors that share buckets, those without an open pair are never named."""
+    rng = np.random.default_rng(9)
+    x = 0.55 * rng.standard_normal(64) + 0.84 * rng.standard_normal((300, 64))
+    x[1] = x[0] + 0.01 * rng.standard_normal(64)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    kept, store = {}, embedding_dedup.stored
+    monkeypatch.setattr(embedding_dedup, "stored", lambda df, name: kept.setdefault(name, store(df, name)))
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got[1].component_id == 0 and sum(r.n_links for r in got.values()) == 2
+    assert "vector" not in kept["codes"].columns and kept["hits"].select("id").distinct().count() > 200
+    assert {r.id for r in kept["open"].select("id").distinct().collect()} >= {0, 1} and kept["open"].select("id").distinct().count() < 100
 
 
 def line_corpus():
