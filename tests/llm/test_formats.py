@@ -41,10 +41,16 @@ def test_tree(spark):
     nodes = {bytes(r.node): r for r in sequences.collect()}
     by_conv = defaultdict(list)
     for m in members.collect():
-        by_conv[m.conv].append((m.depth, bytes(m.node)))
+        by_conv[m.conv if m.conv is not None else (m.solo,)].append((m.depth, bytes(m.node)))
     given = defaultdict(list)
+    alone = [(None, t, role, text) for c, t, role, text in rows if c is None]
+    assert sorted(len(x) for c, x in by_conv.items() if isinstance(c, tuple)) == [1] * len(alone)
     for c, t, role, text in rows:
-        given[c].append((t is not None, t or 0, role or "", text or ""))
+        if c is not None:
+            given[c].append((t is not None, t or 0, role or "", text or ""))
+    of_text = {nodes[x[0][1]].text: c for c, x in by_conv.items() if isinstance(c, tuple)}
+    for _, _, role, text in alone:  # rows without a conv_id are conversations of one turn
+        given[of_text[chat_tree.format_turn(role, text)[0]]].append((False, 0, role, text))
     assert len(nodes) == len({tuple(sorted(g)[: k + 1]) for g in given.values() for k in range(len(g))})
     trees = defaultdict(dict)
     for n in nodes.values():
@@ -63,7 +69,10 @@ def test_tree(spark):
             so_far += n.text
         assert chat_tree.read_turns(so_far) == [(r, t) for _, _, r, t in sorted(given[conv])]
     read = {r.conv_id: r for r in chat_tree.read_conversations(sequences, members).collect()}
+    assert chat_tree.read_conversations(sequences, members).where("conv_id is null and n_turns = 1").count() == len(alone)
     for conv, turns in given.items():
+        if isinstance(conv, tuple):
+            continue
         turns = sorted(turns)
         trained = "".join(t for _, _, r, t in turns if r == "assistant")
         assert (read[conv].n_turns, read[conv].loss_chars) == (len(turns), len(trained))
@@ -71,6 +80,39 @@ def test_tree(spark):
         assert read[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in turns).encode()).hexdigest()
 
 
+def test_tree_of_a_hot_conversation(spark):
+    """One conversation with most of the rows, others that leave it at many depths: paths and intervals stay short, its turns are in many ranges."""
+    n = 6000
+    rows = [(50, t, "user", f"turn {t}") for t in range(n)]
+    for c in range(60):  # some with smaller ids, some with larger ones, some that end on the way
+        leave = 97 * c
+        rows += [(20 + c + (c > 29), t, "user", f"turn {t}") for t in range(leave)] + [(20 + c + (c > 29), leave + k, "assistant", f"own {c % 7} {k}") for k in range(c % 3)]
+    rows += [(None, 0, "user", "alone")] * 40
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
+    sequences, members = chat_tree.chat_tree(frame)
+    nodes = {bytes(r.node): r for r in sequences.collect()}
+    told = defaultdict(list)
+    for c, t, role, text in sorted(r for r in rows if r[0] is not None):
+        told[c].append(chat_tree.format_turn(role, text)[0])
+    assert len(nodes) == len({hashlib.sha256("".join(x[: k + 1]).encode()).digest() for x in told.values() for k in range(len(x))}) + 1
+    sequence = defaultdict(str)
+    for node in sorted(nodes.values(), key=lambda r: (bytes(r.tree), r.start)):
+        assert len(sequence[bytes(node.tree)]) == node.start
+        sequence[bytes(node.tree)] += node.text
+    by_conv = defaultdict(list)
+    for m in members.where("conv is not null").collect():
+        by_conv[m.conv].append((m.depth, bytes(m.node)))
+    assert {c: len(x) for c, x in by_conv.items()} == {c: len(x) for c, x in told.items()}
+    for c, path in by_conv.items():
+        last = nodes[max(path)[1]]
+        seen = "".join(sequence[bytes(last.tree)][a:b] for a, b in last.ancestors)
+        assert seen + last.text == "".join(told[c]) and last.position == len(seen)
+    assert max(len(r.ancestors) for r in nodes.values()) < 40
+    read = chat_tree.read_conversations(sequences, members)
+    assert {r.conv_id: r.formatted_chars for r in read.where("conv_id is not null").collect()} == {c: sum(map(len, x)) for c, x in told.items()}
+    assert read.where("conv_id is null").count() == 40
+
+
 def test_tree_empty(spark):
     sequences, members = chat_tree.chat_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert sequences.count() == 0 and chat_tree.read_conversations(sequences, members).count() == 0
