@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tests.llm.corpus import DOCS, awkward, prose, with_clashes
-from tidemark.llm import embedding_dedup, graph, line_dedup, near_dedup
+from tidemark.llm import common, embedding_dedup, graph, line_dedup, near_dedup
 from tidemark.llm.words import Words
 
 
@@ -53,6 +53,18 @@ def test_cells_meet_every_pair_once(spark):
     assert len(met) == 100 * 99 // 2 and set(met.values()) == {1}
 
 
+def test_a_filter_lets_all_wanted_rows_through(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, -i) for i in range(2000)] + [(None, 1)], "k long, _word long")
+    wanted = spark.createDataFrame([(i,) for i in range(0, 2000, 7)] + [(None,)], "id long")
+    got = common.may_hold(rows, "k", wanted)
+    assert got.columns == ["k", "_word"]
+    kept = {r.k for r in got.collect()}
+    assert set(range(0, 2000, 7)) <= kept and None not in kept and len(kept) < 400
+    assert common.may_hold(rows, "k", wanted.limit(0)).count() == 0
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)  # a full filter lets more through, and loses nothing
+    assert set(range(0, 2000, 7)) <= {r.k for r in common.may_hold(rows, "k", wanted).collect()}
+
+
 def shingle_set(text):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())

@@ -28,6 +28,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Words of 64 places in a filter, which bounds what ``may_hold`` broadcasts: 16 bytes a word.
+FILTER_WORDS = 1 << 18
+
+
+def may_hold(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` (long) is in the one column of ``wanted``, and few others; rows without a key never are.
+
+    A bitmap of hashed keys is broadcast, FILTER_WORDS rows at most whatever the number of keys;
+    a full one lets more rows through, so an exact join has to follow.
+    """
+    word, place = unused(df.columns, "_word"), unused(df.columns, "_place")
+
+    def placed(of: DataFrame, c: str) -> DataFrame:
+        h = F.xxhash64(F.lit("filter"), F.col(c))
+        return of.where(F.col(c).isNotNull()).withColumns({word: h.bitwiseAND(F.lit(FILTER_WORDS - 1)), place: F.shiftrightunsigned(h, 58).cast("int")})
+
+    bits = placed(wanted, wanted.columns[0]).groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, `{place}`)")).alias("bits"))
+    own = placed(df, key)
+    met = own.join(F.broadcast(bits.withColumnRenamed(word, "word")), (F.col(word) == F.col("word")) & (F.getbit("bits", F.col(place)) == 1), "left_semi")
+    return met.select(df.columns)
+
+
 def unused(columns: list[str], name: str) -> str:
     """``name``, with underscores in front until no column (in any case) has it."""
     taken = {c.lower() for c in columns}

@@ -256,31 +256,36 @@ def node_templates(tokens: np.ndarray, weights: np.ndarray, need: int) -> list[n
 def _node_batches(min_docs: int, long_min_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(template, h) from rows (node, h, n, w, tokens) with each node's rows together."""
 
-    def made(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = rows.combine_chunks()
-        n = rows.column("n")[0].as_py()
-        tokens = rows.column("tokens").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-        h, w = (rows.column(c).to_numpy() for c in ("h", "w"))
-        node = rows.column("node")[0].as_py()
+    def made(parts: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+        h, w, tokens = (np.concatenate(x) for x in zip(*(part[1:] for part in parts)))
         order = np.argsort(h)  # so that a repeated task names its templates alike
-        for members in node_templates(tokens[order], w[order], _need_of(n, min_docs, long_min_docs)):
+        for members in node_templates(tokens[order], w[order], _need_of(tokens.shape[1], min_docs, long_min_docs)):
             own = h[order][members]
-            name = xxhash.xxh3_64_intdigest(np.append(own, node).tobytes()) >> 1
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.int64()), pa.array(own, pa.int64())], names=["template", "h"])
+            yield xxhash.xxh3_64_intdigest(np.append(own, parts[0][0]).tobytes()) >> 1, own
+
+    def batch_of(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        names = np.repeat(np.array([name for name, _ in found], np.int64), [len(own) for _, own in found])
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([own for _, own in found]))], names=["template", "h"])
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[tuple] = []  # what has been read of the last node: (node, h, w, tokens) by batch
         for batch in given:
-            nodes = batch.column("node").to_numpy()
+            if not batch.num_rows:
+                continue
+            nodes, n, h, w = (batch.column(c).to_numpy() for c in ("node", "n", "h", "w"))
+            tokens, ends = batch.column("tokens").flatten().to_numpy(), np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
             cuts = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(nodes)]
+            found = []
             for begin, end in zip(cuts[:-1], cuts[1:]):
-                if held and held[-1].column("node")[0].as_py() != nodes[begin]:
-                    yield from made(pa.Table.from_batches(held))
+                if held and held[0][0] != nodes[begin]:
+                    found += made(held)
                     held = []
-                if end > begin:
-                    held.append(batch.slice(begin, end - begin))
-        if held:
-            yield from made(pa.Table.from_batches(held))
+                held.append((nodes[begin], h[begin:end], w[begin:end], tokens[ends[begin] : ends[end]].reshape(end - begin, n[begin])))
+            if found:
+                yield batch_of(found)
+        last = list(made(held)) if held else []
+        if last:
+            yield batch_of(last)
 
     return batches
 

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, table, unused
+from tidemark.llm.common import may_hold, stored, table, unused
 from tidemark.llm.graph import CELL, by_cell, cells_beside, components, each_cell, numbers
 from tidemark.llm.words import Words, mix
 
@@ -252,18 +252,12 @@ def _labels(members: pa.Table) -> np.ndarray:
 def _cell_links(members: pa.Table, percent: int) -> list[tuple[int, int]]:
     """Links between components among one cell's members."""
     id, n, label, later = numbers(members, "id"), numbers(members, "n"), _labels(members), _likely(members, percent)
-    texts = members.column("text")
-    sets: dict[int, np.ndarray] = {}
+    sets = [s for _, texts in chunks(members.column("text")) for s in _shingle_sets(Words(texts))]
     links = []
 
-    def of(x: int) -> np.ndarray:
-        if x not in sets:
-            sets[x] = shingles(texts[x].as_py())
-        return sets[x]
-
     for x in range(len(id) - 1):
         for y in later(x, label).tolist():
-            if label[y] != label[x] and _linked(int(n[x]), int(n[y]), len(np.intersect1d(of(x), of(y), assume_unique=True)), percent):
+            if label[y] != label[x] and _linked(int(n[x]), int(n[y]), len(np.intersect1d(sets[x], sets[y], assume_unique=True)), percent):
                 links.append((int(id[x]), int(id[y])))
                 label[label == label[y]] = label[x]
     return links
@@ -317,8 +311,9 @@ def class_components(sketched: DataFrame, whole: DataFrame, percent: int) -> Dat
 
     def texts(ids: DataFrame) -> DataFrame:
         wanted = classes.select(F.col("id").alias("class"), F.col("first.id").alias("id"), F.col("first.t").alias("t")).join(ids.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
-        # The likely pairs grow with the documents: a merge join, whatever their number.
-        found = whole.join(stored(wanted, "wanted-texts").hint("merge"), ["id", "t"]).select(F.col("class").alias("id"), "text")
+        wanted = stored(wanted, "wanted-texts")
+        # The likely pairs grow with the documents: a merge join, whatever their number, of the texts that may be wanted.
+        found = may_hold(whole, "t", wanted.select("t")).join(wanted.hint("merge"), ["id", "t"]).select(F.col("class").alias("id"), "text")
         return stored(found.dropDuplicates(["id"]), "candidate-texts")
 
     in_bands = classes.select("id", F.posexplode("bands").alias("band", "bucket"))

@@ -13,11 +13,6 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93  # odd, so that its powers can be undone
 _UNDO = pow(_BASE, -1, 2**64)
-_SPACE, _FIELD = np.zeros(256, bool), np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_FIELD[[*range(48, 58), 64]] = True  # digits and @
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -27,6 +22,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _within(b: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Which bytes lie between the two, compared without a table."""
+    return b - np.uint8(first) <= np.uint8(last - first)
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _UNDO)):
@@ -41,7 +41,7 @@ class Words:
 
     def __init__(self, texts: list[bytes]):
         self.buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        space = _SPACE[self.buffer]
+        space = _within(self.buffer, 9, 13) | (self.buffer == 32)
         edge = np.flatnonzero(np.diff(space, prepend=True))
         self.begin, self.end = edge[::2], edge[1::2]
         self.starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
@@ -49,7 +49,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """64-bit hashes of the words, of A-Z as a-z if asked."""
-        of = _LOWER[self.buffer] if lower else self.buffer
+        of = self.buffer + (_within(self.buffer, 65, 90).view(np.uint8) << np.uint8(5)) if lower else self.buffer
         up, down = _power_tables(len(of) + 1)
         sums = np.zeros(len(of) + 1, np.uint64)
         np.cumsum((of.astype(np.uint64) + np.uint64(1)) * up[: len(of)], out=sums[1:])
@@ -59,11 +59,11 @@ class Words:
     def fields(self) -> np.ndarray:
         """Whether a word holds a digit, an @ or a ``://``."""
         b = self.buffer
-        at = _FIELD[b]
+        at = _within(b, 48, 57) | (b == 64)
         at[:-2] |= (b[:-2] == 58) & (b[1:-1] == 47) & (b[2:] == 47)
-        sums = np.zeros(len(b) + 1, np.int64)
-        np.cumsum(at, out=sums[1:])
-        return sums[self.end] > sums[self.begin]
+        out = np.zeros(len(self.begin), bool)
+        out[np.searchsorted(self.begin, np.flatnonzero(at), side="right") - 1] = True
+        return out
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word of each line that has words, its number in its text, and the first such line of each text with their number)."""
