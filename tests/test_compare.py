@@ -169,3 +169,42 @@ def test_a_hot_group_is_dealt_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     same = spark.range(50_000).select(F.lit(1).cast("long").alias("h1"), F.lit(2).cast("long").alias("h2"), (F.col("id") % 2).cast("int").alias("side"), F.lit(1).cast("long").alias("n"), F.array(F.lit(1.0), F.lit(2.0)).alias("values"))
     assert unmatched(same, 2, 1e-7, 0).count() == 0
+
+
+def test_sparse_rows_are_matched_by_batch(monkeypatch):
+    """Rows alone in their cell, and pairs, never come one by one; clusters that run over batches leave what they leave row by row."""
+    import pyarrow as pa
+
+    from tidemark.operators import matching
+
+    types = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.list_(pa.float64())]
+    one_by_one, take = [], matching._Free.take
+    monkeypatch.setattr(matching._Free, "take", lambda self, *row: one_by_one.append(row) or take(self, *row))
+
+    def left(rows, size):
+        given = (pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), types)], names=["h1", "h2", "cell", "side", "n", "values"]) for i in range(0, len(rows), size))
+        return sorted(row for b in matching._match([0, 1], 1e-9, 1e-8)(given) for row in zip(*(c.to_pylist() for c in b.columns)))
+
+    rows = []
+    for i in range(1, 3001):
+        rows.append((i % 2, 7, i, 0, 2 if i % 5 == 0 else 1, [i * 1.5, 3.0]))
+        if i % 3:
+            rows.append((i % 2, 7, i, 1, 1, [i * 1.5 * (1 + 1e-10), 3.0 if i % 4 else 4.0]))
+    rows.sort(key=lambda r: (*r[:3], r[5], r[3]))
+    want = []
+    for i in range(1, 3001):
+        met = i % 3 and i % 4
+        n = (2 if i % 5 == 0 else 1) - (1 if met else 0)
+        want += [(i % 2, 7, 0, n, [i * 1.5, 3.0])] if n else []
+        want += [(i % 2, 7, 1, 1, [i * 1.5 * (1 + 1e-10), 4.0])] if i % 3 and not met else []
+    assert left(rows, 1000) == left(rows, 7) == sorted(want)
+    assert not one_by_one
+
+    rng = random.Random(3)
+    for spread in (3, 40, 400):
+        places = {(1 + 1e-9 * rng.uniform(0, spread), 2 + 1e-9 * rng.randrange(spread)) for _ in range(300)}
+        crowd = [(1, 2, 3, rng.randrange(2), rng.choice([1, 3]), list(p)) for p in sorted(places)]
+        free = matching._Free([0, 1], 1e-9, 1e-8)
+        for row in crowd:
+            free.take(*row[3:])
+        assert left(crowd, 300) == left(crowd, 11) == left(crowd, 1) == sorted((1, 2, *row) for row in free.left())

@@ -13,8 +13,11 @@ between them in one round at most, so with one round more than grid columns ever
 pair shares a whole cell in some round: no row is copied to neighbouring cells,
 and a group with a third of all rows is as many keys as it has cells.
 
-Within a cell rows come one by one, in order, and take the nearest row of the other side
-that is close in every column and still free, found in an index of small cells. A
+Within a cell rows come in order, and each takes the nearest row of the other side
+that is close in every column and still free. A cell falls into clusters where
+neighbours in a column are further apart than the tolerance. Clusters of one side pass,
+and clusters of two rows are compared, for a whole batch at once; only in larger ones
+rows come one by one and find each other in an index of small cells. A
 round passes on what it left. At the end no two free rows are close to each other.
 """
 
@@ -24,6 +27,7 @@ import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,8 @@ GRID = 3
 #: Width of a cell and round, in units of the bent axis; close values are less than NEAR apart.
 WIDTH = 64.0
 NEAR = 2.0
+#: Neighbours part two clusters when they are further apart than this many times the tolerance: more than rounding can make up.
+APART = 1.001
 COLUMNS = ["h1", "h2", "side", "n", "values"]
 
 
@@ -98,25 +104,98 @@ class _Free:
 
 
 def _match(dims: Sequence[int], rtol: float, atol: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64())]
-
-    def out(key: tuple, free: _Free) -> "pa.RecordBatch | None":
-        rows = [(*key[:2], *row) for row in free.left()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=COLUMNS) if rows else None
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        plain = [batch.column(c).to_numpy() for c in ("h1", "h2", "cell", "side", "n")]
+        return [*plain, batch.column("values").flatten().to_numpy().reshape(batch.num_rows, -1)]
+
+    def out(h1: np.ndarray, h2: np.ndarray, side: np.ndarray, n: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * np.int32(values.shape[1]))
+        lists = pa.ListArray.from_arrays(ends, pa.array(values.reshape(-1)))
+        return pa.RecordBatch.from_arrays([*map(pa.array, (h1, h2, side, n)), lists], names=COLUMNS)
+
+    def apart(x: np.ndarray) -> np.ndarray:
+        """Which ascending values lie beyond the tolerance of the one before: then so do all after it of all before it."""
+        return np.diff(x) > APART * (atol + rtol * np.maximum(np.abs(x[1:]), np.abs(x[:-1])))
+
+    def clusters(rows: list[np.ndarray]) -> np.ndarray:
+        h1, h2, cell, _, _, values = rows
+        return np.flatnonzero(np.r_[True, (np.diff(h1) != 0) | (np.diff(h2) != 0) | (np.diff(cell) != 0) | apart(values[:, 0])])
+
+    def split(rows: list[np.ndarray], label: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Clusters parted along the other columns too; their rows keep their order."""
+        for d in range(1, rows[5].shape[1]):
+            order = np.lexsort((rows[5][:, d], label))
+            label[order] = np.cumsum(np.r_[True, (np.diff(label[order]) != 0) | apart(rows[5][order, d])])
+        order = np.argsort(label, kind="stable")
+        return [c[order] for c in rows], np.flatnonzero(np.r_[True, np.diff(label[order]) != 0])
+
+    def feed(free: _Free, rows: list[np.ndarray]) -> None:
+        for row in zip(*(c.tolist() for c in rows[3:])):
+            free.take(*row)
+
+    def rest(free: _Free, h1: int, h2: int) -> Iterator[pa.RecordBatch]:
+        if left := list(free.left()):
+            side, n, values = zip(*left)
+            yield out(np.full(len(n), h1), np.full(len(n), h2), np.array(side, np.int32), np.array(n), np.array(values))
+
+    def settled(rows: list[np.ndarray], starts: np.ndarray, parted: bool = False) -> Iterator[pa.RecordBatch]:
+        """What whole clusters leave."""
+        h1, h2, _, side, n, values = rows
+        size = np.diff(np.r_[starts, len(n)])
+        ones = np.add.reduceat(side, starts)
+        mixed, n = (ones > 0) & (ones < size), n.copy()
+        first = starts[mixed & (size == 2)]
+        e, g = first + side[first], first + 1 - side[first]
+        gaps = np.abs(values[e] - values[g])
+        met = (gaps <= atol + rtol * np.abs(values[g])).all(axis=1)
+        e, g = e[met], g[met]
+        used = np.minimum(n[e], n[g])
+        n[e] -= used
+        n[g] -= used
+        crowds = mixed & (size > 2)
+        if parted:
+            for start, stop in zip(starts[crowds], (starts + size)[crowds]):
+                feed(free := _Free(dims, rtol, atol), [c[start:stop] for c in rows])
+                yield from rest(free, h1[start], h2[start])
+        elif crowds.any():
+            label = np.repeat(np.arange(len(starts)), size)
+            inside = crowds[label]
+            yield from settled(*split([c[inside] for c in rows], label[inside]), parted=True)
+        keep = (n > 0) & ~np.repeat(crowds, size)
+        if keep.any():
+            yield out(h1[keep], h2[keep], side[keep], n[keep], values[keep])
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, free = None, None
+        # The last cluster of a batch may go on in the next: it is held back, or, beyond a batch, what is free of it.
+        held, free = None, None
         for batch in given:
-            for h1, h2, cell, side, n, values in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "cell", "side", "n", "values"))):
-                if (h1, h2, cell) != key:
-                    if free is not None and (done := out(key, free)) is not None:
-                        yield done
-                    key, free = (h1, h2, cell), _Free(dims, rtol, atol)
-                free.take(side, n, values)
-        if free is not None and (done := out(key, free)) is not None:
-            yield done
-
-    return batches
+            if not batch.num_rows:
+                continue
+            rows = arrays(batch) if held is None else [np.concatenate(c) for c in zip(held, arrays(batch))]
+            starts = clusters(rows)
+            if len(starts) == 1:
+                free = free or _Free(dims, rtol, atol)
+                feed(free, [c[:-1] for c in rows])
+                held = [c[-1:] for c in rows]
+                continue
+            if free:
+                feed(free, [c[: starts[1]] for c in rows])
+                yield from rest(free, rows[0][0], rows[1][0])
+                free, rows, starts = None, [c[starts[1] :] for c in rows], starts[1:] - starts[1]
+            if len(starts) > 1:
+                yield from settled([c[: starts[-1]] for c in rows], starts[:-1])
+            held = [c[starts[-1] :] for c in rows]
+        if free:
+            feed(free, held)
+            yield from rest(free, held[0][0], held[1][0])
+        elif held:
+            yield from settled(held, np.array([0]))
+
+    def quiet(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            yield from batches(given)
+
+    return quiet
 
 
 def unmatched(rows: DataFrame, width: int, rtol: float, atol: float) -> DataFrame:
